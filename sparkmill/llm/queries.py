@@ -12,6 +12,7 @@ from sparkmill.llm import bpe, warc
 from sparkmill.llm.mixing import mix
 from sparkmill.llm.quality_rules import quality_rules
 from sparkmill.llm.simhash import simhash_classes
+from sparkmill.llm.suffix import remove_repeats
 from sparkmill.llm.url_filter import canonical, host_of, path_of, url_filter
 
 URL_RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
@@ -29,6 +30,12 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op2_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = remove_repeats(table(spark, sf_dir, "documents"), min_len=400)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + (s["end"] - s["start"]))
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = warc.round_trip(table(spark, sf_dir, "pages"), min_payload=0)
     return back.select(F.col("page_id").cast("long"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long"), "url", "segments", "status")
@@ -87,7 +94,7 @@ FROM c JOIN h ON c.source IS NOT DISTINCT FROM h.source
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op4_warc, op6_simhash, op7_url_filter, op8_mixing, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_bpe, op2_suffix_array, op4_warc, op6_simhash, op7_url_filter, op8_mixing, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
