@@ -45,7 +45,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     holds a whole source. Null texts have size 0; repeated rows are documents of their own; reruns agree.
     """
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    sized = materialize(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("u")), "sizes")
+    sized = materialize(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("u"), F.monotonically_increasing_id().alias("row")), "sizes")
     stats = sized.groupBy("source").agg(F.sum("size").alias("s"), F.count(F.lit(1)).alias("n")).limit(MAX_SOURCES + 1).collect()
     if len(stats) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
@@ -66,4 +66,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     out = placed.join(sums, ["src", "bucket"]).withColumn("start", F.col("start") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
     extra = (F.col("start") + F.col("size") / 2 <= F.col("rest")) & (F.col("rest") > 0)
     out = out.withColumn("repeats", F.col("whole") + extra.cast("int"))
-    return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "repeats", (F.col("repeats") * F.col("size")).cast("long").alias("taken"))
+    return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "repeats", (F.col("repeats") * F.col("size")).cast("long").alias("taken"), "row")
+
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The rows of docs as often as mix repeats them, with their columns. docs: a stored table, whose rows both scans number alike."""
+    number = "row"
+    while number in docs.columns:
+        number += "_"
+    repeats = mix(docs, id_col, text_col, source_col, **options).where("repeats > 0").select(F.col("row").alias("mixed_row"), F.col("repeats").alias("mixed_repeats"))
+    rows = docs.withColumn(number, F.monotonically_increasing_id()).join(repeats, F.col(number) == F.col("mixed_row"))
+    return rows.withColumn(number, F.explode(F.sequence(F.lit(1), F.col("mixed_repeats")))).select(*docs.columns)

@@ -78,15 +78,28 @@ class Ranker:
 
     def score(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """(id, score in 0 to 1) for every row; empty and null texts get the score of no features."""
-        rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
+        return self.add_score(docs.select(id_col, text_col), text_col, "score").select(id_col, "score")
+
+    def add_score(self, docs: DataFrame, text_col: str = "text", name: str = "score") -> DataFrame:
+        """docs with one more column, the score."""
+        at = docs.columns.index(text_col)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 if b.num_rows:
-                    x = np.array([features(t.as_py()) for t in b.column(1)])
-                    yield pa.record_batch([b.column(0), pa.array(self.prob(x))], names=["id", "score"])
+                    x = np.array([features(t.as_py()) for t in b.column(at)])
+                    yield pa.record_batch([*b.columns, pa.array(self.prob(x))], names=[*b.schema.names, name])
+
+        return docs.mapInArrow(run, ", ".join([f"`{c}` {t}" for c, t in docs.dtypes] + [f"`{name}` double"]))
 
-        return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, score double").withColumnRenamed("id", id_col)
+    def keep_above_quantile(self, docs: DataFrame, quantile: float, ceiling: float = 1.0, text_col: str = "text") -> DataFrame:
+        """Rows of docs whose score reaches the given quantile of all scores (to a ten-thousandth), or `ceiling` if that is lower."""
+        name = "score"
+        while name in docs.columns:
+            name += "_"
+        scores = self.add_score(docs.select(text_col), text_col, "s").agg(F.percentile_approx("s", F.lit(quantile), F.lit(10_000))).first()[0]
+        bar = min(ceiling, 0.0 if scores is None else scores)
+        return self.add_score(docs, text_col, name).where(F.col(name) >= F.lit(bar)).drop(name)
 
 
 def preference_pairs(good: int, bad: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
@@ -136,9 +149,3 @@ def train_ranker(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     found = rows.mapInArrow(run, f"key {kind}, y int, x array<double>").dropDuplicates(["key"]).toArrow().sort_by("key")
     x = np.array(found["x"].to_pylist()).reshape(-1, len(NAMES))
     return fit(x, found["y"].to_numpy())
-
-
-def keep_above_quantile(scored: DataFrame, quantile: float, ceiling: float = 1.0, score_col: str = "score") -> DataFrame:
-    """Rows whose score reaches the given quantile of all scores (approximate to a ten-thousandth), or `ceiling` if that is lower."""
-    bar = scored.agg(F.percentile_approx(score_col, F.lit(quantile), F.lit(10_000))).first()[0]
-    return scored.where(F.col(score_col) >= F.lit(min(ceiling, 0.0 if bar is None else bar)))

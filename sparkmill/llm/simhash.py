@@ -21,11 +21,16 @@ BRUTE = 4096
 TWO_SEGMENTS_FROM = 1 << 24
 
 
-def fingerprint(text: bytes, shingle: int = 4, seed: int = 42) -> int:
-    """64 bits, each 1 if over half of the shingles' XXH64 have it; 0 without words. A-Z lower-cased, words of non-space."""
+def fingerprint(text: bytes, shingle: int = 4, seed: int = 42, distinct: bool = False) -> int:
+    """64 bits, each 1 if over half of the shingles' XXH64 have it; 0 without words. A-Z lower-cased, words of non-space.
+
+    distinct: the words in the order of their first place, repeats left out (for shingles of one word).
+    """
     ws = text.lower().split()
     if not ws:
         return 0
+    if distinct:
+        ws = [*dict.fromkeys(ws)]
     joined = b" ".join(ws)
     if len(ws) <= shingle:
         return xxhash.xxh64_intdigest(joined, seed)
@@ -40,16 +45,21 @@ def fingerprint(text: bytes, shingle: int = 4, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
-    """(id, fp long) for every row; the 64 bits as a signed long. Null and blank texts have 0."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, check: int | None = None) -> DataFrame:
+    """(id, fp long, second long) for every row; the 64 bits as a signed long. Null and blank texts have 0.
+
+    check: fp is then made of the distinct words, and second of shingles of so many words; else second is 0.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = [fingerprint(x.as_py() or b"", shingle) for x in b.column(1)]
-            yield pa.record_batch([b.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))], names=["id", "fp"])
+            texts = [x.as_py() or b"" for x in b.column(1)]
+            fps = [fingerprint(t, shingle) if check is None else fingerprint(t, 1, distinct=True) for t in texts]
+            second = [0 if check is None else fingerprint(t, check) for t in texts]
+            yield pa.record_batch([b.column(0), *[pa.array(np.array(x, np.uint64).view(np.int64)) for x in (fps, second)]], names=["id", "fp", "second"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t"))
-    return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, fp long")
+    return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, fp long, second long")
 
 
 def segments(m: int) -> list[tuple[int, int]]:
@@ -59,119 +69,152 @@ def segments(m: int) -> list[tuple[int, int]]:
 
 
 def probe_rows(fps: np.ndarray, m: int, distance: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, side, fp): side 0 files a fingerprint under each of its segments, side 1 looks up the segments' Hamming balls.
+    """(key, side, index): side 0 files a fingerprint under each of its segments, side 1 looks up the segments' Hamming balls.
 
     Two fingerprints within the distance have a segment that differs in at most distance // m bits. Of two different
     segment values only the smaller one looks up the other: flips must set the highest bit that they change.
     """
     u, radius, keys, sides, owners = fps.view(np.uint64), distance // m, [], [], []
+    every = np.arange(len(u))
     for j, (shift, width) in enumerate(segments(m)):
         value = (u >> np.uint64(shift)) & np.uint64((1 << width) - 1)
         top = np.uint64(j) << np.uint64(58)
         keys.append(value | top)
         sides.append(np.zeros(len(u), np.int8))
-        owners.append(fps)
+        owners.append(every)
         for r in range(1, radius + 1):
             for flips in combinations(range(width), r):
                 mask = np.uint64(sum(1 << b for b in flips))
                 up = (value >> np.uint64(flips[-1])) & np.uint64(1) == 0
                 keys.append((value[up] ^ mask) | top)
                 sides.append(np.ones(int(up.sum()), np.int8))
-                owners.append(fps[up])
+                owners.append(every[up])
     return np.concatenate(keys).view(np.int64), np.concatenate(sides), np.concatenate(owners)
 
 
-def _close(a: np.ndarray, b: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs of a and b within the distance, as spanning stars."""
-    us, vs = [], []
-    for i in range(0, len(a), 1024):
-        for j in range(0, len(b), 1024):
-            x, y = a[i : i + 1024], b[j : j + 1024]
-            p, q = np.nonzero(np.bitwise_count(x.view(np.uint64)[:, None] ^ y.view(np.uint64)[None, :]) <= distance)
-            f = forest(x[p], y[q]) if len(p) else (x[:0], x[:0])
-            us.append(f[0])
-            vs.append(f[1])
-    return np.concatenate(us or [a[:0]]), np.concatenate(vs or [a[:0]])
-
-
-def _cut_again(fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """As _close for one large group: fingerprints within the distance agree in one of distance + 1 segments."""
-    fps, us, vs = np.unique(fps), [], []
-    for shift, width in segments(distance + 1):
-        value = (fps.view(np.uint64) >> np.uint64(shift)) & np.uint64((1 << width) - 1)
-        order = np.argsort(value, kind="stable")
-        ends = np.flatnonzero(np.diff(value[order])) + 1
-        for part in np.split(fps[order], ends):
-            if len(part) > 1:
-                u, v = _close(part, part, distance)
+class Nodes:
+    """Nodes with their fingerprints and second fingerprints, and how far apart linked ones may be in each."""
+
+    def __init__(self, node: np.ndarray, fp: np.ndarray, second: np.ndarray, distance: int, second_distance: int) -> None:
+        self.node, self.fp, self.second = node, fp.view(np.uint64), second.view(np.uint64)
+        self.distance, self.second_distance = distance, second_distance
+
+    def near(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        ok = np.bitwise_count(self.fp[i] ^ self.fp[j]) <= self.distance
+        return ok if self.second_distance >= BITS else ok & (np.bitwise_count(self.second[i] ^ self.second[j]) <= self.second_distance)
+
+    def forest(self, us: list[np.ndarray], vs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        u, v = np.concatenate([self.node[:0], *us]), np.concatenate([self.node[:0], *vs])
+        return forest(u, v) if len(u) else (u, v)
+
+    def close(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All pairs of the indices a and b that are near, as spanning stars."""
+        us, vs = [], []
+        for i in range(0, len(a), 1024):
+            for j in range(0, len(b), 1024):
+                x, y = a[i : i + 1024], b[j : j + 1024]
+                p, q = np.nonzero(self.near(x[:, None], y[None, :]))
+                u, v = self.forest([self.node[x[p]]], [self.node[y[q]]])
+                us.append(u)
+                vs.append(v)
+        return self.forest(us, vs)
+
+    def cut_again(self, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As close for one large group: fingerprints within the distance agree in one of distance + 1 segments."""
+        us, vs = [], []
+        for shift, width in segments(self.distance + 1):
+            value = (self.fp[own] >> np.uint64(shift)) & np.uint64((1 << width) - 1)
+            order = np.argsort(value, kind="stable")
+            for part in np.split(own[order], np.flatnonzero(np.diff(value[order])) + 1):
+                if len(part) > 1:
+                    u, v = self.close(part, part)
+                    us.append(u)
+                    vs.append(v)
+        return self.forest(us, vs)
+
+    def link_groups(self, key: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Edges among the rows of equal key (sorted by key and side) that are near; two lookups are no pair."""
+        starts = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1, [len(key)]])
+        sizes = np.diff(starts)
+        small, us, vs = np.repeat(sizes <= 64, sizes), [], []
+        for t in range(1, int(min(64, sizes.max(initial=0)))):
+            i = np.flatnonzero(small[:-t] & (key[:-t] == key[t:]) & (side[:-t] == 0))
+            if not len(i):
+                break
+            i = i[self.near(i, i + t)]
+            us.append(self.node[i])
+            vs.append(self.node[i + t])
+        for g in np.flatnonzero(sizes > 64):
+            s, e = starts[g], starts[g + 1]
+            filed = s + int((side[s:e] == 0).sum())
+            if filed > s:
+                u, v = self.close(np.arange(s, filed), np.arange(s, e)) if e - s <= BRUTE else self.cut_again(np.arange(s, e))
                 us.append(u)
                 vs.append(v)
-    return forest(np.concatenate(us or [fps[:0]]), np.concatenate(vs or [fps[:0]]))
-
-
-def link_groups(key: np.ndarray, side: np.ndarray, fp: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges among the rows of equal key (sorted by key and side) that are within the distance; two lookups are no pair."""
-    starts = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1, [len(key)]])
-    sizes = np.diff(starts)
-    small, us, vs = np.repeat(sizes <= 64, sizes), [], []
-    for t in range(1, int(min(64, sizes.max(initial=0)))):
-        i = np.flatnonzero(small[:-t] & (key[:-t] == key[t:]) & ((side[:-t] == 0) | (side[t:] == 0)))
-        if not len(i):
-            break
-        i = i[np.bitwise_count(fp[i].view(np.uint64) ^ fp[i + t].view(np.uint64)) <= distance]
-        us.append(fp[i])
-        vs.append(fp[i + t])
-    for g in np.flatnonzero(sizes > 64):
-        s, e = starts[g], starts[g + 1]
-        filed = s + int((side[s:e] == 0).sum())
-        if filed == s:
-            continue
-        u, v = _close(fp[s:filed], fp[s:e], distance) if e - s <= BRUTE else _cut_again(fp[s:e], distance)
-        us.append(u)
-        vs.append(v)
-    u, v = np.concatenate(us or [fp[:0]]), np.concatenate(vs or [fp[:0]])
-    return forest(u, v) if len(u) else (u, v)
-
-
-def near_links(fps: DataFrame, distance: int, m: int) -> DataFrame:
-    """Edges (u, v) that connect all distinct fingerprints (column fp) within the distance; no group emits all its pairs."""
+        return self.forest(us, vs)
+
+
+def near_links(nodes: DataFrame, distance: int, m: int, second_distance: int = BITS) -> DataFrame:
+    """Edges (u, v) that connect all nodes (node, fp, second: long) whose fingerprints are near; no group emits all its pairs."""
+    names = ["key", "side", "node", "fp", "second"]
 
     def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(0, b.num_rows, 4096):
-                key, side, fp = probe_rows(b.column(0)[k : k + 4096].to_numpy(), m, distance)
-                yield pa.record_batch({"key": key, "side": side, "fp": fp})
+                node, fp, second = (c.to_numpy()[k : k + 4096] for c in b.columns)
+                key, side, at = probe_rows(fp, m, distance)
+                yield pa.record_batch([pa.array(x) for x in (key, side, node[at], fp[at], second[at])], names=names)
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = [np.zeros(0, np.int64), np.zeros(0, np.int8), np.zeros(0, np.int64)]
+        held = [np.zeros(0, t) for t in (np.int64, np.int8, np.int64, np.int64, np.int64)]
+
+        def out(rows: list[np.ndarray]) -> pa.RecordBatch:
+            u, v = Nodes(*rows[2:], distance, second_distance).link_groups(*rows[:2])
+            return pa.record_batch({"u": u, "v": v})
+
         for b in batches:
             held = [np.concatenate([h, b.column(i).to_numpy()]) for i, h in enumerate(held)]
-            if len(held[0]) < 200_000:
-                continue
-            cut = int(np.searchsorted(held[0], held[0][-1]))  # the last group may go on
-            u, v = link_groups(*[h[:cut] for h in held], distance)
-            held = [h[cut:] for h in held]
-            yield pa.record_batch({"u": u, "v": v})
+            if len(held[0]) >= 200_000:
+                cut = int(np.searchsorted(held[0], held[0][-1]))  # the last group may go on
+                yield out([h[:cut] for h in held])
+                held = [h[cut:] for h in held]
         if len(held[0]):
-            u, v = link_groups(*held, distance)
-            yield pa.record_batch({"u": u, "v": v})
+            yield out(held)
 
-    rows = fps.select("fp").mapInArrow(probes, "key long, side byte, fp long")
-    return rows.repartition("key").sortWithinPartitions("key", "side", "fp").mapInArrow(link, "u long, v long")
+    rows = nodes.select("node", "fp", "second").mapInArrow(probes, "key long, side byte, node long, fp long, second long")
+    return rows.repartition("key").sortWithinPartitions("key", "side", "node").mapInArrow(link, "u long, v long")
 
 
-def simhash_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, distance: int = 4, m: int | None = None) -> DataFrame:
-    """id, fp (signed long) and component (smallest id reachable by links of at most `distance` differing bits), per row.
+def simhash_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, distance: int = 4, m: int | None = None, check: int | None = None, check_distance: int = BITS) -> DataFrame:
+    """id, fp (signed long), second and component (smallest id reachable by links of at most `distance` differing bits), per row.
 
-    Equal fingerprints are one node; copies are never paired. m: number of segments (by default from the number of distinct
-    fingerprints). Null ids are kept and never name a component unless it has no other; repeated rows stay.
+    Equal fingerprints are one node; copies are never paired. m: number of segments (by default from the number of nodes).
+    With check, fingerprints of the distinct words are linked, and only if those of the shingles of `check` words differ in
+    at most check_distance bits too; nodes are then named by a 64-bit hash of both. Null ids are kept and never name a
+    component unless it has no other; repeated rows stay.
     """
-    own = materialize(fingerprints(docs, id_col, text_col, shingle), "fp")
-    nodes = materialize(own.groupBy("fp").agg(F.min("id").alias("first")), "nodes")
-    m = m or (3 if nodes.count() < TWO_SEGMENTS_FROM else 2)
-    roots = components(near_links(nodes, distance, m))
-    nodes = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    name = F.col("fp") if check is None else F.xxhash64("fp", "second")
+    own = materialize(fingerprints(docs, id_col, text_col, shingle, check).withColumn("node", name), "fp")
+    nodes = materialize(own.groupBy("node", "fp", "second").agg(F.min("id").alias("first")), "nodes")
+    m = m or (max(3, distance // 2 + 1) if nodes.count() < TWO_SEGMENTS_FROM else 2)
+    roots = components(near_links(nodes, distance, m, check_distance))
+    nodes = nodes.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     nodes = materialize(nodes, "rooted")
     names = nodes.groupBy("root").agg(F.min("first").alias("component"))
-    named = materialize(nodes.join(names, "root").select("fp", "component"), "classes")
-    return own.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component")
+    named = materialize(nodes.join(names, "root").select("node", "component"), "classes")
+    return own.join(named, "node").select(F.col("id").alias(id_col), "fp", "second", "component")
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: int) -> DataFrame:
+    """docs without near copies: of every component the row with the smallest id stays, one row if that id is repeated.
+
+    Rows whose component has no id but null stay.
+    """
+    found = simhash_classes(docs, id_col, text_col, **options)
+    kept = materialize(found.where(F.col("component").isNull() | (F.col(id_col) == F.col("component"))).select(F.col(id_col).alias("kept_id")), "kept")
+    ids = kept.where("kept_id is not null")
+    once = ids.groupBy("kept_id").count().where("count > 1").limit(1).count() == 0
+    named = docs.join(ids if once else ids.distinct(), F.col(id_col) == F.col("kept_id"), "left_semi")
+    if not once:
+        named = named.dropDuplicates([id_col])
+    return named.unionByName(docs.where(F.col(id_col).isNull())) if kept.where("kept_id is null").limit(1).count() else named

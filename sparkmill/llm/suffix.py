@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -293,17 +293,18 @@ def _batch(rows: list[tuple], types: list[pa.DataType], names: list[str]) -> pa.
     return pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_len: int = 400, **options: int) -> DataFrame:
-    """id, n_bytes, spans (start, end of the maximal removed runs), kept (remaining bytes) for every row of docs.
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_len: int = 400, carry: Sequence[str] = (), as_text: bool = False, **options: int) -> DataFrame:
+    """id, the columns named in carry, n_bytes, spans (start, end of the maximal removed runs), kept (remaining bytes) for every row of docs.
 
     A byte goes if a string of min_len bytes that covers it also starts anywhere else, in the same document or another, as
-    the input stands. Null texts are empty; repeated rows are documents of their own and remove each other.
+    the input stands. as_text: kept is text, without characters of which only a part remains. Null texts are empty; repeated rows are documents of their own and remove each other.
     """
     found, extents = repeat_extents(docs, id_col, text_col, min_len, **options)
     spans = found.join(extents, ["h", "c"]).select(F.col("id").alias("rid"), F.col("x").alias("rx"), (F.col("pos") - F.col("l")).alias("s"), (F.col("pos") + F.col("r")).alias("e"))
     spans = spans.groupBy("rid", "rx").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
-    base = _text(docs, id_col, text_col)
-    kind = dict(base.dtypes)["id"]
+    text = F.coalesce(F.col(text_col).cast("binary"), F.lit("").cast("binary"))
+    base = docs.select(F.col(id_col).alias("id"), text.alias("t"), F.struct(F.lit(0), *carry).alias("rest")).select("id", F.xxhash64("t").alias("x"), "t", "rest")
+    kind, rest = (dict(base.dtypes)[c] for c in ("id", "rest"))
     pieces = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -317,9 +318,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     else:
                         runs.append({"start": s, "end": e})
                 marks = [0, *(m for r in runs for m in (r["start"], r["end"])), len(t)]
-                kept.append(b"".join(t[x:y] for x, y in zip(marks[::2], marks[1::2])))
+                rest = b"".join(t[x:y] for x, y in zip(marks[::2], marks[1::2])) if runs else t
+                kept.append(rest.decode("utf-8", "ignore") if as_text else rest)
                 gone.append(runs)
-            yield pa.record_batch([b.column(0), pa.array(gone, pieces), pa.array(kept, pa.binary()), b.column(3)], names=["id", "spans", "kept", "n_bytes"])
+            yield pa.record_batch([b.column(0), pa.array(gone, pieces), pa.array(kept, pa.string() if as_text else pa.binary()), b.column(3), b.column(4)], names=["id", "spans", "kept", "n_bytes", "rest"])
 
-    rows = base.join(spans, _same(base, spans), "left").select("id", "t", "spans", F.octet_length("t").cast("long").alias("n_bytes"))
-    return rows.mapInArrow(run, f"id {kind}, spans array<struct<start:int,end:int>>, kept binary, n_bytes long").withColumnRenamed("id", id_col)
+    rows = base.join(spans, _same(base, spans), "left").select("id", "t", "spans", F.octet_length("t").cast("long").alias("n_bytes"), "rest")
+    out = rows.mapInArrow(run, f"id {kind}, spans array<struct<start:int,end:int>>, kept {'string' if as_text else 'binary'}, n_bytes long, rest {rest}")
+    return out.select(F.col("id").alias(id_col), *[F.col("rest")[c].alias(c) for c in carry], "n_bytes", "spans", "kept")

@@ -6,7 +6,7 @@ import pytest
 import xxhash
 
 from sparkmill.llm import simhash
-from sparkmill.llm.graph import components, forest
+from sparkmill.llm.graph import components
 
 
 def plain_fingerprint(text, k=4):
@@ -51,8 +51,8 @@ def test_near_links_find_every_pair(spark, m):
             fps[len(fps)] = x
             for b in rng.sample(range(64), rng.randint(0, 6)):
                 x ^= 1 << b
-    rows = [(int(np.uint64(x).view(np.int64)),) for x in set(fps.values())]
-    edges = simhash.near_links(spark.createDataFrame(rows, "fp long"), 4, m)
+    rows = [(int(np.uint64(x).view(np.int64)),) * 2 + (0,) for x in set(fps.values())]
+    edges = simhash.near_links(spark.createDataFrame(rows, "node long, fp long, second long"), 4, m)
     to_id = {int(np.uint64(x).view(np.int64)): i for i, x in sorted(fps.items(), reverse=True)}
     links = [(to_id[r.u], to_id[r.v]) for r in edges.collect()] + [(i, to_id[int(np.uint64(x).view(np.int64))]) for i, x in fps.items()]
     assert plain_components(fps, links) == plain_classes(fps)
@@ -64,9 +64,10 @@ def test_large_groups_are_cut_again():
     flips = np.array([1 << int(b) for b in range(20, 60)], np.int64)
     fps = np.unique(np.concatenate([[centre ^ a ^ b for a in flips for b in flips], rng.integers(0, 2**20, 500) | (1 << 40)]))
     key, side = np.zeros(len(fps), np.int64), np.zeros(len(fps), np.int8)
-    brute = forest(*simhash._close(fps, fps, 4))
-    again = simhash._cut_again(fps, 4)
-    one = simhash.link_groups(key, side, fps, 4)
+    nodes, every = simhash.Nodes(fps, fps, fps, 4, 64), np.arange(len(fps))
+    brute = nodes.close(every, every)
+    again = nodes.cut_again(every)
+    one = nodes.link_groups(key, side)
     for u, v in (again, one):
         assert dict(zip(u.tolist(), v.tolist())) == dict(zip(brute[0].tolist(), brute[1].tolist()))
 
@@ -92,6 +93,24 @@ def test_classes(spark):
     assert simhash.simhash_classes(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
+def test_near_copies_go(spark):
+    rng = random.Random(6)
+    texts = [" ".join("w%d" % rng.randrange(4000) for _ in range(400)) for _ in range(30)]
+    copies = []
+    for t in texts[:20]:
+        ws = t.split()
+        for _ in range(rng.randrange(4)):
+            ws[rng.randrange(400)] = "new"
+        copies.append(" ".join(ws))
+    rows = [*enumerate(texts), *[(100 + i, t) for i, t in enumerate(copies)], (25, texts[25]), (200, "short"), (201, "Short"), (202, None), (None, "alone"), (None, texts[0])]
+    docs = spark.createDataFrame([(i, t, 7) for i, t in rows], "doc_id long, text string, component int")
+    out = simhash.drop_near_copies(docs, distance=7, check=5, check_distance=13)
+    assert out.columns == docs.columns
+    ids = sorted((r.doc_id for r in out.collect() if r.doc_id is not None))
+    assert ids == [*range(30), 200, 202]
+    assert simhash.drop_near_copies(docs.limit(0)).collect() == []
+
+
 @pytest.mark.parametrize("bound", [0, 1000])
 def test_components(spark, bound):
     rng = random.Random(4)
