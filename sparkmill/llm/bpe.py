@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +15,8 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkmill.llm.shared import small_batches
+
 #: Characters of a chunk and of its overlap with the next.
 CHUNK, OVERLAP = 65_536, 1_024
 #: A match that ends so near the end of a chunk may look further in the whole text (contractions have up to three characters).
@@ -28,7 +31,7 @@ class Codec:
     def __init__(self, ranks: bytes, pattern: str) -> None:
         self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in ranks.splitlines() if line)}
         self.pattern = regex.compile(pattern)
-        self.core = tiktoken.Encoding("given", pat_str=pattern, mergeable_ranks=self.ranks, special_tokens={})._core_bpe
+        self.encoding = tiktoken.Encoding("given", pat_str=pattern, mergeable_ranks=self.ranks, special_tokens={})
         self.bytes_of = {i: b for b, i in self.ranks.items()}
         self.known: dict[str, list[int]] = {}
 
@@ -38,7 +41,7 @@ class Codec:
         if ids is None:
             raw = piece.encode("utf-8", "replace")
             rank = self.ranks.get(raw)
-            ids = [rank] if rank is not None else list(self.core.encode_single_piece(raw))
+            ids = [rank] if rank is not None else list(self.encoding._core_bpe.encode_single_piece(raw))
             if len(self.known) >= CACHE:
                 self.known.clear()
             if len(piece) <= 64:
@@ -50,11 +53,8 @@ class Codec:
         return [m.start() for m in self.pattern.finditer(text)]
 
     def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        known, add, piece = self.known.get, out.extend, self.piece
-        for p in self.pattern.findall(text):
-            add(known(p) or piece(p))
-        return out
+        """Ids of a text that is pre-tokenised as a whole."""
+        return self.encoding.encode_ordinary(text)
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -77,29 +77,37 @@ def vocabulary(df: DataFrame, ranks_path: str) -> Broadcast:
         return df.sparkSession.sparkContext.broadcast(f.read())
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """(id, ids array<int>) for every row; a null text has no ids, repeated rows stay, special tokens are ordinary text.
+def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP, decoded: bool = False) -> DataFrame:
+    """(id, ids array<int>) for every row, with decoded also what decode makes of the ids; a null text has no ids, repeated rows stay, special tokens are ordinary text.
 
     Texts of up to a chunk are encoded where they are read. Longer ones are cut into overlapping chunks that are dealt over
     all tasks and pre-tokenised there; neighbours are stitched at the first boundary that both have, each piece between
     two stitches is encoded by itself, and the ids are put together by document. A document of which two chunks share no
     boundary (a match longer than the overlap) is pre-tokenised as a whole. Rows are told apart by their place in the scan.
     """
+    small_batches(docs.sparkSession)
     vocab = vocabulary(docs, ranks_path)
     base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     kind = dict(base.dtypes)["id"]
 
     def lists(rows: list[list[int]]) -> pa.ListArray:
         ends = np.cumsum([0, *map(len, rows)], dtype=np.int64)
-        flat = np.fromiter((i for r in rows for i in r), np.int32, int(ends[-1]))
+        flat = np.fromiter(chain.from_iterable(rows), np.int32, int(ends[-1]))
         return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))
 
+    names = ["id", "ids", *["decoded"] * decoded]
+    schema = f"id {kind}, ids array<int>" + ", decoded binary" * decoded
+
+    def back(codec: Codec, ids: list[list[int]]) -> list[pa.Array]:
+        return [pa.array([codec.decode(x) for x in ids], pa.binary())] * decoded
+
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(vocab.value, pattern)
         for b in batches:
-            for k in range(0, b.num_rows, 500):  # ids take some ten times the memory of the text
-                part = b.slice(k, 500)
-                yield pa.record_batch([part.column(0), lists([codec.encode(t.as_py()) for t in part.column(1)])], names=["id", "ids"])
+            for k in range(0, b.num_rows, 100):  # ids take some ten times the memory of the text
+                part = b.slice(k, 100)
+                ids = [codec.encode(t.as_py()) for t in part.column(1)]
+                yield pa.record_batch([part.column(0), lists(ids), *back(codec, ids)], names=names)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -137,14 +145,11 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
 
     def whole(group: pa.Table) -> pa.Table:
         group = group.sort_by("k")
-        raw = group["raw"].to_pylist()
-        if raw[0] is None:
-            ids = [i for x in group["ids"].to_pylist() for i in x]
-        else:
-            ids = _codec(vocab.value, pattern).encode("".join(raw))
-        return pa.table({"id": group["id"].slice(0, 1).combine_chunks(), "ids": lists([ids])})
-
-    near = base.where(F.length("t") <= chunk).mapInArrow(short, f"id {kind}, ids array<int>")
+        raw, codec = group["raw"].to_pylist(), _codec(vocab.value, pattern)
+        ids = list(chain.from_iterable(group["ids"].to_pylist())) if raw[0] is None else codec.encode("".join(raw))
+        return pa.Table.from_arrays([group["id"].slice(0, 1).combine_chunks(), lists([ids]), *back(codec, [ids])], names=names)
+
+    near = base.where(F.length("t") <= chunk).mapInArrow(short, schema)
     far = base.where(F.length("t") > chunk).select(F.monotonically_increasing_id().alias("row"), "id", "t")
     far = far.mapInArrow(cut, f"row long, id {kind}, k int, last boolean, t string").repartition("row", "k")
     far = far.mapInArrow(pretokenise, f"row long, id {kind}, k int, last boolean, t string, head array<bigint>, tail array<bigint>, bounds array<bigint>")
@@ -152,7 +157,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     far = far.withColumn("end", F.array_min(F.array_intersect("tail", F.lead("head").over(order)))).drop("head", "tail")
     far = far.withColumn("begin", F.coalesce(F.lag("end").over(order), F.lit(0))).withColumn("torn", F.max(F.col("end").isNull() & ~F.col("last")).over(Window.partitionBy("row")))
     far = far.repartition("row", "k").mapInArrow(pieces, f"row long, id {kind}, k int, ids array<int>, raw string")
-    far = far.groupBy("row").applyInArrow(whole, f"id {kind}, ids array<int>")
+    far = far.groupBy("row").applyInArrow(whole, schema)
     return near.unionByName(far).withColumnRenamed("id", id_col)
 
 

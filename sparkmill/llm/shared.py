@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,3 +40,34 @@ def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased, every other character as it is."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     return F.translate(text, upper, upper.lower())
+
+
+#: Rows of a batch of texts that goes to a Python worker.
+TEXT_ROWS = 1_000
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Hand texts to Python workers by the thousand at most, not by ten thousands: whole texts are long."""
+    now = int(spark.conf.get(BATCH_ROWS))
+    if now <= 0 or now > TEXT_ROWS:
+        spark.conf.set(BATCH_ROWS, TEXT_ROWS)
+
+
+def regrouped(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at least so many, the last one excepted; for narrow rows."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+
+    def joined() -> pa.RecordBatch:
+        return pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    for b in batches:
+        if b.num_rows:
+            held.append(b)
+            n += b.num_rows
+        if n >= rows:
+            yield joined()
+            held, n = [], 0
+    if n:
+        yield joined()

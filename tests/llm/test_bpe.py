@@ -28,7 +28,10 @@ def hard_texts():
 def test_encode_equals_tiktoken(spark, truth, chunk, overlap):
     texts = hard_texts()
     rows = [(i, t, 0, 1, "x") for i, t in enumerate(texts)] + [(8, texts[8], 0, 1, "x"), (None, "null id", 0, 1, "x")]
-    out = bpe.decode(bpe.encode(spark.createDataFrame(rows, SCHEMA), RANKS, PATTERN, chunk=chunk, overlap=overlap), RANKS, PATTERN).collect()
+    docs = spark.createDataFrame(rows, SCHEMA)
+    out = bpe.decode(bpe.encode(docs, RANKS, PATTERN, chunk=chunk, overlap=overlap), RANKS, PATTERN).collect()
+    both = bpe.encode(docs, RANKS, PATTERN, chunk=chunk, overlap=overlap, decoded=True).collect()
+    assert sorted(map(str, both)) == sorted(map(str, out))
     assert len(out) == len(rows)
     by_id = dict([*enumerate(texts), (None, "null id")])
     for r in out:
