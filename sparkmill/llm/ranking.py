@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkmill.llm.shared import small_batches
+
 #: The bounded sample that is trained on: at most so many labelled rows, those of least seeded hash, and so many pairs.
 MAX_ROWS, MAX_PAIRS = 20_000, 60_000
 SEED = 5
@@ -82,6 +84,7 @@ class Ranker:
 
     def add_score(self, docs: DataFrame, text_col: str = "text", name: str = "score") -> DataFrame:
         """docs with one more column, the score."""
+        small_batches(docs.sparkSession)
         at = docs.columns.index(text_col)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,7 +140,8 @@ def train_ranker(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     """
     picked = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("key")).agg((F.avg(F.col(label_col).cast("double")) >= 0.5).cast("int").alias("y"))
     picked = picked.orderBy(F.xxhash64(F.lit(SEED), "key"), "key").limit(max_rows)
-    rows = docs.join(F.broadcast(picked), F.col(id_col) == F.col("key")).select("key", F.col(text_col).alias("t"), "y")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
+    rows = texts.join(F.broadcast(picked), F.col("id") == F.col("key")).select("key", "t", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
