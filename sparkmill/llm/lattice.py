@@ -10,7 +10,7 @@ import sentencepiece
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkmill.llm.shared import materialize
+from sparkmill.llm.shared import materialize, regrouped, small_batches
 
 #: Words of which a text corpus can have at most so many: those that make up at least that part of all tokens.
 HEAD = 500_000
@@ -21,6 +21,8 @@ LONGEST = 16
 #: Words longer than this many bytes go through the recursion one at a time.
 BATCHED = 48
 EM_ROUNDS = 1
+#: Words that a worker sorts by length together.
+LATTICE_WORDS = 40_000
 LN10 = float(np.log(10))
 #: Odd multipliers of the polynomial hash that pieces are looked up by (fixed values).
 MULTIPLIER, MIX = 0x100000001B3, 0x9E3779B97F4A7C15
@@ -210,6 +212,7 @@ def score_texts(docs: DataFrame, model_file: str, held_out: Column, id_col: str
     pieces = Pieces(model_file)
     keys, at = pieces.table()
     spark = docs.sparkSession
+    small_batches(spark)
     shared = spark.sparkContext.broadcast((keys, at))  # the vocabulary: bounded
     counts = materialize(count_words(docs, F.col(text_col), ~held_out), "words")
     n, v, every, ends = counts.agg(*[F.coalesce(x, F.lit(0)) for x in (F.sum("c"), F.count_if(F.col("c") > 0), F.sum("a"), F.sum(F.when(F.octet_length("word") == 0, F.col("c"))))]).first()
@@ -219,7 +222,7 @@ def score_texts(docs: DataFrame, model_file: str, held_out: Column, id_col: str
 
         def estimate(batches: Iterator[pa.RecordBatch], log_p: np.ndarray = log_p) -> Iterator[pa.RecordBatch]:
             lattice, total = Lattice(*shared.value, log_p), np.zeros(len(log_p))
-            for b in batches:
+            for b in regrouped(batches, LATTICE_WORDS):
                 words, weight = b.column(0).to_pylist(), b.column(1).to_numpy().astype(np.float64)
                 for part, rows in lattice.batches(words):
                     for k in range(0, len(part), max(1, 200_000 // rows.shape[1])):
@@ -238,7 +241,7 @@ def score_texts(docs: DataFrame, model_file: str, held_out: Column, id_col: str
 
     def model(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(*shared.value, log_p)
-        for b in batches:
+        for b in regrouped(batches, LATTICE_WORDS):
             words, c = b.column(0).to_pylist(), b.column(1).to_numpy()
             lp = lattice.log_prob(words) / LN10
             lp[[i for i, w in enumerate(words) if not w]] = end_p / LN10

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkmill.llm.graph import components, forest
-from sparkmill.llm.shared import materialize
+from sparkmill.llm.shared import materialize, regrouped, small_batches
 
 BITS = 64
 #: Groups of a segment value up to this size compare all their fingerprints; larger ones are cut again by all 64 bits.
@@ -58,6 +58,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             second = [0 if check is None else fingerprint(t, check) for t in texts]
             yield pa.record_batch([b.column(0), *[pa.array(np.array(x, np.uint64).view(np.int64)) for x in (fps, second)]], names=["id", "fp", "second"])
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t"))
     return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, fp long, second long")
 
@@ -159,7 +160,7 @@ def near_links(nodes: DataFrame, distance: int, m: int, second_distance: int = B
     names = ["key", "side", "node", "fp", "second"]
 
     def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in regrouped(batches, 4096):
             for k in range(0, b.num_rows, 4096):
                 node, fp, second = (c.to_numpy()[k : k + 4096] for c in b.columns)
                 key, side, at = probe_rows(fp, m, distance)
@@ -172,12 +173,11 @@ def near_links(nodes: DataFrame, distance: int, m: int, second_distance: int = B
             u, v = Nodes(*rows[2:], distance, second_distance).link_groups(*rows[:2])
             return pa.record_batch({"u": u, "v": v})
 
-        for b in batches:
+        for b in regrouped(batches, 200_000):
             held = [np.concatenate([h, b.column(i).to_numpy()]) for i, h in enumerate(held)]
-            if len(held[0]) >= 200_000:
-                cut = int(np.searchsorted(held[0], held[0][-1]))  # the last group may go on
-                yield out([h[:cut] for h in held])
-                held = [h[cut:] for h in held]
+            cut = int(np.searchsorted(held[0], held[0][-1]))  # the last group may go on
+            yield out([h[:cut] for h in held])
+            held = [h[cut:] for h in held]
         if len(held[0]):
             yield out(held)
 

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkmill.llm.shared import materialize
+from sparkmill.llm.shared import materialize, small_batches
 
 #: Bytes of the gram that anchors are chosen by.
 GRAM = 50
@@ -56,7 +56,6 @@ class Anchors:
         """Anchors of the documents buf[offsets[d] : offsets[d + 1]], ascending."""
         n, w, k, found = len(buf), self.width, self.gram, []
         up, down = _powers(self.tile + 4 * self.min_len)
-        ends = np.repeat(offsets[1:], np.diff(offsets)) if n else offsets[:0]
         for s in range(0, n, self.tile):
             lo, hi = max(0, s - w), min(n, s + self.tile + w + k)
             m = hi - lo
@@ -70,7 +69,7 @@ class Anchors:
             h ^= h >> np.uint64(29)
             least = _sliding(h, w, np.minimum)
             at = np.arange(lo, lo + len(least))
-            least[at + self.min_len > ends[lo : lo + len(least)]] = 0
+            least[at + self.min_len > offsets[np.searchsorted(offsets, at, "right")]] = 0
             pad = np.zeros(w - 1, np.uint64)
             most = _sliding(np.concatenate([pad, least, pad]), w, np.maximum)
             i = np.flatnonzero((h == most) & (most > 0)) + lo
@@ -202,6 +201,7 @@ def repeat_extents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     suffix array of its gram's bucket. A gram of more than `hot` distinct contexts is dealt by salt; its parts report the
     windows that they have not settled, which are then counted by content.
     """
+    small_batches(docs.sparkSession)
     find = Anchors(min_len, gram)
     wide = min_len - gram
     base = _text(docs, id_col, text_col)

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkmill.llm.shared import materialize, scratch
+from sparkmill.llm.shared import materialize, scratch, small_batches
 
 EOL = b"\r\n"
 END = b"\r\n\r\n"
@@ -105,6 +105,7 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     are revisits that refer to it (repeated rows of that id are all responses; null ids come last). A null html is an empty
     payload, a null url an empty one. Only groups of two and more take part in the join, from a table written before it.
     """
+    small_batches(pages.sparkSession)
     rows = pages.select(F.col(id_col).alias("id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), F.coalesce(F.col(html_col).cast("binary"), F.lit("").cast("binary")).alias("payload"))
     rows = rows.withColumn("sha", F.when(F.octet_length("payload") >= min_payload, F.unhex(F.sha1("payload"))))
     groups = rows.where("sha is not null").groupBy("sha").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
