@@ -193,7 +193,7 @@ def _same(left: DataFrame, right: DataFrame) -> Column:
 
 
 def repeat_extents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_len: int = 400, gram: int = GRAM, bucket: int = BUCKET, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
-    """(occurrences, repeats): the anchors (id, x, pos, h, c) of grams that occur again, and (h, c, l, r, g): bytes to the left and right of the anchors with context c that occur again, and the maximal repeat group.
+    """(occurrences, repeats): the anchors (id, x, pos, h, c), with all places of a context in a text, of grams that occur again, and (h, c, l, r, g): bytes to the left and right of the anchors with context c that occur again, and the maximal repeat group.
 
     Every string of min_len bytes holds an anchor: the least hash among its grams, which depends on the string alone. So
     equal strings have anchors of equal gram h, and the context c (what can share a string of min_len with the anchor) says
@@ -224,14 +224,19 @@ def repeat_extents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             grams = [digest(data[x : x + gram]) for x in at.tolist()]
             for s, e, left in zip((at - lefts).tolist(), ends.tolist(), lefts.tolist()):
                 hashes.append(digest(data[s:e], left))
-            signed = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (grams, hashes)]
-            yield pa.record_batch([b.column(0).take(pa.array(d)), b.column(1).take(pa.array(d)), pa.array(pos.astype(np.int32)), *signed], names=["id", "x", "pos", "h", "c"])
-
-    found = materialize(base.mapInArrow(anchors, f"id {kind}, x long, pos int, h long, c long"), "anchors")
-    again = found.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("n > 1")
+            h, c = (np.array(x, np.uint64).view(np.int64) for x in (grams, hashes))
+            order = np.lexsort((pos, c, h, d))  # a text that goes round and round has the same context at many places: one row
+            d, h, c = d[order], h[order], c[order]
+            first = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (h[1:] != h[:-1]) | (c[1:] != c[:-1])])) if len(d) else d
+            places = pa.ListArray.from_arrays(pa.array(np.append(first, len(d)).astype(np.int32)), pa.array(pos[order].astype(np.int32)))
+            own = pa.array(d[first])
+            yield pa.record_batch([b.column(0).take(own), b.column(1).take(own), places, pa.array(h[first]), pa.array(c[first])], names=["id", "x", "pos", "h", "c"])
+
+    found = materialize(base.mapInArrow(anchors, f"id {kind}, x long, pos array<int>, h long, c long"), "anchors")
+    again = found.groupBy("h").agg(F.sum(F.size("pos")).alias("n"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("n > 1")
     again = materialize(again.select("h", (F.col("c0") != F.col("c1")).alias("varied")), "grams")
     found = materialize(found.join(again, "h"), "repeated")
-    contexts = found.groupBy("h", "c", "varied").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "x", "pos")).alias("one"))
+    contexts = found.groupBy("h", "c", "varied").agg(F.sum(F.size("pos")).alias("n"), F.min(F.struct("id", "x", F.get("pos", F.lit(0)).alias("pos"))).alias("one"))
     contexts = materialize(contexts.select("h", "c", "varied", "n", F.col("one.id").alias("rid"), F.col("one.x").alias("rx"), F.col("one.pos").alias("pos")), "contexts")
 
     varied = contexts.where("varied")
@@ -300,8 +305,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     the input stands. as_text: kept is text, without characters of which only a part remains. Null texts are empty; repeated rows are documents of their own and remove each other.
     """
     found, extents = repeat_extents(docs, id_col, text_col, min_len, **options)
-    spans = found.join(extents, ["h", "c"]).select(F.col("id").alias("rid"), F.col("x").alias("rx"), (F.col("pos") - F.col("l")).alias("s"), (F.col("pos") + F.col("r")).alias("e"))
-    spans = spans.groupBy("rid", "rx").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
+    own = F.transform("pos", lambda p: F.struct((p - F.col("l")).alias("s"), (p + F.col("r")).alias("e")))
+    spans = found.join(extents, ["h", "c"]).select(F.col("id").alias("rid"), F.col("x").alias("rx"), own.alias("own"))
+    spans = spans.groupBy("rid", "rx").agg(F.flatten(F.collect_list("own")).alias("spans"))
     text = F.coalesce(F.col(text_col).cast("binary"), F.lit("").cast("binary"))
     base = docs.select(F.col(id_col).alias("id"), text.alias("t"), F.struct(F.lit(0), *carry).alias("rest")).select("id", F.xxhash64("t").alias("x"), "t", "rest")
     kind, rest = (dict(base.dtypes)[c] for c in ("id", "rest"))
