@@ -70,7 +70,8 @@ def kernel() -> np.ndarray:
     """256 x 103: an orthonormal basis of what is left of 4-mer frequencies beyond their constraints.
 
     Constraints: they sum to one; a 4-mer and its reverse complement are equal; a 3-mer is as often a prefix as a suffix.
-    The basis is not unique: rows come from the singular vectors, each with its first non-zero component positive.
+    The space is unique but its basis is not: unit vectors are projected to it in order, each made orthogonal to those
+    before, so that every process comes to the same columns.
     """
     at = {k: i for i, k in enumerate(FOUR_MERS)}
     turn = str.maketrans("ACGT", "TGCA")
@@ -85,10 +86,16 @@ def kernel() -> np.ndarray:
             row[at[three + c]] += 1
             row[at[c + three]] -= 1
         rows.append(row)
-    _, s, vt = np.linalg.svd(np.array(rows))
-    basis = vt[int((s > 1e-10).sum()) :]
-    first = basis[np.arange(len(basis)), (np.abs(basis) > 1e-9).argmax(axis=1)]
-    return (basis * np.sign(first)[:, None]).T
+    a = np.array(rows)
+    space = np.eye(256) - np.linalg.pinv(a, rcond=1e-10) @ a
+    basis = np.zeros((256, 0))
+    for i in range(256):
+        v = space[:, i]
+        for _ in range(3):
+            v = v - basis @ (basis.T @ v)
+        if np.linalg.norm(v) > 1e-6:
+            basis = np.column_stack([basis, v / np.linalg.norm(v)])
+    return basis
 
 
 def project(counts: np.ndarray) -> np.ndarray:
