@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,22 +26,46 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def components(edges: DataFrame, nodes: DataFrame | None = None, a: str = "a", b: str = "b", limit: int = 60) -> DataFrame:
+#: A graph of at most so many edges is finished by one executor task.
+ONE_TASK_EDGES = 200_000
+
+
+def _union(rows: pd.DataFrame) -> pd.DataFrame:
+    """Stars (x, y) that join what the edges join, y being the smallest node."""
+    above: dict = {}
+
+    def top(v):
+        while above.setdefault(v, v) != v:
+            above[v] = above[above[v]]
+            v = above[v]
+        return v
+
+    for x, y in zip(rows["x"], rows["y"]):
+        x, y = top(x), top(y)
+        above[max(x, y)] = min(x, y)
+    nodes = [v for v in above if top(v) != v]
+    return pd.DataFrame({"x": nodes, "y": [top(v) for v in nodes]}, dtype=rows["x"].dtype)
+
+
+def components(edges: DataFrame, nodes: DataFrame | None = None, a: str = "a", b: str = "b", one_task_edges: int = ONE_TASK_EDGES) -> DataFrame:
     """(node, component): the smallest node that can be reached. nodes (column node): those to list besides the edges' ends.
 
-    Labels fall to the least among the neighbours', then to their label's label, until none changes; the chain of labels
-    halves the distance with every round. Rounds are written to the shared folder.
+    Rounds of large and small stars: every node hands its larger neighbours, then its smaller ones, to the smallest node
+    that it knows, until the edges are stars. Edges are written after each round; few are finished by one task.
     """
-    e = stored(edges.where(F.col(a) != F.col(b)).select(F.col(a).alias("x"), F.col(b).alias("y")).unionByName(edges.where(F.col(a) != F.col(b)).select(F.col(b).alias("x"), F.col(a).alias("y"))).distinct())
-    ends = e.select(F.col("x").alias("node")).distinct()
-    label = stored((ends if nodes is None else ends.unionByName(nodes.select("node")).distinct()).withColumn("component", F.col("node")))
-    for _ in range(limit):
-        near = e.join(label.select(F.col("node").alias("y"), "component"), "y").groupBy(F.col("x").alias("node")).agg(F.min("component").alias("m"))
-        step = stored(label.join(near, "node", "left").select("node", "component", F.least("component", "m").alias("m")))
-        up = step.select(F.col("node").alias("m"), F.col("m").alias("mm"))
-        new = stored(step.join(up, "m").select("node", "component", F.least("m", "mm").alias("new")))
-        changed = new.where("new <> component").limit(1).count()
-        label = new.select("node", F.col("new").alias("component"))
-        if not changed:
-            return label
-    raise RuntimeError(f"no fixed point after {limit} rounds")
+    every = edges.select(F.col(a).alias("node")).unionByName(edges.select(F.col(b).alias("node")))
+    every = (every if nodes is None else every.unionByName(nodes.select("node"))).distinct()
+    e = stored(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("x"), F.least(a, b).alias("y")).distinct())
+    kind = dict(e.dtypes)["x"]
+    count = lambda: e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("x", "y"))).first()
+    was, now = None, count()
+    while now[0] > one_task_edges and now != was:
+        both = e.unionByName(e.select(F.col("y").alias("x"), F.col("x").alias("y")))
+        low = stored(both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m")))
+        large = stored(both.join(low, "x").where("y > x").select(F.col("y").alias("x"), F.col("m").alias("y")).distinct())
+        low = stored(large.groupBy("x").agg(F.min("y").alias("m")))
+        e = stored(large.join(low, "x").where("y <> m").select(F.col("y").alias("x"), F.col("m").alias("y")).unionByName(low.select("x", F.col("m").alias("y"))).distinct())
+        was, now = now, count()
+    if now != was:
+        e = stored(e.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(lambda rows: _union(rows), f"x {kind}, y {kind}"))
+    return every.join(e, F.col("node") == F.col("x"), "left").select("node", F.coalesce("y", "node").alias("component"))

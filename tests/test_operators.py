@@ -208,11 +208,16 @@ def test_overlap_and_dereplication(spark):
     assert len(rows(left, "a", "b")) == 2
 
 
-def test_components(spark):
+@pytest.mark.parametrize("bound", [0, 1000])
+def test_components(spark, bound):
+    rng = np.random.default_rng(8)
+    order = rng.permutation(200) + 1000
+    path = spark.createDataFrame([(int(x), int(y)) for x, y in zip(order, order[1:])], "a long, b long")
+    assert {r.component for r in graph.components(path, one_task_edges=bound).collect()} == {1000}
     edges = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(50, 51), (51, 50), (60, 60)], "a long, b long")
     nodes = spark.createDataFrame([(99,), (3,)], "node long")
-    got = dict(rows(graph.components(edges, nodes), "node", "component"))
-    assert got == {**{i: 0 for i in range(31)}, 50: 50, 51: 50, 99: 99}
+    got = dict(rows(graph.components(edges, nodes, one_task_edges=bound), "node", "component"))
+    assert got == {**{i: 0 for i in range(31)}, 50: 50, 51: 50, 60: 60, 99: 99}
 
 
 def test_taxonomy(spark):
