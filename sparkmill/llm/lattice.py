@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -177,22 +178,23 @@ def count_words(docs: DataFrame, text: Column, train: Column) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[bytes, list[int]] = {}
+        train_words, other_words = Counter(), Counter()
 
         def out() -> pa.RecordBatch:
-            rows = pa.record_batch([pa.array([*seen], pa.binary()), pa.array([v[0] for v in seen.values()], pa.int64()), pa.array([v[1] for v in seen.values()], pa.int64())], names=["word", "c", "a"])
-            seen.clear()
+            n, m = len(train_words), len(other_words)
+            c = np.concatenate([np.fromiter(train_words.values(), np.int64, n), np.zeros(m, np.int64)])
+            a = np.concatenate([c[:n], np.fromiter(other_words.values(), np.int64, m)])
+            rows = pa.record_batch([pa.array([*train_words, *other_words], pa.binary()), pa.array(c), pa.array(a)], names=["word", "c", "a"])
+            train_words.clear()
+            other_words.clear()
             return rows
 
         for b in batches:
             for t, k in zip(b.column(0), b.column(1).to_pylist()):
-                for w in [*words_of(t.as_py()), b""]:
-                    v = seen.get(w)
-                    if v is None:
-                        v = seen[w] = [0, 0]
-                    v[0] += k
-                    v[1] += 1
-                if len(seen) >= COUNTED:
+                own = train_words if k else other_words
+                own.update(words_of(t.as_py()))
+                own[b""] += 1
+                if len(train_words) + len(other_words) >= COUNTED:
                     yield out()
         yield out()
 
@@ -261,21 +263,20 @@ def score_texts(docs: DataFrame, model_file: str, held_out: Column, id_col: str
         for b in batches:
             for k in range(0, b.num_rows, 500):
                 part = b.slice(k, 500)
-                row, word, count, owner, docs_at = [], [], [], [], []
+                row, word, count, owner = [], [], [], []
                 sums = [[], [], [], []]
                 for d, (r, t) in enumerate(zip(part.column(0).to_pylist(), part.column(3))):
-                    own, other = words_of(t.as_py()), {}
+                    own, other = Counter(words_of(t.as_py())), {}
                     known, base, lp = known_words[b""]
-                    for w in own:
+                    for w, times in own.items():
                         x = known_words.get(w)
                         if x is None:
-                            other[w] = other.get(w, 0) + 1
+                            other[w] = times
                         else:
-                            known += x[0]
-                            base += x[1]
-                            lp += x[2]
-                    docs_at.append(len(row))
-                    for s, x in zip(sums, (len(own) + 1, known, base, lp)):
+                            known += times * x[0]
+                            base += times * x[1]
+                            lp += times * x[2]
+                    for s, x in zip(sums, (own.total() + 1, known, base, lp)):
                         s.append(x)
                     row += [r] * (len(other) + 1)
                     owner += [d] + [None] * len(other)
