@@ -153,3 +153,44 @@ def cluster_samples(members: DataFrame, sep: str) -> DataFrame:
 def ripped_pair(name):
     """(first, second) of a name a--b."""
     return sample_of(name, "--"), rest_of(name, "--")
+
+
+def without(members: DataFrame, removed: DataFrame) -> DataFrame:
+    """members (bin, contig_idx) without the given rows."""
+    return members.join(removed.select("bin", "contig_idx"), ["bin", "contig_idx"], "left_anti")
+
+
+def changed_alone(before: DataFrame, after: DataFrame, lengths: DataFrame) -> DataFrame:
+    """(bin): bins that lost contigs and overlap with no other bin any more: those whose score must be found anew."""
+    lost = without(before, after).select("bin").distinct()
+    still = overlaps(after, lengths).select(F.explode(F.array("a", "b")).alias("bin")).distinct()
+    return lost.join(after.select("bin").distinct(), "bin", "left_semi").join(still, "bin", "left_anti")
+
+
+def pair_scores(ripped_quality: DataFrame) -> DataFrame:
+    """(a, b, score_ab, score_ba) of ripped bins a--b and b--a, a < b."""
+    first, second = ripped_pair(F.col("bin"))
+    rows = ripped_quality.select(first.alias("x"), second.alias("y"), score().alias("s"))
+    rows = rows.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), (F.col("x") < F.col("y")).alias("own"), "s")
+    return rows.groupBy("a", "b").agg(F.max(F.when(F.col("own"), F.col("s"))).alias("score_ab"), F.max(F.when(~F.col("own"), F.col("s"))).alias("score_ba"))
+
+
+def final_bins(members: DataFrame, pairs: DataFrame, original: DataFrame, after: DataFrame, least_completeness: float = 0.9, most_contamination: float = 0.05) -> DataFrame:
+    """(bin, contig_idx): of every ripped pair (a, b) the keeper stays whole and the other loses what they share; only near-complete bins stay.
+
+    original and after: quality in percent of whole bins and of ripped ones (a--b, b--a).
+    """
+    k = keepers(original, after, pairs)
+    loser = F.when(F.col("keeper") == F.col("a"), F.col("b")).otherwise(F.col("a"))
+    cut = k.select(loser.alias("bin"), "keeper", F.concat_ws("--", loser.cast("string"), F.col("keeper").cast("string")).alias("ripped"))
+    shared = cut.join(members, "bin").join(members.select(F.col("bin").alias("keeper"), "contig_idx"), ["keeper", "contig_idx"]).select("bin", "contig_idx")
+    new = cut.join(after.withColumnRenamed("bin", "ripped"), "ripped").select("bin", "completeness", "contamination")
+    good = refreshed_scores(original, new).where((F.col("completeness") / 100 >= least_completeness) & (F.col("contamination") / 100 <= most_contamination))
+    return without(members, shared).join(good.select("bin"), "bin", "left_semi")
+
+
+def quality_report(members: DataFrame, quality: DataFrame, sep: str) -> DataFrame:
+    """(bin, sample, completeness, contamination, n_contigs) of scored bins of named contigs (bin, name)."""
+    n = members.groupBy("bin").agg(F.count(F.lit(1)).alias("n_contigs"))
+    samples = cluster_samples(members.withColumnRenamed("bin", "cluster"), sep).withColumnRenamed("cluster", "bin")
+    return quality.join(samples, "bin").join(n, "bin").select("bin", "sample", "completeness", "contamination", "n_contigs")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkmill.operators.graph import stored
+
 ROOT = "root"
 CANONICAL_RANKS = 7
 
@@ -52,6 +54,7 @@ def tree(edge_table: DataFrame, max_depth: int = 64) -> DataFrame:
 
     Levels are joined from the root down, one equi-join for each level that exists.
     """
+    edge_table = stored(edge_table)
     level = edge_table.sparkSession.createDataFrame([(ROOT, 0, [ROOT])], "name string, depth int, path array<string>")
     found = level
     for depth in range(1, max_depth + 1):
@@ -154,3 +157,57 @@ def accuracy(truth: DataFrame, predicted: DataFrame) -> DataFrame:
     rows = a.join(b, ["contig_idx", "level"], "left")
     out = rows.groupBy("level").agg(F.count_if(F.col("t") == F.col("p")).alias("correct"), F.count(F.lit(1)).alias("have_truth"))
     return out.select("level", "correct", "have_truth", F.lit(n).cast("long").alias("n_contigs"), (F.col("correct") / F.lit(n)).alias("accuracy"))
+
+
+def levels(tree_table: DataFrame) -> DataFrame:
+    """(depth, n, names): the nodes of each level in order of their names. A row a level."""
+    return tree_table.groupBy("depth").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list("name")).alias("names"))
+
+
+def siblings(tree_table: DataFrame) -> DataFrame:
+    """(name, sibling): other children of a node's parent."""
+    a = tree_table.where("parent is not null").select("name", "parent")
+    return a.join(a.select(F.col("name").alias("sibling"), "parent"), "parent").where("name <> sibling").select("name", "sibling")
+
+
+def accumulated(values: DataFrame, tree_table: DataFrame, downwards: bool = False) -> DataFrame:
+    """(name, total): values (name, value) summed over a node and all below it, or over a node and all above it."""
+    pairs = ancestors(tree_table)
+    if downwards:
+        rows = pairs.join(values.withColumnRenamed("name", "ancestor"), "ancestor").groupBy("name")
+    else:
+        rows = pairs.join(values, "name").groupBy(F.col("ancestor").alias("name"))
+    return rows.agg(F.sum("value").alias("total"))
+
+
+def rooted_subtree(tree_table: DataFrame, names: DataFrame) -> DataFrame:
+    """The nodes of the smallest subtree with the root that holds all the names."""
+    needed = ancestors(tree_table).join(names.select("name").distinct(), "name", "left_semi").select(F.col("ancestor").alias("name")).distinct()
+    return tree_table.join(needed, "name", "left_semi")
+
+
+def projection(tree_table: DataFrame, names: DataFrame) -> DataFrame:
+    """(name, onto): every node's lowest ancestor, or itself, among the names; null if there is none."""
+    near = ancestors(tree_table).join(names.select(F.col("name").alias("ancestor")).distinct(), "ancestor").groupBy("name").agg(F.min(F.struct("distance", "ancestor")).alias("x"))
+    return tree_table.select("name").join(near, "name", "left").select("name", F.col("x.ancestor").alias("onto"))
+
+
+def tree_from_pairs(pairs: DataFrame) -> DataFrame:
+    """Edges (child, parent, depth) of pairs (parent, child); a child of two parents, or one that no root leads to, is an error."""
+    twice = pairs.groupBy("child").agg(F.count_distinct("parent").alias("n")).where("n > 1").limit(1).collect()
+    if twice:
+        raise ValueError(f"{twice[0]['child']} has multiple parents")
+    level = pairs.join(pairs.select(F.col("child").alias("parent")).distinct(), "parent", "left_anti").select("child", "parent", F.lit(1).alias("depth"))
+    found, depth = level, 1
+    while level.limit(1).count():
+        depth += 1
+        level = pairs.join(level.select(F.col("child").alias("parent")), "parent").select("child", "parent", F.lit(depth).alias("depth"))
+        found = found.unionByName(level)
+        if depth > 64:
+            raise ValueError("the pairs go round, or are deeper than 64 levels")
+    return found
+
+
+def format_tree(tree_table: DataFrame) -> str:
+    """Indented names; for small trees, as it goes through the driver."""
+    return "\n".join("  " * r["depth"] + r["name"] for r in tree_table.orderBy("path").collect())

@@ -328,7 +328,7 @@ def _rolled(spark, d):
     sums = leaves.groupBy("contig_idx").agg(F.sum("w").alias("t"))
     probs = leaves.join(sums, "contig_idx").select("contig_idx", "name", (F.col("w") / F.col("t")).alias("prob"))
     ranks = n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).select(F.array("r_name", "n_name").alias("ranks"))
-    return tax.rolled_up(probs, tax.tree(tax.edges(ranks)))
+    return tax.rolled_up(probs, graph.stored(tax.tree(tax.edges(ranks))))
 
 
 @query("WITH " + _LEAVES + " SELECT contig_idx, name, depth, round(prob + 1e-9, 6) AS prob FROM up")
@@ -336,9 +336,9 @@ def tax_rollup(spark, d):
     return _rolled(spark, d).select("contig_idx", "name", "depth", F.round(F.col("prob") + 1e-9, 6).alias("prob"))
 
 
-@query("WITH " + _LEAVES + " SELECT contig_idx, coalesce(string_agg(name, ';' ORDER BY depth, name) FILTER (prob > 0.2 AND depth > 0), '') AS ranks FROM up GROUP BY 1")
+@query("WITH " + _LEAVES + " SELECT contig_idx, coalesce(string_agg(name, ';' ORDER BY depth, name) FILTER (round(prob, 9) > 0.2 AND depth > 0), '') AS ranks FROM up GROUP BY 1")
 def tax_predictions(spark, d):
-    return tax.predictions(_rolled(spark, d), 0.2).select("contig_idx", F.array_join("ranks", ";").alias("ranks"))
+    return tax.predictions(_rolled(spark, d).withColumn("prob", F.round("prob", 9)), 0.2).select("contig_idx", F.array_join("ranks", ";").alias("ranks"))
 
 
 @query("WITH " + _LEAVES + " SELECT contig_idx, name, depth, round(prob, 6) AS prob FROM (SELECT *, max(depth) OVER (PARTITION BY contig_idx ORDER BY prob DESC, depth DESC, name ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM (SELECT contig_idx, name, depth, round(prob, 9) AS prob FROM up)) WHERE best IS NULL OR depth > best")
@@ -362,6 +362,61 @@ def genus_groups(spark, d):
     return s.taxonomy(spark, d).groupBy(F.try_element_at("ranks", F.lit(2)).alias("genus")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def _tree(spark, d):
+    return graph.stored(tax.tree(tax.edges(s.taxonomy(spark, d))))
+
+
+@query(sql("tree", "SELECT depth, count(*) AS n, array_to_string(list_sort(list(name)), ';') AS names FROM tree GROUP BY 1"))
+def tax_levels(spark, d):
+    return tax.levels(_tree(spark, d)).select("depth", "n", F.array_join("names", ";").alias("names"))
+
+
+@query(sql("tree", "SELECT a.name, b.name AS sibling FROM tree a JOIN tree b ON a.parent = b.parent AND a.name <> b.name"))
+def tax_siblings(spark, d):
+    return tax.siblings(_tree(spark, d))
+
+
+@query(_after("tree", "v AS (SELECT CASE WHEN len(ranks) > 0 THEN ranks[-1] ELSE 'root' END AS name, count(*) AS value FROM taxonomy GROUP BY 1), a AS (SELECT name, unnest(path) AS up FROM tree) SELECT up AS name, sum(value)::BIGINT AS total FROM a JOIN v USING (name) GROUP BY 1"))
+def tax_accumulate(spark, d):
+    t = s.taxonomy(spark, d)
+    values = tax.targets(t).groupBy(F.col("target").alias("name")).agg(F.count(F.lit(1)).alias("value"))
+    return tax.accumulated(values, tax.tree(tax.edges(t)))
+
+
+@query(_after("tree", "c AS (SELECT parent AS name, count(*) AS k FROM tree WHERE parent IS NOT NULL GROUP BY 1), l AS (SELECT unnest(path) AS name FROM tree WHERE name NOT IN (SELECT name FROM c)), n AS (SELECT name, count(*) AS leaves FROM l GROUP BY 1), w AS (SELECT t.name, sum(-ln(c.k)) AS x FROM (SELECT name, unnest(path) AS at_ FROM tree) t JOIN c ON c.name = t.at_ WHERE t.name <> t.at_ GROUP BY 1) SELECT n.name, round(leaves / (SELECT leaves FROM n WHERE name = 'root'), 6) AS uniform_leaf, round(exp(coalesce(x, 0)), 6) AS uniform_cond FROM n LEFT JOIN w ON w.name = n.name"))
+def tax_uniform(spark, d):
+    tree = _tree(spark, d)
+    return tax.leaf_probability(tax.tree_statistics(tree), tree).select("name", r6("uniform_leaf"), r6("uniform_cond"))
+
+
+@query(_after("tree", "k AS (SELECT n_name AS name FROM nation WHERE n_nationkey % 2 = 0 UNION SELECT 'ASIA') SELECT t.name, arg_max(k.name, i) AS onto FROM (SELECT name, unnest(path) AS up, unnest(range(len(path))) AS i FROM tree) t LEFT JOIN k ON k.name = t.up GROUP BY 1").replace("arg_max(k.name, i)", "arg_max(k.name, i) FILTER (k.name IS NOT NULL)"))
+def tax_projection(spark, d):
+    names = s.table(spark, d, "nation").where("n_nationkey % 2 = 0").select(F.col("n_name").alias("name"))
+    return tax.projection(_tree(spark, d), names.unionByName(names.sparkSession.createDataFrame([("ASIA",)], "name string")))
+
+
+@query(_after("tree", "k AS (SELECT n_name AS name FROM nation WHERE n_nationkey % 2 = 0) SELECT DISTINCT up AS name FROM (SELECT name, unnest(path) AS up FROM tree) JOIN k USING (name)"))
+def tax_subtree(spark, d):
+    names = s.table(spark, d, "nation").where("n_nationkey % 2 = 0").select(F.col("n_name").alias("name"))
+    return tax.rooted_subtree(_tree(spark, d), names).select("name")
+
+
+@query("SELECT n_name AS child, r_name AS parent, 1 AS depth FROM nation JOIN region ON r_regionkey = n_regionkey UNION ALL SELECT DISTINCT n_name || '/' || c_mktsegment, n_name, 2 FROM customer JOIN nation ON n_nationkey = c_nationkey")
+def tax_from_pairs(spark, d):
+    c, n, r = (s.table(spark, d, t) for t in ("customer", "nation", "region"))
+    up = n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("r_name").alias("parent"), F.col("n_name").alias("child"))
+    down = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("parent"), F.concat("n_name", F.lit("/"), "c_mktsegment").alias("child")).distinct()
+    return tax.tree_from_pairs(up.unionByName(down))
+
+
+@query("WITH " + _LEAVES + ", s2 AS (SELECT contig_idx, depth, name, prob, row_number() OVER (PARTITION BY contig_idx, depth, g ORDER BY prob DESC, name) AS r FROM (SELECT up.contig_idx, depth, up.name, round(prob, 9) AS prob, CASE WHEN depth = 2 THEN n_regionkey END AS g FROM up LEFT JOIN nation ON n_name = up.name AND depth = 2 WHERE depth > 0)) SELECT contig_idx, round(coalesce(max(prob) FILTER (r = 2), 0), 6) AS threshold FROM s2 GROUP BY 1")
+def plurality_threshold(spark, d):
+    n, r = s.table(spark, d, "nation"), s.table(spark, d, "region")
+    ranks = n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).select(F.array("r_name", "n_name").alias("ranks"))
+    probs = _rolled(spark, d).withColumn("prob", F.round("prob", 9))
+    return tax.plurality_threshold(probs, tax.tree(tax.edges(ranks))).select("contig_idx", (F.round("threshold", 6) + 0.0).alias("threshold"))
+
+
 # --- markers
 
 
@@ -491,3 +546,57 @@ def benchmark_summary(spark, d):
     o = s.table(spark, d, "orders")
     by = o.groupBy("o_orderpriority", "o_orderstatus").agg(F.min("o_totalprice").alias("least_s"), F.avg("o_custkey").alias("nc"))
     return by.groupBy(F.col("o_orderpriority").alias("version")).agg(F.round(F.sum("least_s") / 3600, 6).alias("hours"), F.round(F.sum("nc"), 6).alias("nc"))
+
+
+@query(_after("overlap", "lost AS (SELECT DISTINCT bin FROM binnings WHERE contig_idx % 3 = 0), kept AS (SELECT * FROM binnings WHERE contig_idx % 3 <> 0 AND (starts_with(bin, 'A') OR contig_idx % 3 = 1)), o AS (SELECT x.bin FROM kept x JOIN kept y ON x.contig_idx = y.contig_idx AND x.bin <> y.bin) SELECT DISTINCT bin FROM kept WHERE (bin IN (SELECT bin FROM lost) OR bin IN (SELECT bin FROM binnings WHERE contig_idx % 3 = 2 AND NOT starts_with(bin, 'A'))) AND bin NOT IN (SELECT bin FROM o)"))
+def changed_alone(spark, d):
+    m = s.binnings(spark, d)
+    after = m.where((F.col("contig_idx") % 3 != 0) & (F.startswith("bin", F.lit("A")) | (F.col("contig_idx") % 3 == 1)))
+    return bins.changed_alone(m, after, s.lengths(spark, d).select("contig_idx", "length"))
+
+
+@query()
+def medoid_clusters(spark, d):
+    from sparkmill.operators.clustering import medoid_clusters as run
+
+    return run(s.latent(spark, d)).select("cluster", "contig_idx", "medoid", "kind", "radius")
+
+
+@query()
+def recluster_kmeans(spark, d):
+    from sparkmill.operators.recluster import recluster_kmeans as run
+
+    m, k, _, _ = _few(spark, d)
+    o = s.table(spark, d, "orders")
+    latent = o.select(F.col("o_orderkey").alias("contig_idx"), F.array(F.col("o_totalprice") / 1e5, (F.col("o_custkey") % 7).cast("double")).alias("v"), (F.col("o_orderkey") % 500 + 250).cast("int").alias("length"))
+    return run(m, latent, k, 5)
+
+
+@query()
+def vae_encode(spark, d):
+    """A small autoencoder, trained for a few epochs, then applied by Arrow batches."""
+    from sparkmill.models.vae import VAE, Inputs, encode_frame
+
+    rows = graph.stored(model_features(spark, d))
+    x = Inputs.of(rows)
+    vae = VAE(N_SAMPLES, 16, [64], 8, seed=1)
+    vae.train(x, epochs=5, batch=64, double_at=(), lr=1e-3)
+    return encode_frame(vae, rows)
+
+
+@query()
+def tax_predict(spark, d):
+    """A small classifier of the latent's label, applied to all contigs."""
+    from sparkmill.models.hierarchy import Tree
+    from sparkmill.models.taxonomy import LabelPredictor
+    from sparkmill.models.vae import Inputs
+
+    rows = graph.stored(model_features(spark, d))
+    x = Inputs.of(rows)
+    tree = Tree([-1, 0, 0, 1, 1, 2, 2])
+    labels = 3 + x.ids % 4
+    model = LabelPredictor(N_SAMPLES, tree, 16, [64], seed=1)
+    model.train(x, labels, epochs=5, batch=64)
+    probs, best, _ = model.predict_with_truth(x, labels)
+    out = [(int(i), int(b), float(p[b])) for i, b, p in zip(x.ids, best, probs)]
+    return spark.createDataFrame(out, "contig_idx long, node int, prob double")

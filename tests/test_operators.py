@@ -248,3 +248,24 @@ def test_split_needs_a_sample(spark):
     assert rows(bins.split_by_sample(df, "-"), "bin") == [("s1-1",), ("s12-2",), ("s8-1",)]
     with pytest.raises(Exception, match="no sample"):
         bins.split_by_sample(df, "x").collect()
+
+
+def test_final_bins(spark):
+    members = spark.createDataFrame([("a", 1), ("a", 2), ("b", 2), ("b", 3), ("c", 4)], "bin string, contig_idx long")
+    pairs = spark.createDataFrame([("a", "b")], "a string, b string")
+    q = "bin string, completeness double, contamination double"
+    original = spark.createDataFrame([("a", 99.0, 0.0), ("b", 99.0, 0.0), ("c", 50.0, 0.0)], q)
+    after = spark.createDataFrame([("a--b", 95.0, 0.0), ("b--a", 92.0, 0.0)], q)
+    assert rows(bins.final_bins(members, pairs, original, after), "bin", "contig_idx") == [("a", 1), ("b", 2), ("b", 3)]
+    assert rows(bins.pair_scores(after), "a", "b", "score_ab", "score_ba") == [("a", "b", 95.0, 92.0)]
+    named = members.withColumn("name", F.concat(F.lit("S1C"), F.col("contig_idx").cast("string")))
+    assert rows(bins.quality_report(named, original, "C"), "bin", "sample", "n_contigs") == [("a", "S1", 2), ("b", "S1", 2), ("c", "S1", 1)]
+
+
+def test_tree_from_pairs(spark):
+    good = spark.createDataFrame([("r", "a"), ("a", "b"), ("r", "c")], "parent string, child string")
+    assert rows(taxonomy.tree_from_pairs(good), "child", "depth") == [("a", 1), ("b", 2), ("c", 1)]
+    with pytest.raises(ValueError, match="multiple parents"):
+        taxonomy.tree_from_pairs(good.union(spark.createDataFrame([("c", "b")], "parent string, child string")))
+    t = taxonomy.tree(taxonomy.edges(spark.createDataFrame([(["b", "x"],)], "ranks array<string>")))
+    assert taxonomy.format_tree(t) == "root\n  b\n    x"

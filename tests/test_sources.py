@@ -153,3 +153,24 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert rows(spark.table("totals"), "file", "total", "n_contigs") == [("0.tsv", 1.0, 2), ("1.tsv", 2.0, 2), ("2.tsv", 3.0, 2)]
+
+
+def test_archives(spark, tmp_path):
+    from sparkmill.sources import arrays
+
+    latent = spark.createDataFrame([(1, [3.0, 4.0]), (0, [1.0, 2.0])], "contig_idx long, v array<float>")
+    arrays.save_latent(latent, str(tmp_path / "l.npz"))
+    assert rows(arrays.load_latent(spark, str(tmp_path / "l.npz")), "contig_idx", "v") == [(0, [1.0, 2.0]), (1, [3.0, 4.0])]
+    contigs = spark.createDataFrame([(0, "a", 300), (1, "b", 400)], "contig_idx long, name string, length int")
+    arrays.save_composition(contigs, latent.withColumnRenamed("v", "tnf"), str(tmp_path / "c.npz"), 250)
+    c, t = arrays.load_composition(spark, str(tmp_path / "c.npz"))
+    assert rows(c, "name", "length") == [("a", 300), ("b", 400)] and rows(t, "tnf") == [([1.0, 2.0],), ([3.0, 4.0],)]
+    depths = spark.createDataFrame([(0, 0, 1.0), (0, 1, 2.0), (1, 0, 3.0), (1, 1, 4.0)], "contig_idx long, sample int, depth double")
+    arrays.save_abundance(depths, ["x", "y"], str(tmp_path / "a.npz"), "ff")
+    d, samples = arrays.load_abundance(spark, str(tmp_path / "a.npz"), "ff")
+    assert samples == ["x", "y"] and rows(d, "contig_idx", "sample", "depth") == rows(depths, "contig_idx", "sample", "depth")
+    with pytest.raises(ValueError):
+        arrays.load_abundance(spark, str(tmp_path / "a.npz"), "00")
+    arrays.save_composition(contigs, latent.withColumnRenamed("v", "tnf"), str(tmp_path / "d.npz"), 350)
+    with pytest.raises(ValueError):
+        arrays.load_composition(spark, str(tmp_path / "d.npz"))
