@@ -28,7 +28,7 @@ def prose(rng, n, words):
 def corpus(spark, tmp_path_factory):
     rng = random.Random(11)
     words = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 8))) for _ in range(3000)]
-    passage = prose(rng, 90, words)
+    passage = prose(rng, 55, words)
     docs, labels, junk, copies = [], [], set(), {}
     for i in range(400):
         t = prose(rng, rng.randint(60, 300), words)
@@ -73,7 +73,7 @@ def test_stages(spark, corpus):
     assert set(rows[2]) == {i for i in junk_free if i not in copies}
     # repeated strings: against counting every window of the stage's own input
     ids = sorted(rows[2])
-    for i, (runs, kept) in zip(ids, plain([rows[2][i].text for i in ids], 400)):
+    for i, (runs, kept) in zip(ids, plain([rows[2][i].text for i in ids], corpus_pipeline.PASSAGE_BYTES)):
         want = kept.decode("utf-8", "ignore") if runs else rows[2][i].text
         if re.search("[^\x20\x09-\x0d]", want):
             assert rows[3][i].text == want and rows[3][i].n_chars == len(want)
