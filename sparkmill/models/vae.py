@@ -42,8 +42,9 @@ class Inputs:
             raise ValueError(f"more than {limit} rows to train on")
         if len(t) < 2:
             raise ValueError("at least two contigs are needed")
-        wide = lambda c: np.array(t[c].to_pylist(), np.float32)
-        return Inputs(wide("depths"), wide("tnf"), wide("total_ab")[:, None], wide("weight")[:, None], t["contig_idx"].to_numpy())
+        wide = lambda c: t[c].combine_chunks().flatten().to_numpy().astype(np.float32).reshape(len(t), -1)
+        one = lambda c: t[c].to_numpy().astype(np.float32)[:, None]
+        return Inputs(wide("depths"), wide("tnf"), one("total_ab"), one("weight"), t["contig_idx"].to_numpy())
 
 
 def check(n_samples: int, n_latent: int, n_hidden: list[int], alpha: float, beta: float, dropout: float) -> None:
