@@ -259,7 +259,7 @@ def near_embeddings(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     roots = components(found.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v")))
     named = classes.join(counts, F.col("cid") == F.col("node"), "left").drop("node").join(roots.withColumnRenamed("node", "cid"), "cid", "left")
     named = materialize(named.select("cid", "first", "vec", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("root", "cid").alias("root")), "rooted")
-    least_id = named.groupBy("root").agg(F.min("first").alias("component"))
+    least_id = materialize(named.groupBy("root").agg(F.min("first").alias("component")), "names")  # a stored side: a large component's join can be split
     named = materialize(named.join(least_id, "root").select(F.col("vec").alias("v"), "links", "component"), "classes")
     out = good.join(named, F.col("vec") == F.col("v")).select("id", "links", "component")
     out = out.unionByName(base.where(~usable(F.col("vec"))).select("id", F.lit(0).cast("long").alias("links"), F.col("id").alias("component")))

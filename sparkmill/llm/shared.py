@@ -23,9 +23,14 @@ def scratch(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+#: Tables that this process has written to the shared folder and not swept.
+_written: list[str] = []
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Cut the lineage: write df as a table in the shared folder and read it back, so a lost executor costs no recomputation."""
     path = f"{scratch(df.sparkSession)}/mill-{uuid.uuid4().hex}-{tag}"
+    _written.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -71,3 +76,12 @@ def regrouped(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Recor
             held, n = [], 0
     if n:
         yield joined()
+
+
+def sweep(spark: SparkSession) -> int:
+    """Delete the tables that this process has written to the shared folder, once no result needs them; returns how many."""
+    n = len(_written)
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n

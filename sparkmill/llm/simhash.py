@@ -200,7 +200,7 @@ def simhash_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = components(near_links(nodes, distance, m, check_distance))
     nodes = nodes.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     nodes = materialize(nodes, "rooted")
-    names = nodes.groupBy("root").agg(F.min("first").alias("component"))
+    names = materialize(nodes.groupBy("root").agg(F.min("first").alias("component")), "names")  # a stored side: a large component's join can be split
     named = materialize(nodes.join(names, "root").select("node", "component"), "classes")
     return own.join(named, "node").select(F.col("id").alias(id_col), "fp", "second", "component")
 
