@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkmill.functions.sequences import FOUR_MERS, reverse_complement
+from sparkmill.functions.sequences import FOUR_MERS
 
 _CODE = np.full(256, 4, np.uint8)
 for _i, _c in enumerate("ACGT"):
@@ -57,12 +57,19 @@ def kmer_counts(vectors: DataFrame, idx: str = "contig_idx") -> DataFrame:
     return vectors.select(idx, F.explode(F.arrays_zip(names.alias("kmer"), F.col("counts").alias("n"))).alias("x")).select(idx, "x.kmer", F.col("x.n").cast("long").alias("n")).where("n > 0")
 
 
-def kmer_frequencies(counts: DataFrame, idx: str = "contig_idx") -> DataFrame:
-    """(contig_idx, kmer, freq) averaged over a 4-mer and its reverse complement, from long counts."""
-    both = counts.select(idx, F.explode(F.array("kmer", reverse_complement(F.col("kmer")))).alias("kmer"), (F.col("n") / 2).alias("h"))
-    folded = both.groupBy(idx, "kmer").agg(F.sum("h").alias("h"))
-    sums = counts.groupBy(idx).agg(F.sum("n").alias("total"))
-    return folded.join(sums, idx).select(idx, "kmer", (F.col("h") / F.col("total")).alias("freq"))
+def kmer_frequencies(vectors: DataFrame, idx: str = "contig_idx") -> DataFrame:
+    """(contig_idx, kmer, freq) averaged over a 4-mer and its reverse complement, for those that occur.
+
+    Row by row on the vectors of counts: nothing is shuffled.
+    """
+    turn = str.maketrans("ACGT", "TGCA")
+    mates = F.array(*[F.lit(FOUR_MERS.index(k.translate(turn)[::-1])) for k in FOUR_MERS])
+    total = F.aggregate("counts", F.lit(0).cast("long"), lambda s, x: s + x)
+    both = F.transform("counts", lambda x, i: x + F.get(F.col("counts"), F.get(F.col("mates"), i)))
+    rows = vectors.select(idx, "counts", mates.alias("mates"), total.alias("total")).where("total > 0").select(idx, "total", both.alias("both"))
+    names = F.array(*[F.lit(k) for k in FOUR_MERS])
+    long = rows.select(idx, "total", F.explode(F.arrays_zip(names.alias("kmer"), F.col("both").alias("n"))).alias("x")).where("x.n > 0")
+    return long.select(idx, "x.kmer", (F.col("x.n") / (2 * F.col("total"))).alias("freq"))
 
 
 @lru_cache(maxsize=1)

@@ -58,8 +58,8 @@ def kmer_counts(spark, d):
 
 @query(sql("contigs", f", {_KMERS}, b AS (SELECT contig_idx, kmer, n / 2 AS h FROM k UNION ALL SELECT contig_idx, translate(reverse(kmer), 'ACGT', 'TGCA'), n / 2 FROM k) SELECT contig_idx, kmer, round(sum(h) / any_value(t.n), 6) AS freq FROM b JOIN (SELECT contig_idx, sum(n) AS n FROM k GROUP BY 1) t USING (contig_idx) GROUP BY ALL").replace("\n, k AS", ",\nk AS"))
 def kmer_freq_rc(spark, d):
-    counts = composition.kmer_counts(composition.kmer_vectors(composition.min_length(s.contigs(spark, d), LEAST)))
-    return composition.kmer_frequencies(counts).select("contig_idx", "kmer", r6("freq"))
+    vectors = composition.kmer_vectors(composition.min_length(s.contigs(spark, d), LEAST))
+    return composition.kmer_frequencies(vectors).select("contig_idx", "kmer", r6("freq"))
 
 
 @query()

@@ -141,6 +141,13 @@ def read_sam_header(spark: SparkSession, path: str, least: int) -> DataFrame:
     return rows.select("row", F.regexp_replace(F.get("x", F.lit(0)), "^SN:", "").alias("name"), length.alias("length"), (length >= least).alias("kept"))
 
 
+def read_edges(spark: SparkSession, path: str) -> DataFrame:
+    """(parent, child) of a comma-separated edge list without a header; tree_from_pairs makes a tree of them."""
+    rows = spark.read.text(path).where(F.trim("value") != "").select(F.split(F.translate("value", "\r", ""), ",").alias("x"))
+    ok = F.when(F.size("x") == 2, F.col("x")).otherwise(F.raise_error(F.concat(F.lit("not an edge: "), F.array_join("x", ","))).cast("array<string>"))
+    return rows.select(F.trim(ok[0]).alias("parent"), F.trim(ok[1]).alias("child"))
+
+
 def markers_json(contig_markers: DataFrame, n_contigs: int, names: list[list[str]], refhash: str) -> str:
     """Markers of few contigs as the JSON of the marker files; null for a contig without any."""
     found = {r["contig_idx"]: r["m"] for r in contig_markers.groupBy("contig_idx").agg(F.array_sort(F.collect_list("marker")).alias("m")).collect()}

@@ -119,6 +119,8 @@ def test_depth_files(spark, tmp_path):
 
 
 def test_small_tables(spark, tmp_path):
+    (tmp_path / "e.csv").write_text("r,a\na, b\n\n")
+    assert rows(tables.read_edges(spark, str(tmp_path / "e.csv")), "parent", "child") == [("a", "b"), ("r", "a")]
     (tmp_path / "q.tsv").write_text("Name\tCompleteness\tContamination\tmore\nb1\t95.5\t1\tx\n")
     assert rows(tables.read_quality(spark, str(tmp_path / "q.tsv")), "bin", "completeness", "contamination") == [("b1", 95.5, 1.0)]
     (tmp_path / "h.txt").write_text("SN:a\tLN:100\nSN:b\tLN:300\n")
