@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkmill.sources.parquet import read_table
+
 LETTERS, BASES = "abcdefghijklmnopqrstuvwxyz", "acgtacgtacgtacgtacgtacgtac"
 N_SAMPLES, SEP, LEAST = 6, "C", 250
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    path = f"{sf_dir}/{name}.parquet"
+    return read_table(spark, path) if name == "documents" else spark.read.parquet(path)  # the table of long texts
 
 
 def contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
