@@ -17,12 +17,14 @@ from sparkmill.llm.ranking import train_ranker
 from sparkmill.llm.simhash import simhash_classes
 from sparkmill.llm.suffix import remove_repeats
 from sparkmill.llm.url_filter import canonical, host_of, path_of, url_filter
+from sparkmill.sources.parquet import read_table
 
 URL_RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    path = f"{sf_dir}/{name}.parquet"
+    return read_table(spark, path) if name in ("documents", "pages") else spark.read.parquet(path)  # the tables of long texts
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
