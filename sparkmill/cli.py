@@ -1,4 +1,4 @@
-"""Command line: bin default | taxvamb | avamb, taxometer, taxonomy_benchmark, recluster, dereplicate, concatenate, merge_depths, bin_fasta."""
+"""Command line: default | labelled | adversarial, predict_taxonomy, taxonomy_benchmark, recluster, dereplicate, concatenate, merge_depths, bin_fasta."""
 
 from __future__ import annotations
 
@@ -74,9 +74,9 @@ def parser() -> argparse.ArgumentParser:
 
     base = (general, contigs, depths)
     add("default", *base, output, vae, clustering)
-    add("avamb", *base, output, vae, clustering, aae)
-    add("taxvamb", *base, taxa, output, vae, clustering, predictor)
-    add("taxometer", *base, taxa, predictor)
+    add("adversarial", *base, output, vae, clustering, aae)
+    add("labelled", *base, taxa, output, vae, clustering, predictor)
+    add("predict_taxonomy", *base, taxa, predictor)
     add("taxonomy_benchmark", *base, taxa, predictor)
     p = add("recluster", general, contigs, output)
     p.add_argument("--latent_path", required=True, help="Parquet with contig_idx and v")
@@ -116,20 +116,20 @@ def run(spark: SparkSession, args: list[str]) -> None:
     if "://" not in a.outdir and os.path.exists(a.outdir):
         raise FileExistsError(a.outdir)
     o = options(a)
-    if a.command in ("default", "avamb", "taxvamb", "taxometer", "taxonomy_benchmark"):
+    if a.command in ("default", "adversarial", "labelled", "predict_taxonomy", "taxonomy_benchmark"):
         data = w.load(spark, a.fasta, a.abundance_tsv, o)
         if a.command == "default":
             w.bin_default(data, o)
-        elif a.command == "avamb":
+        elif a.command == "adversarial":
             w.bin_adversarial(data, o)
         else:
             refined = tables.is_refined(spark, a.taxonomy)
             table = tables.to_taxonomy(tables.read_predictions(spark, a.taxonomy)) if refined else tables.read_taxonomy(spark, a.taxonomy)
             named = annotate(data.contigs.select("contig_idx", "name"), table).select("contig_idx", "ranks")
-            if a.command == "taxvamb":
+            if a.command == "labelled":
                 w.bin_taxonomy(data, named, o, refine=not (refined or a.no_predictor))
-            elif a.command == "taxometer":
-                w.taxometer(data, named, o)
+            elif a.command == "predict_taxonomy":
+                w.write_taxonomy(data, named, o)
             else:
                 w.taxonomy_benchmark(data, named, o).orderBy("level").write.option("sep", "\t").option("header", True).csv(f"{o.out}/accuracy_report.tsv")
     elif a.command == "recluster":

@@ -193,9 +193,9 @@ def predict_taxonomy(data: Dataset, annotated: DataFrame, options: Options, trai
     return data.features.sparkSession.createDataFrame(rows, "contig_idx long, ranks array<string>, probs array<double>")
 
 
-def taxometer(data: Dataset, annotated: DataFrame, options: Options) -> DataFrame:
+def write_taxonomy(data: Dataset, annotated: DataFrame, options: Options) -> DataFrame:
     out = stored(predict_taxonomy(data, annotated, options))
-    tables.write_predictions(out.join(data.contigs.select("contig_idx", "name"), "contig_idx"), f"{options.out}/results_taxometer.tsv")
+    tables.write_predictions(out.join(data.contigs.select("contig_idx", "name"), "contig_idx"), f"{options.out}/results_taxonomy.tsv")
     return out
 
 
@@ -216,14 +216,14 @@ def taxonomy_benchmark(data: Dataset, annotated: DataFrame, options: Options, fo
 def bin_taxonomy(data: Dataset, annotated: DataFrame, options: Options, refine: bool = True) -> DataFrame:
     """Binning with labels: predictions (unless refine is off) are the labels of a bimodal autoencoder, whose joint latent is clustered."""
     if refine:
-        annotated = taxometer(data, annotated, options).select("contig_idx", "ranks")
+        annotated = write_taxonomy(data, annotated, options).select("contig_idx", "ranks")
     names, tree = tree_of(annotated)
     x = Inputs.of(data.features)
     labels = _labels(annotated, names, x.ids)
     model = BimodalVAE(len(data.samples), tree, x.tnf.shape[1], options.n_hidden, options.n_latent, options.alpha, options.beta, options.dropout, options.loss, options.seed)
     model.train(x, labels, options.epochs, options.batch, options.double_at)
     latent = data.features.sparkSession.createDataFrame(list(zip(x.ids.tolist(), model.encode(x, labels).tolist())), "contig_idx long, v array<float>")
-    return cluster_and_write(data, stored(latent), options, "vaevae")
+    return cluster_and_write(data, stored(latent), options, "bimodal")
 
 
 def recluster(contigs: DataFrame, latent: DataFrame, contig_markers: DataFrame, n_markers: int, options: Options, members: DataFrame | None = None, annotated: DataFrame | None = None) -> DataFrame:

@@ -56,16 +56,16 @@ def test_default(spark, files, tmp_path):
 
 def test_adversarial(spark, files, tmp_path):
     out = tmp_path / "o"
-    cli.run(spark, ["avamb", "--outdir", str(out), "--fasta", str(files / "c.fna"), "--abundance_tsv", str(files / "d.tsv"), *SMALL, "--n_aae", "32", "--z_aae", "8", "--y_aae", "6", "--e_aae", "20", "--t_aae", "16", "--q_aae", "10"])
+    cli.run(spark, ["adversarial", "--outdir", str(out), "--fasta", str(files / "c.fna"), "--abundance_tsv", str(files / "d.tsv"), *SMALL, "--n_aae", "32", "--z_aae", "8", "--y_aae", "6", "--e_aae", "20", "--t_aae", "16", "--q_aae", "10"])
     assert tables.read_clusters(spark, str(out / "aae_z_clusters_unsplit.tsv")).count() == 60
     assert tables.read_clusters(spark, str(out / "aae_y_clusters_split.tsv")).count() == 60
 
 
 def test_taxonomy_workflows(spark, files, tmp_path):
     args = ["--fasta", str(files / "c.fna"), "--abundance_tsv", str(files / "d.tsv"), "--taxonomy", str(files / "t.tsv"), "-pe", "60", "-pt", "32"]
-    cli.run(spark, ["taxvamb", "--outdir", str(tmp_path / "a"), *args, *SMALL])
-    assert tables.read_clusters(spark, str(tmp_path / "a" / "vaevae_clusters_unsplit.tsv")).count() == 60
-    predicted = tables.read_predictions(spark, str(tmp_path / "a" / "results_taxometer.tsv")).collect()
+    cli.run(spark, ["labelled", "--outdir", str(tmp_path / "a"), *args, *SMALL])
+    assert tables.read_clusters(spark, str(tmp_path / "a" / "bimodal_clusters_unsplit.tsv")).count() == 60
+    predicted = tables.read_predictions(spark, str(tmp_path / "a" / "results_taxonomy.tsv")).collect()
     right = sum(r["ranks"] == GENERA[int(r["name"].split("C")[1]) % 3].split(";") for r in predicted)
     assert right > 50
     cli.run(spark, ["taxonomy_benchmark", "--outdir", str(tmp_path / "b"), *args, "-m", "250", "--seed", "3"])
