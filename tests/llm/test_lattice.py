@@ -49,7 +49,7 @@ def plain_log_prob(word, table):
 
 
 def test_marginals(pieces):
-    table = dict(zip(pieces.pieces, np.exp(pieces.log_p)))
+    table = dict(zip(pieces.pieces, np.exp(pieces.log_p).tolist()))
     words = [b"the", b"a", b"hello", "é".encode(), b"\xff\x00", b"thinking", "漢字".encode()]
     words += [bytes(random.Random(i).choices(b"abcdeiou", k=i + 1)) for i in range(12)]
     l = lattice.Lattice(*pieces.table(), pieces.log_p)  # noqa: E741
