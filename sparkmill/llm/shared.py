@@ -27,12 +27,25 @@ def scratch(spark: SparkSession) -> str:
 _written: list[str] = []
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Cut the lineage: write df as a table in the shared folder and read it back, so a lost executor costs no recomputation."""
+def write_table(df: DataFrame, tag: str) -> str:
+    """Write df as a table in the shared folder; returns its path."""
     path = f"{scratch(df.sparkSession)}/mill-{uuid.uuid4().hex}-{tag}"
     _written.append(path)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return path
+
+
+def materialize(df: DataFrame, tag: str) -> DataFrame:
+    """Cut the lineage: write df as a table in the shared folder and read it back, so a lost executor costs no recomputation."""
+    return df.sparkSession.read.schema(df.schema).parquet(write_table(df, tag))
+
+
+def delete_table(spark: SparkSession, path: str) -> None:
+    """Delete a table of the shared folder that no later plan reads."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    if path in _written:
+        _written.remove(path)
 
 
 def words(text: Column) -> Column:
@@ -81,7 +94,6 @@ def regrouped(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Recor
 def sweep(spark: SparkSession) -> int:
     """Delete the tables that this process has written to the shared folder, once no result needs them; returns how many."""
     n = len(_written)
-    while _written:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    for path in [*_written]:
+        delete_table(spark, path)
     return n

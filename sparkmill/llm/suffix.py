@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkmill.llm.shared import materialize, small_batches
+from sparkmill.llm.shared import delete_table, materialize, small_batches, write_table
 
 #: Bytes of the gram that anchors are chosen by.
 GRAM = 50
@@ -232,10 +232,13 @@ def repeat_extents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             own = pa.array(d[first])
             yield pa.record_batch([b.column(0).take(own), b.column(1).take(own), places, pa.array(h[first]), pa.array(c[first])], names=["id", "x", "pos", "h", "c"])
 
-    found = materialize(base.mapInArrow(anchors, f"id {kind}, x long, pos array<int>, h long, c long"), "anchors")
+    every = base.mapInArrow(anchors, f"id {kind}, x long, pos array<int>, h long, c long")
+    path = write_table(every, "anchors")
+    found = base.sparkSession.read.schema(every.schema).parquet(path)
     again = found.groupBy("h").agg(F.sum(F.size("pos")).alias("n"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("n > 1")
     again = materialize(again.select("h", (F.col("c0") != F.col("c1")).alias("varied")), "grams")
     found = materialize(found.join(again, "h"), "repeated")
+    delete_table(base.sparkSession, path)  # most anchors occur once; what follows reads the others only
     contexts = found.groupBy("h", "c", "varied").agg(F.sum(F.size("pos")).alias("n"), F.min(F.struct("id", "x", F.get("pos", F.lit(0)).alias("pos"))).alias("one"))
     contexts = materialize(contexts.select("h", "c", "varied", "n", F.col("one.id").alias("rid"), F.col("one.x").alias("rx"), F.col("one.pos").alias("pos")), "contexts")
 
