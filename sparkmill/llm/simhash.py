@@ -210,7 +210,11 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Rows whose component has no id but null stay.
     """
-    found = simhash_classes(docs, id_col, text_col, **options)
+    return keep_first(docs, simhash_classes(docs, id_col, text_col, **options), id_col)
+
+
+def keep_first(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of docs that name the component that found (id, component) gives them, once each, and those whose component is null."""
     kept = materialize(found.where(F.col("component").isNull() | (F.col(id_col) == F.col("component"))).select(F.col(id_col).alias("kept_id")), "kept")
     ids = kept.where("kept_id is not null")
     once = ids.groupBy("kept_id").count().where("count > 1").limit(1).count() == 0
