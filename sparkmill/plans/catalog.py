@@ -93,10 +93,17 @@ def fasta_identifiers(spark, d):
 
 @query(sql("contigs", "SELECT contig_idx, translate(reverse(seq), 'ACGTacgt', 'TGCAtgca') AS rc FROM contigs WHERE length < 2000 AND seq = strip_accents(seq)"))
 def reverse_complements(spark, d):
+    """Short ASCII contigs only, as its SQL has it; reverse_complements_all has every contig."""
     c = s.contigs(spark, d).where("length < 2000").where(~F.col("seq").rlike(r"[^\x00-\x7f]"))
     return c.select("contig_idx", sequences.reverse_complement(F.col("seq")).alias("rc"))
 
 
+@query(sql("contigs", "SELECT contig_idx, translate(array_to_string(list_reverse(string_split(seq, '')), ''), 'ACGTacgt', 'TGCAtgca') AS rc FROM contigs"))
+def reverse_complements_all(spark, d):
+    """Every contig whole, whatever its length and characters."""
+    return s.contigs(spark, d).select("contig_idx", sequences.reverse_complement(F.col("seq")).alias("rc"))
+
+
 # --- names, bins by sample, hashes
 
 
