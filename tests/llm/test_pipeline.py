@@ -104,3 +104,18 @@ def test_no_documents(spark, corpus, tmp_path):
     spark.read.parquet(f"{d}/documents.parquet").limit(0).write.parquet(str(tmp_path / "documents.parquet"))
     spark.read.parquet(f"{d}/labels.parquet").limit(0).write.parquet(str(tmp_path / "labels.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_bad_documents_go_whatever_their_share(spark, tmp_path):
+    rng = random.Random(12)
+    words = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 8))) for _ in range(3000)]
+    docs, junk = [], set()
+    for i in range(300):
+        t = prose(rng, rng.randint(60, 300), words)
+        if i % 5 < 2:
+            t = "!! ".join(t.upper().split()[:60]) + "!!"
+            junk.add(i)
+        docs.append((i, t))
+    spark.createDataFrame([(i, int(i not in junk)) for i, _ in docs], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    kept = corpus_pipeline.quality(spark, spark.createDataFrame(docs, "doc_id long, text string"), str(tmp_path)).collect()
+    assert {r.doc_id for r in kept} == {i for i, _ in docs} - junk
