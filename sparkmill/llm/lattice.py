@@ -17,7 +17,7 @@ from sparkmill.llm.shared import materialize, regrouped, small_batches
 HEAD = 500_000
 #: Words that a worker counts before it hands them on.
 COUNTED = 200_000
-#: Bytes of the longest vocabulary piece that the lattice uses.
+#: Bytes of a piece that are looked up at least; a vocabulary with longer pieces has all of them looked up.
 LONGEST = 16
 #: Words longer than this many bytes go through the recursion one at a time.
 BATCHED = 48
@@ -38,16 +38,17 @@ class Pieces:
         for i in range(sp.get_piece_size()):
             if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i)):
                 raw = sp.id_to_piece(i).replace("▁", " ").encode()
-                if raw and len(raw) <= LONGEST:
+                if raw:
                     scores[raw] = max(scores.get(raw, -1e9), sp.get_score(i))
         self.pieces = sorted(scores)
+        self.longest = max(LONGEST, *map(len, self.pieces))
         # the scores of the existing vocabulary are ranks: weights fall with the rank by Zipf's law
         rank = np.argsort(np.argsort([-scores[p] for p in self.pieces], kind="stable"), kind="stable")
         weight = 1.0 / (rank + 10.0)
         self.log_p = np.log(weight / weight.sum() / 2)
 
-    def table(self) -> tuple[np.ndarray, np.ndarray]:
-        """(hashes, piece numbers) of an open table; equal hashes of different pieces are an error, as lookups trust them."""
+    def table(self) -> tuple[np.ndarray, np.ndarray, int]:
+        """(hashes, piece numbers) of an open table, and the bytes of the longest piece; equal hashes of different pieces are an error, as lookups trust them."""
         hashes = np.array([self._hash(p) for p in self.pieces], np.uint64)
         if len(np.unique(hashes)) != len(hashes):
             raise ValueError("two pieces have one hash")
@@ -58,7 +59,7 @@ class Pieces:
             while at[k] >= 0:
                 k = (k + 1) & (len(at) - 1)
             keys[k], at[k] = h, i
-        return keys, at
+        return keys, at, self.longest
 
     @staticmethod
     def _hash(piece: bytes) -> int:
@@ -71,8 +72,8 @@ class Pieces:
 class Lattice:
     """All segmentations of words into pieces, many words of one length at a time."""
 
-    def __init__(self, keys: np.ndarray, at: np.ndarray, log_p: np.ndarray) -> None:
-        self.keys, self.at, self.log_p = keys, at, log_p
+    def __init__(self, keys: np.ndarray, at: np.ndarray, longest: int, log_p: np.ndarray) -> None:
+        self.keys, self.at, self.longest, self.log_p = keys, at, longest, log_p
         self.shift = np.uint64(64 - int(np.log2(len(at))))
 
     def find(self, h: np.ndarray) -> np.ndarray:
@@ -96,7 +97,7 @@ class Lattice:
         x = rows.astype(np.uint64) + np.uint64(1)
         for s in range(size):
             h = np.zeros(n, np.uint64)
-            for e in range(s, min(size, s + LONGEST)):
+            for e in range(s, min(size, s + self.longest)):
                 h = h * np.uint64(MULTIPLIER) + x[:, e]
                 p = self.find(h)
                 words = np.flatnonzero(p >= 0)
@@ -138,7 +139,7 @@ class Lattice:
                 yield part, np.frombuffer(b"".join(b" " + words[i] for i in part), np.uint8).reshape(len(part), size + 1)
 
     def log_prob(self, words: list[bytes]) -> np.ndarray:
-        """Natural log of the marginal probability of each word: a window of LONGEST columns of alpha is held for long ones."""
+        """Natural log of the marginal probability of each word: a window of as many columns as the longest piece has bytes of alpha is held for long ones."""
         out = np.zeros(len(words))
         for part, rows in self.batches(words):
             if rows.shape[1] <= BATCHED + 1:
@@ -151,11 +152,11 @@ class Lattice:
         """The same recursion without keeping arcs: for each end the substrings before it are looked up together."""
         n, size = rows.shape
         x = rows.astype(np.uint64) + np.uint64(1)
-        alpha = np.full((n, LONGEST + 1), -np.inf)
+        alpha = np.full((n, self.longest + 1), -np.inf)
         alpha[:, 0] = 0  # column k: the end k places before the newest
-        powers = np.array([pow(MULTIPLIER, k, 1 << 64) for k in range(LONGEST)], np.uint64)
+        powers = np.array([pow(MULTIPLIER, k, 1 << 64) for k in range(self.longest)], np.uint64)
         for e in range(1, size + 1):
-            reach = min(LONGEST, e)
+            reach = min(self.longest, e)
             h = np.cumsum(x[:, e - reach : e][:, ::-1] * powers[:reach], axis=1, dtype=np.uint64)
             p = self.find(h.ravel()).reshape(n, reach)
             terms = np.where(p >= 0, self.log_p[p], -np.inf) + alpha[:, :reach]
@@ -212,10 +213,9 @@ def score_texts(docs: DataFrame, model_file: str, held_out: Column, id_col: str
     others are joined by a shuffle. A null text has the end token only; repeated rows stay.
     """
     pieces = Pieces(model_file)
-    keys, at = pieces.table()
     spark = docs.sparkSession
     small_batches(spark)
-    shared = spark.sparkContext.broadcast((keys, at))  # the vocabulary: bounded
+    shared = spark.sparkContext.broadcast(pieces.table())  # the vocabulary: bounded
     counts = materialize(count_words(docs, F.col(text_col), ~held_out), "words")
     n, v, every, ends = counts.agg(*[F.coalesce(x, F.lit(0)) for x in (F.sum("c"), F.count_if(F.col("c") > 0), F.sum("a"), F.sum(F.when(F.octet_length("word") == 0, F.col("c"))))]).first()
 

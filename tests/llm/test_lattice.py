@@ -120,3 +120,24 @@ def test_no_rows(spark):
     assert lattice.score_texts(spark.createDataFrame([], SCHEMA), MODEL, held_out()).collect() == []
     (row,) = lattice.score_texts(spark.createDataFrame([(1, "nothing learned", 1, "x")], SCHEMA), MODEL, F.lit(True)).collect()
     assert row.train_tokens == 0 and row.n_known == 0 and math.isfinite(row.score)
+
+
+def test_every_piece_is_in_the_lattice(pieces):
+    sp = lattice.sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    every = [sp.id_to_piece(i).replace("▁", " ").encode() for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
+    assert set(every) <= set(pieces.pieces)
+    long = sorted({p[1:] for p in every if len(p) > 16 and p[:1] == b" " and p[1:]})
+    assert long
+    table = dict(zip(pieces.pieces, np.exp(pieces.log_p).tolist()))
+
+    def whole(word):
+        word = b" " + word
+        alpha = [1.0]
+        for e in range(1, len(word) + 1):
+            alpha.append(sum(alpha[s] * table.get(word[s:e], 0.0) for s in range(e)))
+        return math.log(alpha[-1])
+
+    l = lattice.Lattice(*pieces.table(), pieces.log_p)  # noqa: E741
+    assert l.log_prob(long) == pytest.approx([whole(w) for w in long], rel=1e-9)
+    rows = [np.frombuffer(b" " + w, np.uint8).reshape(1, -1) for w in long]
+    assert [l._long(r)[0] for r in rows] == pytest.approx([whole(w) for w in long], rel=1e-9)
