@@ -2,21 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; only where it is unset a local folder, as in tests."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="sparkmill-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+from sparkmill.sources.scratch import shared_folder
 
 
 def stored(df: DataFrame) -> DataFrame:

@@ -1,6 +1,9 @@
 import bz2
 import gzip
 import lzma
+import os
+import subprocess
+import sys
 
 import pytest
 from pyspark.sql import functions as F
@@ -176,3 +179,18 @@ def test_archives(spark, tmp_path):
     arrays.save_composition(contigs, latent.withColumnRenamed("v", "tnf"), str(tmp_path / "d.npz"), 350)
     with pytest.raises(ValueError):
         arrays.load_composition(spark, str(tmp_path / "d.npz"))
+
+
+def test_folder_without_a_setting(tmp_path):
+    """A session that sets no spark.checkpoint.dir gets one local folder for all its tables."""
+    code = """
+from pyspark.sql import SparkSession
+from sparkmill.operators.graph import components, stored
+from sparkmill.sources.scratch import shared_folder
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+assert stored(spark.range(3)).count() == 3
+assert components(spark.createDataFrame([(1, 2), (2, 3)], "a long, b long")).where("component = 1").count() == 3
+assert shared_folder(spark) == shared_folder(spark)
+"""
+    env = {k: v for k, v in os.environ.items() if k not in ("SPARK_CONF_DIR", "PYSPARK_SUBMIT_ARGS")} | {"SPARK_CONF_DIR": str(tmp_path), "PYTHONPATH": os.path.dirname(os.path.dirname(os.path.abspath(__file__)))}
+    subprocess.run([sys.executable, "-c", code], check=True, env=env, timeout=240)
