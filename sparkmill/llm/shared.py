@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -10,26 +9,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkmill.sources.scratch import shared_folder
+
 #: ASCII white space that separates words: space and 0x09 to 0x0D.
 SPACES = " \t\n\x0b\x0c\r"
 
 
-def scratch(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, and only where that is unset a local one (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="sparkmill-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
 #: Tables that this process has written to the shared folder and not swept.
 _written: list[str] = []
 
 
 def write_table(df: DataFrame, tag: str) -> str:
     """Write df as a table in the shared folder; returns its path."""
-    path = f"{scratch(df.sparkSession)}/mill-{uuid.uuid4().hex}-{tag}"
+    path = f"{shared_folder(df.sparkSession)}/mill-{uuid.uuid4().hex}-{tag}"
     _written.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return path

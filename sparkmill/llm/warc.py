@@ -12,7 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkmill.llm.shared import _written, materialize, scratch, small_batches
+from sparkmill.llm.shared import _written, materialize, small_batches
+from sparkmill.sources.scratch import shared_folder
 
 EOL = b"\r\n"
 END = b"\r\n\r\n"
@@ -195,7 +196,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
 def round_trip(pages: DataFrame, **options: str | int) -> DataFrame:
     """write_warc to a new folder of the shared scratch, then read_warc of it."""
-    path = f"{scratch(pages.sparkSession)}/mill-{uuid.uuid4().hex}-warc"
+    path = f"{shared_folder(pages.sparkSession)}/mill-{uuid.uuid4().hex}-warc"
     _written.append(path)
     write_warc(pages, path, **options)
     return read_warc(pages.sparkSession, path)
