@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkmill.llm.shared import materialize
 
-#: The table of sources goes through the driver; more sources than this are an error.
-MAX_SOURCES = 1_000_000
+#: Up to this many sources are collected and filled on the driver, beyond it by aggregates over their table.
+DRIVER_SOURCES = 20_000
 #: Up to this many sources are broadcast, beyond it they are joined by a shuffle.
 BROADCAST_SOURCES = 20_000
+#: Bits of the hash that name a bucket, at most, and documents of a bucket, on average, up to there.
+BUCKET_BITS, BUCKET_ROWS = 16, 2_000
 
 
 def water_fill(sizes: Sequence[float], weights: Sequence[float], total: float, max_epochs: float) -> list[float]:
@@ -36,44 +38,109 @@ def water_fill(sizes: Sequence[float], weights: Sequence[float], total: float, m
     return targets
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = (1, 2, 3), max_epochs: int = 3, share: float = 1.0, seed: int = 8) -> DataFrame:
+def fill_level(stats: DataFrame, total: float, max_epochs: float) -> float:
+    """The level at which the sources' targets least(level * weight, max_epochs * size) sum to total, as water_fill has it.
+
+    stats: (size, weight) for each source, of any number. A round is one aggregate; clamped sources stay clamped, as the
+    level only rises. Infinite if every cap is reached.
+    """
+    level, clamped = 0.0, -1
+    cap = F.col("size") * F.lit(float(max_epochs))
+    while True:
+        over = (F.lit(level) * F.col("weight") > cap) | (F.col("weight") <= 0)
+        n, full, free = stats.agg(F.count_if(over), F.coalesce(F.sum(F.when(over & (F.col("weight") > 0), cap)), F.lit(0.0)), F.coalesce(F.sum(F.when(~over, F.col("weight"))), F.lit(0.0))).first()
+        if n == clamped or not free:
+            return level if free else float("inf")
+        level, clamped = (total - full) / free, n
+
+
+def ranked(stats: DataFrame, column: str) -> DataFrame:
+    """stats with a column i: 0, 1, ... in code point order of a column, null last; sorted by range, no task holds all rows."""
+    order = [F.col(column).isNull(), F.col(column)]
+    rows = materialize(stats.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()), "ranges")
+    part, place = F.shiftright("at", 33), F.col("at").bitwiseAND((1 << 33) - 1)
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    starts = rows.groupBy(part.alias("part")).count().select("part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
+    return rows.join(F.broadcast(starts), part == F.col("part")).select(*stats.columns, (F.col("start") + place).alias("i"))
+
+
+def targets(stats: DataFrame, weights: Sequence[float], share: float, max_epochs: int, driver_sources: int = DRIVER_SOURCES) -> tuple[DataFrame, int]:
+    """(of, source_size, target) of stats (source, s), and the number of sources; weights go round in code point order, null last."""
+    few = stats.limit(driver_sources + 1).collect()
+    if len(few) <= driver_sources:
+        few.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
+        sizes = [r["s"] for r in few]
+        found = water_fill(sizes, [weights[i % len(weights)] for i in range(len(few))], share * sum(sizes), max_epochs)
+        rows = [(r["source"], r["s"], t) for r, t in zip(few, found)]
+        return stats.sparkSession.createDataFrame(rows, "of string, source_size long, target double"), len(few)
+    every = F.array(*[F.lit(float(w)) for w in weights])
+    own = materialize(ranked(stats, "source").select("source", F.col("s").alias("size"), F.get(every, F.col("i") % len(weights)).alias("weight")), "weights")
+    n, total = own.agg(F.count(F.lit(1)), F.sum("size")).first()
+    level, cap = fill_level(own, share * total, max_epochs), F.col("size") * F.lit(float(max_epochs))
+    target = F.when(F.col("weight") > 0, F.least(F.lit(level) * F.col("weight"), cap)).otherwise(0.0)
+    return own.select(F.col("source").alias("of"), F.col("size").alias("source_size"), target.alias("target")), n
+
+
+def _hash(id_col: str, text_col: str, seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))
+
+
+def _plan(sized: DataFrame, weights: Sequence[float], max_epochs: int, share: float, driver_sources: int) -> DataFrame:
+    """Per source: of, source_size, target, whole epochs, and the last (bucket, hash) that is taken once more; sized: (source, size, u).
+
+    The hash order is cut in buckets whose sums are accumulated; only the bucket in which the remainder ends is looked into.
+    """
+    stats = materialize(sized.groupBy("source").agg(F.sum("size").alias("s"), F.count(F.lit(1)).alias("n")), "sources")
+    plan, n_sources = targets(stats, weights, share, max_epochs, driver_sources)
+    size = F.col("source_size")
+    whole = F.when(size > 0, F.least(F.floor(F.col("target") / size), F.lit(max_epochs))).otherwise(0).cast("int")
+    plan = plan.withColumn("whole", whole).withColumn("rest", F.col("target") - F.col("whole") * size)
+    most = stats.agg(F.max("n")).first()[0] or 0
+    bits = min(BUCKET_BITS, max(4, (most // BUCKET_ROWS).bit_length()))
+    bucket = F.shiftright("u", 64 - bits).cast("int")
+    side = lambda df: F.broadcast(df) if n_sources <= BROADCAST_SOURCES else df
+    sums = sized.groupBy("source", bucket.alias("bucket")).agg(F.sum("size").alias("held"))
+    before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("source", "bucket", "held", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("start"))
+    cut = sums.join(side(plan), F.col("source").eqNullSafe(F.col("of"))).where((F.col("rest") > 0) & (F.col("start") <= F.col("rest")) & (F.col("start") + F.col("held") > F.col("rest")))
+    cut = materialize(cut.select("of", F.col("bucket").alias("cut_bucket"), "start", "rest"), "cuts")
+    inside = sized.join(side(cut), F.col("source").eqNullSafe(F.col("of")) & (bucket == F.col("cut_bucket"))).groupBy("of", "start", "rest", "u").agg(F.sum("size").alias("size"))
+    order = Window.partitionBy("of").orderBy("u").rowsBetween(Window.unboundedPreceding, -1)
+    inside = inside.withColumn("start", F.col("start") + F.coalesce(F.sum("size").over(order), F.lit(0)))
+    last = inside.where(F.col("start") + F.col("size") / 2 <= F.col("rest")).groupBy(F.col("of").alias("last_of")).agg(F.max("u").alias("cut_u"))
+    found = cut.select(F.col("of").alias("cut_of"), "cut_bucket").join(last, F.col("cut_of").eqNullSafe(F.col("last_of")), "left")
+    plan = plan.join(found, F.col("of").eqNullSafe(F.col("cut_of")), "left").drop("cut_of", "last_of", "rest").withColumn("bits", F.lit(bits))
+    return side(materialize(plan, "plan"))
+
+
+def _repeats(u: Column) -> Column:
+    bucket = F.call_function("shiftright", u, 64 - F.col("bits"))
+    extra = F.coalesce((bucket < F.col("cut_bucket")) | ((bucket == F.col("cut_bucket")) & (u <= F.col("cut_u"))), F.lit(False))
+    return F.col("whole") + extra.cast("int")
+
+
+def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> DataFrame:
+    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+    return materialize(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), _hash(id_col, text_col, seed).alias("u")), "sizes")
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = (1, 2, 3), max_epochs: int = 3, share: float = 1.0, seed: int = 8, driver_sources: int = DRIVER_SOURCES) -> DataFrame:
     """Per document: id, source, size (words), source_size, target (of its source), repeats and taken = repeats * size.
 
     Sources in code point order, null last, take the weights in turn. A source's whole epochs repeat every document; for
-    the remaining fraction its documents are taken in the order of a seeded hash until their words reach the remainder, the
-    last one if at least half of it fits. The order is cut in hash buckets whose sums are accumulated first, so no task
-    holds a whole source. Null texts have size 0; repeated rows are documents of their own; reruns agree.
+    the remaining fraction its documents are taken in the order of a seeded hash of id and text until their words reach the
+    remainder, the last one if at least half of it fits. So a verdict depends on a document's content alone: reruns agree,
+    however the rows are split. Null texts have size 0; repeated rows are documents of their own, those of equal id, text
+    and source have one verdict.
     """
-    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    sized = materialize(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("u"), F.monotonically_increasing_id().alias("row")), "sizes")
-    stats = sized.groupBy("source").agg(F.sum("size").alias("s"), F.count(F.lit(1)).alias("n")).limit(MAX_SOURCES + 1).collect()
-    if len(stats) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    stats.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
-    own = [weights[i % len(weights)] for i in range(len(stats))]
-    targets = water_fill([r["s"] for r in stats], own, share * sum(r["s"] for r in stats), max_epochs)
-    whole = [min(int(t // r["s"]), max_epochs) if r["s"] else 0 for t, r in zip(targets, stats)]
-    rows = [(i, r["source"], r["s"], t, w, t - w * r["s"]) for i, (r, t, w) in enumerate(zip(stats, targets, whole))]
-    plan = sized.sparkSession.createDataFrame(rows, "src int, of string, source_size long, target double, whole int, rest double")
-    if len(rows) <= BROADCAST_SOURCES:
-        plan = F.broadcast(plan)
-    buckets = int(min(65_536, max(16, sum(r["n"] for r in stats) // 2_000)))
-    placed = sized.join(plan, F.col("source").eqNullSafe(F.col("of"))).withColumn("bucket", F.pmod("u", F.lit(buckets)).cast("int"))
-    sums = placed.groupBy("src", "bucket").agg(F.sum("size").alias("held"))
-    before = Window.partitionBy("src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("src", "bucket", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("start"))
-    inside = Window.partitionBy("src", "bucket").orderBy("u", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    out = placed.join(sums, ["src", "bucket"]).withColumn("start", F.col("start") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    extra = (F.col("start") + F.col("size") / 2 <= F.col("rest")) & (F.col("rest") > 0)
-    out = out.withColumn("repeats", F.col("whole") + extra.cast("int"))
-    return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "repeats", (F.col("repeats") * F.col("size")).cast("long").alias("taken"), "row")
-
-
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """The rows of docs as often as mix repeats them, with their columns. docs: a stored table, whose rows both scans number alike."""
-    number = "row"
-    while number in docs.columns:
-        number += "_"
-    repeats = mix(docs, id_col, text_col, source_col, **options).where("repeats > 0").select(F.col("row").alias("mixed_row"), F.col("repeats").alias("mixed_repeats"))
-    rows = docs.withColumn(number, F.monotonically_increasing_id()).join(repeats, F.col(number) == F.col("mixed_row"))
-    return rows.withColumn(number, F.explode(F.sequence(F.lit(1), F.col("mixed_repeats")))).select(*docs.columns)
+    sized = _sized(docs, id_col, text_col, source_col, seed)
+    out = sized.join(_plan(sized, weights, max_epochs, share, driver_sources), F.col("source").eqNullSafe(F.col("of"))).withColumn("repeats", _repeats(F.col("u")))
+    return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "repeats", (F.col("repeats") * F.col("size")).cast("long").alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = (1, 2, 3), max_epochs: int = 3, share: float = 1.0, seed: int = 8, driver_sources: int = DRIVER_SOURCES) -> DataFrame:
+    """The rows of docs as often as mix repeats them, with their columns. Texts are not shuffled: each row is judged where it is read."""
+    plan = _plan(_sized(docs, id_col, text_col, source_col, seed), weights, max_epochs, share, driver_sources)
+    rows = docs.select(F.struct("*").alias("doc"), F.col(source_col).alias("doc_source"), _hash(id_col, text_col, seed).alias("doc_hash"))
+    rows = rows.join(plan, F.col("doc_source").eqNullSafe(F.col("of"))).withColumn("doc_repeats", _repeats(F.col("doc_hash"))).where("doc_repeats > 0")
+    return rows.select(F.col("doc"), F.explode(F.sequence(F.lit(1), F.col("doc_repeats")))).select("doc.*")

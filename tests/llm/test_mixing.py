@@ -1,6 +1,6 @@
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from fractions import Fraction
 
 import pytest
@@ -65,18 +65,45 @@ def test_mix(spark):
         assert abs(taken[s] - target[s]) <= 60
         mine = {r.repeats for r in out if r.source == s}
         assert max(mine) - min(mine) <= 1
-    again = mixing.mix(docs.repartition(7)).collect()
-    key = lambda r: (str(r.doc_id), r.size, r.repeats)
-    assert sorted(map(key, again)) == sorted(map(key, out))
+    key = lambda r: (str(r.doc_id), r.size, round(r.target, 6), r.repeats)
+    for again in (mixing.mix(docs.repartition(7)), mixing.mix(docs, driver_sources=0)):
+        assert sorted(map(key, again.collect())) == sorted(map(key, out))
 
 
-def test_rows_are_repeated(spark, tmp_path):
-    spark.createDataFrame(documents(2), SCHEMA).withColumnRenamed("bucket", "row").write.parquet(str(tmp_path / "d"))
+def test_rows_are_repeated_whatever_the_splits(spark, tmp_path):
+    """The scan is split one way when the plan is made and another way when it runs."""
+    rows = documents(2)
+    spark.createDataFrame(rows, SCHEMA).withColumnRenamed("bucket", "of").repartition(7).write.parquet(str(tmp_path / "d"))
     docs = spark.read.parquet(str(tmp_path / "d"))
     mixed = mixing.mixed_documents(docs)
     assert mixed.columns == docs.columns
-    want = sum(r.repeats for r in mixing.mix(docs).collect())
-    assert mixed.count() == want
+    want = Counter()
+    for r in mixing.mix(docs).collect():
+        want[r.doc_id] += r.repeats
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes", "spark.sql.files.minPartitionNum")
+    for values in (("2000", "1", "50"), ("128m", "4m", "1")):
+        for n, v in zip(names, values):
+            spark.conf.set(n, v)
+        got = Counter(r.doc_id for r in mixed.collect())
+        assert got == +want
+    for n in names:
+        spark.conf.unset(n)
+
+
+def test_very_long_and_blank_texts(spark):
+    rows = [(i, "w " * n, "a", 0, "") for i, n in enumerate([0, 1, 300_000, 1, 2])] + [(9, "x", None, 0, "")]
+    out = {r.doc_id: r for r in mixing.mix(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert [out[i].size for i in (0, 1, 2, 9)] == [0, 1, 300_000, 1] and out[2].source_size == 300_004
+    assert all(r.taken <= 3 * r.size for r in out.values())
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 1000), st.integers(0, 5)), min_size=1, max_size=8), st.integers(1, 4))
+def test_fill_level(spark, rows, most):
+    sizes, weights = [r[0] for r in rows], [r[1] for r in rows]
+    level = mixing.fill_level(spark.createDataFrame([(s, float(w)) for s, w in rows], "size long, weight double"), sum(sizes), most)
+    got = [min(level * w, most * s) if w else 0.0 for s, w in rows]
+    assert got == pytest.approx(mixing.water_fill(sizes, weights, sum(sizes), most), rel=1e-9, abs=1e-9)
 
 
 def test_edges(spark):
