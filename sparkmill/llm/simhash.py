@@ -15,52 +15,64 @@ from sparkmill.llm.graph import components, forest
 from sparkmill.llm.shared import materialize, regrouped, small_batches
 
 BITS = 64
-#: Groups of a segment value up to this size compare all their fingerprints; larger ones are cut again by all 64 bits.
-BRUTE = 4096
+#: A segment value that more fingerprints have than this is cut in blocks, which are joined pair by pair.
+HOT = 20_000
+#: Hot segment values up to this many are broadcast, beyond it they are joined by a shuffle.
+BROADCAST_HOT = 100_000
 #: From so many distinct fingerprints on, two segments of 32 bits keep groups small where three of 21 no longer do.
 TWO_SEGMENTS_FROM = 1 << 24
+#: Odd multipliers that make further fingerprint words of a shingle's hash.
+MORE = np.random.default_rng(6).integers(0, 1 << 63, 32, dtype=np.uint64) | np.uint64(1)
 
 
-def fingerprint(text: bytes, shingle: int = 4, seed: int = 42, distinct: bool = False) -> int:
-    """64 bits, each 1 if over half of the shingles' XXH64 have it; 0 without words. A-Z lower-cased, words of non-space.
-
-    distinct: the words in the order of their first place, repeats left out (for shingles of one word).
-    """
+def shingle_hashes(text: bytes, shingle: int, seed: int = 42) -> np.ndarray:
+    """XXH64 of the word shingles in order, repeats included; of all words together if they are fewer, none without words. A-Z lower-cased."""
     ws = text.lower().split()
     if not ws:
-        return 0
-    if distinct:
-        ws = [*dict.fromkeys(ws)]
-    joined = b" ".join(ws)
+        return np.zeros(0, np.uint64)
+    joined, digest = b" ".join(ws), xxhash.xxh64_intdigest
     if len(ws) <= shingle:
-        return xxhash.xxh64_intdigest(joined, seed)
+        return np.array([digest(joined, seed)], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, ws), np.int64, len(ws)) + 1) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    n, ones, digest = len(ws) - shingle + 1, np.zeros(BITS, np.int64), xxhash.xxh64_digest
-    s, e = starts[:n].tolist(), ends[shingle - 1 :].tolist()
-    for k in range(0, n, 65_536):
-        raw = b"".join([digest(joined[x:y], seed) for x, y in zip(s[k : k + 65_536], e[k : k + 65_536])])
-        bits = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 8), axis=1)
-        ones += bits.sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
+    starts = np.concatenate([[0], ends[:-1] + 1])[: len(ws) - shingle + 1]
+    return np.fromiter((digest(joined[x:y], seed) for x, y in zip(starts.tolist(), ends[shingle - 1 :].tolist())), np.uint64, len(starts))
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, check: int | None = None) -> DataFrame:
-    """(id, fp long, second long) for every row; the 64 bits as a signed long. Null and blank texts have 0.
+def majority(hashes: np.ndarray) -> int:
+    """64 bits, each 1 if over half of the hashes have it."""
+    ones = np.zeros(BITS, np.int64)
+    for k in range(0, len(hashes), 65_536):
+        ones += np.unpackbits(hashes[k : k + 65_536].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
+
+
+def fingerprint(text: bytes, shingle: int = 4, seed: int = 42) -> int:
+    """64 bits, each 1 if over half of the shingles' XXH64 have it; 0 without words. A-Z lower-cased, words of non-space."""
+    return majority(shingle_hashes(text, shingle, seed))
 
-    check: fp is then made of the distinct words, and second of shingles of so many words; else second is 0.
-    """
+
+def wide_fingerprint(text: bytes, shingle: int, words: int) -> list[int]:
+    """So many words of 64 bits, independent fingerprints of the set of shingles (repeats left out)."""
+    h, out = np.unique(shingle_hashes(text, shingle)), []
+    for k in range(words):
+        g = h * MORE[k]
+        g ^= g >> np.uint64(29)
+        g *= np.uint64(0xBF58476D1CE4E5B9)
+        out.append(majority(g ^ (g >> np.uint64(32))))
+    return out
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
+    """(id, fp long) for every row; the 64 bits as a signed long. Null and blank texts have 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [x.as_py() or b"" for x in b.column(1)]
-            fps = [fingerprint(t, shingle) if check is None else fingerprint(t, 1, distinct=True) for t in texts]
-            second = [0 if check is None else fingerprint(t, check) for t in texts]
-            yield pa.record_batch([b.column(0), *[pa.array(np.array(x, np.uint64).view(np.int64)) for x in (fps, second)]], names=["id", "fp", "second"])
+            fps = np.array([fingerprint(x.as_py() or b"", shingle) for x in b.column(1)], np.uint64)
+            yield pa.record_batch([b.column(0), pa.array(fps.view(np.int64))], names=["id", "fp"])
 
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t"))
-    return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, fp long, second long")
+    return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, fp long")
 
 
 def segments(m: int) -> list[tuple[int, int]]:
@@ -69,40 +81,39 @@ def segments(m: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
 
 
-def probe_rows(fps: np.ndarray, m: int, distance: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, side, index): side 0 files a fingerprint under each of its segments, side 1 looks up the segments' Hamming balls.
+def probe_rows(fps: np.ndarray, m: int, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, side, index) of rows of fingerprint words: side 0 files a row under each segment of each word, side 1 looks up the segments' Hamming balls.
 
-    Two fingerprints within the distance have a segment that differs in at most distance // m bits. Of two different
-    segment values only the smaller one looks up the other: flips must set the highest bit that they change.
+    Two words within a distance have a segment that differs in at most distance // m bits. Of two different segment
+    values only the smaller one looks up the other: flips must set the highest bit that they change.
     """
-    u, radius, keys, sides, owners = fps.view(np.uint64), distance // m, [], [], []
+    u, keys, sides, owners = fps.view(np.uint64), [], [], []
     every = np.arange(len(u))
-    for j, (shift, width) in enumerate(segments(m)):
-        value = (u >> np.uint64(shift)) & np.uint64((1 << width) - 1)
-        top = np.uint64(j) << np.uint64(58)
-        keys.append(value | top)
-        sides.append(np.zeros(len(u), np.int8))
-        owners.append(every)
-        for r in range(1, radius + 1):
-            for flips in combinations(range(width), r):
-                mask = np.uint64(sum(1 << b for b in flips))
-                up = (value >> np.uint64(flips[-1])) & np.uint64(1) == 0
-                keys.append((value[up] ^ mask) | top)
-                sides.append(np.ones(int(up.sum()), np.int8))
-                owners.append(every[up])
+    for k in range(u.shape[1]):
+        for j, (shift, width) in enumerate(segments(m)):
+            value = (u[:, k] >> np.uint64(shift)) & np.uint64((1 << width) - 1)
+            top = np.uint64(k * m + j) << np.uint64(58)
+            keys.append(value | top)
+            sides.append(np.zeros(len(u), np.int8))
+            owners.append(every)
+            for r in range(1, radius + 1):
+                for flips in combinations(range(width), r):
+                    mask = np.uint64(sum(1 << b for b in flips))
+                    up = (value >> np.uint64(flips[-1])) & np.uint64(1) == 0
+                    keys.append((value[up] ^ mask) | top)
+                    sides.append(np.ones(int(up.sum()), np.int8))
+                    owners.append(every[up])
     return np.concatenate(keys).view(np.int64), np.concatenate(sides), np.concatenate(owners)
 
 
 class Nodes:
-    """Nodes with their fingerprints and second fingerprints, and how far apart linked ones may be in each."""
+    """Nodes with their fingerprints, and how many bits those of linked ones may differ in."""
 
-    def __init__(self, node: np.ndarray, fp: np.ndarray, second: np.ndarray, distance: int, second_distance: int) -> None:
-        self.node, self.fp, self.second = node, fp.view(np.uint64), second.view(np.uint64)
-        self.distance, self.second_distance = distance, second_distance
+    def __init__(self, node: np.ndarray, fp: np.ndarray, distance: int) -> None:
+        self.node, self.fp, self.distance = node, fp.view(np.uint64), distance
 
     def near(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        ok = np.bitwise_count(self.fp[i] ^ self.fp[j]) <= self.distance
-        return ok if self.second_distance >= BITS else ok & (np.bitwise_count(self.second[i] ^ self.second[j]) <= self.second_distance)
+        return np.bitwise_count(self.fp[i] ^ self.fp[j]) <= self.distance
 
     def forest(self, us: list[np.ndarray], vs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         u, v = np.concatenate([self.node[:0], *us]), np.concatenate([self.node[:0], *vs])
@@ -120,26 +131,12 @@ class Nodes:
                 vs.append(v)
         return self.forest(us, vs)
 
-    def cut_again(self, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """As close for one large group: fingerprints within the distance agree in one of distance + 1 segments."""
-        us, vs = [], []
-        for shift, width in segments(self.distance + 1):
-            value = (self.fp[own] >> np.uint64(shift)) & np.uint64((1 << width) - 1)
-            order = np.argsort(value, kind="stable")
-            for part in np.split(own[order], np.flatnonzero(np.diff(value[order])) + 1):
-                if len(part) > 1:
-                    u, v = self.close(part, part)
-                    us.append(u)
-                    vs.append(v)
-        return self.forest(us, vs)
-
-    def link_groups(self, key: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Edges among the rows of equal key (sorted by key and side) that are near; two lookups are no pair."""
-        starts = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1, [len(key)]])
+    def link_groups(self, starts: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Edges among the rows of a group (sorted by side) that are near; two lookups are no pair. starts: of the groups, and the end."""
         sizes = np.diff(starts)
-        small, us, vs = np.repeat(sizes <= 64, sizes), [], []
+        small, group, us, vs = np.repeat(sizes <= 64, sizes), np.repeat(np.arange(len(sizes)), sizes), [], []
         for t in range(1, int(min(64, sizes.max(initial=0)))):
-            i = np.flatnonzero(small[:-t] & (key[:-t] == key[t:]) & (side[:-t] == 0))
+            i = np.flatnonzero(small[:-t] & (group[:-t] == group[t:]) & (side[:-t] == 0))
             if not len(i):
                 break
             i = i[self.near(i, i + t)]
@@ -149,64 +146,99 @@ class Nodes:
             s, e = starts[g], starts[g + 1]
             filed = s + int((side[s:e] == 0).sum())
             if filed > s:
-                u, v = self.close(np.arange(s, filed), np.arange(s, e)) if e - s <= BRUTE else self.cut_again(np.arange(s, e))
+                u, v = self.close(np.arange(s, filed), np.arange(s, e))
                 us.append(u)
                 vs.append(v)
         return self.forest(us, vs)
 
 
-def near_links(nodes: DataFrame, distance: int, m: int, second_distance: int = BITS) -> DataFrame:
-    """Edges (u, v) that connect all nodes (node, fp, second: long) whose fingerprints are near; no group emits all its pairs."""
-    names = ["key", "side", "node", "fp", "second"]
+def hot_keys(nodes: DataFrame, words: int, m: int, hot: int) -> DataFrame:
+    """(hot_key, blocks): segment values under which more than `hot` nodes are filed, and in how many blocks they are cut."""
+    keys = [
+        F.shiftrightunsigned(F.get("fps", F.lit(k)), shift).bitwiseAND((1 << width) - 1).bitwiseOR((k * m + j) << 58) for k in range(words) for j, (shift, width) in enumerate(segments(m))
+    ]
+    return nodes.select(F.explode(F.array(*keys)).alias("hot_key")).groupBy("hot_key").count().where(F.col("count") > hot).select("hot_key", F.ceil(F.col("count") / hot).cast("int").alias("blocks"))
+
+
+def near_links(nodes: DataFrame, distance: int, m: int, words: int = 1, radius: int | None = None, hot: int = HOT) -> DataFrame:
+    """Edges (u, v) that connect nodes (node long, fps array<long>: words of 64 bits) whose first words differ in at most `distance` bits and that a segment brings together.
+
+    With one word and the radius distance // m that is every such pair. More words and any radius bring nodes together as
+    soon as one segment of any word differs in at most radius bits. No group emits all its pairs; a segment value that more
+    than `hot` nodes have is cut in blocks by node, each pair of blocks a group, and lookups go to every block.
+    """
+    if words * m > 32:
+        raise ValueError("more than 32 segments")
+    radius = distance // m if radius is None else radius
+    names = ["key", "side", "node", "fp"]
 
     def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(1, 4096 // words)
         for b in regrouped(batches, 4096):
-            for k in range(0, b.num_rows, 4096):
-                node, fp, second = (c.to_numpy()[k : k + 4096] for c in b.columns)
-                key, side, at = probe_rows(fp, m, distance)
-                yield pa.record_batch([pa.array(x) for x in (key, side, node[at], fp[at], second[at])], names=names)
+            for k in range(0, b.num_rows, step):
+                part = b.slice(k, step)
+                node, fps = part.column(0).to_numpy(), part.column(1).flatten().to_numpy().reshape(-1, words)
+                key, side, at = probe_rows(fps, m, radius)
+                yield pa.record_batch([pa.array(x) for x in (key, side, node[at], fps[at, 0])], names=names)
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, t) for t in (np.int64, np.int8, np.int64, np.int64, np.int64)]
+        held: list[np.ndarray] | None = None
 
         def out(rows: list[np.ndarray]) -> pa.RecordBatch:
-            u, v = Nodes(*rows[2:], distance, second_distance).link_groups(*rows[:2])
+            groups, (side, node, fp) = rows[:-3], rows[-3:]
+            new = np.concatenate([[True], np.any([g[1:] != g[:-1] for g in groups], axis=0)])
+            u, v = Nodes(node, fp, distance).link_groups(np.append(np.flatnonzero(new), len(node)), side)
             return pa.record_batch({"u": u, "v": v})
 
         for b in regrouped(batches, 200_000):
-            held = [np.concatenate([h, b.column(i).to_numpy()]) for i, h in enumerate(held)]
-            cut = int(np.searchsorted(held[0], held[0][-1]))  # the last group may go on
-            yield out([h[:cut] for h in held])
-            held = [h[cut:] for h in held]
-        if len(held[0]):
+            rows = [c.to_numpy() for c in b.columns]
+            held = rows if held is None else [np.concatenate([h, r]) for h, r in zip(held, rows)]
+            cut = int(np.flatnonzero(np.any([g != g[-1] for g in held[:-3]], axis=0))[-1:].sum()) + 1  # the last group may go on
+            if cut > 1:
+                yield out([h[:cut] for h in held])
+                held = [h[cut:] for h in held]
+        if held is not None and len(held[0]):
             yield out(held)
 
-    rows = nodes.select("node", "fp", "second").mapInArrow(probes, "key long, side byte, node long, fp long, second long")
-    return rows.repartition("key").sortWithinPartitions("key", "side", "node").mapInArrow(link, "u long, v long")
+    rows = nodes.select("node", "fps").mapInArrow(probes, "key long, side byte, node long, fp long")
+    keys, found = ["key"], None
+    if nodes.count() > hot:
+        found = materialize(hot_keys(nodes, words, m, hot), "hot")
+        n_hot = found.count()
+        if n_hot:
+            keys = ["key", "i", "j"]
+            rows = rows.join(F.broadcast(found) if n_hot <= BROADCAST_HOT else found, F.col("key") == F.col("hot_key"), "left")
+            blocks = F.coalesce("blocks", F.lit(1))
+            own = F.pmod(F.xxhash64("node"), blocks).cast("int")
+            pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda b: F.struct(F.when(F.col("side") == 0, F.least(own, b)).otherwise(b).alias("i"), F.when(F.col("side") == 0, F.greatest(own, b)).otherwise(b).alias("j")))
+            rows = rows.select(*names, F.explode(pairs).alias("pair")).select("key", "pair.i", "pair.j", "side", "node", "fp")
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "side", "node").mapInArrow(link, "u long, v long")
 
 
-def simhash_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, distance: int = 4, m: int | None = None, check: int | None = None, check_distance: int = BITS) -> DataFrame:
-    """id, fp (signed long), second and component (smallest id reachable by links of at most `distance` differing bits), per row.
+def simhash_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, distance: int = 4, m: int | None = None, hot: int = HOT) -> DataFrame:
+    """id, fp (signed long) and component (smallest id reachable by links of at most `distance` differing bits), per row.
 
     Equal fingerprints are one node; copies are never paired. m: number of segments (by default from the number of nodes).
-    With check, fingerprints of the distinct words are linked, and only if those of the shingles of `check` words differ in
-    at most check_distance bits too; nodes are then named by a 64-bit hash of both. Null ids are kept and never name a
-    component unless it has no other; repeated rows stay.
+    Null ids are kept and never name a component unless it has no other; repeated rows stay.
     """
-    name = F.col("fp") if check is None else F.xxhash64("fp", "second")
-    own = materialize(fingerprints(docs, id_col, text_col, shingle, check).withColumn("node", name), "fp")
-    nodes = materialize(own.groupBy("node", "fp", "second").agg(F.min("id").alias("first")), "nodes")
+    own = materialize(fingerprints(docs, id_col, text_col, shingle), "fp")
+    nodes = materialize(own.groupBy(F.col("fp").alias("node")).agg(F.min("id").alias("first")), "nodes")
     m = m or (max(3, distance // 2 + 1) if nodes.count() < TWO_SEGMENTS_FROM else 2)
-    roots = components(near_links(nodes, distance, m, check_distance))
-    nodes = nodes.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
-    nodes = materialize(nodes, "rooted")
-    names = materialize(nodes.groupBy("root").agg(F.min("first").alias("component")), "names")  # a stored side: a large component's join can be split
-    named = materialize(nodes.join(names, "root").select("node", "component"), "classes")
-    return own.join(named, "node").select(F.col("id").alias(id_col), "fp", "second", "component")
+    roots = components(near_links(nodes.select("node", F.array("node").alias("fps")), distance, m, hot=hot))
+    named = component_names(nodes, roots)
+    return own.join(named, F.col("fp") == F.col("node")).select(F.col("id").alias(id_col), "fp", "component")
+
+
+def component_names(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """(node, component): the smallest id of what roots (node, root) connects; nodes: (node, first). Stored tables, so that a large component's join can be split."""
+    rooted = nodes.select("node", "first").join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
+    rooted = materialize(rooted, "rooted")
+    names = materialize(rooted.groupBy("root").agg(F.min("first").alias("component")), "names")
+    return materialize(rooted.join(names, "root").select("node", "component"), "classes")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: int) -> DataFrame:
-    """docs without near copies: of every component the row with the smallest id stays, one row if that id is repeated.
+    """docs without near copies: of every component of simhash_classes the row with the smallest id stays, one row if that id is repeated.
 
     Rows whose component has no id but null stay.
     """

@@ -40,8 +40,8 @@ def test_fingerprint(text):
     assert simhash.fingerprint(text.encode()) == plain_fingerprint(text)
 
 
-@pytest.mark.parametrize("m", [2, 3, 4])
-def test_near_links_find_every_pair(spark, m):
+@pytest.mark.parametrize(("m", "hot"), [(2, 20_000), (3, 20_000), (4, 20_000), (3, 3)])
+def test_near_links_find_every_pair(spark, m, hot):
     rng = random.Random(m)
     seeds = [rng.getrandbits(64) for _ in range(30)] + [0, 2**64 - 1]
     fps = {}
@@ -51,25 +51,33 @@ def test_near_links_find_every_pair(spark, m):
             fps[len(fps)] = x
             for b in rng.sample(range(64), rng.randint(0, 6)):
                 x ^= 1 << b
-    rows = [(int(np.uint64(x).view(np.int64)),) * 2 + (0,) for x in set(fps.values())]
-    edges = simhash.near_links(spark.createDataFrame(rows, "node long, fp long, second long"), 4, m)
+    rows = [(x, [x]) for x in {int(np.uint64(x).view(np.int64)) for x in fps.values()}]
+    edges = simhash.near_links(spark.createDataFrame(rows, "node long, fps array<long>"), 4, m, hot=hot)
     to_id = {int(np.uint64(x).view(np.int64)): i for i, x in sorted(fps.items(), reverse=True)}
     links = [(to_id[r.u], to_id[r.v]) for r in edges.collect()] + [(i, to_id[int(np.uint64(x).view(np.int64))]) for i, x in fps.items()]
     assert plain_components(fps, links) == plain_classes(fps)
 
 
-def test_large_groups_are_cut_again():
+def test_hot_segments_are_cut_in_blocks(spark):
+    """Fingerprints that share all but a few bits of two segments: one value is held by all."""
     rng = np.random.default_rng(5)
     centre = rng.integers(0, 2**63, dtype=np.int64)
-    flips = np.array([1 << int(b) for b in range(20, 60)], np.int64)
+    flips = np.array([1 << int(b) for b in range(24, 60)], np.int64)
     fps = np.unique(np.concatenate([[centre ^ a ^ b for a in flips for b in flips], rng.integers(0, 2**20, 500) | (1 << 40)]))
-    key, side = np.zeros(len(fps), np.int64), np.zeros(len(fps), np.int8)
-    nodes, every = simhash.Nodes(fps, fps, fps, 4, 64), np.arange(len(fps))
-    brute = nodes.close(every, every)
-    again = nodes.cut_again(every)
-    one = nodes.link_groups(key, side)
-    for u, v in (again, one):
-        assert dict(zip(u.tolist(), v.tolist())) == dict(zip(brute[0].tolist(), brute[1].tolist()))
+    every = np.arange(len(fps))
+    brute = dict(zip(*[x.tolist() for x in simhash.Nodes(fps, fps, 4).close(every, every)]))
+    nodes = spark.createDataFrame([(x, [x]) for x in fps.tolist()], "node long, fps array<long>")
+    for hot in (100, 20_000):
+        if hot == 100:
+            assert simhash.hot_keys(nodes, 1, 3, hot).count() > 0
+        found = {r.node: r.root for r in components(simhash.near_links(nodes, 4, 3, hot=hot)).collect()}
+        assert {k: v for k, v in found.items() if k != v} == brute
+
+
+def test_wide_fingerprints_are_of_the_set(spark):
+    t = b"a b c d a b c d e f"
+    assert simhash.wide_fingerprint(t, 2, 4) == simhash.wide_fingerprint(b"A b  c d a\tb c d a b c d e f", 2, 4)
+    assert len(set(simhash.wide_fingerprint(t, 2, 4))) == 4 and simhash.wide_fingerprint(b"", 2, 2) == [0, 0]
 
 
 def test_classes(spark):
@@ -104,7 +112,7 @@ def test_near_copies_go(spark):
         copies.append(" ".join(ws))
     rows = [*enumerate(texts), *[(100 + i, t) for i, t in enumerate(copies)], (25, texts[25]), (200, "short"), (201, "Short"), (202, None), (None, "alone"), (None, texts[0])]
     docs = spark.createDataFrame([(i, t, 7) for i, t in rows], "doc_id long, text string, component int")
-    out = simhash.drop_near_copies(docs, distance=7, check=5, check_distance=13)
+    out = simhash.drop_near_copies(docs, shingle=1, distance=7)
     assert out.columns == docs.columns
     ids = sorted((r.doc_id for r in out.collect() if r.doc_id is not None))
     assert ids == [*range(30), 200, 202]
