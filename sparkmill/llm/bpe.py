@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -18,11 +19,30 @@ from pyspark.sql import functions as F
 from sparkmill.llm.shared import small_batches
 
 #: Characters of a chunk and of its overlap with the next.
-CHUNK, OVERLAP = 65_536, 1_024
+CHUNK, OVERLAP = 1_024, 64
+#: Chunks that are worked through together where they are read; a text's further ones are dealt over all tasks in runs of so many.
+RUN = 64
 #: A match that ends so near the end of a chunk may look further in the whole text (contractions have up to three characters).
 LOOK = 3
-#: Pieces whose ids a worker remembers at a time.
-CACHE = 200_000
+#: Pieces whose ids a worker remembers at a time, and the longest of them.
+CACHE, CACHED = 200_000, 64
+
+
+class Pieces(dict):
+    """Pre-token -> its ids; the pair of lowest rank is merged until none has a rank. Short ones are remembered."""
+
+    def __init__(self, ranks: dict[bytes, int], merge: Callable[[bytes], list[int]]) -> None:
+        self.ranks, self.merge = ranks, merge
+
+    def __missing__(self, piece: str) -> list[int]:
+        raw = piece.encode("utf-8", "replace")
+        rank = self.ranks.get(raw)
+        ids = [rank] if rank is not None else list(self.merge(raw))
+        if len(self) >= CACHE:
+            self.clear()
+        if len(piece) <= CACHED:
+            self[piece] = ids
+        return ids
 
 
 class Codec:
@@ -31,30 +51,61 @@ class Codec:
     def __init__(self, ranks: bytes, pattern: str) -> None:
         self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in ranks.splitlines() if line)}
         self.pattern = regex.compile(pattern)
-        self.encoding = tiktoken.Encoding("given", pat_str=pattern, mergeable_ranks=self.ranks, special_tokens={})
+        merge = tiktoken.Encoding("given", pat_str=pattern, mergeable_ranks=self.ranks, special_tokens={})._core_bpe.encode_single_piece
+        self.known = Pieces(self.ranks, merge)
         self.bytes_of = {i: b for b, i in self.ranks.items()}
-        self.known: dict[str, list[int]] = {}
-
-    def piece(self, piece: str) -> list[int]:
-        """Ids of one pre-token: the pair of lowest rank is merged until none has a rank."""
-        ids = self.known.get(piece)
-        if ids is None:
-            raw = piece.encode("utf-8", "replace")
-            rank = self.ranks.get(raw)
-            ids = [rank] if rank is not None else list(self.encoding._core_bpe.encode_single_piece(raw))
-            if len(self.known) >= CACHE:
-                self.known.clear()
-            if len(piece) <= 64:
-                self.known[piece] = ids
-        return ids
-
-    def boundaries(self, text: str) -> list[int]:
-        """Starts of the pre-tokens."""
-        return [m.start() for m in self.pattern.finditer(text)]
 
-    def encode(self, text: str) -> list[int]:
-        """Ids of a text that is pre-tokenised as a whole."""
-        return self.encoding.encode_ordinary(text)
+    def cut(self, chunk: str, at: int) -> tuple[list[int], list[str]]:
+        """Starts, counted from `at`, and pre-tokens of a chunk by itself."""
+        if not self.pattern.groups:
+            found = self.pattern.findall(chunk)
+            ends = [*accumulate(map(len, found), initial=at)]
+            if ends[-1] == at + len(chunk):  # matches follow each other without a gap
+                return ends[:-1], found
+        matches = [*self.pattern.finditer(chunk)]
+        return [m.start() + at for m in matches], [m.group() for m in matches]
+
+    def tokenise(self, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> tuple[list[int], list[str]]:
+        """Starts and pre-tokens of a text: of its overlapping chunks each by itself, stitched at the first boundary that neighbours share.
+
+        A match looks only forward, so from a true boundary on, whoever has it cuts as the whole text is cut. Where two
+        chunks share none (a match longer than the overlap), the text is cut on from the last true boundary until it meets
+        one of a later chunk.
+        """
+        cuts = [self.cut(text[s : s + chunk + overlap], s) for s in range(0, len(text), chunk)]
+        starts, pieces, k, at = [], [], 0, 0
+        while k < len(cuts):
+            own, found = cuts[k]
+            if k + 1 == len(cuts):
+                starts += own[at:]
+                pieces += found[at:]
+                break
+            seam, seen = (k + 1) * chunk, min(len(text), (k + 1) * chunk + overlap)
+            sure = own[bisect_left(own, seam) : bisect_right(own, seen if seen == len(text) else seen - LOOK)]
+            x = stitch(sure, cuts[k + 1][0][: overlap + 1])
+            if x is not None:
+                end = bisect_left(own, x)
+                starts += own[at:end]
+                pieces += found[at:end]
+                k, at = k + 1, bisect_left(cuts[k + 1][0], x)
+                continue
+            if at >= len(own):
+                break
+            for m in self.pattern.finditer(text, own[at]):
+                if m.start() >= seam:
+                    k = m.start() // chunk
+                    at = bisect_left(cuts[k][0], m.start())
+                    if at < len(cuts[k][0]) and cuts[k][0][at] == m.start():
+                        break
+                starts.append(m.start())
+                pieces.append(m.group())
+            else:
+                break
+        return starts, pieces
+
+    def ids(self, pieces: list[str]) -> list[int]:
+        """Ids of pre-tokens, each by itself."""
+        return [*chain.from_iterable(map(self.known.__getitem__, pieces))]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -67,8 +118,7 @@ def _codec(ranks: bytes, pattern: str) -> Codec:
 
 def stitch(tail: list[int], head: list[int]) -> int | None:
     """The first boundary that two overlapping chunks share; from there on both are cut alike, as a match looks only forward."""
-    shared = set(tail) & set(head)
-    return min(shared) if shared else None
+    return min(set(tail).intersection(head), default=None)
 
 
 def vocabulary(df: DataFrame, ranks_path: str) -> Broadcast:
@@ -77,15 +127,17 @@ def vocabulary(df: DataFrame, ranks_path: str) -> Broadcast:
         return df.sparkSession.sparkContext.broadcast(f.read())
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP, decoded: bool = False) -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP, run: int = RUN, decoded: bool = False) -> DataFrame:
     """(id, ids array<int>) for every row, with decoded also what decode makes of the ids; a null text has no ids, repeated rows stay, special tokens are ordinary text.
 
-    Texts of up to a chunk are encoded where they are read. Longer ones are cut into overlapping chunks that are dealt over
-    all tasks and pre-tokenised there; neighbours are stitched at the first boundary that both have, each piece between
-    two stitches is encoded by itself, and the ids are put together by document. A document of which two chunks share no
-    boundary (a match longer than the overlap) is pre-tokenised as a whole. Rows are told apart by their place in the scan.
+    Every text is cut into overlapping chunks, which are pre-tokenised each by itself and stitched at the first boundary that
+    neighbours have in common; then each piece is encoded by itself. A text of more than `run` chunks is dealt over all
+    tasks in overlapping runs of so many, which are stitched in the same way and put together by document; one of which two
+    runs share no boundary (a match longer than the overlap) is stitched as a whole. Rows are told apart by their place in the one scan. The pattern's
+    matches must leave no gaps in a text of so many chunks.
     """
     small_batches(docs.sparkSession)
+    span = chunk * run
     vocab = vocabulary(docs, ranks_path)
     base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     kind = dict(base.dtypes)["id"]
@@ -101,30 +153,30 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     def back(codec: Codec, ids: list[list[int]]) -> list[pa.Array]:
         return [pa.array([codec.decode(x) for x in ids], pa.binary())] * decoded
 
-    def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(vocab.value, pattern)
         for b in batches:
             for k in range(0, b.num_rows, 100):  # ids take some ten times the memory of the text
                 part = b.slice(k, 100)
-                ids = [codec.encode(t.as_py()) for t in part.column(1)]
+                ids = [codec.ids(codec.tokenise(t.as_py(), chunk, overlap)[1]) for t in part.column(1)]
                 yield pa.record_batch([part.column(0), lists(ids), *back(codec, ids)], names=names)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row, key, text in zip(*[c.to_pylist() for c in b.columns]):
-                starts = [*range(0, len(text), chunk)]
+                starts = [*range(0, len(text), span)]
                 for k, s in enumerate(starts):
-                    yield pa.record_batch([pa.array([row], pa.int64()), pa.array([key], b.schema.field(1).type), pa.array([k], pa.int32()), pa.array([s == starts[-1]]), pa.array([text[s : s + chunk + overlap]])], names=["row", "id", "k", "last", "t"])
+                    yield pa.record_batch([pa.array([row], pa.int64()), pa.array([key], b.schema.field(1).type), pa.array([k], pa.int32()), pa.array([s == starts[-1]]), pa.array([text[s : s + span + overlap]])], names=["row", "id", "k", "last", "t"])
 
     def pretokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(vocab.value, pattern)
         for b in batches:
             head, tail, bounds = [], [], []
             for k, t in zip(b["k"].to_pylist(), b["t"].to_pylist()):
-                s = np.array(codec.boundaries(t), np.int64)
+                s = np.array(codec.tokenise(t, chunk, overlap)[0], np.int64)
                 # a boundary is sure where the match before it ends early enough to have seen all that it looks at
-                head.append((s[s <= overlap] + k * chunk).tolist())
-                tail.append((s[(s >= chunk) & (s <= len(t) - LOOK)] + k * chunk).tolist())
+                head.append((s[s <= overlap] + k * span).tolist())
+                tail.append((s[(s >= span) & (s <= len(t) - LOOK)] + k * span).tolist())
                 bounds.append(s.tolist())
             yield pa.record_batch([*b.columns, *[pa.array(x, pa.list_(pa.int64())) for x in (head, tail, bounds)]], names=[*b.schema.names, "head", "tail", "bounds"])
 
@@ -135,22 +187,21 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
             for k, t, bounds, begin, end, torn in zip(*[b[c].to_pylist() for c in ("k", "t", "bounds", "begin", "end", "torn")]):
                 own: list[int] = []
                 if not torn:
-                    begin, end = begin - k * chunk, len(t) if end is None else end - k * chunk
+                    begin, end = begin - k * span, len(t) if end is None else end - k * span
                     marks = [x for x in bounds if begin <= x < end] + [end]
-                    for x, y in zip(marks, marks[1:]):
-                        own += codec.piece(t[x:y])
+                    own = codec.ids([t[x:y] for x, y in zip(marks, marks[1:])])
                 ids.append(own)
-                raw.append(t[:chunk] if torn else None)
+                raw.append(t[:span] if torn else None)
             yield pa.record_batch([b["row"], b["id"], b["k"], lists(ids), pa.array(raw, pa.string())], names=["row", "id", "k", "ids", "raw"])
 
     def whole(group: pa.Table) -> pa.Table:
         group = group.sort_by("k")
         raw, codec = group["raw"].to_pylist(), _codec(vocab.value, pattern)
-        ids = list(chain.from_iterable(group["ids"].to_pylist())) if raw[0] is None else codec.encode("".join(raw))
+        ids = list(chain.from_iterable(group["ids"].to_pylist())) if raw[0] is None else codec.ids(codec.tokenise("".join(raw), chunk, overlap)[1])
         return pa.Table.from_arrays([group["id"].slice(0, 1).combine_chunks(), lists([ids]), *back(codec, [ids])], names=names)
 
-    near = base.where(F.length("t") <= chunk).mapInArrow(short, schema)
-    far = base.where(F.length("t") > chunk).select(F.monotonically_increasing_id().alias("row"), "id", "t")
+    here = base.where(F.length("t") <= span).mapInArrow(near, schema)
+    far = base.where(F.length("t") > span).select(F.monotonically_increasing_id().alias("row"), "id", "t")
     far = far.mapInArrow(cut, f"row long, id {kind}, k int, last boolean, t string").repartition("row", "k")
     far = far.mapInArrow(pretokenise, f"row long, id {kind}, k int, last boolean, t string, head array<bigint>, tail array<bigint>, bounds array<bigint>")
     order = Window.partitionBy("row").orderBy("k")
@@ -158,7 +209,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     far = far.withColumn("begin", F.coalesce(F.lag("end").over(order), F.lit(0))).withColumn("torn", F.max(F.col("end").isNull() & ~F.col("last")).over(Window.partitionBy("row")))
     far = far.repartition("row", "k").mapInArrow(pieces, f"row long, id {kind}, k int, ids array<int>, raw string")
     far = far.groupBy("row").applyInArrow(whole, schema)
-    return near.unionByName(far).withColumnRenamed("id", id_col)
+    return here.unionByName(far).withColumnRenamed("id", id_col)
 
 
 def decode(encoded: DataFrame, ranks_path: str, pattern: str, ids_col: str = "ids") -> DataFrame:

@@ -4,6 +4,8 @@ import random
 import public_tokenizers
 import pytest
 import tiktoken
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from sparkmill.llm import bpe
 
@@ -24,13 +26,13 @@ def hard_texts():
     return texts + ["".join(rng.choice(alphabet) for _ in range(rng.randint(1, 400))) for _ in range(80)]
 
 
-@pytest.mark.parametrize(("chunk", "overlap"), [(bpe.CHUNK, bpe.OVERLAP), (40, 16), (64, 63)])
-def test_encode_equals_tiktoken(spark, truth, chunk, overlap):
+@pytest.mark.parametrize(("chunk", "overlap", "run"), [(bpe.CHUNK, bpe.OVERLAP, bpe.RUN), (40, 16, 1), (64, 63, 2), (10, 6, 64), (20, 3, 4)])
+def test_encode_equals_tiktoken(spark, truth, chunk, overlap, run):
     texts = hard_texts()
     rows = [(i, t, 0, 1, "x") for i, t in enumerate(texts)] + [(8, texts[8], 0, 1, "x"), (None, "null id", 0, 1, "x")]
     docs = spark.createDataFrame(rows, SCHEMA)
-    out = bpe.decode(bpe.encode(docs, RANKS, PATTERN, chunk=chunk, overlap=overlap), RANKS, PATTERN).collect()
-    both = bpe.encode(docs, RANKS, PATTERN, chunk=chunk, overlap=overlap, decoded=True).collect()
+    out = bpe.decode(bpe.encode(docs, RANKS, PATTERN, chunk=chunk, overlap=overlap, run=run), RANKS, PATTERN).collect()
+    both = bpe.encode(docs, RANKS, PATTERN, chunk=chunk, overlap=overlap, run=run, decoded=True).collect()
     assert sorted(map(str, both)) == sorted(map(str, out))
     assert len(out) == len(rows)
     by_id = dict([*enumerate(texts), (None, "null id")])
@@ -50,6 +52,29 @@ def test_one_long_piece(spark, truth):
     assert row.ids == truth.encode_ordinary(text)
 
 
+def test_texts_of_the_corpus_have_several_chunks(spark, truth):
+    """At the sizes of production, on real texts: most are cut, none into runs; and one so long that it is dealt in runs."""
+    rows = [r for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    assert sum(len(r.text or "") > bpe.CHUNK for r in rows) > len(rows) / 2
+    long = " ".join(r.text for r in rows[:200] if r.text)
+    assert len(long) > 3 * bpe.CHUNK * bpe.RUN
+    texts = {r.doc_id: r.text for r in rows} | {-1: long, -2: long[:200_000] + "\n" * 100_000 + long}
+    out = bpe.encode(spark.createDataFrame([*texts.items()], "doc_id long, text string"), RANKS, PATTERN, decoded=True).collect()
+    assert len(out) == len(texts)
+    for r in out:
+        assert r.ids == truth.encode_ordinary(texts[r.doc_id] or "") and bytes(r.decoded) == (texts[r.doc_id] or "").encode()
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="ab é's  \n\t1!漢re", max_size=120), st.integers(1, 30), st.integers(0, 20))
+def test_chunks_are_stitched(text, chunk, overlap):
+    with open(RANKS, "rb") as f:
+        codec = bpe._codec(f.read(), PATTERN)
+    starts, pieces = codec.tokenise(text, chunk, overlap)
+    whole = [*codec.pattern.finditer(text)]
+    assert starts == [m.start() for m in whole] and pieces == [m.group() for m in whole]
+
+
 def test_stitch_takes_the_first_shared_boundary():
     assert bpe.stitch([100, 104, 110], [102, 104, 110]) == 104
     assert bpe.stitch([100], [101]) is None
