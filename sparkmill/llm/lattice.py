@@ -22,6 +22,10 @@ LONGEST = 16
 #: Words longer than this many bytes go through the recursion one at a time.
 BATCHED = 48
 EM_ROUNDS = 1
+#: Pseudo-counts for each piece, on average, that re-estimation adds: they are shared out by the weights of the existing scores.
+PRIOR = 0.1
+#: Bytes of a word that may go to every worker.
+HEAD_BYTES = 64
 #: Words that a worker sorts by length together.
 LATTICE_WORDS = 40_000
 LN10 = float(np.log(10))
@@ -208,9 +212,9 @@ def score_texts(docs: DataFrame, model_file: str, held_out: Column, id_col: str
 
     score: words are generated as sequences of vocabulary pieces and a text ends by an end token; the probability of a
     word is the sum over all its segmentations. The existing vocabulary's scores weight the pieces at first; expected counts
-    over all training words then re-estimate the weights. A word's probability is worked out once, in the table of all
-    different words. Words that make up at least 1 / HEAD of all tokens, so at most HEAD of them, go to every worker; the
-    others are joined by a shuffle. A null text has the end token only; repeated rows stay.
+    over all training words then re-estimate the weights, with the first weights as their prior. A word's probability is
+    worked out once, in the table of all different words. Words of up to HEAD_BYTES that make up at least 1 / HEAD of all
+    tokens, so at most HEAD of them, go to every worker; the others are joined by a shuffle. A null text has the end token only; repeated rows stay.
     """
     pieces = Pieces(model_file)
     spark = docs.sparkSession
@@ -234,7 +238,7 @@ def score_texts(docs: DataFrame, model_file: str, held_out: Column, id_col: str
             yield pa.record_batch({"piece": pa.array(hit.astype(np.int32)), "n": pa.array(total[hit])})
 
         learned = counts.where("c > 0 and octet_length(word) > 0").select("word", "c").mapInArrow(estimate, "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n")).toArrow()
-        weight = np.full(len(log_p), 0.1)  # what no training word uses keeps a little weight
+        weight = PRIOR * len(log_p) * 2 * np.exp(pieces.log_p)  # what no training word uses keeps some of its own weight
         weight[learned["piece"].to_numpy()] += learned["n"].to_numpy()
         total = weight.sum() + ends + 0.1
         log_p, end_p = np.log(weight / total), float(np.log((ends + 0.1) / total))
@@ -250,7 +254,7 @@ def score_texts(docs: DataFrame, model_file: str, held_out: Column, id_col: str
             yield pa.record_batch([b.column(0), b.column(1), b.column(2), pa.array(np.log10(c + 0.1) - base_den), pa.array(lp)], names=["word", "c", "a", "base", "lp"])
 
     words = materialize(counts.mapInArrow(model, "word binary, c long, a long, base double, lp double"), "model")
-    head_rows = words.where((F.col("a") * HEAD >= every) | (F.octet_length("word") == 0)).toArrow()
+    head_rows = words.where(((F.col("a") * HEAD >= every) & (F.octet_length("word") <= HEAD_BYTES)) | (F.octet_length("word") == 0)).toArrow()
     head = spark.sparkContext.broadcast({w: (int(c > 0), x, y) for w, c, x, y in zip(*[head_rows[k].to_pylist() for k in ("word", "c", "base", "lp")])})
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), held_out.alias("held_out"), F.coalesce(F.col(text_col).cast("binary"), F.lit("").cast("binary")).alias("t"))

@@ -110,6 +110,52 @@ def test_scores(spark, monkeypatch, head):
             assert r.score == pytest.approx(test_scores.few[str(r.doc_id), r.n_tokens])
 
 
+def segmentations(word, table):
+    """(pieces, weight) of every segmentation, one by one."""
+    word = b" " + word
+    for cuts in product([0, 1], repeat=len(word) - 1):
+        marks = [0, *(i + 1 for i, c in enumerate(cuts) if c), len(word)]
+        parts = [word[a:b] for a, b in zip(marks, marks[1:])]
+        if all(p in table for p in parts):
+            yield parts, math.prod(table[p] for p in parts)
+
+
+@pytest.mark.parametrize("rounds", [0, 1, 2])
+def test_scores_equal_brute_force(spark, pieces, rounds):
+    rng = random.Random(9)
+    words = ["".join(rng.choices("etaoinshr\u00e9", k=rng.randint(1, 7))) for _ in range(60)]
+    rows = [(i, " ".join(rng.choices(words, k=rng.randint(0, 25)))) for i in range(40)] + [(90, None), (91, "unseen Words here")]
+    import zlib
+
+    held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
+    train = Counter(w for i, t in rows if not held(i) for w in lattice.words_of((t or "").encode()))
+    ends = sum(not held(i) for i, _ in rows)
+    table = dict(zip(pieces.pieces, np.exp(pieces.log_p).tolist()))
+    prior, end = {p: lattice.PRIOR * len(table) * 2 * x for p, x in table.items()}, 0.5
+    for _ in range(rounds):
+        count = dict(prior)
+        for w, c in train.items():
+            found = [*segmentations(w, table)]
+            for parts, x in found:
+                for p in parts:
+                    count[p] += c * x / sum(y for _, y in found)
+        total = sum(count.values()) + ends + 0.1
+        table, end = {p: x / total for p, x in count.items()}, (ends + 0.1) / total
+    out = lattice.score_texts(spark.createDataFrame([(i, t, 1, "x") for i, t in rows], SCHEMA), MODEL, held_out(), rounds=rounds).collect()
+    assert len(out) == len(rows)
+    for r in out:
+        ws = lattice.words_of((dict(rows)[r.doc_id] or "").encode())
+        want = sum(math.log10(sum(x for _, x in segmentations(w, table))) for w in ws) + math.log10(end)
+        assert r.score == pytest.approx(want, rel=1e-6)
+
+
+def test_a_very_long_text_and_very_long_words(spark):
+    rows = [(1, "w" * 5000 + " and " * 50_000), (2, "v" * 70), (3, "and")]
+    out = {r.doc_id: r for r in lattice.score_texts(spark.createDataFrame([(i, t, 1, "x") for i, t in rows], SCHEMA), MODEL, F.lit(False)).collect()}
+    assert [out[i].n_tokens for i in (1, 2, 3)] == [50_002, 2, 2] and all(r.n_known == r.n_tokens for r in out.values())
+    assert -math.inf < out[1].score < out[2].score < out[3].score < 0
+
+
 def test_learning_helps_and_is_bounded(spark):
     docs = spark.createDataFrame([(i, t, 1, "x") for i, t in corpus()], SCHEMA)
     total = lambda k: sum(r.score for r in lattice.score_texts(docs, MODEL, held_out(), rounds=k).collect() if not r.held_out)
