@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -20,8 +20,8 @@ GRAM = 50
 TILE = 1 << 20
 #: Contexts of a task that sorts suffixes, on average.
 BUCKET = 10_000
-#: A gram with more contexts than this is cut by salt first, and what its parts have not matched is matched by window.
-HOT = 50_000
+#: A gram with more contexts than this is lengthened by content until its groups are smaller.
+HOT = 10_000
 #: An odd base of the polynomial gram hash (a fixed value).
 BASE = 0x9E3779B97F4A7C15
 
@@ -198,8 +198,7 @@ def repeat_extents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Every string of min_len bytes holds an anchor: the least hash among its grams, which depends on the string alone. So
     equal strings have anchors of equal gram h, and the context c (what can share a string of min_len with the anchor) says
     what repeats. Contexts that occur twice are settled by their count; of each distinct one a single copy goes to the
-    suffix array of its gram's bucket. A gram of more than `hot` distinct contexts is dealt by salt; its parts report the
-    windows that they have not settled, which are then counted by content.
+    suffix array of its gram's bucket. A gram of more than `hot` distinct contexts is lengthened by content first (lengthened).
     """
     small_batches(docs.sparkSession)
     find = Anchors(min_len, gram)
@@ -260,47 +259,87 @@ def repeat_extents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     parts = cut.mapInArrow(context, "h long, c long, l binary, r binary")
 
     def settle(group: pa.Table) -> pa.Table:
-        rows = {(h, c): (left, right) for h, c, left, right in zip(*[group[x].to_pylist() for x in ("h", "c", "l", "r")])}
-        keys = [*rows]
-        _, g = np.unique(np.array([h for h, _ in keys], np.int64), return_inverse=True)
-        left, right, of = repeats(g, [x for x, _ in rows.values()], [y for _, y in rows.values()], min_len, gram)
+        rows = {(s, c): (h, left, right) for s, h, c, left, right in zip(*[group[x].to_pylist() for x in ("s", "h", "c", "l", "r")])}
+        keys, values = [*rows], [*rows.values()]
+        _, g = np.unique(np.array([s for s, _ in keys], np.int64), return_inverse=True)
+        left, right, of = repeats(g, [x for _, x, _ in values], [y for _, _, y in values], min_len, gram)
         hit = np.flatnonzero(left + right)
-        h, c = (np.array([k[i] for k in keys], np.int64) for i in (0, 1))
+        h, c = np.array([v[0] for v in values], np.int64), np.array([k[1] for k in keys], np.int64)
         return pa.table({"h": h[hit], "c": c[hit], "l": left[hit].astype(np.int32), "r": right[hit].astype(np.int32), "g": c[of[hit]]})
 
     schema = "h long, c long, l int, r int, g long"
-    if largest <= hot:
-        settled = parts.withColumn("bucket", F.pmod("h", F.lit(buckets))).groupBy("bucket").applyInArrow(settle, schema)
-    else:
-        parts = materialize(parts.join(sizes.where(F.col("m") > hot).select("h", F.lit(True).alias("many")), "h", "left"), "parts")
-        salt = F.when(F.col("many"), F.pmod("c", F.lit(-(-2 * largest // hot)))).otherwise(-1)
-        settled = parts.withColumn("salt", salt).withColumn("bucket", F.when(F.col("many"), F.col("h")).otherwise(F.pmod("h", F.lit(buckets)))).groupBy("bucket", "salt").applyInArrow(settle, schema)
-        settled = settled.unionByName(_by_window(parts.where("many"), min_len, gram))
+    parts, alike = parts.withColumn("s", F.col("h")), None
+    if largest > hot:
+        parts = materialize(parts, "parts")
+        many = sizes.where(F.col("m") > hot).select("h")
+        groups, alike = lengthened(parts.join(many, "h", "left_semi").drop("s"), min_len, gram, hot)
+        own = parts.join(many, "h", "left_semi").drop("s").join(groups, ["h", "c"])
+        parts = parts.join(many, "h", "left_anti").unionByName(own)
+        buckets += -(-groups.count() // bucket)
+    settled = parts.withColumn("bucket", F.pmod("s", F.lit(buckets))).groupBy("bucket").applyInArrow(settle, schema)
+    settled = settled if alike is None else settled.unionByName(alike)
     settled = materialize(settled.groupBy("h", "c").agg(F.max("l").alias("l"), F.max("r").alias("r"), F.min("g").alias("g")), "settled")
     copied = contexts.where("n > 1").select("h", "c", F.lit(wide).alias("l"), F.lit(min_len).alias("r"), F.col("c").alias("g"))
     extents = settled.unionByName(copied).groupBy("h", "c").agg(F.max("l").alias("l"), F.max("r").alias("r"), F.min("g").alias("g"))
     return found.select("id", "x", "pos", "h", "c"), materialize(extents, "extents")
 
 
-def _by_window(parts: DataFrame, min_len: int, gram: int) -> DataFrame:
-    """Extents in grams with very many contexts: every window of min_len bytes is counted by its content, partly before the shuffle."""
+def lengthened(parts: DataFrame, min_len: int, gram: int, hot: int) -> tuple[DataFrame, DataFrame]:
+    """Groups of at most `hot` contexts (h, c, s) of grams that more have, and extents (h, c, l, r, g) of contexts that share a whole string.
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for h, c, left, right in zip(*[b[x].to_pylist() for x in ("h", "c", "l", "r")]):
-                t, at = left + right, len(left)
-                out = [(h, xxhash.xxh3_128_digest(t[s : s + min_len]), c, at - s) for s in range(len(t) - min_len + 1)]
-                yield _batch(out, [pa.int64(), pa.binary(), pa.int64(), pa.int32()], ["h", "w", "c", "l"])
-
-    every = parts.mapInArrow(windows, "h long, w binary, c long, l int")
-    both = materialize(every.groupBy("h", "w").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b").select("h", "w", F.col("a").alias("g")), "windows")
-    return every.join(both, ["h", "w"]).groupBy("h", "c").agg(F.max("l").alias("l"), F.max(min_len - F.col("l")).alias("r"), F.min("g").alias("g"))
+    parts: (h, c, l, r). Two contexts that have a string of min_len around a window of w bytes in common, have the window
+    in common with half of the missing bytes more on its left or on its right. So every group that is still too large goes on with both
+    longer windows, by their content, and no match is lost; one context may be in several groups. At min_len the window
+    itself is the repeated string, and its members need no sorting.
+    """
+    def windows(width: int, more: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                out: list[tuple] = []
+                for h, c, left, right, reach in zip(*[b[x].to_pylist() for x in ("h", "c", "l", "r", "reach")]):
+                    for a in {y for x in reach for y in (x, x + more)}:
+                        if a <= len(left) and width - a <= len(right):
+                            out.append((h, c, a, xxhash.xxh3_64_intdigest(left[len(left) - a :] + right[: width - a]) - (1 << 63)))
+                yield _batch(out, [pa.int64(), pa.int64(), pa.int32(), pa.int64()], ["h", "c", "a", "k"])
+
+        return run
+
+    width, small, reach = gram, [], parts.withColumn("reach", F.array(F.lit(0)))
+    while True:
+        more = -(-(min_len - width) // 2)
+        width += more
+        last = width == min_len
+        every = materialize(reach.mapInArrow(windows(width, more), "h long, c long, a int, k long"), "windows")
+        sizes = every.groupBy("h", "a", "k").agg(F.count(F.lit(1)).alias("m"), F.min("c").alias("g")).where("m > 1")
+        sizes = materialize(sizes, "window-sizes")
+        large = (F.col("m") > hot) | F.lit(last)
+        small.append(every.join(sizes.where(~large), ["h", "a", "k"]).select("h", "c", F.xxhash64(F.lit(width), "h", "a", "k").alias("s")))
+        rest = every.join(sizes.where(large), ["h", "a", "k"])
+        if last or sizes.where(large).limit(1).count() == 0:
+            break
+        reach = parts.join(rest.groupBy("h", "c").agg(F.collect_list("a").alias("reach")), ["h", "c"])
+    groups = small[0]
+    for x in small[1:]:
+        groups = groups.unionByName(x)
+    alike = rest.select("h", "c", F.col("a").alias("l"), (min_len - F.col("a")).alias("r"), "g")
+    return materialize(groups, "groups"), alike.where(F.lit(last))
 
 
 def _batch(rows: list[tuple], types: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
     return pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
 
 
+def repeat_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_len: int = 400, **options: int) -> DataFrame:
+    """(gram, group, id, start, end): every occurrence of every maximal repeat group, not only neighbours in suffix order.
+
+    An occurrence is the widest run about one anchor, up to min_len to its right and what a string of min_len leaves to its
+    left, that occurs again. Longer repeats have several anchors. Null texts have none; repeated rows are occurrences of their own.
+    """
+    found, extents = repeat_extents(docs, id_col, text_col, min_len, **options)
+    rows = found.join(extents, ["h", "c"]).select(F.col("h").alias("gram"), F.col("g").alias("group"), F.col("id").alias(id_col), F.explode("pos").alias("pos"), "l", "r")
+    return rows.select("gram", "group", id_col, (F.col("pos") - F.col("l")).alias("start"), (F.col("pos") + F.col("r")).alias("end"))
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_len: int = 400, carry: Sequence[str] = (), as_text: bool = False, **options: int) -> DataFrame:
     """id, the columns named in carry, n_bytes, spans (start, end of the maximal removed runs), kept (remaining bytes) for every row of docs.
 

@@ -56,6 +56,52 @@ def test_removes_what_counting_windows_removes(spark, seed, n, gram, hot):
     assert all(r.n_bytes == sum(s.end - s.start for s in r.spans) + len(r.kept) for r in out)
 
 
+@pytest.mark.parametrize("hot", [5, 30, 10_000])
+def test_hot_grams_are_lengthened(spark, monkeypatch, hot):
+    """One passage in very many texts, whole, in part, with unequal surroundings: all its contexts have one gram."""
+    rng = random.Random(12)
+    word = lambda k: "".join(rng.choice("abcdefgh ") for _ in range(k))
+    passage, texts = word(90), []
+    for i in range(80):
+        s, e = (0, 90) if i % 3 == 0 else (rng.randint(0, 40), rng.randint(50, 90))
+        texts.append(word(rng.randint(0, 60)) + passage[s:e] + word(rng.randint(0, 60)))
+    seen = []
+    plainly = suffix.lengthened
+    monkeypatch.setattr(suffix, "lengthened", lambda *x: seen.append(plainly(*x)) or seen[-1])
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    out = {r.doc_id: r for r in suffix.remove_repeats(docs, min_len=40, gram=10, bucket=40, hot=hot).collect()}
+    for i, (runs, kept) in enumerate(plain(texts, 40)):
+        assert [(s.start, s.end) for s in out[i].spans] == runs and bytes(out[i].kept) == kept
+    assert bool(seen) == (hot < 80)
+    if hot == 30:  # groups below the bound go through the interval tree
+        sizes = [r["count"] for r in seen[0][0].groupBy("s").count().collect()]
+        assert sizes and max(sizes) <= hot
+
+
+def test_a_text_longer_than_a_tile(spark, monkeypatch):
+    rng = random.Random(13)
+    word = lambda k: "".join(rng.choices("abcdefghijkl \n", k=k))
+    passage = word(700)
+    long = word(600_000) + passage + word(700_000) + passage[100:] + word(1000)
+    docs = spark.createDataFrame([(1, long), (2, word(500) + passage[:450]), (3, word(3000))], "doc_id long, text string")
+    out = {r.doc_id: [(s.start, s.end) for s in r.spans] for r in suffix.remove_repeats(docs).collect()}
+    assert out[1] == [(600_000, 600_700), (1_300_700, 1_301_300)] and out[2] == [(500, 950)] and out[3] == []
+
+
+def test_groups_have_all_occurrences(spark):
+    rng = random.Random(14)
+    word = lambda k: "".join(rng.choice("abcdefgh") for _ in range(k))
+    passage = word(60)
+    docs = spark.createDataFrame([(i, word(40) + passage + word(50)) for i in range(12)] + [(99, None)], "doc_id long, text string")
+    rows = suffix.repeat_groups(docs, min_len=50, gram=20).collect()
+    places = {}
+    for r in rows:
+        places.setdefault((r.gram, r.group), set()).add(r.doc_id)
+        assert r.end - r.start >= 50 and r.start <= 50 and r.end >= 90
+    assert rows and all(x == {*range(12)} for x in places.values())
+    assert min(r.start for r in rows) <= 40 and max(r.end for r in rows) >= 100
+
+
 def test_tiles_choose_the_same_anchors():
     rng = np.random.default_rng(1)
     buf = rng.integers(97, 103, 30_000, dtype=np.uint8)
