@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkmill.llm.shared import small_batches
+from sparkmill.llm.shared import materialize, small_batches
 
 #: The bounded sample that is trained on: at most so many labelled rows, those of least seeded hash, and so many pairs.
 MAX_ROWS, MAX_PAIRS = 20_000, 60_000
@@ -100,9 +100,10 @@ class Ranker:
         name = "score"
         while name in docs.columns:
             name += "_"
-        scores = self.add_score(docs.select(text_col), text_col, "s").agg(F.percentile_approx("s", F.lit(quantile), F.lit(10_000))).first()[0]
-        bar = min(ceiling, 0.0 if scores is None else scores)
-        return self.add_score(docs, text_col, name).where(F.col(name) >= F.lit(bar)).drop(name)
+        scored = materialize(self.add_score(docs, text_col, name), "scored")  # features are worked out once
+        found = scored.agg(F.percentile_approx(name, F.lit(quantile), F.lit(10_000))).first()[0]
+        bar = min(ceiling, 0.0 if found is None else found)
+        return scored.where(F.col(name) >= F.lit(bar)).drop(name)
 
 
 def preference_pairs(good: int, bad: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
@@ -135,21 +136,22 @@ def fit(x: np.ndarray, y: np.ndarray) -> Ranker:
 def train_ranker(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = MAX_ROWS) -> Ranker:
     """Train on at most max_rows labelled documents (those whose ids have the least seeded hash), the features of whole texts.
 
-    Null labels are left out; a document that is labelled more than once has the majority's label. The sampled ids, at
-    most max_rows of them, are broadcast; what reaches the driver is a feature row for each.
+    Null labels are left out; a document that is labelled more than once has the majority's label, and of the rows that
+    repeat a doc_id with different texts the one with the least hash is used. The sampled ids, at most max_rows of them,
+    are broadcast; what reaches the driver is a feature row for each.
     """
     picked = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("key")).agg((F.avg(F.col(label_col).cast("double")) >= 0.5).cast("int").alias("y"))
     picked = picked.orderBy(F.xxhash64(F.lit(SEED), "key"), "key").limit(max_rows)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
-    rows = texts.join(F.broadcast(picked), F.col("id") == F.col("key")).select("key", "t", "y")
+    rows = texts.join(F.broadcast(picked), F.col("id") == F.col("key")).select("key", "t", "y", F.xxhash64("t").alias("x"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part in (b.slice(k, 1000) for k in range(0, b.num_rows, 1000)):
                 x = [features(t.as_py()).tolist() for t in part.column(1)]
-                yield pa.record_batch([part.column(0), part.column(2), pa.array(x, pa.list_(pa.float64()))], names=["key", "y", "x"])
+                yield pa.record_batch([part.column(0), part.column(2), part.column(3), pa.array(x, pa.list_(pa.float64()))], names=["key", "y", "hash", "x"])
 
     kind = dict(rows.dtypes)["key"]
-    found = rows.mapInArrow(run, f"key {kind}, y int, x array<double>").dropDuplicates(["key"]).toArrow().sort_by("key")
+    found = rows.mapInArrow(run, f"key {kind}, y int, hash long, x array<double>").groupBy("key").agg(F.min(F.struct("hash", "y", "x")).alias("one")).select("key", "one.y", "one.x").toArrow().sort_by("key")
     x = np.array(found["x"].to_pylist()).reshape(-1, len(NAMES))
     return fit(x, found["y"].to_numpy())

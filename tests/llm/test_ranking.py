@@ -38,6 +38,68 @@ def test_held_out_accuracy(spark):
     assert np.allclose(again.weights, ranker.weights) and again.offset == pytest.approx(ranker.offset)
 
 
+def test_scores_equal_a_plain_version(spark):
+    """The whole query on real documents: features one by one, pairwise loss and calibration minimised by a library-free descent."""
+    import zlib
+
+    from sparkmill.llm import queries
+
+    d = "/root/testdata/sf0.001"
+    out = {r.doc_id: r for r in queries.op5_quality(spark, d).collect()}
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    truth = {r.doc_id: r.quality for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
+    held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    ids = sorted(i for i in texts if i in truth and not held(i))
+    x, y = np.array([ranking.features(texts[i]) for i in ids]), np.array([truth[i] for i in ids])
+    mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-6
+    z = ranking.expand((x - mean) / scale)
+    good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
+    p, q = ranking.preference_pairs(len(good), len(bad), np.random.default_rng(ranking.SEED))
+    diff = z[good[p]] - z[bad[q]]
+
+    def descend(loss_x, loss_y, ridge):
+        """Accelerated gradient steps until nothing moves."""
+        w = v = np.zeros(loss_x.shape[1])
+        step = 1 / (np.linalg.norm(loss_x, 2) ** 2 / 4 + ridge)
+        for k in range(200_000):
+            grad = loss_x.T @ (1 / (1 + np.exp(-(loss_x @ v))) - loss_y) + ridge * v
+            new = v - step * grad
+            if k % 50 == 0 and np.abs(grad).max() < 1e-6:
+                break
+            v, w = new + k / (k + 3) * (new - w), new
+        return v
+
+    weights = descend(diff, np.ones(len(p)), len(p) / 2_000)
+    raw = z @ weights
+    spread = raw.std() + 1e-9
+    slope, offset = descend(np.column_stack([raw / spread, np.ones(len(raw))]), y.astype(float), 1e-3)
+    assert len(out) == len(texts)
+    for i, t in texts.items():
+        f = ranking.expand((ranking.features(t)[None] - mean) / scale) @ weights
+        score = float(1 / (1 + np.exp(-np.clip(slope / spread * f[0] + offset, -30, 30))))
+        assert out[i].held_out == held(i) and out[i].score == pytest.approx(score, abs=2e-3)
+        assert out[i].predicted == int(out[i].score >= 0.7)
+
+
+def test_held_out_documents(spark):
+    from sparkmill.llm import queries
+
+    d = "/root/testdata/sf0.01"
+    truth = {r.doc_id: r.quality for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
+    rows = [(r.score, truth[r.doc_id]) for r in queries.op5_quality(spark, d).collect() if r.held_out and truth.get(r.doc_id) is not None]
+    good, bad = ([s for s, q in rows if q == k] for k in (1, 0))
+    assert len(good) > 50 and len(bad) > 5
+    assert np.mean([(s >= 0.7) == bool(q) for s, q in rows]) >= 0.97
+    assert np.mean([a > b for a in good for b in bad]) >= 0.99
+
+
+def test_a_repeated_id_with_unequal_texts(spark):
+    docs, labels = corpus(100, 4)
+    rows = [*docs, (7, "another text entirely", 0.5, "x")]
+    one, two = (ranking.train_ranker(spark.createDataFrame(r, DOCS), spark.createDataFrame(labels, LABELS)) for r in (rows, rows[::-1]))
+    assert np.allclose(one.weights, two.weights)
+
+
 def test_keeps_rows_above_the_quantile(spark):
     docs, labels = corpus(200, 2)
     d = spark.createDataFrame(docs, DOCS)
