@@ -340,19 +340,31 @@ def repeat_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return rows.select("gram", "group", id_col, (F.col("pos") - F.col("l")).alias("start"), (F.col("pos") + F.col("r")).alias("end"))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_len: int = 400, carry: Sequence[str] = (), as_text: bool = False, **options: int) -> DataFrame:
-    """id, the columns named in carry, n_bytes, spans (start, end of the maximal removed runs), kept (remaining bytes) for every row of docs.
+def whole_words(text: bytes, start: int, end: int) -> int:
+    """Words of the text that lie wholly within a run."""
+    run = text[start:end]
+    n = len(run.split())
+    if n and start and not text[start - 1 : start].isspace() and not run[:1].isspace():
+        n -= 1
+    if n and not text[end : end + 1].isspace() and end < len(text) and not run[-1:].isspace():
+        n -= 1
+    return n
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_len: int = 400, min_words: int = 0, whole_rows: bool = False, as_text: bool = False, **options: int) -> DataFrame:
+    """id, n_bytes, spans (start, end of the maximal removed runs), kept (remaining bytes) for every row of docs; with whole_rows also `row`, a struct of all columns of docs.
 
     A byte goes if a string of min_len bytes that covers it also starts anywhere else, in the same document or another, as
-    the input stands. as_text: kept is text, without characters of which only a part remains. Null texts are empty; repeated rows are documents of their own and remove each other.
+    the input stands. min_words: only runs of at least so many whole words go. as_text: kept is text, without characters of
+    which only a part remains. Null texts are empty; repeated rows are documents of their own and remove each other.
     """
     found, extents = repeat_extents(docs, id_col, text_col, min_len, **options)
     own = F.transform("pos", lambda p: F.struct((p - F.col("l")).alias("s"), (p + F.col("r")).alias("e")))
     spans = found.join(extents, ["h", "c"]).select(F.col("id").alias("rid"), F.col("x").alias("rx"), own.alias("own"))
     spans = spans.groupBy("rid", "rx").agg(F.flatten(F.collect_list("own")).alias("spans"))
     text = F.coalesce(F.col(text_col).cast("binary"), F.lit("").cast("binary"))
-    base = docs.select(F.col(id_col).alias("id"), text.alias("t"), F.struct(F.lit(0), *carry).alias("rest")).select("id", F.xxhash64("t").alias("x"), "t", "rest")
-    kind, rest = (dict(base.dtypes)[c] for c in ("id", "rest"))
+    base = docs.select(F.col(id_col).alias("id"), text.alias("t"), (F.struct("*") if whole_rows else F.struct(F.lit(0))).alias("row")).select("id", F.xxhash64("t").alias("x"), "t", "row")
+    kind, row = (dict(base.dtypes)[c] for c in ("id", "row"))
     pieces = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -365,12 +377,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                         runs[-1]["end"] = max(e, runs[-1]["end"])
                     else:
                         runs.append({"start": s, "end": e})
+                if min_words:
+                    runs = [r for r in runs if whole_words(t, r["start"], r["end"]) >= min_words]
                 marks = [0, *(m for r in runs for m in (r["start"], r["end"])), len(t)]
                 rest = b"".join(t[x:y] for x, y in zip(marks[::2], marks[1::2])) if runs else t
                 kept.append(rest.decode("utf-8", "ignore") if as_text else rest)
                 gone.append(runs)
-            yield pa.record_batch([b.column(0), pa.array(gone, pieces), pa.array(kept, pa.string() if as_text else pa.binary()), b.column(3), b.column(4)], names=["id", "spans", "kept", "n_bytes", "rest"])
+            yield pa.record_batch([b.column(0), pa.array(gone, pieces), pa.array(kept, pa.string() if as_text else pa.binary()), b.column(3), b.column(4)], names=["id", "spans", "kept", "n_bytes", "row"])
 
-    rows = base.join(spans, _same(base, spans), "left").select("id", "t", "spans", F.octet_length("t").cast("long").alias("n_bytes"), "rest")
-    out = rows.mapInArrow(run, f"id {kind}, spans array<struct<start:int,end:int>>, kept {'string' if as_text else 'binary'}, n_bytes long, rest {rest}")
-    return out.select(F.col("id").alias(id_col), *[F.col("rest")[c].alias(c) for c in carry], "n_bytes", "spans", "kept")
+    rows = base.join(spans, _same(base, spans), "left").select("id", "t", "spans", F.octet_length("t").cast("long").alias("n_bytes"), "row")
+    out = rows.mapInArrow(run, f"id {kind}, spans array<struct<start:int,end:int>>, kept {'string' if as_text else 'binary'}, n_bytes long, row {row}")
+    return out.select(F.col("id").alias(id_col), *["row"] * whole_rows, "n_bytes", "spans", "kept")
