@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Collection, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -83,12 +83,12 @@ def regrouped(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Recor
         yield joined()
 
 
-def sweep(spark: SparkSession, keep: Collection[str] = ()) -> int:
-    """Delete the tables that this process has written to the shared folder, once no result needs them, but for those to keep; returns how many."""
-    gone = [path for path in _written if path not in keep]
-    for path in gone:
+def sweep(spark: SparkSession) -> int:
+    """Delete the tables that this process has written to the shared folder, once no result needs them; returns how many."""
+    n = len(_written)
+    for path in [*_written]:
         delete_table(spark, path)
-    return len(gone)
+    return n
 
 
 def written() -> list[str]:
