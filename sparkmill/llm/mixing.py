@@ -13,6 +13,8 @@ from sparkmill.llm.shared import materialize
 DRIVER_SOURCES = 20_000
 #: Up to this many sources are broadcast, beyond it they are joined by a shuffle.
 BROADCAST_SOURCES = 20_000
+#: Up to so many sums of buckets are accumulated by one task.
+FEW_SUMS = 1 << 20
 #: Bits of the hash that name a bucket, at most, and documents of a bucket, on average, up to there.
 BUCKET_BITS, BUCKET_ROWS = 16, 2_000
 
@@ -64,21 +66,21 @@ def ranked(stats: DataFrame, column: str) -> DataFrame:
     return rows.join(F.broadcast(starts), part == F.col("part")).select(*stats.columns, (F.col("start") + place).alias("i"))
 
 
-def targets(stats: DataFrame, weights: Sequence[float], share: float, max_epochs: int, driver_sources: int = DRIVER_SOURCES) -> tuple[DataFrame, int]:
-    """(of, source_size, target) of stats (source, s), and the number of sources; weights go round in code point order, null last."""
+def targets(stats: DataFrame, weights: Sequence[float], share: float, max_epochs: int, driver_sources: int = DRIVER_SOURCES) -> tuple[DataFrame, int, int]:
+    """(of, source_size, target) of stats (source, s, n), the number of sources and the largest n; weights go round in code point order, null last."""
     few = stats.limit(driver_sources + 1).collect()
     if len(few) <= driver_sources:
         few.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
         sizes = [r["s"] for r in few]
         found = water_fill(sizes, [weights[i % len(weights)] for i in range(len(few))], share * sum(sizes), max_epochs)
         rows = [(r["source"], r["s"], t) for r, t in zip(few, found)]
-        return stats.sparkSession.createDataFrame(rows, "of string, source_size long, target double"), len(few)
-    every = F.array(*[F.lit(float(w)) for w in weights])
+        return stats.sparkSession.createDataFrame(rows, "of string, source_size long, target double"), len(few), max((r["n"] for r in few), default=0)
+    stats, every = materialize(stats, "sources"), F.array(*[F.lit(float(w)) for w in weights])
     own = materialize(ranked(stats, "source").select("source", F.col("s").alias("size"), F.get(every, F.col("i") % len(weights)).alias("weight")), "weights")
     n, total = own.agg(F.count(F.lit(1)), F.sum("size")).first()
     level, cap = fill_level(own, share * total, max_epochs), F.col("size") * F.lit(float(max_epochs))
     target = F.when(F.col("weight") > 0, F.least(F.lit(level) * F.col("weight"), cap)).otherwise(0.0)
-    return own.select(F.col("source").alias("of"), F.col("size").alias("source_size"), target.alias("target")), n
+    return own.select(F.col("source").alias("of"), F.col("size").alias("source_size"), target.alias("target")), n, stats.agg(F.max("n")).first()[0]
 
 
 def _hash(id_col: str, text_col: str, seed: int) -> Column:
@@ -90,27 +92,27 @@ def _plan(sized: DataFrame, weights: Sequence[float], max_epochs: int, share: fl
 
     The hash order is cut in buckets whose sums are accumulated; only the bucket in which the remainder ends is looked into.
     """
-    stats = materialize(sized.groupBy("source").agg(F.sum("size").alias("s"), F.count(F.lit(1)).alias("n")), "sources")
-    plan, n_sources = targets(stats, weights, share, max_epochs, driver_sources)
+    stats = sized.groupBy("source").agg(F.sum("size").alias("s"), F.count(F.lit(1)).alias("n"))
+    plan, n_sources, most = targets(stats, weights, share, max_epochs, driver_sources)
+    few = n_sources <= BROADCAST_SOURCES
     size = F.col("source_size")
     whole = F.when(size > 0, F.least(F.floor(F.col("target") / size), F.lit(max_epochs))).otherwise(0).cast("int")
     plan = plan.withColumn("whole", whole).withColumn("rest", F.col("target") - F.col("whole") * size)
-    most = stats.agg(F.max("n")).first()[0] or 0
     bits = min(BUCKET_BITS, max(4, (most // BUCKET_ROWS).bit_length()))
     bucket = F.shiftright("u", 64 - bits).cast("int")
-    side = lambda df: F.broadcast(df) if n_sources <= BROADCAST_SOURCES else df
+    side = lambda df: F.broadcast(df) if few else df
     sums = sized.groupBy("source", bucket.alias("bucket")).agg(F.sum("size").alias("held"))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("source", "bucket", "held", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("start"))
     cut = sums.join(side(plan), F.col("source").eqNullSafe(F.col("of"))).where((F.col("rest") > 0) & (F.col("start") <= F.col("rest")) & (F.col("start") + F.col("held") > F.col("rest")))
-    cut = materialize(cut.select("of", F.col("bucket").alias("cut_bucket"), "start", "rest"), "cuts")
+    cut = materialize(cut.select("of", F.col("bucket").alias("cut_bucket"), "start", "rest"), "cuts", n_sources << bits <= FEW_SUMS)
     inside = sized.join(side(cut), F.col("source").eqNullSafe(F.col("of")) & (bucket == F.col("cut_bucket"))).groupBy("of", "start", "rest", "u").agg(F.sum("size").alias("size"))
     order = Window.partitionBy("of").orderBy("u").rowsBetween(Window.unboundedPreceding, -1)
     inside = inside.withColumn("start", F.col("start") + F.coalesce(F.sum("size").over(order), F.lit(0)))
     last = inside.where(F.col("start") + F.col("size") / 2 <= F.col("rest")).groupBy(F.col("of").alias("last_of")).agg(F.max("u").alias("cut_u"))
     found = cut.select(F.col("of").alias("cut_of"), "cut_bucket").join(last, F.col("cut_of").eqNullSafe(F.col("last_of")), "left")
     plan = plan.join(found, F.col("of").eqNullSafe(F.col("cut_of")), "left").drop("cut_of", "last_of", "rest").withColumn("bits", F.lit(bits))
-    return side(materialize(plan, "plan"))
+    return side(materialize(plan, "plan", few))
 
 
 def _repeats(u: Column) -> Column:

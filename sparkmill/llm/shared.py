@@ -27,8 +27,12 @@ def write_table(df: DataFrame, tag: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Cut the lineage: write df as a table in the shared folder and read it back, so a lost executor costs no recomputation."""
+def materialize(df: DataFrame, tag: str, few: bool = False) -> DataFrame:
+    """Cut the lineage: write df as a table in the shared folder and read it back, so a lost executor costs no recomputation.
+
+    few: df has a small, counted number of groups that are combined before their shuffle; one task writes them.
+    """
+    df = df.coalesce(1) if few else df
     return df.sparkSession.read.schema(df.schema).parquet(write_table(df, tag))
 
 
