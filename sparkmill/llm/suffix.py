@@ -21,7 +21,7 @@ TILE = 1 << 20
 #: Contexts of a task that sorts suffixes, on average.
 BUCKET = 10_000
 #: A gram with more contexts than this is lengthened by content until its groups are smaller.
-HOT = 10_000
+HOT = 30_000
 #: An odd base of the polynomial gram hash (a fixed value).
 BASE = 0x9E3779B97F4A7C15
 
