@@ -194,3 +194,9 @@ def quality_report(members: DataFrame, quality: DataFrame, sep: str) -> DataFram
     n = members.groupBy("bin").agg(F.count(F.lit(1)).alias("n_contigs"))
     samples = cluster_samples(members.withColumnRenamed("bin", "cluster"), sep).withColumnRenamed("cluster", "bin")
     return quality.join(samples, "bin").join(n, "bin").select("bin", "sample", "completeness", "contamination", "n_contigs")
+
+
+def benchmark_summary(runs: DataFrame) -> DataFrame:
+    """(version, hours, nc) of runs (version, dataset, seconds, nc): of each data set the fastest run and the mean number of near-complete bins, summed up."""
+    by = runs.groupBy("version", "dataset").agg(F.min("seconds").alias("seconds"), F.avg("nc").alias("nc"))
+    return by.groupBy("version").agg((F.sum("seconds") / 3600).alias("hours"), F.sum("nc").alias("nc"))

@@ -26,6 +26,11 @@ def genus(ranks: Column) -> Column:
     return F.try_element_at(ranks, F.lit(6))
 
 
+def genus_sizes(taxonomy: DataFrame) -> DataFrame:
+    """(genus, n): contigs of each genus; those that are not annotated so far down have none."""
+    return taxonomy.groupBy(genus(F.col("ranks")).alias("genus")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def annotate(contigs: DataFrame, taxonomy: DataFrame, lenient: bool = False) -> DataFrame:
     """contigs with their ranks by name. Annotations of other names are ignored; unless lenient, a contig without one, or with two, is an error."""
     once = taxonomy.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.first("ranks").alias("ranks"))

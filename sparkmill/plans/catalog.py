@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkmill.functions import names, sequences, vectors
-from sparkmill.operators import abundance, bins, composition, features, graph, markers, neighbours
+from sparkmill.operators import abundance, bins, composition, features, graph, markers, neighbours, recluster
 from sparkmill.operators import taxonomy as tax
 from sparkmill.plans import standins as s
 from sparkmill.plans.standins import LEAST, N_SAMPLES, SEP, sql
 
+#: Dimensions of the embeddings, which stand in for compositions.
+DIMS = 64
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -91,15 +93,8 @@ def fasta_identifiers(spark, d):
     return s.table(spark, d, "pages").select("page_id", sequences.identifier(F.col("url")).alias("identifier"))
 
 
-@query(sql("contigs", "SELECT contig_idx, translate(reverse(seq), 'ACGTacgt', 'TGCAtgca') AS rc FROM contigs WHERE length < 2000 AND seq = strip_accents(seq)"))
-def reverse_complements(spark, d):
-    """Short ASCII contigs only, as its SQL has it; reverse_complements_all has every contig."""
-    c = s.contigs(spark, d).where("length < 2000").where(~F.col("seq").rlike(r"[^\x00-\x7f]"))
-    return c.select("contig_idx", sequences.reverse_complement(F.col("seq")).alias("rc"))
-
-
 @query(sql("contigs", "SELECT contig_idx, translate(array_to_string(list_reverse(string_split(seq, '')), ''), 'ACGTacgt', 'TGCAtgca') AS rc FROM contigs"))
-def reverse_complements_all(spark, d):
+def reverse_complements(spark, d):
     """Every contig whole, whatever its length and characters."""
     return s.contigs(spark, d).select("contig_idx", sequences.reverse_complement(F.col("seq")).alias("rc"))
 
@@ -143,11 +138,11 @@ def refhash_check(spark, d):
     return names.refhash_difference(c.where("contig_idx % 50 <> 3"), other)
 
 
-@query("SELECT l_orderkey AS contig_idx, 'S' || l_suppkey % 3 || 'C' || l_orderkey AS name FROM (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem) WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')")
+@query("SELECT 'S' || l_suppkey % 3 || 'C' || l_orderkey AS name FROM lineitem EXCEPT SELECT 'S' || o_custkey % 3 || 'C' || o_orderkey FROM orders")
 def unknown_contigs(spark, d):
-    li = s.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("contig_idx"), names.renamed(F.col("l_suppkey") % 3, F.col("l_orderkey").cast("string")).alias("name"), "l_suppkey").distinct().drop("l_suppkey")
-    known = s.table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("contig_idx"))
-    return li.join(known, "contig_idx", "left_anti")
+    members = s.table(spark, d, "lineitem").select(names.renamed(F.col("l_suppkey") % 3, F.col("l_orderkey").cast("string")).alias("name"))
+    contigs = s.table(spark, d, "orders").select(names.renamed(F.col("o_custkey") % 3, F.col("o_orderkey").cast("string")).alias("name"))
+    return bins.unknown_contigs(members, contigs)
 
 
 # --- abundance and features
@@ -206,14 +201,14 @@ def trimmed_mean(spark, d):
 @query()
 def model_features(spark, d):
     c = s.depth_contigs(spark, d)
-    tnf = s.latent(spark, d, 16).select("contig_idx", F.transform("v", lambda x: x.cast("float")).alias("tnf"))
-    return features.features(c, _filled(spark, d), tnf, N_SAMPLES, 16)
+    tnf = s.latent(spark, d).select("contig_idx", F.transform("v", lambda x: x.cast("float")).alias("tnf"))
+    return features.features(c, _filled(spark, d), tnf, N_SAMPLES, DIMS)
 
 
 # --- vectors and neighbourhoods
 
 
-@query(sql("unit", "SELECT contig_idx, dim, round(x, 6) AS x FROM (SELECT contig_idx, unnest(range(3)) AS dim, unnest(v) AS x FROM unit)"))
+@query(sql("unit", "SELECT contig_idx, dim, round(x, 6) AS x FROM (SELECT contig_idx, unnest(range(len(v))) AS dim, unnest(v) AS x FROM unit)"))
 def vec_normalise(spark, d):
     return neighbours.normalised(s.latent(spark, d)).select("contig_idx", F.posexplode("v").alias("dim", "x")).select("contig_idx", long("dim"), r6("x"))
 
@@ -223,14 +218,14 @@ def medoid_distances(spark, d):
     return neighbours.distances_from(neighbours.normalised(s.latent(spark, d)), 7).select("contig_idx", (F.round("distance", 6) + 0.0).alias("distance"))
 
 
-@query(sql("unit", "SELECT a.contig_idx AS a, b.contig_idx AS b, round(0.5 - list_dot_product(a.v, b.v), 6) AS distance FROM unit a JOIN unit b ON a.contig_idx < b.contig_idx WHERE 0.5 - list_dot_product(a.v, b.v) <= 0.05"))
+@query(sql("flat_unit", "SELECT a.contig_idx AS a, b.contig_idx AS b, round(0.5 - list_dot_product(a.v, b.v), 6) AS distance FROM flat_unit a JOIN flat_unit b ON a.contig_idx < b.contig_idx WHERE 0.5 - list_dot_product(a.v, b.v) <= 0.05"))
 def neighbours_within(spark, d):
-    return neighbours.neighbours(neighbours.normalised(s.latent(spark, d)), 0.05).select("a", "b", (F.round("distance", 6) + 0.0).alias("distance"))
+    return neighbours.neighbours(neighbours.normalised(s.flat(spark, d)), 0.05).select("a", "b", (F.round("distance", 6) + 0.0).alias("distance"))
 
 
-@query(sql("unit", "SELECT a.contig_idx, round(sum(b.length * (0.05 - CASE WHEN a.contig_idx = b.contig_idx THEN 0 ELSE 0.5 - list_dot_product(a.v, b.v) END)), 4) AS density FROM unit a JOIN unit b ON a.contig_idx = b.contig_idx OR 0.5 - list_dot_product(a.v, b.v) <= 0.05 GROUP BY 1"))
+@query(sql("flat_unit", "SELECT a.contig_idx, round(sum(b.length * (0.05 - CASE WHEN a.contig_idx = b.contig_idx THEN 0 ELSE 0.5 - list_dot_product(a.v, b.v) END)), 4) AS density FROM flat_unit a JOIN flat_unit b ON a.contig_idx = b.contig_idx OR 0.5 - list_dot_product(a.v, b.v) <= 0.05 GROUP BY 1"))
 def local_density(spark, d):
-    points = s.latent(spark, d)
+    points = s.flat(spark, d)
     near = neighbours.neighbours(neighbours.normalised(points), 0.05)
     return neighbours.local_density(near, points.select("contig_idx", "length")).select("contig_idx", F.round("density", 4).alias("density"))
 
@@ -254,9 +249,9 @@ def seed_order(spark, d):
     return neighbours.seed_order(s.lengths(spark, d)).select("contig_idx", long("seed_rank"))
 
 
-@query(sql("unit", ", e AS (SELECT a.contig_idx AS x, b.contig_idx AS y FROM unit a JOIN unit b ON a.contig_idx <> b.contig_idx AND 0.5 - list_dot_product(a.v, b.v) <= 0.002)").replace("\n, e AS", ",\ne AS").replace("WITH ", "WITH RECURSIVE ", 1) + ", r AS (SELECT contig_idx AS node, contig_idx AS to_ FROM unit UNION SELECT r.node, e.y FROM r JOIN e ON r.to_ = e.x) SELECT node, min(to_) AS component FROM r GROUP BY 1")
+@query(sql("flat_unit", ", e AS (SELECT a.contig_idx AS x, b.contig_idx AS y FROM flat_unit a JOIN flat_unit b ON a.contig_idx <> b.contig_idx AND 0.5 - list_dot_product(a.v, b.v) <= 0.002)").replace("\n, e AS", ",\ne AS").replace("WITH ", "WITH RECURSIVE ", 1) + ", r AS (SELECT contig_idx AS node, contig_idx AS to_ FROM flat_unit UNION SELECT r.node, e.y FROM r JOIN e ON r.to_ = e.x) SELECT node, min(to_) AS component FROM r GROUP BY 1")
 def eps_components(spark, d):
-    points = neighbours.normalised(s.latent(spark, d))
+    points = neighbours.normalised(s.flat(spark, d))
     return graph.components(neighbours.neighbours(points, 0.002), points.select(F.col("contig_idx").alias("node")))
 
 
@@ -366,7 +361,9 @@ def tax_accuracy(spark, d):
 
 @query(sql("taxonomy", "SELECT ranks[2] AS genus, count(*) AS n FROM taxonomy GROUP BY 1"))
 def genus_groups(spark, d):
-    return s.taxonomy(spark, d).groupBy(F.try_element_at("ranks", F.lit(2)).alias("genus")).agg(F.count(F.lit(1)).alias("n"))
+    """The stand-in's second rank is put in the place of the genus."""
+    ranks = F.concat(F.array(*[F.lit(r) for r in ("domain", "phylum", "class", "order")]), "ranks")
+    return tax.genus_sizes(s.taxonomy(spark, d).select("contig_idx", ranks.alias("ranks"))).select("genus", "n")
 
 
 def _tree(spark, d):
@@ -551,22 +548,44 @@ def cluster_samples(spark, d):
 @query("SELECT o_orderpriority AS version, round(sum(least_s) / 3600, 6) AS hours, round(sum(nc), 6) AS nc FROM (SELECT o_orderpriority, o_orderstatus, min(o_totalprice) AS least_s, avg(o_custkey) AS nc FROM orders GROUP BY ALL) GROUP BY 1")
 def benchmark_summary(spark, d):
     o = s.table(spark, d, "orders")
-    by = o.groupBy("o_orderpriority", "o_orderstatus").agg(F.min("o_totalprice").alias("least_s"), F.avg("o_custkey").alias("nc"))
-    return by.groupBy(F.col("o_orderpriority").alias("version")).agg(F.round(F.sum("least_s") / 3600, 6).alias("hours"), F.round(F.sum("nc"), 6).alias("nc"))
+    runs = o.select(F.col("o_orderpriority").alias("version"), F.col("o_orderstatus").alias("dataset"), F.col("o_totalprice").alias("seconds"), F.col("o_custkey").alias("nc"))
+    return bins.benchmark_summary(runs).select("version", r6("hours"), r6("nc"))
 
 
-@query(_after("overlap", "lost AS (SELECT DISTINCT bin FROM binnings WHERE contig_idx % 3 = 0), kept AS (SELECT * FROM binnings WHERE contig_idx % 3 <> 0 AND (starts_with(bin, 'A') OR contig_idx % 3 = 1)), o AS (SELECT x.bin FROM kept x JOIN kept y ON x.contig_idx = y.contig_idx AND x.bin <> y.bin) SELECT DISTINCT bin FROM kept WHERE (bin IN (SELECT bin FROM lost) OR bin IN (SELECT bin FROM binnings WHERE contig_idx % 3 = 2 AND NOT starts_with(bin, 'A'))) AND bin NOT IN (SELECT bin FROM o)"))
+@query(_after("overlap", "after AS (SELECT * FROM binnings WHERE CASE WHEN starts_with(bin, 'A') THEN contig_idx % 2 = 0 ELSE contig_idx % 2 = 1 OR starts_with(bin, 'B_de') END), lost AS (SELECT DISTINCT bin FROM (SELECT * FROM binnings EXCEPT SELECT * FROM after)), o AS (SELECT x.bin FROM after x JOIN after y ON x.contig_idx = y.contig_idx AND x.bin <> y.bin) SELECT DISTINCT bin FROM after WHERE bin IN (SELECT bin FROM lost) AND bin NOT IN (SELECT bin FROM o)"))
 def changed_alone(spark, d):
-    m = s.binnings(spark, d)
-    after = m.where((F.col("contig_idx") % 3 != 0) & (F.startswith("bin", F.lit("A")) | (F.col("contig_idx") % 3 == 1)))
+    m, odd = s.binnings(spark, d), F.col("contig_idx") % 2 == 1
+    after = m.where(F.when(F.startswith("bin", F.lit("A")), ~odd).otherwise(odd | F.startswith("bin", F.lit("B_de"))))
     return bins.changed_alone(m, after, s.lengths(spark, d).select("contig_idx", "length"))
 
 
+@query(sql("flat_unit", ", e AS (SELECT a.contig_idx AS x, b.contig_idx AS y FROM flat_unit a JOIN flat_unit b ON a.contig_idx <> b.contig_idx AND a.contig_idx % 4 = b.contig_idx % 4 AND 0.5 - list_dot_product(a.v, b.v) <= 0.005)").replace("\n, e AS", ",\ne AS").replace("WITH ", "WITH RECURSIVE ", 1) + ", r AS (SELECT contig_idx AS node, contig_idx AS to_ FROM flat_unit UNION SELECT r.node, e.y FROM r JOIN e ON r.to_ = e.x) SELECT node AS contig_idx, min(to_) AS cluster FROM r GROUP BY 1")
+def genus_density_clusters(spark, d):
+    points = neighbours.normalised(s.flat(spark, d)).withColumn("genus", F.concat(F.lit("g"), (F.col("contig_idx") % 4).cast("string")))
+    return recluster.density_clusters(points, 0.01)
+
+
+@query()
+def recluster_density(spark, d):
+    """Radii are tried until good genomes get fewer; markers: the suppliers of orders."""
+    points = s.flat(spark, d).withColumn("genus", F.concat(F.lit("g"), (F.col("contig_idx") % 4).cast("string")))
+    found, _ = recluster.recluster_density(points, s.contig_markers(spark, d), s.n_markers(spark, d), radii=recluster.RADII[:4])
+    return found
+
+
+@query()
+def pairs_only(spark, d):
+    """Edges that remain once no component has more than two bins."""
+    pairs = graph.stored(_overlap(spark, d))
+    parts = graph.components(pairs, a="a", b="b").withColumnRenamed("node", "a")
+    return bins.pairs_only(pairs.join(parts, "a"))
+
+
 @query()
 def medoid_clusters(spark, d):
     from sparkmill.operators.clustering import medoid_clusters as run
 
-    return run(s.latent(spark, d)).select("cluster", "contig_idx", "medoid", "kind", "radius")
+    return run(s.flat(spark, d)).select("cluster", "contig_idx", "medoid", "kind", "radius")
 
 
 @query()
@@ -586,7 +605,7 @@ def vae_encode(spark, d):
 
     rows = graph.stored(model_features(spark, d))
     x = Inputs.of(rows)
-    vae = VAE(N_SAMPLES, 16, [64], 8, seed=1)
+    vae = VAE(N_SAMPLES, DIMS, [64], 8, seed=1)
     vae.train(x, epochs=5, batch=64, double_at=(), lr=1e-3)
     return encode_frame(vae, rows)
 
@@ -602,7 +621,7 @@ def tax_predict(spark, d):
     x = Inputs.of(rows)
     tree = Tree([-1, 0, 0, 1, 1, 2, 2])
     labels = 3 + x.ids % 4
-    model = LabelPredictor(N_SAMPLES, tree, 16, [64], seed=1)
+    model = LabelPredictor(N_SAMPLES, tree, DIMS, [64], seed=1)
     model.train(x, labels, epochs=5, batch=64)
     probs, best, _ = model.predict_with_truth(x, labels)
     out = [(int(i), int(b), float(p[b])) for i, b, p in zip(x.ids, best, probs)]

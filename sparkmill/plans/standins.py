@@ -42,10 +42,15 @@ def depth_contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("contig_idx"), (F.col("p_size") * 100 + 250).cast("int").alias("length"))
 
 
-def latent(spark: SparkSession, sf_dir: str, dims: int = 3) -> DataFrame:
-    """The first dimensions of the embeddings, with a made-up length."""
+def latent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The embeddings, whole, with a made-up length."""
     e = table(spark, sf_dir, "embeddings")
-    return e.select(F.col("vec_id").alias("contig_idx"), F.transform(F.slice("embedding", 1, dims), lambda x: x.cast("double")).alias("v"), (500 + F.col("vec_id") * 37 % 1000).cast("int").alias("length"))
+    return e.select(F.col("vec_id").alias("contig_idx"), F.transform("embedding", lambda x: x.cast("double")).alias("v"), (500 + F.col("vec_id") * 37 % 1000).cast("int").alias("length"))
+
+
+def flat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A latent space of three dimensions: in that of the embeddings hardly a contig has a neighbour within the radii."""
+    return latent(spark, sf_dir).withColumn("v", F.slice("v", 1, 3))
 
 
 def taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,8 +86,10 @@ SQL = {
     "contigs": f"contigs AS (SELECT doc_id AS contig_idx, 'S' || (doc_id % {N_SAMPLES} + 1) || '{SEP}' || doc_id AS name, translate(lower(text), '{LETTERS}', '{BASES}') AS seq, length(lower(text)) AS length FROM documents)",
     "depths": f"depths AS (SELECT l_partkey AS contig_idx, (l_suppkey % {N_SAMPLES})::INT AS sample, sum(l_quantity) AS depth FROM lineitem GROUP BY ALL)",
     "depth_contigs": "depth_contigs AS (SELECT p_partkey AS contig_idx, (p_size * 100 + 250)::INT AS length FROM part)",
-    "latent": "latent AS (SELECT vec_id AS contig_idx, embedding[1:3]::DOUBLE[] AS v, (500 + vec_id * 37 % 1000)::INT AS length FROM embeddings)",
+    "latent": "latent AS (SELECT vec_id AS contig_idx, embedding::DOUBLE[] AS v, (500 + vec_id * 37 % 1000)::INT AS length FROM embeddings)",
     "unit": "unit AS (SELECT contig_idx, length, list_transform(v, lambda x: x / (sqrt(list_sum(list_transform(v, lambda y: y * y))) * sqrt(2.0))) AS v FROM latent)",
+    "flat": "flat AS (SELECT contig_idx, v[1:3] AS v, length FROM latent)",
+    "flat_unit": "flat_unit AS (SELECT contig_idx, length, list_transform(v, lambda x: x / (sqrt(list_sum(list_transform(v, lambda y: y * y))) * sqrt(2.0))) AS v FROM flat)",
     "taxonomy": "taxonomy AS (SELECT c_custkey AS contig_idx, [r_name, n_name, n_name || '/' || c_mktsegment][1:c_custkey % 4] AS ranks FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)",
     "edges": "edges AS (SELECT DISTINCT ranks[i] AS child, CASE WHEN i = 1 THEN 'root' ELSE ranks[i - 1] END AS parent, i::INT AS depth FROM (SELECT ranks, unnest(range(1, len(ranks) + 1)) AS i FROM taxonomy))",
     "tree": "tree AS (SELECT 'root' AS name, NULL AS parent, 0 AS depth, ['root'] AS path UNION ALL SELECT child, parent, depth, list_concat(['root'], p) FROM (SELECT DISTINCT child, parent, depth, ranks[1:depth] AS p FROM edges JOIN taxonomy ON taxonomy.ranks[depth] = child))",
@@ -94,7 +101,7 @@ SQL = {
     "bin_bp": "bin_bp AS (SELECT bin, sum(length)::BIGINT AS bp FROM binnings JOIN contigs USING (contig_idx) GROUP BY 1)",
     "overlap": "overlap AS (SELECT x.bin AS a, y.bin AS b, sum(length)::BIGINT AS shared_bp, sum(length) / least(any_value(p.bp), any_value(q.bp)) AS weight FROM binnings x JOIN binnings y ON x.contig_idx = y.contig_idx AND x.bin < y.bin JOIN contigs ON contigs.contig_idx = x.contig_idx JOIN bin_bp p ON p.bin = x.bin JOIN bin_bp q ON q.bin = y.bin GROUP BY ALL)",
 }
-_NEEDS = {"unit": ["latent"], "edges": ["taxonomy"], "tree": ["taxonomy", "edges"], "counts": ["members", "contig_markers"], "quality": ["members", "contig_markers", "counts"], "bin_bp": ["binnings", "contigs"], "overlap": ["contigs", "binnings", "bin_bp"]}
+_NEEDS = {"unit": ["latent"], "flat": ["latent"], "flat_unit": ["latent", "flat"], "edges": ["taxonomy"], "tree": ["taxonomy", "edges"], "counts": ["members", "contig_markers"], "quality": ["members", "contig_markers", "counts"], "bin_bp": ["binnings", "contigs"], "overlap": ["contigs", "binnings", "bin_bp"]}
 
 
 def sql(views: str, query: str) -> str:

@@ -35,5 +35,9 @@ def test_reverse_complements_of_all_contigs_are_whole(spark):
 
     seqs = {r.contig_idx: r.seq for r in standins.contigs(spark, SMALL).select("contig_idx", "seq").collect()}
     assert any(len(x) >= 2000 for x in seqs.values()) and not all(x.isascii() for x in seqs.values())
-    got = {r.contig_idx: r.rc for r in catalog.QUERIES["reverse_complements_all"](spark, SMALL).collect()}
+    got = {r.contig_idx: r.rc for r in catalog.QUERIES["reverse_complements"](spark, SMALL).collect()}
     assert got == {i: x[::-1].translate(str.maketrans("ACGTacgt", "TGCAtgca")) for i, x in seqs.items()}
+
+
+def test_changed_alone_has_rows(spark):
+    assert catalog.QUERIES["changed_alone"](spark, SMALL).count() > 0
