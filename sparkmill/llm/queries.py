@@ -75,6 +75,11 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "repeats")
 
 
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can express of op8_mixing: sizes and targets; which documents are taken goes by a hash."""
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", F.round("target", 3).alias("target"))
+
+
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 10 == 0, F.lit(False))
     return score_texts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), held_out)
@@ -84,6 +89,24 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+OP3_SQL = r"""
+WITH RECURSIVE g AS (SELECT vec_id, embedding::DOUBLE[] AS v, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings),
+e AS (SELECT a.vec_id AS x, b.vec_id AS y FROM g a JOIN g b ON a.vec_id <> b.vec_id AND a.n > 0 AND b.n > 0 AND list_dot_product(a.v, b.v) / (a.n * b.n) >= 0.95),
+r AS (SELECT vec_id AS node, vec_id AS other FROM g UNION SELECT r.node, e.y FROM r JOIN e ON r.other = e.x),
+c AS (SELECT node, min(other) AS component_id FROM r GROUP BY 1),
+l AS (SELECT x, count(*) AS n_links FROM e GROUP BY 1)
+SELECT node AS vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, node = component_id AS kept FROM c LEFT JOIN l ON x = node
+"""
+
+# the common level of the targets is the largest of those that clamping the sources one by one in the order of their caps gives
+MIXING_SQL = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS s FROM d GROUP BY 1),
+r AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w, sum(s) OVER () AS total FROM s),
+c AS (SELECT *, (total - coalesce(sum(3.0::DOUBLE * s) OVER (ORDER BY s / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (ORDER BY s / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM r)
+SELECT doc_id, size, s AS source_size, round(least((SELECT max(level) FROM c) * w, 3.0::DOUBLE * s), 3) AS target FROM d JOIN c ON d.source IS NOT DISTINCT FROM c.source
+"""
+
 OP7_SQL = r"""
 WITH p AS (SELECT page_id, coalesce(url, '') AS url, position('://' IN coalesce(url, '')) AS mark FROM pages),
 h AS (SELECT page_id, CASE WHEN mark > 0 THEN translate(regexp_extract(substr(url, mark + 3), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host,
@@ -116,8 +139,8 @@ FROM c JOIN h ON c.source IS NOT DISTINCT FROM h.source
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_suffix_array, op3_embeddings, op4_warc, op5_quality, op6_simhash, op7_url_filter, op8_mixing, op9_lm_scoring, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_bpe, op2_suffix_array, op3_embeddings, op4_warc, op5_quality, op6_simhash, op7_url_filter, op8_mixing, op9_lm_scoring, op10_quality_rules, mixing_targets)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_url_filter": OP7_SQL, "op10_quality_rules": OP10_SQL}
+    return {"op3_embeddings": OP3_SQL, "mixing_targets": MIXING_SQL, "op7_url_filter": OP7_SQL, "op10_quality_rules": OP10_SQL}
