@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from sparkmill.functions.vectors import masked
 from sparkmill.models.nn import Adam, Chain, Layer, Linear, hidden, minibatches, softmax, softmax_back
@@ -24,6 +25,7 @@ class Inputs:
     total: np.ndarray
     weights: np.ndarray
     ids: np.ndarray | None = None
+    labels: np.ndarray | None = None
 
     def __len__(self) -> int:
         return len(self.depths)
@@ -36,15 +38,20 @@ class Inputs:
 
     @staticmethod
     def of(features: DataFrame, limit: int = 2_000_000) -> Inputs:
-        """From features(contig_idx, depths, tnf, total_ab, weight), in the order of contig_idx. Training is on the driver: more rows than the limit are an error."""
-        t = features.select("contig_idx", "depths", "tnf", "total_ab", "weight").limit(limit + 1).toArrow().sort_by("contig_idx")
-        if len(t) > limit:
-            raise ValueError(f"more than {limit} rows to train on")
+        """From features(contig_idx, depths, tnf, total_ab, weight and maybe label), in the order of contig_idx.
+
+        Training is on the driver: of more rows than the limit, the parameter that bounds it, a sample by a hash of contig_idx is used.
+        """
+        n = features.count()
+        if n > limit:
+            features = features.where(F.pmod(F.xxhash64("contig_idx"), F.lit(1 << 20)) < int((1 << 20) * 0.95 * limit / n))
+        more = ["label"] * ("label" in features.columns)
+        t = features.select("contig_idx", "depths", "tnf", "total_ab", "weight", *more).limit(limit).toArrow().sort_by("contig_idx")
         if len(t) < 2:
             raise ValueError("at least two contigs are needed")
         wide = lambda c: t[c].combine_chunks().flatten().to_numpy().astype(np.float32).reshape(len(t), -1)
         one = lambda c: t[c].to_numpy().astype(np.float32)[:, None]
-        return Inputs(wide("depths"), wide("tnf"), one("total_ab"), one("weight"), t["contig_idx"].to_numpy())
+        return Inputs(wide("depths"), wide("tnf"), one("total_ab"), one("weight"), t["contig_idx"].to_numpy(), t["label"].to_numpy() if more else None)
 
 
 def check(n_samples: int, n_latent: int, n_hidden: list[int], alpha: float, beta: float, dropout: float) -> None:
@@ -142,16 +149,26 @@ class VAE(Layer):
         return masked(self.encoder(x.joined())[0], 12)
 
 
-def encode_frame(model, features: DataFrame) -> DataFrame:
-    """(contig_idx, v array<float>): the model's latent of every row, by Arrow batches; the weights are broadcast."""
-    shared = features.sparkSession.sparkContext.broadcast(model)
+def lists(v: np.ndarray) -> pa.ListArray:
+    """The rows of a matrix as a list column."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, v.size + 1, v.shape[1], dtype=np.int32)), pa.array(v.ravel()))
+
+
+def apply_frame(features: DataFrame, kinds: str, f: Callable[..., list[pa.Array]], *more: str) -> DataFrame:
+    """(contig_idx, columns of `kinds`): f of the inputs, and of the columns named in more, for every Arrow batch of features; nothing goes through the driver."""
+    names = ["contig_idx", *[k.split()[0] for k in kinds.split(", ")]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
                 wide = [b.column(i).flatten().to_numpy().reshape(b.num_rows, -1) for i in (1, 2)]
                 x = Inputs(*wide, b.column(3).to_numpy()[:, None], np.ones((b.num_rows, 1), np.float32))
-                v = shared.value.encode(x)
-                yield pa.record_batch([b.column(0), pa.ListArray.from_arrays(pa.array(np.arange(0, v.size + 1, v.shape[1], dtype=np.int32)), pa.array(v.ravel()))], names=["contig_idx", "v"])
+                yield pa.record_batch([b.column(0), *f(x, *[b.column(4 + i).to_numpy() for i in range(len(more))])], names=names)
 
-    return features.select("contig_idx", "depths", "tnf", "total_ab").mapInArrow(run, "contig_idx long, v array<float>")
+    return features.select(F.col("contig_idx").cast("long").alias("contig_idx"), "depths", "tnf", "total_ab", *[F.col(m).alias(f"more{i}") for i, m in enumerate(more)]).mapInArrow(run, f"contig_idx long, {kinds}")
+
+
+def encode_frame(model, features: DataFrame) -> DataFrame:
+    """(contig_idx, v array<float>): the model's latent of every row, by Arrow batches; the weights are broadcast."""
+    shared = features.sparkSession.sparkContext.broadcast(model)
+    return apply_frame(features, "v array<float>", lambda x: [lists(shared.value.encode(x))])

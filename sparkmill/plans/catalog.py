@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -615,7 +617,7 @@ def tax_predict(spark, d):
     """A small classifier of the latent's label, applied to all contigs."""
     from sparkmill.models.hierarchy import Tree
     from sparkmill.models.taxonomy import LabelPredictor
-    from sparkmill.models.vae import Inputs
+    from sparkmill.models.vae import Inputs, apply_frame
 
     rows = graph.stored(model_features(spark, d))
     x = Inputs.of(rows)
@@ -623,6 +625,10 @@ def tax_predict(spark, d):
     labels = 3 + x.ids % 4
     model = LabelPredictor(N_SAMPLES, tree, DIMS, [64], seed=1)
     model.train(x, labels, epochs=5, batch=64)
-    probs, best, _ = model.predict_with_truth(x, labels)
-    out = [(int(i), int(b), float(p[b])) for i, b, p in zip(x.ids, best, probs)]
-    return spark.createDataFrame(out, "contig_idx long, node int, prob double")
+    shared = spark.sparkContext.broadcast(model)
+
+    def run(x: Inputs, ids: np.ndarray) -> list[pa.Array]:
+        probs, best, _ = shared.value.predict_with_truth(x, 3 + ids % 4)
+        return [pa.array(best.astype(np.int32)), pa.array(probs[np.arange(len(best)), best].astype(float))]
+
+    return apply_frame(rows, "node int, prob double", run, "contig_idx")

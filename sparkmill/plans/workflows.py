@@ -6,6 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +14,7 @@ from sparkmill.functions.names import splits
 from sparkmill.models.aae import AAE
 from sparkmill.models.hierarchy import Tree
 from sparkmill.models.taxonomy import BimodalVAE, LabelPredictor
-from sparkmill.models.vae import VAE, Inputs, encode_frame
+from sparkmill.models.vae import VAE, Inputs, apply_frame, encode_frame, lists
 from sparkmill.operators import bins, composition, taxonomy
 from sparkmill.operators.abundance import filled
 from sparkmill.operators.clustering import medoid_clusters, metadata
@@ -150,7 +151,8 @@ def bin_adversarial(data: Dataset, options: Options) -> tuple[DataFrame, DataFra
     aae.train(x, options.aae.get("epochs", 70), options.aae.get("batch", 256), options.aae.get("double_at", (25, 50)))
     z = cluster_and_write(data, encode_frame(aae, data.features), options, "aae_z", "z_")
     spark = data.features.sparkSession
-    y = spark.createDataFrame(list(zip(aae.categories(x).tolist(), x.ids.tolist())), "category long, contig_idx long")
+    model = spark.sparkContext.broadcast(aae)
+    y = stored(apply_frame(data.features, "category long", lambda x: [pa.array(model.value.categories(x).astype(np.int64))]))
     members = y.join(data.contigs.select("contig_idx", "name"), "contig_idx").select(F.concat(F.lit("y_"), F.col("category").cast("string")).alias("cluster"), "contig_idx", "name")
     tables.write_clusters(members, f"{options.out}/aae_y_clusters_unsplit.tsv")
     write_split(members, data.contigs, options, "aae_y")
@@ -167,30 +169,36 @@ def tree_of(annotated: DataFrame) -> tuple[list[str], Tree]:
     return [r["name"] for r in rows], Tree([-1 if r["parent"] is None else at[r["parent"]] for r in rows])
 
 
-def _labels(annotated: DataFrame, names: list[str], ids: np.ndarray) -> np.ndarray:
-    at = {n: i for i, n in enumerate(names)}
-    found = {r["contig_idx"]: at[r["target"]] for r in taxonomy.targets(annotated).collect()}
-    return np.array([found.get(int(i), 0) for i in ids])
+def _labelled(features: DataFrame, annotated: DataFrame, names: list[str]) -> DataFrame:
+    """features with a column label: the node of a contig's last rank, the root's without annotation. A node a taxon is broadcast."""
+    nodes = F.broadcast(features.sparkSession.createDataFrame([*enumerate(names)], "label int, target string"))
+    own = taxonomy.targets(annotated).join(nodes, "target").select("contig_idx", "label").dropDuplicates(["contig_idx"])
+    return features.join(own, "contig_idx", "left").fillna(0, subset=["label"])
 
 
 def predict_taxonomy(data: Dataset, annotated: DataFrame, options: Options, train_on: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
     """(contig_idx, ranks, probs): predictions for all contigs of a classifier trained on the annotated ones (contig_idx, ranks).
 
-    train_on: gives, from the contig numbers, which rows to train on.
+    train_on: gives, from the contig numbers, which rows to train on. The model is applied by Arrow batches.
     """
     names, tree = tree_of(annotated)
-    x = Inputs.of(data.features)
-    labels = _labels(annotated, names, x.ids)
-    known = {r[0] for r in annotated.select("contig_idx").collect()}
-    use = np.array([int(i) in known for i in x.ids]) & (True if train_on is None else train_on(x.ids))
+    x = Inputs.of(_labelled(data.features.join(annotated.select("contig_idx"), "contig_idx", "left_semi"), annotated, names))
+    use = np.flatnonzero(np.ones(len(x), bool) if train_on is None else train_on(x.ids))
     model = LabelPredictor(len(data.samples), tree, x.tnf.shape[1], options.n_hidden, options.dropout, options.loss, options.seed)
-    model.train(x.at(np.flatnonzero(use)), labels[use], options.predictor_epochs, options.predictor_batch)
-    probs = model.predict(x)
-    rows, order = [], np.argsort(tree.depth, kind="stable")
-    for i, p in zip(x.ids.tolist(), probs):
-        kept = [k for k in order.tolist() if k and p[k] > options.threshold]
-        rows.append((i, [names[k] for k in kept], [min(1.0, max(0.0, float(p[k]))) for k in kept]))
-    return data.features.sparkSession.createDataFrame(rows, "contig_idx long, ranks array<string>, probs array<double>")
+    model.train(x.at(use), x.labels[use], options.predictor_epochs, options.predictor_batch)
+    order = [k for k in np.argsort(tree.depth, kind="stable").tolist() if k]
+    shared, least = data.features.sparkSession.sparkContext.broadcast((model, names)), options.threshold
+
+    def run(x: Inputs) -> list[pa.Array]:
+        model, names = shared.value
+        ranks, probs = [], []
+        for p in model.predict(x):
+            kept = [k for k in order if p[k] > least]
+            ranks.append([names[k] for k in kept])
+            probs.append([min(1.0, max(0.0, float(p[k]))) for k in kept])
+        return [pa.array(ranks, pa.list_(pa.string())), pa.array(probs, pa.list_(pa.float64()))]
+
+    return apply_frame(data.features, "ranks array<string>, probs array<double>", run)
 
 
 def write_taxonomy(data: Dataset, annotated: DataFrame, options: Options) -> DataFrame:
@@ -218,11 +226,12 @@ def bin_taxonomy(data: Dataset, annotated: DataFrame, options: Options, refine:
     if refine:
         annotated = write_taxonomy(data, annotated, options).select("contig_idx", "ranks")
     names, tree = tree_of(annotated)
-    x = Inputs.of(data.features)
-    labels = _labels(annotated, names, x.ids)
+    rows = stored(_labelled(data.features, annotated, names))
+    x = Inputs.of(rows)
     model = BimodalVAE(len(data.samples), tree, x.tnf.shape[1], options.n_hidden, options.n_latent, options.alpha, options.beta, options.dropout, options.loss, options.seed)
-    model.train(x, labels, options.epochs, options.batch, options.double_at)
-    latent = data.features.sparkSession.createDataFrame(list(zip(x.ids.tolist(), model.encode(x, labels).tolist())), "contig_idx long, v array<float>")
+    model.train(x, x.labels, options.epochs, options.batch, options.double_at)
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+    latent = apply_frame(rows, "v array<float>", lambda x, label: [lists(shared.value.encode(x, label))], "label")
     return cluster_and_write(data, stored(latent), options, "bimodal")
 
 

@@ -161,3 +161,14 @@ def test_permuted():
     p = permuted(5, 13, 1)
     assert len(p) == 13 and sorted(p[:5].tolist()) == sorted(p[5:10].tolist()) == [0, 1, 2, 3, 4]
     assert (p == permuted(5, 13, 1)).all()
+
+
+def test_training_rows_are_sampled_beyond_the_limit(spark):
+    from sparkmill.models.vae import Inputs
+
+    rows = [(i, [1.0, 2.0], [0.5], 1.0, 1.0, i % 3) for i in range(500)]
+    df = spark.createDataFrame(rows, "contig_idx long, depths array<float>, tnf array<float>, total_ab float, weight float, label int")
+    one, two = Inputs.of(df, limit=100), Inputs.of(df.repartition(3), limit=100)
+    assert 60 <= len(one) <= 100 and one.ids.tolist() == two.ids.tolist()
+    assert one.labels.tolist() == [i % 3 for i in one.ids.tolist()]
+    assert len(Inputs.of(df)) == 500
