@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkmill.llm.shared import materialize
+from sparkmill.llm.shared import materialize, ranked
 
 #: Up to this many sources are collected and filled on the driver, beyond it by aggregates over their table.
 DRIVER_SOURCES = 20_000
@@ -56,16 +56,6 @@ def fill_level(stats: DataFrame, total: float, max_epochs: float) -> float:
         level, clamped = (total - full) / free, n
 
 
-def ranked(stats: DataFrame, column: str) -> DataFrame:
-    """stats with a column i: 0, 1, ... in code point order of a column, null last; sorted by range, no task holds all rows."""
-    order = [F.col(column).isNull(), F.col(column)]
-    rows = materialize(stats.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()), "ranges")
-    part, place = F.shiftright("at", 33), F.col("at").bitwiseAND((1 << 33) - 1)
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
-    starts = rows.groupBy(part.alias("part")).count().select("part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
-    return rows.join(F.broadcast(starts), part == F.col("part")).select(*stats.columns, (F.col("start") + place).alias("i"))
-
-
 def targets(stats: DataFrame, weights: Sequence[float], share: float, max_epochs: int, driver_sources: int = DRIVER_SOURCES) -> tuple[DataFrame, int, int]:
     """(of, source_size, target) of stats (source, s, n), the number of sources and the largest n; weights go round in code point order, null last."""
     few = stats.limit(driver_sources + 1).collect()
@@ -76,7 +66,7 @@ def targets(stats: DataFrame, weights: Sequence[float], share: float, max_epochs
         rows = [(r["source"], r["s"], t) for r, t in zip(few, found)]
         return stats.sparkSession.createDataFrame(rows, "of string, source_size long, target double"), len(few), max((r["n"] for r in few), default=0)
     stats, every = materialize(stats, "sources"), F.array(*[F.lit(float(w)) for w in weights])
-    own = materialize(ranked(stats, "source").select("source", F.col("s").alias("size"), F.get(every, F.col("i") % len(weights)).alias("weight")), "weights")
+    own = materialize(ranked(stats, [F.col("source").isNull(), F.col("source")]).select("source", F.col("s").alias("size"), F.get(every, F.col("i") % len(weights)).alias("weight")), "weights")
     n, total = own.agg(F.count(F.lit(1)), F.sum("size")).first()
     level, cap = fill_level(own, share * total, max_epochs), F.col("size") * F.lit(float(max_epochs))
     target = F.when(F.col("weight") > 0, F.least(F.lit(level) * F.col("weight"), cap)).otherwise(0.0)

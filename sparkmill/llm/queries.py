@@ -8,12 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkmill.llm import bpe, warc
+from sparkmill.llm import bpe, piece_bpe, warc
+from sparkmill.llm.centroids import centroid_clusters
 from sparkmill.llm.embeddings import near_embeddings
 from sparkmill.llm.lattice import score_texts
 from sparkmill.llm.mixing import mix
 from sparkmill.llm.quality_rules import quality_rules
 from sparkmill.llm.ranking import train_ranker
+from sparkmill.llm.resampling import resample
 from sparkmill.llm.simhash import simhash_classes
 from sparkmill.llm.suffix import remove_repeats
 from sparkmill.llm.url_filter import canonical, host_of, path_of, url_filter
@@ -89,6 +91,20 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = piece_bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), decoded=True)
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clusters(table(spark, sf_dir, "embeddings"), k=8, rounds=10, dims=64)
+
+
 OP3_SQL = r"""
 WITH RECURSIVE g AS (SELECT vec_id, embedding::DOUBLE[] AS v, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings),
 e AS (SELECT a.vec_id AS x, b.vec_id AS y FROM g a JOIN g b ON a.vec_id <> b.vec_id AND a.n > 0 AND b.n > 0 AND list_dot_product(a.v, b.v) / (a.n * b.n) >= 0.95),
@@ -137,10 +153,48 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, shor
 FROM c JOIN h ON c.source IS NOT DISTINCT FROM h.source
 """
 
+# crc32 goes byte by byte through the 256 rests of its polynomial, which are worked out first
+OP11_SQL = r"""
+WITH RECURSIVE rests AS (SELECT i, i::UBIGINT AS c, 0 AS k FROM range(256) t(i) UNION ALL SELECT i, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END, k + 1 FROM rests WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS rest FROM rests WHERE k = 8),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+w AS (SELECT DISTINCT unnest(ws) AS w FROM (SELECT ws FROM d UNION ALL SELECT ws FROM b)),
+h AS (SELECT w, xor(list_reduce(list_transform(range(1, length(hex(w)) // 2 + 1), lambda i: ('0x' || substr(hex(w), 2 * i - 1, 2))::UBIGINT), lambda c, x: xor(c >> 8, rest[(xor(c, x) & 255)::INT + 1]), 4294967295::UBIGINT), 4294967295::UBIGINT) % 10000 AS bucket FROM w, crc),
+f AS (SELECT doc_id, bucket, count(*) AS n FROM (SELECT doc_id, unnest(ws) AS w FROM d) JOIN h USING (w) GROUP BY ALL),
+s AS (SELECT bucket, sum(n) AS s FROM f GROUP BY 1),
+t AS (SELECT bucket, count(*) AS t FROM (SELECT unnest(ws) AS w FROM b) JOIN h USING (w) GROUP BY 1),
+n AS (SELECT coalesce((SELECT sum(s) FROM s), 0) AS big_s, coalesce((SELECT sum(t) FROM t), 0) AS big_t),
+g AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * (big_s + 10000)::DOUBLE / ((s + 1)::DOUBLE * (big_t + 10000)::DOUBLE)))::BIGINT AS gain FROM s LEFT JOIN t USING (bucket), n),
+x AS (SELECT doc_id, sum(n * gain)::BIGINT AS weight FROM f JOIN g USING (bucket) GROUP BY 1),
+y AS (SELECT doc_id, len(ws)::BIGINT AS n_features, coalesce(weight, 0) AS weight, ('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT AS h FROM d LEFT JOIN x USING (doc_id)),
+z AS (SELECT doc_id, n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM y),
+r AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS r FROM z)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND r <= (SELECT count(*) FROM z WHERE n_features >= 20) * 10 // 100 THEN r END AS rank FROM r
+"""
+
+
+def _op13_sql(rounds: int = 10) -> str:
+    """Rounds of assignment and means, one pair of tables each."""
+    kept = "list_count(embedding) = 64 AND len(embedding) = 64 AND NOT list_bool_or(list_transform(embedding, lambda x: NOT isfinite(x)))"
+    parts = [
+        f"v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings WHERE {kept})",
+        "c0 AS MATERIALIZED (SELECT (row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1)::INT AS j, v AS c FROM v QUALIFY j < 8)",
+    ]
+    for r in range(rounds + 1):
+        parts.append(f"a{r} AS MATERIALIZED (SELECT vec_id, v, j, d FROM (SELECT vec_id, v, j, list_sum(list_transform(range(1, 65), lambda i: (v[i] - c[i]) * (v[i] - c[i])))::BIGINT AS d FROM v, c{r}) QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, j) = 1)")
+        if r < rounds:
+            parts.append(f"m{r} AS MATERIALIZED (SELECT j, list(m ORDER BY i) AS c FROM (SELECT j, i, (s - (s % n + n) % n) // n AS m FROM (SELECT j, i, sum(v[i])::BIGINT AS s, count(*) AS n FROM a{r}, range(1, 65) t(i) GROUP BY ALL)) GROUP BY j)")
+            parts.append(f"c{r + 1} AS MATERIALIZED (SELECT c{r}.j, coalesce(m{r}.c, c{r}.c) AS c FROM c{r} LEFT JOIN m{r} USING (j))")
+    return f"WITH {', '.join(parts)} SELECT vec_id, j AS cluster, d AS distance, (sum(d) OVER (PARTITION BY j))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256 FROM a{rounds} JOIN c{rounds} USING (j)"
+
+
+OP13_SQL = _op13_sql()
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_suffix_array, op3_embeddings, op4_warc, op5_quality, op6_simhash, op7_url_filter, op8_mixing, op9_lm_scoring, op10_quality_rules, mixing_targets)}
+    return {f.__name__: f for f in (op1_bpe, op2_suffix_array, op3_embeddings, op4_warc, op5_quality, op6_simhash, op7_url_filter, op8_mixing, op9_lm_scoring, op10_quality_rules, op11_resampling, op12_piece_bpe, op13_centroids, mixing_targets)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_embeddings": OP3_SQL, "mixing_targets": MIXING_SQL, "op7_url_filter": OP7_SQL, "op10_quality_rules": OP10_SQL}
+    return {"op3_embeddings": OP3_SQL, "mixing_targets": MIXING_SQL, "op7_url_filter": OP7_SQL, "op10_quality_rules": OP10_SQL, "op11_resampling": OP11_SQL, "op13_centroids": OP13_SQL}

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkmill.sources.scratch import shared_folder
@@ -44,6 +44,15 @@ def delete_table(spark: SparkSession, path: str) -> None:
         _written.remove(path)
 
 
+def ranked(rows: DataFrame, order: Sequence[Column]) -> DataFrame:
+    """rows with a column i: their places 0, 1, ... in the given order; sorted by range, no task holds all rows."""
+    held = materialize(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()), "ranges")
+    part, place = F.shiftright("at", 33), F.col("at").bitwiseAND((1 << 33) - 1)
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    starts = held.groupBy(part.alias("part")).count().select("part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
+    return held.join(F.broadcast(starts), part == F.col("part")).select(*rows.columns, (F.col("start") + place).alias("i"))
+
+
 def words(text: Column) -> Column:
     """The words `[^\\x20\\x09-\\x0D]+` of a text, in order; null has none."""
     flat = F.translate(F.coalesce(text, F.lit("")), SPACES, " " * len(SPACES))

@@ -14,7 +14,7 @@ def test_query_equals_its_sql(spark, name):
 
 
 def test_one_query_for_each_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries() if n.startswith("op")) == [*range(1, 11)]
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries() if n.startswith("op")) == [*range(1, 14)]
 
 
 def test_linked_vectors_equal_their_sql(spark, tmp_path):
