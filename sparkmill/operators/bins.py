@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkmill.functions.names import bin_name, rest_of, sample_of, splits
+from sparkmill.sources.scratch import Scratch, stored
 
 
 def split_by_sample(members: DataFrame, sep: str) -> DataFrame:
@@ -65,11 +66,25 @@ def worse_better(pairs: DataFrame, quality: DataFrame) -> DataFrame:
     return scored.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("worse"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("better"), "shared_bp", "weight", F.least("sa", "sb").alias("worse_score"))
 
 
-def dereplicated(pairs: DataFrame, least: float = 0.75) -> DataFrame:
-    """(bin): the worse bins of pairs (worse, better, weight, worse_score, component) that go.
+#: So few undecided pairs are finished by one task, or one for each component.
+ONE_TASK_PAIRS = 200_000
+
+
+def _first_of_bins(left: DataFrame, a: str, b: str, scratch: Scratch) -> DataFrame:
+    """Rows of `left` (a, b, key) that no earlier row touches at either bin; no two of them touch."""
+    least = left.select(F.explode(F.array(a, b)).alias("bin"), "key").groupBy("bin").agg(F.min("key").alias("least"))
+    least = scratch.keep(least)  # joined by a shuffle, so that a bin of many pairs can be split
+    one = left.join(least.select(F.col("bin").alias(a), F.col("least").alias("least_a")), a).where("key = least_a")
+    return one.join(least.select(F.col("bin").alias(b), F.col("least").alias("least_b")), b).where("key = least_b").drop("least_a", "least_b")
+
+
+def dereplicated(pairs: DataFrame, least: float = 0.75, one_task_pairs: int = ONE_TASK_PAIRS) -> DataFrame:
+    """(bin): the worse bins of pairs (worse, better, weight, worse_score) that go.
 
     Pairs of at least the given weight are taken by rising score of the worse bin, then by names; a pair of which a bin is
-    already gone is skipped. Components of the overlap graph can't touch, each is gone through by one task.
+    already gone is skipped. It is done in rounds: a pair that is before all undecided pairs of its two bins is decided,
+    its worse bin goes, and with it all other pairs of that bin, which is what going through them in order gives. Few
+    undecided pairs are finished by one task.
     """
     import pandas as pd
 
@@ -80,8 +95,20 @@ def dereplicated(pairs: DataFrame, least: float = 0.75) -> DataFrame:
                 gone[r.worse] = True
         return pd.DataFrame({"bin": [*gone]}, dtype=object)
 
-    kind = dict(pairs.dtypes)["worse"]
-    return pairs.where(F.col("weight") >= least).groupBy("component").applyInPandas(greedy, f"bin {kind}")
+    spark, kind, last = pairs.sparkSession, dict(pairs.dtypes)["worse"], Scratch(pairs.sparkSession)
+    left = last.keep(pairs.where(F.col("weight") >= least).select("worse", "better", "worse_score", F.struct("worse_score", "worse", "better").alias("key")))
+    found = left.select(F.col("worse").alias("bin")).limit(0)
+    while left.count() > one_task_pairs:
+        way, new = Scratch(spark), Scratch(spark)
+        gone = stored(_first_of_bins(left, "worse", "better", way).select(F.col("worse").alias("bin")).distinct())
+        found = found.unionByName(gone)
+        left = new.keep(left.join(gone.withColumnRenamed("bin", "worse"), "worse", "left_anti").join(gone.withColumnRenamed("bin", "better"), "better", "left_anti").select(left.columns))
+        way.clear()
+        last.clear()
+        last = new
+    if one_task_pairs:
+        found = found.unionByName(left.drop("key").withColumn("all", F.lit(0)).groupBy("all").applyInPandas(greedy, f"bin {kind}"))
+    return found
 
 
 def ripped(members: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -103,30 +130,90 @@ def weak_edges_cut(members: DataFrame, pairs: DataFrame, sizes_by_bin: DataFrame
     return members.join(shared, ["bin", "contig_idx"], "left_anti")
 
 
+def _edge() -> Column:
+    """The order in which edges are cut: by weight, then by names."""
+    return F.struct("weight", "a", "b")
+
+
+def cut_order(pairs: DataFrame) -> DataFrame:
+    """pairs (a, b, weight, component) with `cut`: whether the edge goes where the weakest edges are cut until no part of a component has over two bins.
+
+    What is left of a component has parts of two at most as soon as no bin has two edges. So the last edge to go is the
+    strongest among the second strongest ones of its bins, and all weaker ones go before it.
+    """
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("bin"), "component", _edge().alias("edge"))
+    place = F.row_number().over(Window.partitionBy("bin").orderBy(F.desc("edge")))
+    second = ends.withColumn("place", place).where("place = 2")
+    last = second.groupBy("component").agg(F.max("edge").alias("last"))
+    return pairs.join(last, "component", "left").withColumn("cut", F.coalesce(_edge() <= F.col("last"), F.lit(False))).drop("last")
+
+
 def pairs_only(pairs: DataFrame) -> DataFrame:
-    """The edges (a, b, weight, component) that remain once the weakest edges are cut until no component has more than two bins.
+    """The edges (a, b, weight) of pairs (a, b, weight, component) that remain once the weakest are cut until no part has over two bins."""
+    return cut_order(pairs).where(~F.col("cut")).select("a", "b", "weight")
+
+
+def cut_shared(members: DataFrame, lengths: DataFrame, cuts: DataFrame, one_task_pairs: int = ONE_TASK_PAIRS) -> DataFrame:
+    """members (bin, contig_idx) after the cuts (a, b, weight, component) were made by rising weight, then by names.
 
-    Within a component edges go by rising weight, then by names; one task for each component.
+    A cut takes the contigs that both bins still have out of the one that is longer by then (of equal ones b). Contigs of
+    the same bins are taken together. It is done in rounds: cuts that are before all other open cuts of their two bins are
+    made at once, as they don't touch each other; few open cuts are finished by a task for each component.
     """
     import pandas as pd
 
-    def cut(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["weight", "a", "b"]).reset_index(drop=True)
-        degree: dict = {}
-        for r in rows.itertuples():
-            for x in (r.a, r.b):
-                degree[x] = degree.get(x, 0) + 1
-        keep = []
-        for r in rows.itertuples():
-            if degree[r.a] > 1 or degree[r.b] > 1:
-                degree[r.a] -= 1
-                degree[r.b] -= 1
-            else:
-                keep.append(r.Index)
-        return rows.loc[keep, ["a", "b", "weight"]]
-
-    kind = dict(pairs.dtypes)["a"]
-    return pairs.groupBy("component").applyInPandas(cut, f"a {kind}, b {kind}, weight double")
+    spark, last = members.sparkSession, Scratch(members.sparkSession)
+    kind = dict(members.dtypes)["bin"]
+    cuts = stored(cuts.select("a", "b", "component", F.struct("weight", "a", "b").alias("key")))
+    own = members.select("bin", "contig_idx").distinct()
+    touched = own.join(cuts.select(F.explode(F.array("a", "b")).alias("bin")).distinct(), "bin", "left_semi").join(lengths.select("contig_idx", "length"), "contig_idx")
+    touched = stored(touched)
+    of_contig = stored(touched.groupBy("contig_idx").agg(F.array_sort(F.collect_set("bin")).alias("bins"), F.first("length").cast("long").alias("length")).where(F.size("bins") > 1))
+    classes = stored(of_contig.groupBy("bins").agg(F.sum("length").alias("bp")).withColumn("cls", F.monotonically_increasing_id()))
+    held = last.keep(classes.select("cls", F.explode("bins").alias("bin"), "bp"))
+    sizes_now = last.keep(touched.groupBy("bin").agg(F.sum(F.col("length").cast("long")).alias("bp")))
+    left, lost = last.keep(cuts), None
+    add = lambda more: more if lost is None else lost.unionByName(more)
+    while left.count() > one_task_pairs:
+        way, new = Scratch(spark), Scratch(spark)
+        ready = way.keep(_first_of_bins(left, "a", "b", way))
+        bp = [sizes_now.select(F.col("bin").alias(x), F.col("bp").alias(f"bp_{x}")) for x in "ab"]
+        longer = F.col("bp_a") > F.col("bp_b")
+        side = ready.join(bp[0], "a").join(bp[1], "b").select(F.when(longer, F.col("a")).otherwise(F.col("b")).alias("bin"), F.when(longer, F.col("b")).otherwise(F.col("a")).alias("other"))
+        gone = stored(side.join(held, "bin").join(held.select("cls", F.col("bin").alias("other")), ["cls", "other"]).select("cls", "bin", "bp"))
+        lost = add(gone.select("cls", "bin"))
+        less = gone.groupBy("bin").agg(F.sum("bp").alias("less"))
+        sizes_now = new.keep(sizes_now.join(less, "bin", "left").select("bin", (F.col("bp") - F.coalesce("less", F.lit(0))).alias("bp")))
+        held = new.keep(held.join(gone.select("cls", "bin"), ["cls", "bin"], "left_anti").select("cls", "bin", "bp"))
+        left = new.keep(left.join(ready.select("a", "b"), ["a", "b"], "left_anti").select(cuts.columns))
+        way.clear()
+        last.clear()
+        last = new
+    if one_task_pairs:
+        last_part = left.select(F.explode(F.array("a", "b")).alias("bin"), "component").distinct()
+        rows = left.select("component", "a", "b", F.col("key.weight").alias("weight"), F.lit(None).cast("long").alias("cls"), F.lit(None).cast("long").alias("bp"))
+        blank = [F.lit(None).cast(kind).alias("b"), F.lit(None).cast("double").alias("weight")]
+        rows = rows.unionByName(sizes_now.join(last_part, "bin").select("component", F.col("bin").alias("a"), *blank, F.lit(None).cast("long").alias("cls"), "bp"))
+        rows = rows.unionByName(held.join(last_part, "bin").select("component", F.col("bin").alias("a"), *blank, "cls", "bp"))
+
+        def walk(group: pd.DataFrame) -> pd.DataFrame:
+            edges = group[group["b"].notna()].sort_values(["weight", "a", "b"])
+            total = group[group["b"].isna() & group["cls"].isna()].set_index("a")["bp"].to_dict()
+            within: dict = {name: {} for name in total}
+            for r in group[group["cls"].notna()].itertuples():
+                within[r.a][int(r.cls)] = r.bp
+            gone = []
+            for r in edges.itertuples():
+                loser, other = (r.a, r.b) if total[r.a] > total[r.b] else (r.b, r.a)
+                for k in within[loser].keys() & within[other].keys():
+                    total[loser] -= within[loser].pop(k)
+                    gone.append((k, loser))
+            return pd.DataFrame(gone, columns=["cls", "bin"])
+
+        lost = add(rows.groupBy("component").applyInPandas(walk, f"cls long, bin {kind}"))
+    lost = lost if lost is not None else held.select("cls", "bin").limit(0)
+    contigs = lost.join(classes.select("cls", "bins"), "cls").join(of_contig.select("bins", "contig_idx"), "bins").select("bin", "contig_idx")
+    return own.join(contigs, ["bin", "contig_idx"], "left_anti")
 
 
 def keepers(original: DataFrame, after: DataFrame, pairs: DataFrame) -> DataFrame:

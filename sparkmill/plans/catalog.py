@@ -513,11 +513,10 @@ def worse_better(spark, d):
     return bins.worse_better(_overlap(spark, d), _bin_scores(spark, d)).select("worse", "better", "shared_bp", r6("weight"))
 
 
-@query()
+@query(_after("overlap", _WORSE + ", p AS (SELECT worse, better, row_number() OVER (ORDER BY round(completeness - 5 * contamination, 9), worse, better) AS i FROM wb JOIN sc ON sc.bin = worse WHERE weight >= 0.5), r AS (SELECT 0::BIGINT AS i, []::VARCHAR[] AS gone UNION ALL SELECT p.i, CASE WHEN list_contains(gone, worse) OR list_contains(gone, better) THEN gone ELSE list_append(gone, worse) END FROM r JOIN p ON p.i = r.i + 1) SELECT unnest(gone) AS bin FROM r WHERE i = (SELECT max(i) FROM r)").replace("WITH ", "WITH RECURSIVE ", 1))
 def dereplicate(spark, d):
-    pairs = graph.stored(bins.worse_better(_overlap(spark, d), _bin_scores(spark, d)).where("weight >= 0.5"))
-    parts = graph.components(pairs, a="worse", b="better").withColumnRenamed("node", "worse")
-    return bins.dereplicated(pairs.join(parts, "worse"), 0.5)
+    scores = _bin_scores(spark, d).select("bin", F.round(bins.score(), 9).alias("completeness"), F.lit(0.0).alias("contamination"))
+    return bins.dereplicated(bins.worse_better(_overlap(spark, d), scores), 0.5)
 
 
 @query(_after("overlap", "p AS (SELECT a, b FROM overlap WHERE weight <= 0.1), both_ AS (SELECT a, b FROM p UNION SELECT b, a FROM p) SELECT DISTINCT x.a || '--' || x.b AS bin, m.contig_idx FROM both_ x JOIN binnings m ON m.bin = x.a WHERE NOT EXISTS (SELECT 1 FROM binnings o WHERE o.bin = x.b AND o.contig_idx = m.contig_idx)"))
@@ -575,12 +574,30 @@ def recluster_density(spark, d):
     return found
 
 
-@query()
+# the smallest number of weakest edges without which no bin of the component has two edges
+_CUT = "reach AS (SELECT bin AS node, bin AS other FROM bin_bp UNION SELECT r.node, CASE WHEN r.other = o.a THEN o.b ELSE o.a END FROM reach r JOIN overlap o ON r.other IN (o.a, o.b)), part AS (SELECT node, min(other) AS part FROM reach GROUP BY 1), e AS (SELECT a, b, shared_bp, weight, part, row_number() OVER (PARTITION BY part ORDER BY round(weight, 12), a, b) AS i FROM overlap JOIN part ON node = a), f AS (SELECT part, max(i) AS least FROM (SELECT part, bin, i, row_number() OVER (PARTITION BY bin ORDER BY i DESC) AS k FROM (SELECT part, a AS bin, i FROM e UNION ALL SELECT part, b, i FROM e)) WHERE k = 2 GROUP BY 1), c AS (SELECT e.*, i <= coalesce(least, 0) AS cut FROM e LEFT JOIN f USING (part))"
+
+
+def _cut_order(spark, d):
+    pairs = graph.stored(_overlap(spark, d).withColumn("weight", F.round("weight", 12)))
+    return bins.cut_order(pairs.join(graph.components(pairs).withColumnRenamed("node", "a"), "a"))
+
+
+@query(_after("overlap", _CUT + " SELECT a, b, round(weight, 6) AS weight FROM c WHERE NOT cut").replace("WITH ", "WITH RECURSIVE ", 1))
 def pairs_only(spark, d):
     """Edges that remain once no component has more than two bins."""
-    pairs = graph.stored(_overlap(spark, d))
-    parts = graph.components(pairs, a="a", b="b").withColumnRenamed("node", "a")
-    return bins.pairs_only(pairs.join(parts, "a"))
+    return bins.pairs_only(_cut_order(spark, d)).select("a", "b", r6("weight"))
+
+
+# contigs are in one bin of each binning here, so a cut takes all that an edge shares; bins' lengths go along as a list
+_WALK = "n AS (SELECT bin, bp, row_number() OVER (ORDER BY bin) AS k FROM bin_bp), w AS (SELECT c.a, c.b, c.shared_bp, x.k AS ka, y.k AS kb, row_number() OVER (ORDER BY round(weight, 12), a, b) AS i FROM c JOIN n x ON x.bin = a JOIN n y ON y.bin = b WHERE cut), r AS (SELECT 0::BIGINT AS i, (SELECT list(bp ORDER BY k) FROM n) AS bps, 0::BIGINT AS loser UNION ALL SELECT w.i, list_transform(bps, lambda x, j: CASE WHEN j = (CASE WHEN bps[ka] > bps[kb] THEN ka ELSE kb END) THEN x - shared_bp ELSE x END), CASE WHEN bps[ka] > bps[kb] THEN ka ELSE kb END FROM r JOIN w ON w.i = r.i + 1), gone AS (SELECT n.bin, CASE WHEN n.bin = w.a THEN w.b ELSE w.a END AS other FROM r JOIN w USING (i) JOIN n ON n.k = r.loser)"
+
+
+@query(_after("overlap", _CUT + ", " + _WALK + " SELECT bin, contig_idx FROM binnings m WHERE NOT EXISTS (SELECT 1 FROM gone g JOIN binnings o ON o.bin = g.other WHERE g.bin = m.bin AND o.contig_idx = m.contig_idx)").replace("WITH ", "WITH RECURSIVE ", 1))
+def cut_components(spark, d):
+    """Members once components are cut to pairs, shared contigs going out of the longer bin."""
+    lengths = s.lengths(spark, d).select("contig_idx", "length")
+    return bins.cut_shared(s.binnings(spark, d), lengths, _cut_order(spark, d).where("cut"))
 
 
 @query()

@@ -260,16 +260,19 @@ def dereplicate(members: DataFrame, lengths: DataFrame, quality: DataFrame, leas
     good = quality.where((F.col("completeness") / 100 >= least_completeness) & (F.col("contamination") / 100 <= most_contamination))
     kept = stored(members.join(good.select("bin"), "bin", "left_semi"))
     pairs = stored(bins.worse_better(bins.overlaps(kept, lengths), good).where(F.col("weight") >= least_overlap))
-    parts = components(pairs, a="worse", b="better").withColumnRenamed("node", "worse")
-    gone = bins.dereplicated(pairs.join(parts, "worse"), least_overlap)
+    gone = bins.dereplicated(pairs, least_overlap)
     return kept.join(gone, "bin", "left_anti")
 
 
 def rip(members: DataFrame, lengths: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(members without negligible overlaps, ripped bins a--b and b--a of the pairs that remain once components are cut to pairs)."""
+    """(members whose only overlaps are those of pairs of bins, ripped bins a--b and b--a of these pairs).
+
+    First lone pairs lose negligible overlaps, then components of more than two bins their weakest edges, each with its
+    shared contigs, until only pairs are left.
+    """
     bp = bins.sizes(members.withColumnRenamed("bin", "cluster"), lengths).select(F.col("cluster").alias("bin"), "bp")
     clean = stored(bins.weak_edges_cut(members, stored(bins.overlaps(members, lengths)), bp))
     pairs = stored(bins.overlaps(clean, lengths))
-    parts = components(pairs).withColumnRenamed("node", "a")
-    left = stored(bins.pairs_only(pairs.join(parts, "a")))
-    return clean, bins.ripped(clean, left)
+    edges = stored(bins.cut_order(pairs.join(components(pairs).withColumnRenamed("node", "a"), "a")))
+    clean = stored(bins.cut_shared(clean, lengths, edges.where("cut")))
+    return clean, bins.ripped(clean, edges.where("not cut").select("a", "b"))

@@ -1,10 +1,11 @@
-"""The folder that driver and executors share."""
+"""The folder that driver and executors share, and tables in it that cut a lineage."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -16,3 +17,45 @@ def shared_folder(spark: SparkSession) -> str:
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="sparkmill-"))
         root = spark.sparkContext.getCheckpointDir()
     return root.rstrip("/")
+
+
+#: Tables that this process has written and not deleted.
+_written: set[str] = set()
+
+
+class Scratch:
+    """The tables of one step of a computation; clear deletes them once nothing reads them any more."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, []
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """df as a table in the shared folder: its lineage is cut and a lost executor costs nothing."""
+        path = f"{shared_folder(self.spark)}/mill-{uuid.uuid4().hex}"
+        self.paths.append(path)
+        _written.add(path)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        while self.paths:
+            _delete(self.spark, self.paths.pop())
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    _written.discard(path)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder that stays until sweep."""
+    return Scratch(df.sparkSession).keep(df)
+
+
+def sweep(spark: SparkSession) -> int:
+    """Delete what this process has stored, once no result needs it; returns how many tables."""
+    paths = [*_written]
+    for path in paths:
+        _delete(spark, path)
+    return len(paths)
