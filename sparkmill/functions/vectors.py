@@ -25,7 +25,8 @@ def norm(v: Column) -> Column:
 def half_unit(v: Column) -> Column:
     """Scaled to length 1 / sqrt(2), so that 0.5 - dot is half the cosine distance; an all-zero row points along the diagonal."""
     v = F.when(F.forall(v, lambda x: x == 0), F.transform(v, lambda x: F.lit(1.0) / F.size(v))).otherwise(v)
-    return F.transform(v, lambda x: x.cast("double") / (norm(v) * F.sqrt(F.lit(2.0))))
+    length = F.array(norm(v) * F.sqrt(F.lit(2.0)))  # bound to a name, so that it is worked out once
+    return F.get(F.transform(length, lambda n: F.transform(v, lambda x: x.cast("double") / n)), F.lit(0))
 
 
 def half_distance(a: Column, b: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkmill.functions.vectors import half_distance, half_unit
+from sparkmill.operators import pivots
 
 #: Radii and histogram of the density scan (fixed values): medoid and default radius, bin width, end of the histogram.
 MEDOID_RADIUS, DEFAULT_RADIUS, DELTA_X, X_MAX = 0.05, 0.06, 0.005, 0.3
@@ -30,29 +31,20 @@ def distances_from(points: DataFrame, medoid: int, idx: str = "contig_idx") -> D
     return points.withColumn("distance", d)
 
 
-def neighbours(points: DataFrame, radius: float, by: tuple[str, ...] = (), idx: str = "contig_idx", grid_dims: int = 3) -> DataFrame:
-    """Pairs (*by, a, b, distance) with a < b within the radius, of normalised points, equal in `by` (nulls are equal).
+def neighbours(points: DataFrame, radius: float, by: tuple[str, ...] = (), idx: str = "contig_idx", **sizes: int) -> DataFrame:
+    """Pairs (*by, a, b, distance) with a < b within the radius, of normalised points, equal in `by` (nulls are equal); see pivots for the way."""
+    return pivots.near(points, radius, by, idx, **sizes)
 
-    distance d is half a squared length, so points within the radius differ by at most sqrt(2 r) in every dimension: an
-    equi-join on grid cells of that width over the first dimensions, one side in its own cell and the other in all adjacent
-    ones. No pair of distant cells is formed.
-    """
-    width = math.sqrt(2 * radius) * (1 + 1e-9)
-    cells = [F.floor(F.get("v", F.lit(i)) / width) for i in range(grid_dims)]
-    own = points.select(*by, F.col(idx).alias("a"), F.col("v").alias("va"), *[F.coalesce(c, F.lit(0)).alias(f"c{i}") for i, c in enumerate(cells)])
-    other = points.select(*[F.col(c).alias(f"o_{c}") for c in by], F.col(idx).alias("b"), F.col("v").alias("vb"), *[F.coalesce(c, F.lit(0)).alias(f"k{i}") for i, c in enumerate(cells)])
-    for i in range(grid_dims):
-        other = other.withColumn(f"k{i}", F.explode(F.array(*[F.col(f"k{i}") + s for s in (-1, 0, 1)])))
-    on = [F.col(f"c{i}") == F.col(f"k{i}") for i in range(grid_dims)] + [F.col(c).eqNullSafe(F.col(f"o_{c}")) for c in by]
-    d = half_distance(F.col("va"), F.col("vb"))
-    return own.join(other, on).where("a < b").select(*by, "a", "b", d.alias("distance")).where(F.col("distance") <= radius)
-
-
-def local_density(pairs: DataFrame, lengths: DataFrame, radius: float = MEDOID_RADIUS) -> DataFrame:
-    """(contig_idx, density): sum of length * (radius - distance) over all points within the radius, itself included."""
-    both = pairs.select(F.col("a").alias("contig_idx"), F.col("b").alias("other"), "distance").unionByName(pairs.select(F.col("b").alias("contig_idx"), F.col("a").alias("other"), "distance"))
-    near = both.join(lengths.select(F.col("contig_idx").alias("other"), "length"), "other").groupBy("contig_idx").agg(F.sum(F.col("length") * (radius - F.col("distance"))).alias("d"))
-    return lengths.join(near, "contig_idx", "left").select("contig_idx", (F.col("length") * radius + F.coalesce("d", F.lit(0.0))).alias("density"))
+
+def linked(points: DataFrame, radius: float, by: tuple[str, ...] = (), idx: str = "contig_idx", **sizes: int) -> DataFrame:
+    """Edges (a, b, distance) that connect what the pairs within the radius connect, and so at every smaller radius; few where many points are near each other."""
+    return pivots.near_forest(points, radius, by, idx, **sizes)
+
+
+def local_density(points: DataFrame, radius: float = MEDOID_RADIUS, idx: str = "contig_idx", **sizes: int) -> DataFrame:
+    """(contig_idx, density): sum of length * (radius - distance) over all normalised points (with their length) within the radius, itself included."""
+    sums = pivots.near_sums(points, radius, "length", (), idx, **sizes)
+    return points.select(idx, "length").join(sums, idx, "left").select(idx, (F.col("length") * radius + F.coalesce("near", F.lit(0.0))).alias("density"))
 
 
 def bin_of(distance: Column) -> Column:

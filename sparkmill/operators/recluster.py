@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from typing import Any
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkmill.functions.vectors import cosine_distance
 from sparkmill.operators import markers as mk
 from sparkmill.operators.graph import components, stored
-from sparkmill.operators.neighbours import neighbours, normalised
+from sparkmill.operators.neighbours import linked, normalised
 
 #: Radii that density reclustering tries, in order (fixed values): 17 from 0.01 in steps of 0.02; in whole cosine distance.
 RADII = tuple(round(0.01 + 0.02 * i, 2) for i in range(17))
@@ -62,29 +64,52 @@ def density_clusters(points: DataFrame, radius: float, by: tuple[str, ...] = ("g
     As contigs weigh their length, which is far above the least weight of a core point, every contig is one, and density
     clusters are these components.
     """
-    edges = neighbours(points, radius / 2, by)  # distances of normalised points are halved
+    edges = linked(points, radius / 2, by)  # distances of normalised points are halved
     return components(edges.select("a", "b"), points.select(F.col("contig_idx").alias("node"))).select(F.col("node").alias("contig_idx"), F.col("component").alias("cluster"))
 
 
-def recluster_density(latent: DataFrame, contig_markers: DataFrame, n_markers: int, radii: tuple[float, ...] = RADII, by: tuple[str, ...] = ("genus",)) -> tuple[DataFrame, float]:
-    """(clusters, radius): density clusters of the radius with most good genomes; the search ends after more than PATIENCE worse ones."""
-    points = stored(normalised(latent))
-    best, chosen, worse = -1, None, 0
+def density_levels(points: DataFrame, radii: tuple[float, ...], by: tuple[str, ...] = ("genus",)) -> Iterator[tuple[float, DataFrame, bool]]:
+    """(radius, density clusters, whether they differ from those before) for rising radii, all from one comparison of the points at the largest.
+
+    The edges that this gives hold the components at every radius. What a radius adds joins clusters of the radius before,
+    so each edge is looked at once.
+    """
+    edges = stored(linked(points, radii[-1] / 2, by))
+    found, before = stored(points.select("contig_idx", F.col("contig_idx").alias("cluster"))), -1.0
     for radius in radii:
-        found = density_clusters(points, radius, by)
-        counts = mk.marker_counts(found, contig_markers)
-        good = mk.good_genomes(mk.bin_quality(found, counts, n_markers)).first()[0]
-        if good > best:
-            best, chosen, worse = good, (found, radius), 0
-        else:
-            worse += good < best
-            if worse > PATIENCE:
-                break
+        new = edges.where((F.col("distance") > before) & (F.col("distance") <= radius / 2)).select("a", "b")
+        changed = not new.isEmpty()
+        if changed:
+            for end in "ab":
+                new = new.join(found.select(F.col("contig_idx").alias(end), F.col("cluster").alias(f"of_{end}")), end)
+            joined = components(new.select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))).select(F.col("node").alias("cluster"), "component")
+            found = stored(found.join(joined, "cluster", "left").select("contig_idx", F.coalesce("component", "cluster").alias("cluster")))
+        yield radius, found, changed or before < 0
+        before = radius / 2
+
+
+def best_level(levels: Iterator[tuple[float, Any, bool]], good: Callable[[Any], int]) -> tuple[Any, float] | None:
+    """(clusters, radius) of the level with most good genomes, the first of equal ones; while none has any, the latest.
+
+    More than PATIENCE levels in a row that are worse than the best end the search; one as good as the best starts the count anew.
+    """
+    best, chosen, worse, score = 0, None, 0, 0
+    for radius, found, changed in levels:
+        score = good(found) if changed else score
+        if best == 0 or score > best:
+            best, chosen = score, (found, radius)
+        worse = 0 if score >= best else worse + 1
+        if worse > PATIENCE:
+            break
     return chosen
 
 
-def pairwise_cosine(points: DataFrame, by: str) -> DataFrame:
-    """(by, a, b, distance) of all pairs of a group, a < b: for reports on small groups only, as it is quadratic."""
-    other = points.select(F.col(by).alias("g"), F.col("contig_idx").alias("b"), F.col("v").alias("w"))
-    pairs = points.join(other, F.col(by).eqNullSafe(F.col("g"))).where("contig_idx < b")
-    return pairs.select(by, F.col("contig_idx").alias("a"), "b", cosine_distance(F.col("v"), F.col("w")).alias("distance"))
+def recluster_density(latent: DataFrame, contig_markers: DataFrame, n_markers: int, radii: tuple[float, ...] = RADII, by: tuple[str, ...] = ("genus",)) -> tuple[DataFrame, float]:
+    """(clusters, radius): density clusters of the radius with most good genomes, see best_level."""
+    points = stored(normalised(latent))
+
+    def good(found: DataFrame) -> int:
+        counts = mk.marker_counts(found, contig_markers)
+        return mk.good_genomes(mk.bin_quality(found, counts, n_markers)).first()[0]
+
+    return best_level(density_levels(points, radii, by), good)

@@ -220,19 +220,14 @@ def medoid_distances(spark, d):
     return neighbours.distances_from(neighbours.normalised(s.latent(spark, d)), 7).select("contig_idx", (F.round("distance", 6) + 0.0).alias("distance"))
 
 
-@query(sql("flat_unit", "SELECT a.contig_idx AS a, b.contig_idx AS b, round(0.5 - list_dot_product(a.v, b.v), 6) AS distance FROM flat_unit a JOIN flat_unit b ON a.contig_idx < b.contig_idx WHERE 0.5 - list_dot_product(a.v, b.v) <= 0.05"))
+@query(sql("unit", "SELECT a.contig_idx AS a, b.contig_idx AS b, round(0.5 - list_dot_product(a.v, b.v), 6) AS distance FROM unit a JOIN unit b ON a.contig_idx < b.contig_idx WHERE 0.5 - list_dot_product(a.v, b.v) <= 0.05"))
 def neighbours_within(spark, d):
-    return neighbours.neighbours(neighbours.normalised(s.flat(spark, d)), 0.05).select("a", "b", (F.round("distance", 6) + 0.0).alias("distance"))
+    return neighbours.neighbours(neighbours.normalised(s.latent(spark, d)), 0.05).select("a", "b", (F.round("distance", 6) + 0.0).alias("distance"))
 
 
-@query(sql("flat_unit", "SELECT a.contig_idx, round(sum(b.length * (0.05 - CASE WHEN a.contig_idx = b.contig_idx THEN 0 ELSE 0.5 - list_dot_product(a.v, b.v) END)), 4) AS density FROM flat_unit a JOIN flat_unit b ON a.contig_idx = b.contig_idx OR 0.5 - list_dot_product(a.v, b.v) <= 0.05 GROUP BY 1"))
+@query(sql("unit", "SELECT a.contig_idx, round(sum(b.length * (0.05 - CASE WHEN a.contig_idx = b.contig_idx THEN 0 ELSE 0.5 - list_dot_product(a.v, b.v) END)), 4) AS density FROM unit a JOIN unit b ON a.contig_idx = b.contig_idx OR 0.5 - list_dot_product(a.v, b.v) <= 0.05 GROUP BY 1"))
 def local_density(spark, d):
-    points = s.flat(spark, d)
-    near = neighbours.neighbours(neighbours.normalised(points), 0.05)
-    return neighbours.local_density(near, points.select("contig_idx", "length")).select("contig_idx", F.round("density", 4).alias("density"))
-
-
-_HIST = "h AS (SELECT least(floor(d / 0.005), 59)::INT AS bin, sum(length)::DOUBLE AS mass FROM (SELECT u.length, CASE WHEN u.contig_idx = 7 THEN 0 ELSE 0.5 - list_dot_product(u.v, m.v) END AS d FROM unit u, (SELECT v FROM unit WHERE contig_idx = 7) m) WHERE d <= 0.3 GROUP BY 1)"
+    return neighbours.local_density(neighbours.normalised(s.latent(spark, d))).select("contig_idx", F.round("density", 4).alias("density"))
 
 
 @query(_after("unit", _HIST + " SELECT * FROM h"))
@@ -251,10 +246,10 @@ def seed_order(spark, d):
     return neighbours.seed_order(s.lengths(spark, d)).select("contig_idx", long("seed_rank"))
 
 
-@query(sql("flat_unit", ", e AS (SELECT a.contig_idx AS x, b.contig_idx AS y FROM flat_unit a JOIN flat_unit b ON a.contig_idx <> b.contig_idx AND 0.5 - list_dot_product(a.v, b.v) <= 0.002)").replace("\n, e AS", ",\ne AS").replace("WITH ", "WITH RECURSIVE ", 1) + ", r AS (SELECT contig_idx AS node, contig_idx AS to_ FROM flat_unit UNION SELECT r.node, e.y FROM r JOIN e ON r.to_ = e.x) SELECT node, min(to_) AS component FROM r GROUP BY 1")
+@query(sql("unit", ", e AS (SELECT a.contig_idx AS x, b.contig_idx AS y FROM unit a JOIN unit b ON a.contig_idx <> b.contig_idx AND 0.5 - list_dot_product(a.v, b.v) <= 0.002)").replace("\n, e AS", ",\ne AS").replace("WITH ", "WITH RECURSIVE ", 1) + ", r AS (SELECT contig_idx AS node, contig_idx AS to_ FROM unit UNION SELECT r.node, e.y FROM r JOIN e ON r.to_ = e.x) SELECT node, min(to_) AS component FROM r GROUP BY 1")
 def eps_components(spark, d):
-    points = neighbours.normalised(s.flat(spark, d))
-    return graph.components(neighbours.neighbours(points, 0.002), points.select(F.col("contig_idx").alias("node")))
+    points = neighbours.normalised(s.latent(spark, d))
+    return graph.components(neighbours.linked(points, 0.002), points.select(F.col("contig_idx").alias("node")))
 
 
 @query("SELECT vec_id, list_position(embedding, list_max(embedding))::INT AS y, round(list_sum(list_transform(embedding::DOUBLE[], lambda x: exp(x))), 5) AS mass FROM embeddings")
@@ -560,17 +555,17 @@ def changed_alone(spark, d):
     return bins.changed_alone(m, after, s.lengths(spark, d).select("contig_idx", "length"))
 
 
-@query(sql("flat_unit", ", e AS (SELECT a.contig_idx AS x, b.contig_idx AS y FROM flat_unit a JOIN flat_unit b ON a.contig_idx <> b.contig_idx AND a.contig_idx % 4 = b.contig_idx % 4 AND 0.5 - list_dot_product(a.v, b.v) <= 0.005)").replace("\n, e AS", ",\ne AS").replace("WITH ", "WITH RECURSIVE ", 1) + ", r AS (SELECT contig_idx AS node, contig_idx AS to_ FROM flat_unit UNION SELECT r.node, e.y FROM r JOIN e ON r.to_ = e.x) SELECT node AS contig_idx, min(to_) AS cluster FROM r GROUP BY 1")
+@query(sql("unit", ", e AS (SELECT a.contig_idx AS x, b.contig_idx AS y FROM unit a JOIN unit b ON a.contig_idx <> b.contig_idx AND a.contig_idx % 4 = b.contig_idx % 4 AND 0.5 - list_dot_product(a.v, b.v) <= 0.005)").replace("\n, e AS", ",\ne AS").replace("WITH ", "WITH RECURSIVE ", 1) + ", r AS (SELECT contig_idx AS node, contig_idx AS to_ FROM unit UNION SELECT r.node, e.y FROM r JOIN e ON r.to_ = e.x) SELECT node AS contig_idx, min(to_) AS cluster FROM r GROUP BY 1")
 def genus_density_clusters(spark, d):
-    points = neighbours.normalised(s.flat(spark, d)).withColumn("genus", F.concat(F.lit("g"), (F.col("contig_idx") % 4).cast("string")))
+    points = neighbours.normalised(s.latent(spark, d)).withColumn("genus", F.concat(F.lit("g"), (F.col("contig_idx") % 4).cast("string")))
     return recluster.density_clusters(points, 0.01)
 
 
 @query()
 def recluster_density(spark, d):
-    """Radii are tried until good genomes get fewer; markers: the suppliers of orders."""
-    points = s.flat(spark, d).withColumn("genus", F.concat(F.lit("g"), (F.col("contig_idx") % 4).cast("string")))
-    found, _ = recluster.recluster_density(points, s.contig_markers(spark, d), s.n_markers(spark, d), radii=recluster.RADII[:4])
+    """The radius with most good genomes, of all radii; markers: the suppliers of orders."""
+    points = s.latent(spark, d).withColumn("genus", F.concat(F.lit("g"), (F.col("contig_idx") % 4).cast("string")))
+    found, _ = recluster.recluster_density(points, s.contig_markers(spark, d), s.n_markers(spark, d))
     return found
 
 
@@ -604,7 +599,7 @@ def cut_components(spark, d):
 def medoid_clusters(spark, d):
     from sparkmill.operators.clustering import medoid_clusters as run
 
-    return run(s.flat(spark, d)).select("cluster", "contig_idx", "medoid", "kind", "radius")
+    return run(s.latent(spark, d)).select("cluster", "contig_idx", "medoid", "kind", "radius")
 
 
 @query()
