@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +19,11 @@ FEW_SUMS = 1 << 20
 #: Bits of the hash that name a bucket, at most, and documents of a bucket, on average, up to there.
 BUCKET_BITS, BUCKET_ROWS = 16, 2_000
 
+#: Classes of sizes by powers of two, and how many documents of each class of a source are looked at in a round.
+CLASSES, POOL = 48, 4_096
+#: Below every hash: no cut.
+NO_CUT = -(1 << 63)
+
 
 def water_fill(sizes: Sequence[float], weights: Sequence[float], total: float, max_epochs: float) -> list[float]:
     """Targets proportional to weights that sum to total, none above max_epochs times its size.
@@ -77,11 +83,89 @@ def _hash(id_col: str, text_col: str, seed: int) -> Column:
     return F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))
 
 
-def _plan(sized: DataFrame, weights: Sequence[float], max_epochs: int, share: float, driver_sources: int) -> DataFrame:
-    """Per source: of, source_size, target, whole epochs, and the last (bucket, hash) that is taken once more; sized: (source, size, u).
+def _class(size: Column) -> Column:
+    """The power of two at or below a size; null for none."""
+    return F.when(size > 0, F.length(F.bin(size)) - 1)
+
+
+def _extra(u: Column, size: Column) -> Column:
+    """Whether a document is taken once more by its source's plan: up to a cut in the hash order, that of its size's class if there is one, or by itself."""
+    return F.coalesce((u <= F.greatest(F.get("cuts", _class(size)), F.col("cut_u"))) | F.array_contains("picks", u), F.lit(False))
+
+
+def _first_cut(sized: DataFrame, plan: DataFrame, n_sources: int, bits: int) -> DataFrame:
+    """(of, cut_u, left): of each source whose documents end between two epochs, the longest start of the hash order that fits and the words that this leaves.
 
     The hash order is cut in buckets whose sums are accumulated; only the bucket in which the remainder ends is looked into.
     """
+    few = n_sources <= BROADCAST_SOURCES
+    bucket, side = F.shiftright("u", 64 - bits).cast("int"), (lambda df: F.broadcast(df) if few else df)
+    sums = sized.groupBy("source", bucket.alias("bucket")).agg(F.sum("size").alias("held"))
+    before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("source", "bucket", "held", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("start"))
+    cut = sums.join(side(plan), F.col("source").eqNullSafe(F.col("of"))).where((F.col("rest") > 0) & (F.col("start") <= F.col("rest")) & (F.col("start") + F.col("held") > F.col("rest")))
+    cut = materialize(cut.select("of", F.col("bucket").alias("cut_bucket"), "start", "rest"), "cuts", n_sources << bits <= FEW_SUMS)
+    inside = sized.join(side(cut), F.col("source").eqNullSafe(F.col("of")) & (bucket == F.col("cut_bucket"))).groupBy("of", "cut_bucket", "start", "rest", "u").agg(F.sum("size").alias("size"))
+    order = Window.partitionBy("of").orderBy("u").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = inside.withColumn("end", F.col("start") + F.sum("size").over(order))
+    fits = F.col("end") <= F.col("rest")
+    last = inside.groupBy("of", "cut_bucket", "start", "rest").agg(F.max(F.when(fits, F.col("u"))).alias("u"), F.max(F.when(fits, F.col("end"))).alias("end"))
+    start = F.call_function("shiftleft", F.col("cut_bucket").cast("long"), F.lit(64 - bits))
+    return last.select("of", F.coalesce("u", F.when(start > NO_CUT, start - 1).otherwise(start)).alias("cut_u"), (F.col("rest") - F.coalesce("end", "start")).alias("left"))
+
+
+def _fill_classes(sized: DataFrame, state: DataFrame, side: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """state (of, cut_u, left, cuts) once documents behind the cut have filled what is left, from the longest that fit down to the shortest.
+
+    Sizes are classed by powers of two. Of every class the documents that come first by hash are taken until one doesn't
+    fit, so that a class needs one more cut only. A round gets the first `pool` documents of each class of a source; where
+    that is not enough, the next round goes on behind them.
+    """
+
+    pool = POOL
+
+    def fill(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        left, cuts, more = float(rows["left"].iloc[0]), rows["cuts"].iloc[0], False
+        cuts = [NO_CUT] * CLASSES if cuts is None else list(cuts)
+        for k in sorted(rows["class"].unique(), reverse=True):
+            own = rows[rows["class"] == k]
+            units = own.groupby("u")["size"].sum().sort_index()  # rows that repeat an id and its text go together
+            open_end = len(own) >= pool and len(units) > 1  # then more may follow, and the last one may not be whole
+            for u, size in list(units.items())[: len(units) - open_end or None]:
+                if size > left:
+                    open_end = False
+                    break
+                left, cuts[k] = left - size, int(u)
+            if open_end:
+                more = True
+                break
+        return pd.DataFrame({"of": [key[0]], "left": [left], "cuts": [cuts], "more": [more]})
+
+    while True:
+        rows = sized.join(side(state), F.col("source").eqNullSafe(F.col("of"))).where((F.col("left") >= 1) & (F.col("size") > 0) & (_class(F.col("size")) <= _class(F.col("left").cast("long"))) & ~_extra(F.col("u"), F.col("size")))
+        rows = rows.select("of", "left", "cuts", "size", "u", _class(F.col("size")).alias("class"))
+        place = F.row_number().over(Window.partitionBy("of", "class").orderBy("u"))
+        rows = rows.withColumn("place", place).where(F.col("place") <= pool).drop("place")
+        new = materialize(rows.groupBy("of").applyInPandas(fill, "of string, left double, cuts array<bigint>, more boolean"), "filled")
+        n = new.select(F.col("of").alias("new_of"), F.col("left").alias("new_left"), F.col("cuts").alias("new_cuts"))
+        state = state.join(n, F.col("of").eqNullSafe(F.col("new_of")), "left").select("of", "cut_u", F.coalesce("new_left", "left").alias("left"), F.coalesce("new_cuts", "cuts").alias("cuts"), "picks")
+        state = materialize(state, "state")
+        if not new.where("more").limit(1).count():
+            return state
+
+
+def _pick_nearest(sized: DataFrame, state: DataFrame, side: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """state once the document has been taken by itself that brings each source's words nearest to its target, if one does."""
+    rows = sized.join(side(state), F.col("source").eqNullSafe(F.col("of"))).where((F.col("size") > 0) & (F.col("size") < 2 * F.col("left")) & ~_extra(F.col("u"), F.col("size")))
+    best = rows.groupBy("of").agg(F.min(F.struct(F.abs(F.col("size") - F.col("left")).alias("off"), "size", "u")).alias("one")).select("of", F.col("one.u").alias("pick"))
+    units = sized.join(side(materialize(best, "nearest")), F.col("source").eqNullSafe(F.col("of")) & (F.col("u") == F.col("pick"))).groupBy(F.col("of").alias("pick_of"), "pick").agg(F.sum("size").alias("size"))
+    joined = state.join(units, F.col("of").eqNullSafe(F.col("pick_of")), "left")
+    better = F.coalesce(F.col("size") < 2 * F.col("left"), F.lit(False))
+    return materialize(joined.select("of", "cut_u", F.when(better, F.col("left") - F.col("size")).otherwise(F.col("left")).alias("left"), "cuts", F.when(better, F.array_append("picks", F.col("pick"))).otherwise(F.col("picks")).alias("picks")), "picked")
+
+
+def _plan(sized: DataFrame, weights: Sequence[float], max_epochs: int, share: float, driver_sources: int) -> DataFrame:
+    """Per source: of, source_size, target, whole epochs, and which documents are taken once more (cut_u, cuts, picks); sized: (source, size, u)."""
     stats = sized.groupBy("source").agg(F.sum("size").alias("s"), F.count(F.lit(1)).alias("n"))
     plan, n_sources, most = targets(stats, weights, share, max_epochs, driver_sources)
     few = n_sources <= BROADCAST_SOURCES
@@ -89,50 +173,46 @@ def _plan(sized: DataFrame, weights: Sequence[float], max_epochs: int, share: fl
     whole = F.when(size > 0, F.least(F.floor(F.col("target") / size), F.lit(max_epochs))).otherwise(0).cast("int")
     plan = plan.withColumn("whole", whole).withColumn("rest", F.col("target") - F.col("whole") * size)
     bits = min(BUCKET_BITS, max(4, (most // BUCKET_ROWS).bit_length()))
-    bucket = F.shiftright("u", 64 - bits).cast("int")
     side = lambda df: F.broadcast(df) if few else df
-    sums = sized.groupBy("source", bucket.alias("bucket")).agg(F.sum("size").alias("held"))
-    before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("source", "bucket", "held", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("start"))
-    cut = sums.join(side(plan), F.col("source").eqNullSafe(F.col("of"))).where((F.col("rest") > 0) & (F.col("start") <= F.col("rest")) & (F.col("start") + F.col("held") > F.col("rest")))
-    cut = materialize(cut.select("of", F.col("bucket").alias("cut_bucket"), "start", "rest"), "cuts", n_sources << bits <= FEW_SUMS)
-    inside = sized.join(side(cut), F.col("source").eqNullSafe(F.col("of")) & (bucket == F.col("cut_bucket"))).groupBy("of", "start", "rest", "u").agg(F.sum("size").alias("size"))
-    order = Window.partitionBy("of").orderBy("u").rowsBetween(Window.unboundedPreceding, -1)
-    inside = inside.withColumn("start", F.col("start") + F.coalesce(F.sum("size").over(order), F.lit(0)))
-    last = inside.where(F.col("start") + F.col("size") / 2 <= F.col("rest")).groupBy(F.col("of").alias("last_of")).agg(F.max("u").alias("cut_u"))
-    found = cut.select(F.col("of").alias("cut_of"), "cut_bucket").join(last, F.col("cut_of").eqNullSafe(F.col("last_of")), "left")
-    plan = plan.join(found, F.col("of").eqNullSafe(F.col("cut_of")), "left").drop("cut_of", "last_of", "rest").withColumn("bits", F.lit(bits))
-    return side(materialize(plan, "plan", few))
+    first = _first_cut(sized, plan, n_sources, bits)
+    state = materialize(first.select("of", "cut_u", "left", F.lit(None).cast("array<bigint>").alias("cuts"), F.array().cast("array<bigint>").alias("picks")), "state", few)
+    state = _fill_classes(sized, state, side)
+    for _ in range(2):  # what is left is below twice the shortest document, then below half of it
+        state = _pick_nearest(sized, state, side)
+    state = state.select(F.col("of").alias("cut_of"), "cut_u", "cuts", "picks")
+    return side(materialize(plan.join(state, F.col("of").eqNullSafe(F.col("cut_of")), "left").drop("cut_of", "rest"), "plan", few))
+
+
+def _repeats(u: Column, size: Column) -> Column:
+    return F.col("whole") + _extra(u, size).cast("int")
 
 
-def _repeats(u: Column) -> Column:
-    bucket = F.call_function("shiftright", u, 64 - F.col("bits"))
-    extra = F.coalesce((bucket < F.col("cut_bucket")) | ((bucket == F.col("cut_bucket")) & (u <= F.col("cut_u"))), F.lit(False))
-    return F.col("whole") + extra.cast("int")
+def _size(text: Column) -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
 def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> DataFrame:
-    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    return materialize(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), _hash(id_col, text_col, seed).alias("u")), "sizes")
+    return materialize(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), _size(F.col(text_col)).alias("size"), _hash(id_col, text_col, seed).alias("u")), "sizes")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = (1, 2, 3), max_epochs: int = 3, share: float = 1.0, seed: int = 8, driver_sources: int = DRIVER_SOURCES) -> DataFrame:
     """Per document: id, source, size (words), source_size, target (of its source), repeats and taken = repeats * size.
 
     Sources in code point order, null last, take the weights in turn. A source's whole epochs repeat every document; for
-    the remaining fraction its documents are taken in the order of a seeded hash of id and text until their words reach the
-    remainder, the last one if at least half of it fits. So a verdict depends on a document's content alone: reruns agree,
+    the remaining fraction its documents are taken in the order of a seeded hash of id and text as long as they fit the
+    remainder, then shorter ones that still fit, at last the one that comes nearest, so that the words taken miss the
+    target by half of the shortest document left at most. A verdict depends on a document's content alone: reruns agree,
     however the rows are split. Null texts have size 0; repeated rows are documents of their own, those of equal id, text
-    and source have one verdict.
+    and source have one verdict. No rows give none; other columns are not read, whatever their names.
     """
     sized = _sized(docs, id_col, text_col, source_col, seed)
-    out = sized.join(_plan(sized, weights, max_epochs, share, driver_sources), F.col("source").eqNullSafe(F.col("of"))).withColumn("repeats", _repeats(F.col("u")))
+    out = sized.join(_plan(sized, weights, max_epochs, share, driver_sources), F.col("source").eqNullSafe(F.col("of"))).withColumn("repeats", _repeats(F.col("u"), F.col("size")))
     return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "repeats", (F.col("repeats") * F.col("size")).cast("long").alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = (1, 2, 3), max_epochs: int = 3, share: float = 1.0, seed: int = 8, driver_sources: int = DRIVER_SOURCES) -> DataFrame:
     """The rows of docs as often as mix repeats them, with their columns. Texts are not shuffled: each row is judged where it is read."""
     plan = _plan(_sized(docs, id_col, text_col, source_col, seed), weights, max_epochs, share, driver_sources)
-    rows = docs.select(F.struct("*").alias("doc"), F.col(source_col).alias("doc_source"), _hash(id_col, text_col, seed).alias("doc_hash"))
-    rows = rows.join(plan, F.col("doc_source").eqNullSafe(F.col("of"))).withColumn("doc_repeats", _repeats(F.col("doc_hash"))).where("doc_repeats > 0")
+    rows = docs.select(F.struct("*").alias("doc"), F.col(source_col).alias("doc_source"), _hash(id_col, text_col, seed).alias("doc_hash"), _size(F.col(text_col)).alias("doc_size"))
+    rows = rows.join(plan, F.col("doc_source").eqNullSafe(F.col("of"))).withColumn("doc_repeats", _repeats(F.col("doc_hash"), F.col("doc_size"))).where("doc_repeats > 0")
     return rows.select(F.col("doc"), F.explode(F.sequence(F.lit(1), F.col("doc_repeats")))).select("doc.*")
