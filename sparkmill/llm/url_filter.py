@@ -65,7 +65,7 @@ def url_filter(pages: DataFrame, listed: DataFrame, rules: Sequence[tuple[str, s
     is never listed. Repeated rows stay; other columns of pages are not read.
     """
     keys = materialize(listed.select(F.col(listed.columns[0]).alias("key")).where("key is not null and key <> ''").distinct(), "listed")
-    n_keys = keys.count()
+    n_keys, key_bytes = keys.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("key") + 40), F.lit(0))).first()
     n_blocks = max(1, -(-n_keys // KEYS_PER_BLOCK))
     blocks = bloom_blocks(keys, "key", n_blocks)
     if n_blocks * 72 <= BROADCAST_BYTES:
@@ -79,6 +79,10 @@ def url_filter(pages: DataFrame, listed: DataFrame, rules: Sequence[tuple[str, s
     for i, bit in enumerate(_bits(F.col("canonical"))):
         hit = hit & (F.col(f"w{i}").bitwiseAND(bit) != 0)
     probed = probed.select(*rows.columns, F.coalesce(hit, F.lit(False)).alias("maybe"))
-    maybe = probed.where("maybe").join(keys.select(F.col("key"), F.lit(True).alias("found")), F.col("canonical") == F.col("key"), "left")
-    seen = maybe.select(*rows.columns, F.coalesce("found", F.lit(False)).alias("listed")).unionByName(probed.where("not maybe").select(*rows.columns, F.lit(False).alias("listed")))
+    if key_bytes <= BROADCAST_BYTES:  # one scan: what misses has no key to look up
+        found = F.broadcast(keys.select("key", F.lit(True).alias("found")))
+        seen = probed.join(found, F.when(F.col("maybe"), F.col("canonical")) == F.col("key"), "left").select(*rows.columns, F.coalesce("found", F.lit(False)).alias("listed"))
+    else:
+        maybe = probed.where("maybe").join(keys.select("key", F.lit(True).alias("found")), F.col("canonical") == F.col("key"), "left")
+        seen = maybe.select(*rows.columns, F.coalesce("found", F.lit(False)).alias("listed")).unionByName(probed.where("not maybe").select(*rows.columns, F.lit(False).alias("listed")))
     return seen.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("ruled", F.when(F.col("listed"), "block").otherwise("allow")).alias("verdict"), "canonical", "listed")
