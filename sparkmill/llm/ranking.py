@@ -95,6 +95,12 @@ class Ranker:
 
         return docs.mapInArrow(run, ", ".join([f"`{c}` {t}" for c, t in docs.dtypes] + [f"`{name}` double"]))
 
+    def score_and_quantile(self, docs: DataFrame, quantile: float, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, float]:
+        """What score returns, and the given quantile of all scores, to a ten-thousandth; 0 without rows."""
+        scored = materialize(self.score(docs, id_col, text_col), "scores")
+        bar = scored.agg(F.percentile_approx("score", F.lit(quantile), F.lit(10_000))).first()[0]
+        return scored, 0.0 if bar is None else bar
+
     def keep_above_quantile(self, docs: DataFrame, quantile: float, ceiling: float = 1.0, text_col: str = "text") -> DataFrame:
         """Rows of docs whose score reaches the given quantile of all scores (to a ten-thousandth), or `ceiling` if that is lower."""
         name = "score"
