@@ -30,6 +30,21 @@ def test_entry():
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
+@pytest.mark.parametrize("missing", ["sparkmill.llm.queries", "corpus_pipeline", "tiktoken", "public_tokenizers"])
+def test_entry_without_what_the_other_queries_need(monkeypatch, missing):
+    """Whatever of llm can't be imported, the queries of the catalog stay."""
+    import sys
+
+    import __spark_entry__
+
+    for name in [n for n in sys.modules if n.startswith("sparkmill.llm") or n == "corpus_pipeline"]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, missing, None)
+    with pytest.warns(UserWarning, match="without"):
+        found = __spark_entry__.queries()
+    assert set(catalog.QUERIES) <= set(found) and "pipeline" not in found
+
+
 def test_reverse_complements_of_all_contigs_are_whole(spark):
     from sparkmill.plans import standins
 
