@@ -1,23 +1,120 @@
-"""Iterative medoid clustering of latent vectors."""
+"""Medoid clustering of latent vectors: independent parts, and rounds over a part too large for one task.
+
+Clusters are found one after the other: from a seed the medoid moves to neighbours while the weighted closeness around it rises,
+and the valley of the distances around it bounds the cluster. An attempt is a generator that asks for what it needs, so that the
+same code runs on arrays in one task and, many attempts at a time, on a distributed table. Distances and densities are whole
+numbers: sums don't depend on how points are split.
+"""
 
 from __future__ import annotations
 
-import random
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
 from dataclasses import dataclass, field
+from typing import Any
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkmill.operators.neighbours import DEFAULT_RADIUS, DELTA_X, HALF_WINDOW, MEDOID_RADIUS, N_BINS, SIGMA, X_MAX
+from sparkmill.operators.graph import components
+from sparkmill.operators.neighbours import DEFAULT_RADIUS, DELTA_X, HALF_WINDOW, MEDOID_RADIUS, N_BINS, SIGMA, X_MAX, linked, normalised, seed_order
+from sparkmill.sources.scratch import numbered, stored
 
 #: Peak-valley ratio: first value, step, and from where on any cluster is accepted (fixed values).
 FIRST_PVR, PVR_STEP, LAST_PVR = 0.1, 0.1, 0.55
+#: Parts of the peak that end it, of the low that end the valley, and the last place of a peak (fixed values).
+PEAK_END, VALLEY_END, LAST_PEAK, MOST_RADIUS = 0.6, 1.5, 0.1, 0.2
 _STEPS = np.arange(-HALF_WINDOW, HALF_WINDOW + 1)
 _WEIGHTS = np.exp(-((_STEPS * DELTA_X / SIGMA) ** 2) / 2) * DELTA_X / (SIGMA * np.sqrt(2 * np.pi))
+#: Distances are counted in so small units.
+UNIT = 1 << 30
+NEAR = round(MEDOID_RADIUS * UNIT)
+#: A part of at most so many points is clustered by one task; of a larger one so many seeds are tried at a time.
+PART_ROWS, SEEDS = 4_096, 32
+
+
+def valley(density: np.ndarray, ratio: float) -> tuple[float, float] | None:
+    """(threshold, valley over peak) of a smoothed histogram, or None.
+
+    The peak is the highest point before density first falls below PEAK_END of it; it must not lie behind LAST_PEAK. The
+    valley goes from there to where density first exceeds VALLEY_END times the lowest point so far. Its lowest point is the
+    threshold, if it lies behind the valley's start, below `ratio` of the peak and not beyond MOST_RADIUS + ratio.
+    """
+    highest = np.maximum.accumulate(density)
+    over = density < PEAK_END * highest
+    if not over.any():
+        return None
+    start = int(over.argmax())
+    peak_at = int(density[:start].argmax())
+    behind = density[start:]
+    up = behind[1:] > VALLEY_END * np.minimum.accumulate(behind)[:-1]
+    behind = behind[: int(up.argmax()) + 1] if up.any() else behind
+    low = int(behind.argmin())
+    threshold, seen = (start + low) * DELTA_X, behind[low] / density[peak_at]
+    if peak_at * DELTA_X > LAST_PEAK + 1e-12 or not low or seen >= ratio or threshold > MOST_RADIUS + ratio:
+        return None
+    return threshold, float(seen)
+
+
+def smooth(mass: np.ndarray) -> np.ndarray:
+    """A histogram of lengths by distance, spread by normal weights."""
+    return np.convolve(mass, _WEIGHTS)[HALF_WINDOW:-HALF_WINDOW]
+
+
+def units(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Distances of normalised rows, in whole units: a row for each of x, a column for each of y."""
+    return np.maximum(np.rint((0.5 - x @ y.T) * UNIT), 0).astype(np.int64)
+
+
+def closeness(d: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """For each column the sum of length * (NEAR - distance) over the points that are near."""
+    return np.where(d <= NEAR, (NEAR - d) * length[:, None], 0).sum(axis=0)
+
+
+def spread(d: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Lengths of the points by distance bin, up to X_MAX."""
+    near = d <= X_MAX * UNIT
+    place = np.minimum((d[near] / UNIT / DELTA_X).astype(np.int64), N_BINS - 1)
+    out = np.zeros(N_BINS, np.int64)
+    np.add.at(out, place, length[near])
+    return out
+
+
+def drawn(ids: np.ndarray, seed: int, start: int) -> np.ndarray:
+    """A hash of each id that gives the order in which the attempt from `start` tries neighbours."""
+    with np.errstate(over="ignore"):
+        z = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64((start * 0xD1B54A32D192ED03 + seed * 0x8CB92BA72F3D8DD7 + 1) % (1 << 64))
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return z ^ (z >> np.uint64(31))
+
+
+@dataclass(frozen=True)
+class Ask:
+    """What an attempt wants to know: the closeness around each of some points, or with `look` all about one: its closeness, the near points not yet seen (the first by hash), how many are nearer than NEAR, and lengths by bin."""
+
+    ids: tuple[int, ...]
+    look: bool = False
+    seen: frozenset = frozenset()
+
+
+def attempt(start: int) -> Generator[Ask, Any, tuple[int, int, np.ndarray]]:
+    """(medoid, points nearer than NEAR, lengths by distance bin) from a seed: the medoid moves to the first neighbour tried that is closer to its surroundings."""
+    medoid, seen = start, {start}
+    best, tried, close, mass = yield Ask((start,), True, frozenset(seen))
+    while True:
+        values = (yield Ask(tuple(tried))) if len(tried) else []
+        for i, value in zip(tried, values):
+            seen.add(i)
+            if value > best:
+                medoid, best = i, value
+                _, tried, close, mass = yield Ask((medoid,), True, frozenset(seen))
+                break
+        else:
+            return medoid, close, mass
 
 
 @dataclass
@@ -33,49 +130,41 @@ class Found:
     allowed_pvr: float
 
 
-def valley(density: np.ndarray, ratio: float) -> tuple[float, float] | None:
-    """(threshold, valley over peak) of a smoothed histogram, or None.
-
-    The first peak rises until density falls below 0.6 of it, and must not rise after 0.1. From there on the lowest point
-    counts until density is over 1.5 times that low; it is a threshold while below `ratio` of the peak. A threshold above
-    0.2 + ratio is refused.
-    """
-    peak, low, at, threshold, falling = 0.0, 0.0, 0.0, None, False
-    for i, d in enumerate(density.tolist()):
-        x = i * DELTA_X
-        if not falling:
-            if d > peak:
-                if x > 0.1 + 1e-12:
-                    return None
-                peak = d
-            if d < 0.6 * peak:
-                falling, low = True, d
-        if falling:
-            if d > 1.5 * low:
-                break
-            if d < low:
-                low, at = d, x
-                if d < ratio * peak:
-                    threshold = at
-    if threshold is None or threshold > 0.2 + ratio:
-        return None
-    return threshold, low / peak
+@dataclass
+class Judge:
+    """Decides on attempts in their order, and allows a higher ratio once too few of the last `window` gave a cluster."""
 
+    window: int
+    min_successes: int
+    ratio: float = field(default=FIRST_PVR, init=False)
 
-def smooth(distance: np.ndarray, length: np.ndarray) -> np.ndarray:
-    near = distance <= X_MAX
-    place = np.minimum((distance[near] / DELTA_X).astype(np.int64), N_BINS - 1)
-    mass = np.bincount(place, length[near], N_BINS)
-    return np.convolve(mass, _WEIGHTS)[HALF_WINDOW:-HALF_WINDOW]
+    def __post_init__(self) -> None:
+        if self.window < 1 or not 1 <= self.min_successes <= self.window:
+            raise ValueError("window must be at least 1, min_successes between 1 and window")
+        self.last: deque[bool] = deque(maxlen=self.window)
+
+    def __call__(self, close: int, mass: np.ndarray) -> tuple[str | None, float | None, float | None, bool]:
+        """(kind or None for no cluster, radius, observed ratio, whether seeds start anew with a higher ratio)."""
+        if close == 1:
+            return "loner", None, None, False
+        cut, lenient = valley(smooth(mass), self.ratio), self.ratio > LAST_PVR
+        if cut is None and lenient:
+            return "fallback", DEFAULT_RADIUS, None, False
+        anew = False
+        if cut is None or self.ratio < LAST_PVR:
+            self.last.append(cut is not None)
+            anew = len(self.last) == self.window and sum(self.last) < self.min_successes
+        if anew:
+            self.last.clear()
+            self.ratio += PVR_STEP
+        return ("normal", *cut, anew) if cut else (None, None, None, anew)
 
 
 @dataclass
 class MedoidClusterer:
-    """Emits disjoint clusters until every point is in one. vectors: any rows; lengths: positive weights.
+    """Emits disjoint clusters until every point is in one. vectors: any rows; lengths: positive whole weights; ids: names of the rows.
 
-    Seeds go round from the longest contig to the shortest. From a seed the medoid moves to sampled neighbours while the
-    weighted closeness within MEDOID_RADIUS rises. The valley of the distance histogram around it bounds the cluster. If
-    fewer than min_successes of the last `window` attempts gave one, the allowed ratio is raised and seeds start anew.
+    Seeds go round from the longest contig to the shortest, of equal ones the higher id first.
     """
 
     vectors: np.ndarray
@@ -84,104 +173,293 @@ class MedoidClusterer:
     window: int = 300
     min_successes: int = 15
     seed: int = 0
-    ratio: float = field(default=FIRST_PVR, init=False)
+    ids: np.ndarray | None = None
+    normalised: bool = False
 
     def __post_init__(self) -> None:
-        if self.max_steps < 1 or self.window < 1 or not 1 <= self.min_successes <= self.window:
-            raise ValueError("max_steps and window must be at least 1, min_successes between 1 and window")
+        if self.max_steps < 1:
+            raise ValueError("max_steps must be at least 1")
+        self.judge = Judge(self.window, self.min_successes)
         if len(self.vectors) != len(self.lengths):
             raise ValueError("as many lengths as vectors are needed")
         x = np.array(self.vectors, np.float64)
-        x[(x == 0).all(axis=1)] = 1 / max(1, x.shape[1] if x.ndim == 2 else 1)
-        self.x = x / (np.sqrt((x * x).sum(axis=1, keepdims=True)) * np.sqrt(2)) if len(x) else x
-        self.ids, self.weight = np.arange(len(x)), np.asarray(self.lengths, np.float64)
-        self.rng = random.Random(self.seed)
+        if not self.normalised and len(x):
+            x[(x == 0).all(axis=1)] = 1 / max(1, x.shape[1] if x.ndim == 2 else 1)
+            x = x / (np.sqrt((x * x).sum(axis=1, keepdims=True)) * np.sqrt(2))
+        self.x, self.weight = x, np.asarray(self.lengths).astype(np.int64)
+        self.names = np.arange(len(x)) if self.ids is None else np.asarray(self.ids)
+        self.alive = np.ones(len(x), bool)
 
     def distances(self, k: int) -> np.ndarray:
-        d = 0.5 - self.x @ self.x[k]
-        d[k] = 0.0
+        d = units(self.x, self.x[k : k + 1])[:, 0]
+        d[k] = 0
         return d
 
-    def around(self, k: int) -> tuple[np.ndarray, np.ndarray, float]:
-        d = self.distances(k)
-        near = np.flatnonzero(d <= MEDOID_RADIUS)
-        return near, d, float((self.weight[near] * (MEDOID_RADIUS - d[near])).sum())
-
-    def wander(self, k: int) -> tuple[int, np.ndarray]:
-        near, d, best = self.around(k)
-        seen = {k}
-        while True:
-            left = [i for i in near.tolist() if i not in seen]
-            for i in self.rng.sample(left, min(len(left), self.max_steps)):
-                seen.add(i)
-                found = self.around(i)
-                if found[2] > best:
-                    k, (near, d, best) = i, found
-                    break
-            else:
-                return k, d
+    def answer(self, ask: Ask, start: int) -> Any:
+        live = np.flatnonzero(self.alive)
+        each = [self.distances(k)[live] for k in ask.ids]
+        weights = [int(closeness(d[:, None], self.weight[live])[0]) for d in each]
+        if not ask.look:
+            return weights
+        (d,) = each
+        near = [i for i in live[d <= NEAR].tolist() if i not in ask.seen]
+        order = np.argsort(drawn(self.names[near], self.seed, int(self.names[start])), kind="stable")
+        return weights[0], [near[i] for i in order[: self.max_steps]], int((d < NEAR).sum()), spread(d, self.weight[live])
 
     def __iter__(self) -> Iterator[Found]:
-        order, at = np.lexsort((self.ids, self.weight))[::-1], 0
-        alive = np.ones(len(order), bool)
-        attempts: deque[bool] = deque(maxlen=self.window)
-        while len(self.ids):
-            while not alive[order[at % len(order)]]:
+        order, at = np.lexsort((self.names, self.weight))[::-1], 0
+        while self.alive.any():
+            while not self.alive[order[at % len(order)]]:
                 at += 1
-            seed = int(order[at % len(order)])
+            start = int(order[at % len(order)])
             at += 1
-            k, d = self.wander(int(np.searchsorted(self.ids, seed)))
-            allowed = self.ratio
-            if (d < MEDOID_RADIUS).sum() == 1:
-                found, radius, observed, kind = np.array([k]), None, None, "loner"
-            else:
-                cut = valley(smooth(d, self.weight), allowed)
-                if cut is None and allowed <= LAST_PVR:
-                    at = self._attempt(attempts, False, at)
-                    continue
-                radius, observed, kind = (*cut, "normal") if cut else (DEFAULT_RADIUS, None, "fallback")
-                found = np.flatnonzero(d <= radius)
-                if cut and allowed < LAST_PVR:
-                    at = self._attempt(attempts, True, at)
-            yield Found(int(self.ids[k]), seed, self.ids[found], kind, radius, observed, allowed)
-            alive[self.ids[found]] = False
-            keep = np.ones(len(self.ids), bool)
-            keep[found] = False
-            self.ids, self.x, self.weight = self.ids[keep], self.x[keep], self.weight[keep]
-
-    def _attempt(self, attempts: deque[bool], success: bool, at: int) -> int:
-        attempts.append(success)
-        if len(attempts) == self.window and sum(attempts) < self.min_successes:
-            attempts.clear()
-            self.ratio += PVR_STEP
-            return 0
-        return at
+            work, reply = attempt(start), None
+            try:
+                while True:
+                    reply = self.answer(work.send(reply), start)
+            except StopIteration as end:
+                medoid, close, mass = end.value
+            allowed = self.judge.ratio
+            kind, radius, observed, anew = self.judge(close, mass)
+            at = 0 if anew else at
+            if kind is None:
+                continue
+            members = np.array([medoid]) if radius is None else np.flatnonzero(self.alive & (self.distances(medoid) <= round(radius * UNIT)))
+            self.alive[members] = False
+            yield Found(medoid, start, members, kind, radius, observed, allowed)
 
 
 SCHEMA = "cluster long, contig_idx long, medoid long, kind string, radius double, observed_pvr double"
 
 
-def medoid_clusters(latent: DataFrame, by: str | None = None, **options: int) -> DataFrame:
-    """(cluster, contig_idx, medoid, kind, radius, observed_pvr): clusters of latent (contig_idx, v, length), numbered from 1.
+@dataclass
+class _Point:
+    """A seed or candidate on the driver."""
+
+    id: int
+    v: np.ndarray
+    rank: int
+
 
-    The procedure is sequential: what is left for a cluster depends on all before it. Without `by` one executor task runs
-    it over the latent matrix, which is what it keeps in memory (8 bytes a number); with `by`, a column of independent
-    parts such as the sample or the component of a neighbour graph, each part is a task and its clusters are numbered
-    within it.
+def _matrix(lists: pa.Array) -> np.ndarray:
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(lists), -1)
+
+
+def _answers(alive: DataFrame, asks: list[tuple[_Point, Ask]], known: dict[int, np.ndarray], options: dict) -> list[Any]:
+    """Replies to the asks of attempts (seed, ask): one pass over the points that are left.
+
+    The points asked about are few and go to every task. A task replies with sums, and with the first neighbours by hash
+    that it has; what comes back is bounded by the asks, not by the points.
+    """
+    most, seed = options["max_steps"], options["seed"]
+    about = [(start.id, start.rank, i, ask.look, ask.seen) for start, ask in asks for i in ask.ids]
+    y, own, ranks = np.array([known[x[2]] for x in about]), np.array([x[2] for x in about]), np.array([x[1] for x in about])
+    neighbour = pa.struct([("h", pa.int64()), ("id", pa.int64()), ("v", pa.list_(pa.float64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, counts, first = np.zeros(len(about), np.int64), np.zeros(len(about), np.int64), [[] for _ in about]
+        mass = {k: np.zeros(N_BINS, np.int64) for k, x in enumerate(about) if x[3]}
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x, ids, length, rank = _matrix(b["v"]), b["contig_idx"].to_numpy(), b["length"].to_numpy().astype(np.int64), b["rank"].to_numpy()
+            lone = b["lone"].to_numpy(zero_copy_only=False)
+            for s in range(0, len(about), 256):
+                d = units(x, y[s : s + 256])
+                d[ids[:, None] == own[s : s + 256]] = 0
+                d[lone[:, None] & (rank[:, None] < ranks[s : s + 256])] = 4 * UNIT  # went before this seed's turn
+                weights[s : s + 256] += closeness(d, length)
+                for k in [k for k in mass if s <= k < s + 256]:
+                    own_d = d[:, k - s]
+                    counts[k] += int((own_d < NEAR).sum())
+                    mass[k] += spread(own_d, length)
+                    near = np.array([i for i in np.flatnonzero(own_d <= NEAR).tolist() if int(ids[i]) not in about[k][4]], np.int64)
+                    order = drawn(ids[near], seed, about[k][0])
+                    first[k] += [(int(order[i]) - (1 << 63), int(ids[near[i]]), x[near[i]].tolist()) for i in np.argsort(order, kind="stable")[:most]]
+                    first[k] = sorted(first[k])[:most]
+        sums = [[int(w), *(mass[k].tolist() if k in mass else ())] for k, w in enumerate(weights)]
+        found = [[{"h": h, "id": i, "v": v} for h, i, v in f] for f in first]
+        yield pa.record_batch([pa.array(np.arange(len(about), dtype=np.int32)), pa.array(counts), pa.array(sums, pa.list_(pa.int64())), pa.array(found, pa.list_(neighbour))], names=["k", "n", "sums", "first"])
+
+    columns = alive.select("contig_idx", "v", "length", "rank", "lone")
+    parts = columns.mapInArrow(run, "k int, n long, sums array<bigint>, first array<struct<h: bigint, id: bigint, v: array<double>>>")
+    sums = F.array(*[F.sum(F.get("sums", F.lit(i))) for i in range(N_BINS + 1)])
+    merged = parts.groupBy("k").agg(F.sum("n").alias("n"), sums.alias("sums"), F.slice(F.array_sort(F.flatten(F.collect_list("first"))), 1, most).alias("first"))
+    rows = {r["k"]: r for r in merged.collect()}  # a row for each point asked about
+    out, k = [], 0
+    for _, ask in asks:
+        mine = [rows[k + i] for i in range(len(ask.ids))]
+        k += len(ask.ids)
+        weights = [int(r["sums"][0]) for r in mine]
+        if not ask.look:
+            out.append(weights)
+            continue
+        (r,) = mine
+        known.update({p["id"]: np.array(p["v"]) for p in r["first"]})
+        out.append((weights[0], [p["id"] for p in r["first"]], int(r["n"]), np.array(r["sums"][1:], np.int64)))
+    return out
+
+
+@dataclass
+class _Result:
+    """What an attempt came to, and the points that it asked about."""
+
+    medoid: int
+    close: int
+    mass: np.ndarray
+    touched: dict[int, np.ndarray]
+
+
+def _attempts(alive: DataFrame, seeds: list[_Point], options: dict) -> dict[int, _Result]:
+    """By seed the results of attempts side by side; each sees the points as they are."""
+    known, touched = {p.id: p.v for p in seeds}, {p.id: {} for p in seeds}
+    works = {p.id: (p, attempt(p.id)) for p in seeds}
+    asks, ended = {i: next(w) for i, (_, w) in works.items()}, {}
+    while asks:
+        replies = _answers(alive, [(works[i][0], ask) for i, ask in asks.items()], known, options)
+        for (i, ask), reply in zip([*asks.items()], replies):
+            touched[i].update({k: known[k] for k in ask.ids})
+            try:
+                asks[i] = works[i][1].send(reply)
+            except StopIteration as end:
+                ended[i] = _Result(*end.value, touched[i])
+                del asks[i]
+    return ended
+
+
+def _disturbed(points: dict[int, np.ndarray], done: list[tuple[np.ndarray, float]]) -> bool:
+    """Whether clusters (medoid, radius) may have taken points that an attempt saw around the given ones."""
+    y = np.array([*points.values()])
+    for medoid, radius in done:
+        apart = np.sqrt(np.maximum(((y - medoid) ** 2).sum(axis=1), 0))
+        if (apart <= np.sqrt(2 * radius) + np.sqrt(2 * X_MAX) + 1e-6).any():
+            return True
+    return False
+
+
+def clusters_in_rounds(points: DataFrame, max_steps: int = 25, window: int = 300, min_successes: int = 15, seed: int = 0, seeds: int = SEEDS) -> DataFrame:
+    """(contig_idx, medoid, kind, radius, observed_pvr, batch, turn) of normalised points (contig_idx, v, length): the clusters of MedoidClusterer, found over a distributed table.
+
+    The next seeds are tried at once. Their attempts are taken in order up to the first that an earlier one's cluster may
+    have disturbed; the next round starts there. A point without neighbours is a loner whenever its turn comes, so these
+    aren't tried; they count for others as long as their turn isn't over. (batch, turn) orders the clusters.
     """
+    options, judge = {"max_steps": max_steps, "seed": seed}, Judge(window, min_successes)
+    social = linked(points, MEDOID_RADIUS * (1 + 1e-6)).select(F.explode(F.array("a", "b")).alias("contig_idx")).distinct().withColumn("social", F.lit(True))
+    ranks = seed_order(points).select("contig_idx", F.col("seed_rank").alias("rank"))
+    alive = stored(points.select("contig_idx", "v", "length").join(ranks, "contig_idx").join(social, "contig_idx", "left").withColumn("lone", F.col("social").isNull()).drop("social"))
+    done, batch, at, results = [], 0, 0, {}
+    while True:
+        rows = alive.where(~F.col("lone") & (F.col("rank") >= at)).orderBy("rank").limit(seeds).collect()
+        if not rows and not at:
+            break
+        commits, clusters, until = [], [], None
+        if not rows:  # round again: every loner has had its turn
+            at, until = 0, 1 << 62
+        else:
+            tried = [_Point(r["contig_idx"], np.array(r["v"]), r["rank"]) for r in rows]
+            results |= _attempts(alive, [p for p in tried if p.id not in results], options)
+            for start in tried:
+                if any(units(start.v[None], v[None])[0, 0] <= round(radius * UNIT) for v, radius in clusters):
+                    at = start.rank + 1  # gone meanwhile
+                    continue
+                found = results[start.id]
+                if _disturbed(found.touched, clusters):
+                    at = start.rank
+                    break
+                kind, radius, observed, anew = judge(found.close, found.mass)
+                at = start.rank + 1
+                del results[start.id]
+                if kind is not None:
+                    medoid = found.touched[found.medoid]
+                    commits.append((start.rank, found.medoid, medoid, kind, radius, observed))
+                    clusters.append((medoid, radius or 0.0))
+                if anew:
+                    at, until = 0, at
+                    break
+            if until is None:  # what no cluster disturbed holds in the next round too
+                results = {i: r for i, r in results.items() if not _disturbed(r.touched, clusters)}
+            if not commits and until is None:
+                continue
+        if until is not None:
+            results = {}
+        alive = _commit(alive, commits, at if until is None else until, batch)
+        done.append(alive)
+        alive = alive.where("kind is null").select("contig_idx", "v", "length", "rank", "lone")
+        batch += 1
+    columns = ["contig_idx", "medoid", "kind", "radius", "observed_pvr", "batch", "turn"]
+    last = alive.select("contig_idx", F.col("contig_idx").alias("medoid"), F.lit("loner").alias("kind"), F.lit(None).cast("double").alias("radius"), F.lit(None).cast("double").alias("observed_pvr"), F.lit(batch).alias("batch"), F.col("rank").alias("turn"))
+    for table in done:
+        last = last.unionByName(table.where("kind is not null").select(columns))
+    return last
+
+
+def _commit(alive: DataFrame, commits: list[tuple], until: int, batch: int) -> DataFrame:
+    """alive with what becomes of each point: the first cluster that takes it, a loner if its turn was before `until`, or null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, ids, rank = _matrix(b["v"]) if b.num_rows else np.zeros((0, 1)), b["contig_idx"].to_numpy(), b["rank"].to_numpy()
+            lone = b["lone"].to_numpy(zero_copy_only=False).astype(bool)
+            medoid, kind, radius, observed, turn = [None] * len(ids), [None] * len(ids), [None] * len(ids), [None] * len(ids), [None] * len(ids)
+            free = np.ones(len(ids), bool)
+            for own, name, v, what, reach, seen in commits:
+                d = units(x, v[None])[:, 0] if len(ids) else np.zeros(0, np.int64)
+                hit = free & (ids == name if reach is None else (d <= round(reach * UNIT)) | (ids == name)) & ~(lone & (rank < own))
+                for i in np.flatnonzero(hit).tolist():
+                    medoid[i], kind[i], radius[i], observed[i], turn[i] = name, what, reach, seen, own
+                free &= ~hit
+            for i in np.flatnonzero(free & lone & (rank < until)).tolist():
+                medoid[i], kind[i], turn[i] = int(ids[i]), "loner", int(rank[i])
+            columns = [pa.array(medoid, pa.int64()), pa.array(kind, pa.string()), pa.array(radius, pa.float64()), pa.array(observed, pa.float64()), pa.array(turn, pa.int64())]
+            yield pa.record_batch([*[b[c] for c in ("contig_idx", "v", "length", "rank", "lone")], *columns], names=["contig_idx", "v", "length", "rank", "lone", "medoid", "kind", "radius", "observed_pvr", "turn"])
+
+    kinds = dict(alive.dtypes)
+    own = ", ".join(f"{c} {kinds[c]}" for c in ("contig_idx", "v", "length", "rank", "lone"))
+    out = alive.select("contig_idx", "v", "length", "rank", "lone").mapInArrow(run, own + ", medoid long, kind string, radius double, observed_pvr double, turn long")
+    return stored(out.withColumn("batch", F.lit(batch)))
+
+
+def medoid_clusters(latent: DataFrame, by: str | None = None, part_rows: int = PART_ROWS, **options: int) -> DataFrame:
+    """(cluster, contig_idx, medoid, kind, radius, observed_pvr): clusters of latent (contig_idx, v, length), numbered from 1; with `by` within each of its values, and with that column.
+
+    Points further apart than X_MAX never meet in a histogram or a cluster, so what pairs within X_MAX connect are parts
+    that are clustered by themselves, each with its own ratio; with `by` its values are the parts. A part of at most part_rows
+    points is a task; a larger one is clustered in rounds over all tasks, see clusters_in_rounds, with the same result.
+    """
+    points = stored(normalised(latent.select(F.col("contig_idx").cast("long"), "v", "length", *[by] * bool(by))))
+    if by:
+        points = points.withColumnRenamed(by, "part")
+    else:
+        parts = components(linked(points, X_MAX * (1 + 1e-6)).select("a", "b"), points.select(F.col("contig_idx").alias("node")))
+        points = stored(points.join(parts.select(F.col("node").alias("contig_idx"), F.col("component").alias("part")), "contig_idx"))
+    sizes = stored(points.groupBy("part").agg(F.count(F.lit(1)).alias("n")))
+    kind = dict(points.dtypes)["part"]
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("contig_idx")
         ids = rows["contig_idx"].to_numpy()
-        found = MedoidClusterer(np.stack(rows["v"].to_list()), rows["length"].to_numpy(), **options)
+        found = MedoidClusterer(np.stack(rows["v"].to_list()), rows["length"].to_numpy(), ids=ids, normalised=True, **options)
         out = [pd.DataFrame({"cluster": n, "contig_idx": ids[c.members], "medoid": ids[c.medoid], "kind": c.kind, "radius": c.radius, "observed_pvr": c.observed_pvr}) for n, c in enumerate(found, 1)]
-        table = pd.concat(out).astype({"radius": "float64", "observed_pvr": "float64"})
-        return table.assign(part=rows["part"].iloc[0]) if by else table
-
-    rows = latent.select("contig_idx", "v", "length", (F.col(by) if by else F.lit(0)).alias("part"))
-    kind = dict(rows.dtypes)["part"]
-    out = rows.groupBy("part").applyInPandas(run, SCHEMA + (f", part {kind}" if by else ""))
-    return out.withColumnRenamed("part", by) if by else out
+        return pd.concat(out).astype({"radius": "float64", "observed_pvr": "float64"}).assign(part=rows["part"].iloc[0])
+
+    same = F.col("part").eqNullSafe(F.col("of"))
+    alone = points.join(sizes.where("n = 1").select(F.col("part").alias("of")), same, "left_semi")
+    none = F.lit(None).cast("double")
+    out = alone.select(F.lit(1).cast("long").alias("cluster"), F.col("contig_idx").cast("long"), F.col("contig_idx").cast("long").alias("medoid"), F.lit("loner").alias("kind"), none.alias("radius"), none.alias("observed_pvr"), "part")
+    small = points.join(sizes.where((F.col("n") > 1) & (F.col("n") <= part_rows)).select(F.col("part").alias("of")), same, "left_semi")
+    out = out.unionByName(small.groupBy("part").applyInPandas(run, SCHEMA + f", part {kind}"))
+    for r in sizes.where(F.col("n") > part_rows).select("part").toLocalIterator():  # each fills all tasks
+        own = points.where(F.col("part").eqNullSafe(F.lit(r["part"]).cast(kind))).drop("part")
+        found = stored(clusters_in_rounds(own, **options))
+        numbers = numbered(found.select("batch", "turn").distinct(), [F.col("batch"), F.col("turn")]).select("batch", "turn", (F.col("i") + 1).alias("cluster"))
+        found = found.join(numbers, ["batch", "turn"])
+        out = out.unionByName(found.select("cluster", F.col("contig_idx").cast("long"), F.col("medoid").cast("long"), "kind", "radius", "observed_pvr", F.lit(r["part"]).cast(kind).alias("part")))
+    if by:
+        return out.withColumnRenamed("part", by)
+    out = stored(out.withColumnRenamed("cluster", "within"))
+    numbers = numbered(out.select("part", "within").distinct(), [F.col("part"), F.col("within")]).select("part", "within", (F.col("i") + 1).alias("cluster"))
+    return out.join(numbers, ["part", "within"]).select("cluster", "contig_idx", "medoid", "kind", "radius", "observed_pvr")
 
 
 def metadata(members: DataFrame, contigs: DataFrame) -> DataFrame:

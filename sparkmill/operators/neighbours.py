@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkmill.functions.vectors import half_distance, half_unit
 from sparkmill.operators import pivots
+from sparkmill.sources.scratch import numbered
 
 #: Radii and histogram of the density scan (fixed values): medoid and default radius, bin width, end of the histogram.
 MEDOID_RADIUS, DEFAULT_RADIUS, DELTA_X, X_MAX = 0.05, 0.06, 0.005, 0.3
@@ -67,11 +68,5 @@ def smoothed(hist: DataFrame) -> DataFrame:
 
 
 def seed_order(contigs: DataFrame) -> DataFrame:
-    """(contig_idx, seed_rank): the longest first, of equal ones the higher index; ranked by ranges, not in one task.
-
-    Rows are counted by length first; a contig's rank is what stands before its length and its place within it.
-    """
-    counts = contigs.groupBy("length").agg(F.count(F.lit(1)).alias("n"))
-    before = counts.select("length", F.coalesce(F.sum("n").over(Window.orderBy(F.desc("length")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    place = F.row_number().over(Window.partitionBy("length").orderBy(F.desc("contig_idx")))
-    return contigs.select("contig_idx", "length", place.alias("place")).join(before, "length").select("contig_idx", (F.col("before") + F.col("place")).alias("seed_rank"))
+    """(contig_idx, seed_rank): the longest first, of equal ones the higher index, from 1; sorted by range, however many are equal."""
+    return numbered(contigs.select("contig_idx", "length"), [F.desc("length"), F.desc("contig_idx")]).select("contig_idx", (F.col("i") + 1).alias("seed_rank"))

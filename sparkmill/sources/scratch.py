@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -53,6 +55,15 @@ def stored(df: DataFrame) -> DataFrame:
     return Scratch(df.sparkSession).keep(df)
 
 
+def numbered(rows: DataFrame, order: Sequence[Column]) -> DataFrame:
+    """rows with a column i: their places 0, 1, ... in the given order; sorted by range, no task holds all rows."""
+    held = stored(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()))
+    part, place = F.shiftright("at", 33), F.col("at").bitwiseAND((1 << 33) - 1)
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    starts = held.groupBy(part.alias("part")).count().select("part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
+    return held.join(F.broadcast(starts), part == F.col("part")).select(*rows.columns, (F.col("start") + place).alias("i"))
+
+
 def sweep(spark: SparkSession) -> int:
     """Delete what this process has stored, once no result needs it; returns how many tables."""
     paths = [*_written]

@@ -114,6 +114,78 @@ def test_neighbours_within_groups(spark):
     assert rows(got, "a", "b") == want
 
 
+def partition(rows):
+    """Members by cluster, whatever the clusters' names."""
+    out = {}
+    for k, m in rows:
+        out.setdefault(k, set()).add(m)
+    return sorted(map(sorted, out.values()))
+
+
+def loose_points(seed, n=260, dims=64):
+    """Groups of unlike width, some of which run into each other, copies and lone points."""
+    rng = np.random.default_rng(seed)
+    centre = rng.normal(size=(12, dims))
+    centre[6:] = centre[:6] + rng.normal(size=(6, dims)) * 0.35
+    x = centre[rng.integers(0, 12, n)] + rng.normal(size=(n, dims)) * rng.choice([0.1, 0.2, 0.3], size=(n, 1))
+    x[::9], x[4::13] = x[0], rng.normal(size=x[4::13].shape)
+    return x, rng.integers(5, 12, n) * 100
+
+
+@pytest.mark.parametrize(("seed", "seeds", "options"), [(1, 32, {}), (2, 9, {"window": 6, "min_successes": 6, "max_steps": 3, "seed": 4})])
+def test_medoid_clusters_in_rounds(spark, seed, seeds, options):
+    """Over a distributed table the clusters, their medoids, radii and order are those of the sequential clusterer."""
+    x, lengths = loose_points(seed, 90, 32)
+    ids = np.arange(len(x)) * 3 + 5
+    df = spark.createDataFrame([(int(i), v.tolist(), int(n)) for i, v, n in zip(ids, x, lengths)], "contig_idx long, v array<double>, length int").repartition(5)
+    found = list(clustering.MedoidClusterer(x, lengths, ids=ids, **options))
+    assert len({c.kind for c in found}) >= 2 and (not options or found[-1].allowed_pvr > clustering.FIRST_PVR)
+    got = {}
+    for r in clustering.clusters_in_rounds(neighbours.normalised(df), seeds=seeds, **options).collect():
+        got.setdefault((r.batch, r.turn), []).append(r)
+    own = [(sorted(r.contig_idx for r in g), g[0].medoid, g[0].kind, g[0].radius) for _, g in sorted(got.items())]
+    assert own == [(sorted(ids[c.members].tolist()), int(ids[c.medoid]), c.kind, c.radius) for c in found]
+
+
+def test_medoid_clusters_of_large_and_small_parts(spark):
+    x, lengths = loose_points(3, 70, 32)
+    df = spark.createDataFrame([(i, v.tolist(), int(n)) for i, (v, n) in enumerate(zip(x, lengths))], "contig_idx long, v array<double>, length int")
+    one, two = (partition((r.cluster, r.contig_idx) for r in clustering.medoid_clusters(df, part_rows=n).collect()) for n in (10, 10_000))
+    assert one == two and sum(map(len, one)) == 70
+    assert clustering.medoid_clusters(df.limit(0)).collect() == []
+
+
+def test_valley_as_a_walk():
+    """The same threshold as going over the densities one by one."""
+    rng = np.random.default_rng(4)
+
+    def walk(density, ratio):
+        top, top_at, low, low_at, stage = 0.0, 0, None, None, "rise"
+        for i, d in enumerate(density):
+            if stage == "rise":
+                if d > top:
+                    top, top_at = d, i
+                elif d < 0.6 * top:
+                    stage, low, low_at = "fall", d, None
+                continue
+            if d > 1.5 * low:
+                break
+            if d < low:
+                low, low_at = d, i
+        if stage == "rise" or top_at > 20 or low_at is None or low >= ratio * top or low_at * 0.005 > 0.2 + ratio:
+            return None
+        return low_at * 0.005, low / top
+
+    seen = 0
+    for _ in range(400):
+        density = np.abs(np.convolve(rng.normal(size=60) * rng.choice([0, 1, 3], 60) + rng.choice([0, 4]) * (np.arange(60) < 9), np.ones(5), "same")) + rng.choice([0.0, 0.01])
+        for ratio in (0.1, 0.3, 0.6):
+            want, got = walk(density.tolist(), ratio), clustering.valley(density, ratio)
+            assert (want is None) == (got is None) and (want is None or got == pytest.approx(want))
+            seen += want is not None
+    assert seen > 50
+
+
 def test_medoid_clustering(spark):
     rng = np.random.default_rng(5)
     centres = rng.normal(size=(6, 12))
@@ -131,8 +203,10 @@ def test_medoid_clustering(spark):
     big = [c for c in found if len(c.members) > 40]
     assert len(big) == 6 and all(len({int(m) // 60 for m in c.members}) == 1 for c in big)
     df = spark.createDataFrame([(i + 7, v.tolist(), int(n), "ab"[i % 2]) for i, (v, n) in enumerate(zip(x, lengths))], "contig_idx long, v array<double>, length int, sample string")
+    named = list(clustering.MedoidClusterer(x, lengths, ids=np.arange(len(x)) + 7))
     one = clustering.medoid_clusters(df).collect()
-    assert {(r.cluster, r.contig_idx - 7) for r in one} == {(k, int(m)) for k, c in enumerate(found, 1) for m in c.members}
+    assert {r.cluster for r in one} == set(range(1, len(named) + 1))
+    assert partition((r.cluster, r.contig_idx - 7) for r in one) == partition((k, int(m)) for k, c in enumerate(named) for m in c.members)
     parts = clustering.medoid_clusters(df, by="sample")
     assert parts.count() == len(x) and set(parts.columns) >= {"sample", "cluster"}
 
