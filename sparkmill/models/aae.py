@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 from sparkmill.functions.vectors import masked
-from sparkmill.models.nn import Adam, BatchNorm, Chain, Layer, LeakyReLU, Linear, Sigmoid, minibatches, softmax, softmax_back
+from sparkmill.models.nn import Adam, BatchNorm, Chain, Layer, LeakyReLU, Linear, Sigmoid, Trained, minibatches, softmax, softmax_back
 from sparkmill.models.vae import N_TNF, Inputs
 
 
@@ -24,7 +24,7 @@ def _cross_entropy(p: np.ndarray, label: float) -> tuple[float, np.ndarray]:
     return float(loss), ((p - label) / (p * (1 - p)) / len(p)).astype(np.float32)
 
 
-class AAE(Layer):
+class AAE(Trained):
     """Reconstruction of depths and composition; two discriminators hold the latents to their priors.
 
     z: a normal; y: a relaxed one-hot of uniform categories at `temperature`, the clusters. sl: share of the adversarial
@@ -72,34 +72,37 @@ class AAE(Layer):
 
     def train(self, x: Inputs, epochs: int = 70, batch: int = 256, double_at: tuple[int, ...] = (25, 50), lr: float = 1e-3) -> list[float]:
         """Reconstruction loss of every epoch."""
+        return self.train_epochs(x, None, epochs, batch, double_at, lr)
+
+    def steps(self, lr: float | None) -> list[Adam]:
+        """Of the coders and of the two discriminators."""
         judges = {id(p) for j in (self.judge_z, self.judge_y) for p in j.params()}
-        coder = Adam([p for p in self.params() if id(p) not in judges], lr)
-        steps = [(self.judge_z, Adam(self.judge_z.params(), lr)), (self.judge_y, Adam(self.judge_y.params(), lr))]
-        out = []
-        for epoch in range(epochs):
-            batch *= 1 + (epoch in double_at)
-            losses = []
-            for i in minibatches(len(x), batch, self.rng):
-                rows = x.at(i)
-                _, z, y, back = self._latents(rows, True)
-                loss, back_r = self._reconstruct(rows, z, y, True)
-                g = back_r(1 - self.sl)
-                gs = []
-                for (judge, _), latent, share in zip(steps, (z, y), (self.slr, 1 - self.slr)):
-                    p, back_j = judge(latent)
-                    gs.append(back_j(_cross_entropy(p, 1.0)[1] * np.float32(self.sl * share)))
-                back(g[:, : self.n_z] + gs[0], g[:, self.n_z :] + gs[1])
-                coder.step()
-                for (judge, step), latent, prior in zip(steps, (z, y), (self.rng.standard_normal(z.shape).astype(np.float32), self._prior_y(len(rows)))):
-                    for p in judge.params():
-                        p.grad[...] = 0
-                    for rows_, label in ((prior, 1.0), (latent, 0.0)):
-                        p, back_j = judge(rows_)
-                        back_j(_cross_entropy(p, label)[1] / 2)
-                    step.step()
-                losses.append(loss)
-            out.append(float(np.mean(losses)))
-        return out
+        own = [[p for p in self.params() if id(p) not in judges], self.judge_z.params(), self.judge_y.params()]
+        return [Adam(params, lr or 1.0, adapt=lr is None) for params in own]
+
+    def epoch(self, x: Inputs, labels: None, batch: int, steps: list[Adam]) -> list[float]:
+        """The reconstruction loss of every minibatch."""
+        coder, judges, losses = steps[0], [*zip((self.judge_z, self.judge_y), steps[1:])], []
+        for i in minibatches(len(x), batch, self.rng):
+            rows = x.at(i)
+            _, z, y, back = self._latents(rows, True)
+            loss, back_r = self._reconstruct(rows, z, y, True)
+            g = back_r(1 - self.sl)
+            gs = []
+            for (judge, _), latent, share in zip(judges, (z, y), (self.slr, 1 - self.slr)):
+                p, back_j = judge(latent)
+                gs.append(back_j(_cross_entropy(p, 1.0)[1] * np.float32(self.sl * share)))
+            back(g[:, : self.n_z] + gs[0], g[:, self.n_z :] + gs[1])
+            coder.step()
+            for (judge, step), latent, prior in zip(judges, (z, y), (self.rng.standard_normal(z.shape).astype(np.float32), self._prior_y(len(rows)))):
+                for p in judge.params():
+                    p.grad[...] = 0
+                for rows_, label in ((prior, 1.0), (latent, 0.0)):
+                    p, back_j = judge(rows_)
+                    back_j(_cross_entropy(p, label)[1] / 2)
+                step.step()
+            losses.append(loss)
+        return losses
 
     def encode(self, x: Inputs) -> np.ndarray:
         """The continuous latent."""

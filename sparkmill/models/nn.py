@@ -162,6 +162,14 @@ class Adam:
         self.m, self.v = ([np.zeros_like(p.value) for p in params] for _ in range(2))
         self.d, self.top, self.s = 1e-6, 0.0, [np.zeros_like(p.value) for p in params]
 
+    def state(self) -> list[np.ndarray]:
+        return [*self.m, *self.v, *self.s, np.array([self.t, self.d, self.top], np.float64)]
+
+    def load(self, arrays: list[np.ndarray]) -> None:
+        for mine, given in zip([*self.m, *self.v, *self.s], arrays):
+            mine[...] = given
+        self.t, self.d, self.top = int(round(arrays[-1][0])), float(arrays[-1][1]), float(arrays[-1][2])
+
     def step(self) -> None:
         b1, b2 = self.betas
         self.t += 1
@@ -191,3 +199,29 @@ def minibatches(n: int, size: int, rng: np.random.Generator) -> Iterator[np.ndar
         return
     for k in range(0, n - size + 1, size):
         yield order[k : k + size]
+
+
+class Trained(Layer):
+    """A model that is trained by epochs over rows; its layers share one generator."""
+
+    def steps(self, lr: float | None) -> list[Adam]:
+        """The optimisers. lr: Adam with that rate; else its step adapts itself."""
+        return [Adam(self.params(), lr or 1.0, adapt=lr is None)]
+
+    def epoch(self, x, labels: np.ndarray | None, batch: int, steps: list[Adam]) -> list[float]:
+        """The loss of every minibatch."""
+        raise NotImplementedError
+
+    def reseed(self, seed: list[int]) -> None:
+        rng = np.random.default_rng(seed)
+        for m in self.modules():
+            if hasattr(m, "rng"):
+                m.rng = rng
+
+    def train_epochs(self, x, labels: np.ndarray | None, epochs: int, batch: int, double_at: tuple[int, ...], lr: float | None) -> list[float]:
+        """Loss of every epoch over rows in memory. The batch doubles at the given epochs."""
+        steps, out = self.steps(lr), []
+        for epoch in range(epochs):
+            batch *= 1 + (epoch in double_at)
+            out.append(float(np.mean(self.epoch(x, labels, batch, steps))))
+        return out

@@ -6,11 +6,11 @@ import numpy as np
 
 from sparkmill.functions.vectors import masked
 from sparkmill.models.hierarchy import HierarchicalLoss, Tree, one_hot
-from sparkmill.models.nn import Adam, Chain, Layer, Linear, hidden, minibatches
+from sparkmill.models.nn import Adam, Chain, Layer, Linear, Trained, hidden, minibatches
 from sparkmill.models.vae import N_TNF, VAE, Decoder, Inputs, Weights, check, defaults, reconstruction, reconstruction_grads
 
 
-class LabelPredictor(Layer):
+class LabelPredictor(Trained):
     """Labels of a tree from depths, composition and abundance: hidden layers (four of 512 for many samples) and a hierarchical loss."""
 
     def __init__(self, n_samples: int, tree: Tree, n_tnf: int = N_TNF, n_hidden: list[int] | None = None, dropout: float | None = None, loss: str = "flat_softmax", seed: int = 0) -> None:
@@ -21,18 +21,17 @@ class LabelPredictor(Layer):
         self.net = Chain(hidden(sizes, dropout, self.rng), Linear(sizes[-1], self.hier.n_scores, self.rng))
 
     def train(self, x: Inputs, labels: np.ndarray, epochs: int = 100, batch: int = 1024, double_at: tuple[int, ...] = (), lr: float | None = 1e-3) -> list[float]:
-        step, out = Adam(self.params(), lr or 1.0, adapt=lr is None), []
-        for epoch in range(epochs):
-            batch *= 1 + (epoch in double_at)
-            losses = []
-            for i in minibatches(len(x), batch, self.rng):
-                scores, back = self.net(x.at(i).joined(), True, self.rng)
-                value, grad = self.hier.loss(scores, labels[i])
-                back((grad / len(i)).astype(np.float32))
-                step.step()
-                losses.append(value.mean())
-            out.append(float(np.mean(losses)))
-        return out
+        return self.train_epochs(x, labels, epochs, batch, double_at, lr)
+
+    def epoch(self, x: Inputs, labels: np.ndarray, batch: int, steps: list[Adam]) -> list[float]:
+        losses = []
+        for i in minibatches(len(x), batch, self.rng):
+            scores, back = self.net(x.at(i).joined(), True, self.rng)
+            value, grad = self.hier.loss(scores, labels[i])
+            back((grad / len(i)).astype(np.float32))
+            steps[0].step()
+            losses.append(float(value.mean()))
+        return losses
 
     def predict(self, x: Inputs) -> np.ndarray:
         """Probabilities of all nodes."""
@@ -69,7 +68,7 @@ class LabelVAE(Layer):
         return float(value.mean() + 0.5 * (mu * mu).sum(axis=1).mean() * self.prior)
 
 
-class BimodalVAE(Layer):
+class BimodalVAE(Trained):
     """Three encoders (contigs, labels, both) and two decoders (contigs, labels) that share a latent.
 
     The joint encoder's latent goes through both single decoders and is drawn to the latents of the single encoders; the
@@ -113,15 +112,14 @@ class BimodalVAE(Layer):
         return joint + self.contigs.loss(alone) + self.labels.loss(alone_labels, self.tree.n)
 
     def train(self, x: Inputs, labels: np.ndarray, epochs: int = 300, batch: int = 256, double_at: tuple[int, ...] = (25, 75, 150, 225), lr: float | None = 1e-3) -> list[float]:
-        step, out = Adam(self.params(), lr or 1.0, adapt=lr is None), []
-        for epoch in range(epochs):
-            batch *= 1 + (epoch in double_at)
-            losses = []
-            for i, j in zip(minibatches(len(x), batch, self.rng), minibatches(len(x), batch, self.rng)):
-                losses.append(self.loss(x.at(i), labels[i], x.at(j), labels[j]))
-                step.step()
-            out.append(float(np.mean(losses)))
-        return out
+        return self.train_epochs(x, labels, epochs, batch, double_at, lr)
+
+    def epoch(self, x: Inputs, labels: np.ndarray, batch: int, steps: list[Adam]) -> list[float]:
+        losses = []
+        for i, j in zip(minibatches(len(x), batch, self.rng), minibatches(len(x), batch, self.rng)):
+            losses.append(self.loss(x.at(i), labels[i], x.at(j), labels[j]))
+            steps[0].step()
+        return losses
 
     def encode(self, x: Inputs, labels: np.ndarray) -> np.ndarray:
         """The joint encoder's latent."""
@@ -134,7 +132,7 @@ def permuted(n: int, total: int, seed: int) -> np.ndarray:
     return np.concatenate([rng.permutation(n) for _ in range(-(-total // n))])[:total] if total else np.zeros(0, np.int64)
 
 
-class ConcatVAE(Layer):
+class ConcatVAE(Trained):
     """Variational autoencoder of contigs and labels as one input and one output."""
 
     def __init__(self, n_samples: int, tree: Tree, n_tnf: int = N_TNF, n_hidden: list[int] | None = None, n_latent: int = 32, alpha: float | None = None, beta: float = 200.0, dropout: float | None = None, loss: str = "flat_softmax", seed: int = 0) -> None:
@@ -159,14 +157,14 @@ class ConcatVAE(Layer):
         return float(((rows + value + 0.5 * (mu * mu).sum(axis=1) * self.k.prior) * x.weights[:, 0]).mean())
 
     def train(self, x: Inputs, labels: np.ndarray, epochs: int = 100, batch: int = 256, lr: float = 1e-3) -> list[float]:
-        step, out = Adam(self.params(), lr), []
-        for _ in range(epochs):
-            losses = []
-            for i in minibatches(len(x), batch, self.rng):
-                losses.append(self.loss(x.at(i), labels[i]))
-                step.step()
-            out.append(float(np.mean(losses)))
-        return out
+        return self.train_epochs(x, labels, epochs, batch, (), lr)
+
+    def epoch(self, x: Inputs, labels: np.ndarray, batch: int, steps: list[Adam]) -> list[float]:
+        losses = []
+        for i in minibatches(len(x), batch, self.rng):
+            losses.append(self.loss(x.at(i), labels[i]))
+            steps[0].step()
+        return losses
 
     def encode(self, x: Inputs, labels: np.ndarray) -> np.ndarray:
         return masked(self.encoder(np.hstack([x.joined(), one_hot(labels, self.tree.n)]))[0], 12)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkmill.functions.vectors import masked
-from sparkmill.models.nn import Adam, Chain, Layer, Linear, hidden, minibatches, softmax, softmax_back
+from sparkmill.models.nn import Adam, Chain, Layer, Linear, Trained, hidden, minibatches, softmax, softmax_back
 
 N_TNF = 103
 
@@ -37,21 +37,12 @@ class Inputs:
         return np.hstack([self.depths, self.tnf, self.total])
 
     @staticmethod
-    def of(features: DataFrame, limit: int = 2_000_000) -> Inputs:
-        """From features(contig_idx, depths, tnf, total_ab, weight and maybe label), in the order of contig_idx.
-
-        Training is on the driver: of more rows than the limit, the parameter that bounds it, a sample by a hash of contig_idx is used.
-        """
-        n = features.count()
-        if n > limit:
-            features = features.where(F.pmod(F.xxhash64("contig_idx"), F.lit(1 << 20)) < int((1 << 20) * 0.95 * limit / n))
-        more = ["label"] * ("label" in features.columns)
-        t = features.select("contig_idx", "depths", "tnf", "total_ab", "weight", *more).limit(limit).toArrow().sort_by("contig_idx")
-        if len(t) < 2:
-            raise ValueError("at least two contigs are needed")
+    def of(t: pa.Table) -> Inputs:
+        """From rows (contig_idx, depths, tnf, total_ab, weight and maybe label) in memory."""
         wide = lambda c: t[c].combine_chunks().flatten().to_numpy().astype(np.float32).reshape(len(t), -1)
         one = lambda c: t[c].to_numpy().astype(np.float32)[:, None]
-        return Inputs(wide("depths"), wide("tnf"), one("total_ab"), one("weight"), t["contig_idx"].to_numpy(), t["label"].to_numpy() if more else None)
+        labels = t["label"].to_numpy() if "label" in t.schema.names else None
+        return Inputs(wide("depths"), wide("tnf"), one("total_ab"), one("weight"), t["contig_idx"].to_numpy(), labels)
 
 
 def check(n_samples: int, n_latent: int, n_hidden: list[int], alpha: float, beta: float, dropout: float) -> None:
@@ -107,7 +98,7 @@ def reconstruction_grads(x: Inputs, depths, tnf, total, k: Weights, row: np.ndar
     return -x.depths / (depths + 1e-9) * k.depths * row, 2 * (tnf - x.tnf) * k.tnf * row, 2 * (total - x.total) * k.total * row
 
 
-class VAE(Layer):
+class VAE(Trained):
     """Encoder to the mean of a normal latent with unit deviation, decoder, weighted loss."""
 
     def __init__(self, n_samples: int, n_tnf: int = N_TNF, n_hidden: list[int] | None = None, n_latent: int = 32, alpha: float | None = None, beta: float = 200.0, dropout: float | None = None, seed: int = 0) -> None:
@@ -134,15 +125,14 @@ class VAE(Layer):
 
     def train(self, x: Inputs, epochs: int = 300, batch: int = 256, double_at: tuple[int, ...] = (25, 75, 150, 225), lr: float | None = None) -> list[float]:
         """Loss of every epoch. The batch doubles at the given epochs. lr: Adam with that rate; else its step adapts itself."""
-        step, out = Adam(self.params(), lr or 1.0, adapt=lr is None), []
-        for epoch in range(epochs):
-            batch *= 1 + (epoch in double_at)
-            losses = []
-            for i in minibatches(len(x), batch, self.rng):
-                losses.append(self.loss(x.at(i)))
-                step.step()
-            out.append(float(np.mean(losses)))
-        return out
+        return self.train_epochs(x, None, epochs, batch, double_at, lr)
+
+    def epoch(self, x: Inputs, labels: None, batch: int, steps: list[Adam]) -> list[float]:
+        losses = []
+        for i in minibatches(len(x), batch, self.rng):
+            losses.append(self.loss(x.at(i)))
+            steps[0].step()
+        return losses
 
     def encode(self, x: Inputs) -> np.ndarray:
         """Means of the latent, their 12 lowest mantissa bits zero."""

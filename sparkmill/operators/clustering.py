@@ -440,8 +440,8 @@ def medoid_clusters(latent: DataFrame, by: str | None = None, part_rows: int = P
         rows = rows.sort_values("contig_idx")
         ids = rows["contig_idx"].to_numpy()
         found = MedoidClusterer(np.stack(rows["v"].to_list()), rows["length"].to_numpy(), ids=ids, normalised=True, **options)
-        out = [pd.DataFrame({"cluster": n, "contig_idx": ids[c.members], "medoid": ids[c.medoid], "kind": c.kind, "radius": c.radius, "observed_pvr": c.observed_pvr}) for n, c in enumerate(found, 1)]
-        return pd.concat(out).astype({"radius": "float64", "observed_pvr": "float64"}).assign(part=rows["part"].iloc[0])
+        out = [pd.DataFrame({"cluster": n, "contig_idx": ids[c.members], "medoid": ids[c.medoid], "kind": c.kind, "radius": np.nan if c.radius is None else c.radius, "observed_pvr": np.nan if c.observed_pvr is None else c.observed_pvr}) for n, c in enumerate(found, 1)]
+        return pd.concat(out).assign(part=rows["part"].iloc[0])
 
     same = F.col("part").eqNullSafe(F.col("of"))
     alone = points.join(sizes.where("n = 1").select(F.col("part").alias("of")), same, "left_semi")

@@ -618,12 +618,12 @@ def recluster_kmeans(spark, d):
 @query()
 def vae_encode(spark, d):
     """A small autoencoder, trained for a few epochs, then applied by Arrow batches."""
-    from sparkmill.models.vae import VAE, Inputs, encode_frame
+    from sparkmill.models.training import train_frame
+    from sparkmill.models.vae import VAE, encode_frame
 
     rows = graph.stored(model_features(spark, d))
-    x = Inputs.of(rows)
     vae = VAE(N_SAMPLES, DIMS, [64], 8, seed=1)
-    vae.train(x, epochs=5, batch=64, double_at=(), lr=1e-3)
+    train_frame(vae, rows, epochs=6, batch=64, double_at=(2, 4), lr=1e-3)
     return encode_frame(vae, rows)
 
 
@@ -632,14 +632,13 @@ def tax_predict(spark, d):
     """A small classifier of the latent's label, applied to all contigs."""
     from sparkmill.models.hierarchy import Tree
     from sparkmill.models.taxonomy import LabelPredictor
+    from sparkmill.models.training import train_frame
     from sparkmill.models.vae import Inputs, apply_frame
 
-    rows = graph.stored(model_features(spark, d))
-    x = Inputs.of(rows)
+    rows = graph.stored(model_features(spark, d).withColumn("label", (3 + F.col("contig_idx") % 4).cast("int")))
     tree = Tree([-1, 0, 0, 1, 1, 2, 2])
-    labels = 3 + x.ids % 4
     model = LabelPredictor(N_SAMPLES, tree, DIMS, [64], seed=1)
-    model.train(x, labels, epochs=5, batch=64)
+    train_frame(model, rows, epochs=5, batch=64, lr=1e-3)
     shared = spark.sparkContext.broadcast(model)
 
     def run(x: Inputs, ids: np.ndarray) -> list[pa.Array]:

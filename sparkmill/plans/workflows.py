@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkmill.functions.names import splits
 from sparkmill.models.aae import AAE
 from sparkmill.models.hierarchy import Tree
 from sparkmill.models.taxonomy import BimodalVAE, LabelPredictor
+from sparkmill.models.training import train_frame, width
 from sparkmill.models.vae import VAE, Inputs, apply_frame, encode_frame, lists
 from sparkmill.operators import bins, composition, taxonomy
 from sparkmill.operators.abundance import filled
@@ -136,9 +136,8 @@ def write_split(members: DataFrame, contigs: DataFrame, options: Options, base:
 
 def bin_default(data: Dataset, options: Options) -> DataFrame:
     """Features, VAE, latent, clusters."""
-    x = Inputs.of(data.features)
-    vae = VAE(len(data.samples), x.tnf.shape[1], options.n_hidden, options.n_latent, options.alpha, options.beta, options.dropout, options.seed)
-    vae.train(x, options.epochs, options.batch, options.double_at)
+    vae = VAE(len(data.samples), width(data.features, "tnf"), options.n_hidden, options.n_latent, options.alpha, options.beta, options.dropout, options.seed)
+    train_frame(vae, data.features, options.epochs, options.batch, options.double_at, seed=options.seed)
     latent = stored(encode_frame(vae, data.features))
     latent.write.parquet(f"{options.out}/latent")
     return cluster_and_write(data, latent, options)
@@ -146,9 +145,8 @@ def bin_default(data: Dataset, options: Options) -> DataFrame:
 
 def bin_adversarial(data: Dataset, options: Options) -> tuple[DataFrame, DataFrame]:
     """(clusters of the continuous latent, clusters of the categorical one): both are written."""
-    x = Inputs.of(data.features)
-    aae = AAE(len(data.samples), x.tnf.shape[1], seed=options.seed, **{k: v for k, v in options.aae.items() if k in ("n_hidden", "n_z", "n_y", "sl", "slr", "temperature")})
-    aae.train(x, options.aae.get("epochs", 70), options.aae.get("batch", 256), options.aae.get("double_at", (25, 50)))
+    aae = AAE(len(data.samples), width(data.features, "tnf"), seed=options.seed, **{k: v for k, v in options.aae.items() if k in ("n_hidden", "n_z", "n_y", "sl", "slr", "temperature")})
+    train_frame(aae, data.features, options.aae.get("epochs", 70), options.aae.get("batch", 256), options.aae.get("double_at", (25, 50)), 1e-3, options.seed)
     z = cluster_and_write(data, encode_frame(aae, data.features), options, "aae_z", "z_")
     spark = data.features.sparkSession
     model = spark.sparkContext.broadcast(aae)
@@ -176,16 +174,17 @@ def _labelled(features: DataFrame, annotated: DataFrame, names: list[str]) -> Da
     return features.join(own, "contig_idx", "left").fillna(0, subset=["label"])
 
 
-def predict_taxonomy(data: Dataset, annotated: DataFrame, options: Options, train_on: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
+def predict_taxonomy(data: Dataset, annotated: DataFrame, options: Options, held_out: Column | None = None) -> DataFrame:
     """(contig_idx, ranks, probs): predictions for all contigs of a classifier trained on the annotated ones (contig_idx, ranks).
 
-    train_on: gives, from the contig numbers, which rows to train on. The model is applied by Arrow batches.
+    held_out: a condition on contig_idx; then the classifier is trained on the other contigs and applied to these alone.
+    The model is applied by Arrow batches.
     """
     names, tree = tree_of(annotated)
-    x = Inputs.of(_labelled(data.features.join(annotated.select("contig_idx"), "contig_idx", "left_semi"), annotated, names))
-    use = np.flatnonzero(np.ones(len(x), bool) if train_on is None else train_on(x.ids))
-    model = LabelPredictor(len(data.samples), tree, x.tnf.shape[1], options.n_hidden, options.dropout, options.loss, options.seed)
-    model.train(x.at(use), x.labels[use], options.predictor_epochs, options.predictor_batch)
+    rows = _labelled(data.features.join(annotated.select("contig_idx"), "contig_idx", "left_semi"), annotated, names)
+    rows = rows if held_out is None else rows.where(~held_out)
+    model = LabelPredictor(len(data.samples), tree, width(data.features, "tnf"), options.n_hidden, options.dropout, options.loss, options.seed)
+    train_frame(model, rows, options.predictor_epochs, options.predictor_batch, (), 1e-3, options.seed)
     order = [k for k in np.argsort(tree.depth, kind="stable").tolist() if k]
     shared, least = data.features.sparkSession.sparkContext.broadcast((model, names)), options.threshold
 
@@ -198,7 +197,7 @@ def predict_taxonomy(data: Dataset, annotated: DataFrame, options: Options, trai
             probs.append([min(1.0, max(0.0, float(p[k]))) for k in kept])
         return [pa.array(ranks, pa.list_(pa.string())), pa.array(probs, pa.list_(pa.float64()))]
 
-    return apply_frame(data.features, "ranks array<string>, probs array<double>", run)
+    return apply_frame(data.features if held_out is None else data.features.where(held_out), "ranks array<string>, probs array<double>", run)
 
 
 def write_taxonomy(data: Dataset, annotated: DataFrame, options: Options) -> DataFrame:
@@ -209,12 +208,8 @@ def write_taxonomy(data: Dataset, annotated: DataFrame, options: Options) -> Dat
 
 def taxonomy_benchmark(data: Dataset, annotated: DataFrame, options: Options, folds: int = 5) -> DataFrame:
     """Accuracy by rank of predictions for each fold from the others; contigs are dealt by a seeded hash and compared by number."""
-    fold = lambda ids: np.array([(int(i) * 2654435761 + options.seed) % 2**32 % folds for i in ids])
-    parts = []
-    for k in range(folds):
-        out = predict_taxonomy(data, annotated, options, lambda ids, k=k: fold(ids) != k)
-        own = F.pmod(F.col("contig_idx") * 2654435761 + options.seed, F.lit(2**32)) % folds == k
-        parts.append(out.where(own))
+    fold = F.pmod(F.xxhash64(F.col("contig_idx").cast("long"), F.lit(options.seed)), F.lit(folds))
+    parts = [predict_taxonomy(data, annotated, options, fold == k) for k in range(folds)]
     predicted = parts[0]
     for p in parts[1:]:
         predicted = predicted.unionByName(p)
@@ -227,9 +222,8 @@ def bin_taxonomy(data: Dataset, annotated: DataFrame, options: Options, refine:
         annotated = write_taxonomy(data, annotated, options).select("contig_idx", "ranks")
     names, tree = tree_of(annotated)
     rows = stored(_labelled(data.features, annotated, names))
-    x = Inputs.of(rows)
-    model = BimodalVAE(len(data.samples), tree, x.tnf.shape[1], options.n_hidden, options.n_latent, options.alpha, options.beta, options.dropout, options.loss, options.seed)
-    model.train(x, x.labels, options.epochs, options.batch, options.double_at)
+    model = BimodalVAE(len(data.samples), tree, width(rows, "tnf"), options.n_hidden, options.n_latent, options.alpha, options.beta, options.dropout, options.loss, options.seed)
+    train_frame(model, rows, options.epochs, options.batch, options.double_at, 1e-3, options.seed)
     shared = rows.sparkSession.sparkContext.broadcast(model)
     latent = apply_frame(rows, "v array<float>", lambda x, label: [lists(shared.value.encode(x, label))], "label")
     return cluster_and_write(data, stored(latent), options, "bimodal")

@@ -57,11 +57,11 @@ def stored(df: DataFrame) -> DataFrame:
 
 def numbered(rows: DataFrame, order: Sequence[Column]) -> DataFrame:
     """rows with a column i: their places 0, 1, ... in the given order; sorted by range, no task holds all rows."""
-    held = stored(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()))
-    part, place = F.shiftright("at", 33), F.col("at").bitwiseAND((1 << 33) - 1)
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
-    starts = held.groupBy(part.alias("part")).count().select("part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
-    return held.join(F.broadcast(starts), part == F.col("part")).select(*rows.columns, (F.col("start") + place).alias("i"))
+    held = stored(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("numbered_at", F.monotonically_increasing_id()))
+    part, place = F.shiftright("numbered_at", 33), F.col("numbered_at").bitwiseAND((1 << 33) - 1)
+    before = Window.orderBy("numbered_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    starts = held.groupBy(part.alias("numbered_part")).count().select("numbered_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("numbered_start"))
+    return held.join(F.broadcast(starts), part == F.col("numbered_part")).select(*rows.columns, (F.col("numbered_start") + place).alias("i"))
 
 
 def sweep(spark: SparkSession) -> int:

@@ -163,12 +163,55 @@ def test_permuted():
     assert (p == permuted(5, 13, 1)).all()
 
 
-def test_training_rows_are_sampled_beyond_the_limit(spark):
-    from sparkmill.models.vae import Inputs
-
-    rows = [(i, [1.0, 2.0], [0.5], 1.0, 1.0, i % 3) for i in range(500)]
-    df = spark.createDataFrame(rows, "contig_idx long, depths array<float>, tnf array<float>, total_ab float, weight float, label int")
-    one, two = Inputs.of(df, limit=100), Inputs.of(df.repartition(3), limit=100)
-    assert 60 <= len(one) <= 100 and one.ids.tolist() == two.ids.tolist()
-    assert one.labels.tolist() == [i % 3 for i in one.ids.tolist()]
-    assert len(Inputs.of(df)) == 500
+def frame(spark, x, labels, parts):
+    rows = [(i, x.depths[i].tolist(), x.tnf[i].tolist(), float(x.total[i, 0]), float(x.weights[i, 0]), int(labels[i])) for i in range(len(x))]
+    return spark.createDataFrame(rows, "contig_idx long, depths array<float>, tnf array<float>, total_ab float, weight float, label int").repartition(parts)
+
+
+@pytest.mark.parametrize("shard_rows", [1000, 45])
+def test_training_over_shards(spark, shard_rows):
+    """Every row is used, the curve falls, and doesn't depend on how the table is split."""
+    from sparkmill.models.training import train_frame
+
+    x, kind = inputs()
+    labels = np.array([3, 4, 6, 8])[kind]
+    curves, weights = [], []
+    for parts in (1, 4):
+        vae = VAE(4, 12, [16], 4, seed=5)
+        curves.append(train_frame(vae, frame(spark, x, labels, parts), 6, 16, (3,), 3e-3, shard_rows=shard_rows))
+        weights.append(vae.encode(x))
+    assert np.allclose(curves[0], curves[1], rtol=1e-6) and np.allclose(weights[0], weights[1], atol=1e-4)
+    assert curves[0][-1] < curves[0][0]
+    tree = Tree(PARENTS)
+    model = LabelPredictor(4, tree, 12, [32], seed=2)
+    losses = train_frame(model, frame(spark, x, labels, 3), 12, 32, (), 1e-2, shard_rows=shard_rows)
+    assert losses[-1] < 0.7 * losses[0]
+    with pytest.raises(ValueError, match="two contigs"):
+        train_frame(model, frame(spark, x, labels, 1).limit(1), 1, 8)
+
+
+def test_one_shard_is_training_in_memory(spark):
+    """Epoch by epoch with the same generators the weights are those of training without a table."""
+    from sparkmill.models.training import train_frame
+
+    x, kind = inputs()
+    own, other = AAE(4, 12, 16, 4, 5, seed=1), AAE(4, 12, 16, 4, 5, seed=1)
+    got = train_frame(own, frame(spark, x, kind, 2).drop("label"), 3, 32, (1,), 1e-3, seed=9)
+    steps, batch, want = other.steps(1e-3), 32, []
+    for epoch in range(3):
+        batch *= 1 + (epoch == 1)
+        other.reseed([9, epoch, 0])
+        want.append(float(np.mean(other.epoch(x, None, batch, steps))))
+    assert np.allclose(got, want, rtol=1e-6)
+    assert all(np.allclose(a, b, atol=1e-6) for a, b in zip(own.state(), other.state()))
+
+
+def test_many_shards_are_added_up_in_groups(spark, monkeypatch):
+    from sparkmill.models import training
+
+    x, kind = inputs()
+    curves = []
+    for together in (2, 16):
+        monkeypatch.setattr(training, "TOGETHER", together)
+        curves.append(training.train_frame(VAE(4, 12, [8], 2, seed=5), frame(spark, x, kind, 3), 2, 16, (), 1e-3, shard_rows=30))
+    assert np.allclose(curves[0], curves[1], rtol=1e-6)
