@@ -38,22 +38,23 @@ def unflat(model: Any, steps: list, values: np.ndarray) -> None:
 
 def _added(group: pa.Table) -> pa.Table:
     total = sum(np.frombuffer(v.as_py(), np.float64) for v in group["sums"])
-    return pa.table({"shard": group["shard"].slice(0, 1), "n": [sum(group["n"].to_pylist())], "loss": [sum(group["loss"].to_pylist())], "sums": [total.tobytes()]}).cast(group.schema)
+    return pa.table({"shard": group["shard"].slice(0, 1), "n": [sum(group["n"].to_pylist())], "loss": [np.sum(group["loss"].to_pylist(), axis=0).tolist()], "sums": [total.tobytes()]}).cast(group.schema)
 
 
-def _one_epoch(shared: Broadcast, seed: int, epoch: int, batch: int) -> Callable[[pa.Table], pa.Table]:
-    """From the common weights through one epoch of a shard: its weights times its rows, and its loss."""
+def _epochs(shared: Broadcast, seed: int, plan: list[tuple[int, int]]) -> Callable[[pa.Table], pa.Table]:
+    """From the common weights through some epochs (number, batch) of a shard: its weights times its rows, and its losses."""
 
     def run(group: pa.Table) -> pa.Table:
         model, steps = shared.value
         before, shard = flat(model, steps), group["shard"][0].as_py()
-        model.reseed([seed, epoch, shard])
-        x = Inputs.of(group.sort_by("contig_idx"))
-        loss = float(np.mean(model.epoch(x, x.labels, batch, steps)))
+        x, losses = Inputs.of(group.sort_by("contig_idx")), []
+        for epoch, batch in plan:
+            model.reseed([seed, epoch, shard])
+            losses.append(float(np.mean(model.epoch(x, x.labels, batch, steps))) * len(x))
         sums = len(x) * flat(model, steps)
         unflat(model, steps, before)  # the worker's copy serves other shards too
-        kinds = pa.schema([("shard", pa.int32()), ("n", pa.int64()), ("loss", pa.float64()), ("sums", pa.binary())])
-        return pa.table({"shard": [shard], "n": [len(x)], "loss": [loss * len(x)], "sums": [sums.tobytes()]}, schema=kinds)
+        kinds = pa.schema([("shard", pa.int32()), ("n", pa.int64()), ("loss", pa.list_(pa.float64())), ("sums", pa.binary())])
+        return pa.table({"shard": [shard], "n": [len(x)], "loss": [losses], "sums": [sums.tobytes()]}, schema=kinds)
 
     return run
 
@@ -74,12 +75,15 @@ def train_frame(model: Any, features: DataFrame, epochs: int, batch: int, double
     table = Scratch(spark)
     rows = table.keep(features.select(F.col("contig_idx").cast("long"), "depths", "tnf", "total_ab", "weight", *more, F.pmod(F.xxhash64("contig_idx"), F.lit(shards)).cast("int").alias("shard")))
     steps, losses = model.steps(lr), []
+    plans = []
     for epoch in range(epochs):
         batch *= 1 + (epoch in double_at)
+        plans.append((epoch, batch))
+    plans = [plans] if shards == 1 else [[p] for p in plans]  # one shard has nothing to average
+    for plan in plans:
         shared = spark.sparkContext.broadcast((model, steps))
-
-        kinds, step = "shard int, n long, loss double, sums binary", Scratch(spark)
-        parts = step.keep(rows.groupBy("shard").applyInArrow(_one_epoch(shared, seed, epoch, batch), kinds))
+        kinds, step = "shard int, n long, loss array<double>, sums binary", Scratch(spark)
+        parts = step.keep(rows.groupBy("shard").applyInArrow(_epochs(shared, seed, plan), kinds))
         left = shards
         while left > TOGETHER:
             left = -(-left // TOGETHER)
@@ -87,7 +91,7 @@ def train_frame(model: Any, features: DataFrame, epochs: int, batch: int, double
         found = parts.orderBy("shard").collect()  # TOGETHER rows at most
         rest = sum(r["n"] for r in found)
         unflat(model, steps, sum(np.frombuffer(r["sums"], np.float64) for r in found) / rest)
-        losses.append(sum(r["loss"] for r in found) / rest)
+        losses += (np.sum([r["loss"] for r in found], axis=0) / rest).tolist()
         step.clear()
         shared.destroy()
     table.clear()
