@@ -12,13 +12,13 @@ from pyspark.sql import functions as F
 
 from sparkmill.llm.graph import components
 from sparkmill.llm.shared import materialize, small_batches
-from sparkmill.llm.simhash import TWO_SEGMENTS_FROM, component_names, keep_first, near_links, shingle_hashes, wide_fingerprint
+from sparkmill.llm.simhash import component_names, keep_first, near_links, shingle_hashes, wide_fingerprint
 
 #: Candidates' fingerprints are made of pairs of words, which a changed word upsets less than longer shingles.
 CANDIDATE_SHINGLE = 2
-#: Words of 64 bits and segments of each; a segment's ball has radius 1. Wider segments from TWO_SEGMENTS_FROM on.
+#: Words of 64 bits and segments of each; a segment's ball has radius 1. The same at every size, so that what is found doesn't
+#: depend on how many rows there are: unlike texts that share a segment value are told apart by the first words.
 WORDS, SEGMENTS, RADIUS = 4, 3, 1
-MANY_WORDS, MANY_SEGMENTS = 8, 2
 #: Bits of the first word that candidates may differ in; pairs of similarity 0.8 differ in 6 to 10 on average, unlike texts in 32.
 CANDIDATE_DISTANCE = 16
 #: Sets that one task compares; what candidates connect beyond that is compared with its middle first, then in blocks.
@@ -159,8 +159,6 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ids are kept and never name a component unless it has no other; repeated rows stay.
     """
     small_batches(docs.sparkSession)
-    many = docs.count() >= TWO_SEGMENTS_FROM
-    words, m = (MANY_WORDS, MANY_SEGMENTS) if many else (WORDS, SEGMENTS)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t")).select("id", F.xxhash64("t").alias("x"), "t")
     kind = dict(rows.dtypes)["id"]
 
@@ -170,14 +168,14 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             for t in b.column(2):
                 t = t.as_py() or b""
                 nodes.append(node_of(shingle_set(t, shingle)))
-                own = np.array(wide_fingerprint(t, CANDIDATE_SHINGLE, words), np.uint64).view(np.int64)
+                own = np.array(wide_fingerprint(t, CANDIDATE_SHINGLE, WORDS), np.uint64).view(np.int64)
                 fps.append(own.tolist() if t.strip() else None)
             yield pa.record_batch([b.column(0), b.column(1), pa.array(nodes, pa.int64()), pa.array(fps, pa.list_(pa.int64()))], names=["id", "x", "node", "fps"])
 
     every = materialize(rows.mapInArrow(name, f"id {kind}, x long, node long, fps array<long>"), "sets")
     one = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "x", "fps")).alias("one")
     nodes = materialize(every.groupBy("node").agg(one).select("node", F.col("one.id").alias("first"), F.col("one.x").alias("first_x"), F.col("one.fps").alias("fps")), "nodes")
-    near = components(near_links(nodes.where("fps is not null"), CANDIDATE_DISTANCE, m, words, RADIUS))
+    near = components(near_links(nodes.where("fps is not null"), CANDIDATE_DISTANCE, SEGMENTS, WORDS, RADIUS))
     wanted = materialize(nodes.join(near, "node").select("root", "node", F.get("fps", F.lit(0)).alias("fp"), "first", "first_x"), "wanted")
     large = wanted.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > together).select("root")
     n_large = large.count()
