@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkmill.sources.scratch import stored
+
 
 def filled(depths: DataFrame, contigs: DataFrame, samples: list[int] | list[str]) -> DataFrame:
     """(contig_idx, sample, depth) for every contig and each of the samples, 0 where none is given."""
@@ -24,12 +26,68 @@ def merge_faults(depths: DataFrame, n_samples: int) -> DataFrame:
     return seen.where((F.col("n_samples") != n_samples) | (F.col("n_rows") != n_samples))
 
 
-def trimmed_mean(per_base: DataFrame, key: str = "contig_idx", value: str = "depth", trim: float = 0.1) -> DataFrame:
-    """Mean of each key's values without the lowest and the highest share `trim` of them (as many as floor(share * n))."""
-    w = Window.partitionBy(key)
-    ranked = per_base.select(key, value, F.row_number().over(w.orderBy(value)).alias("r"), F.count(F.lit(1)).over(w).alias("n"))
+#: Positions that one window of a sweep holds at most.
+TILE = 1 << 16
+
+
+def trimmed_mean_of_runs(runs: DataFrame, keys: list[str], trim: float = 0.1) -> DataFrame:
+    """Trimmed mean of each key's depths, given how many bases have each: runs (keys, depth, bases), a row for each depth of a key.
+
+    As many bases as floor(trim * n) go at either end. Costs the number of different depths, not of bases; null depths stand lowest and don't enter the mean.
+    """
+    w = Window.partitionBy(*keys)
+    ranked = runs.select(*keys, "depth", "bases", F.sum("bases").over(w.orderBy("depth")).alias("upto"), F.sum("bases").over(w).alias("n"))
     cut = F.floor(F.col("n") * trim)
-    return ranked.where((F.col("r") > cut) & (F.col("r") <= F.col("n") - cut)).groupBy(key).agg(F.avg(value).alias("depth"))
+    kept = F.greatest(F.lit(0), F.least(F.col("upto"), F.col("n") - cut) - F.greatest(F.col("upto") - F.col("bases"), cut))
+    kept = F.when(F.col("depth").isNotNull(), kept)
+    return ranked.groupBy(*keys).agg(F.try_divide(F.sum(F.col("depth") * kept), F.sum(kept)).alias("depth"))
+
+
+def trimmed_mean(per_base: DataFrame, key: str = "contig_idx", value: str = "depth", trim: float = 0.1) -> DataFrame:
+    """Mean of each key's values without the lowest and the highest share `trim` of them (as many as floor(share * n)); equal values are counted first."""
+    return trimmed_mean_of_runs(per_base.groupBy(key, F.col(value).alias("depth")).agg(F.count(F.lit(1)).alias("bases")), [key], trim)
+
+
+def depth_runs(intervals: DataFrame, lengths: DataFrame, keys: list[str], tile: int = TILE) -> DataFrame:
+    """(keys, depth, bases): how many bases of each key lie under how many of its half-open intervals (keys, start, end); lengths: (keys, length).
+
+    A sweep over the places where the depth changes: no row for each base. Changes are summed up before the shuffle and
+    swept by tiles of `tile` positions, each of which gets the depth at its start from the sums of the tiles before it, so
+    no task holds a key. Empty intervals count nothing; an interval beyond its key's length, or of a key without one, is an error.
+    """
+    changes = F.explode(F.array(F.struct(F.col("start").alias("pos"), F.lit(1).alias("change")), F.struct(F.col("end").alias("pos"), F.lit(-1).alias("change"))))
+    events = intervals.where("end > start").select(*keys, changes.alias("e")).select(*keys, F.col("e.pos").alias("pos"), F.col("e.change").alias("change"))
+    events = stored(events.groupBy(*keys, "pos").agg(F.sum("change").alias("change")).where("change <> 0").withColumn("tile", F.floor(F.col("pos") / tile)))
+    w = Window.partitionBy(*keys).orderBy("tile")  # a row for each tile that has changes
+    tiles = events.groupBy(*keys, "tile").agg(F.sum("change").alias("net"), F.min("pos").alias("first"), F.max("pos").alias("last"))
+    sizes = lengths.select(*keys, F.col("length").cast("long").alias("length"))
+    tiles = tiles.join(sizes, keys, "left")
+    fits = F.col("length").isNotNull() & (F.col("first") >= 0) & (F.col("last") <= F.col("length"))
+    tiles = tiles.withColumn("length", F.when(fits, F.col("length")).otherwise(F.raise_error(F.concat_ws(" ", F.lit("an interval beyond its reference:"), *[F.col(k).cast("string") for k in keys])).cast("long")))
+    before = F.coalesce(F.sum("net").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    tiles = tiles.select(*keys, "tile", before.alias("entry"), F.coalesce(F.lead("first").over(w), F.col("length")).alias("stop"), F.when(F.row_number().over(w) == 1, F.col("first")).alias("lead_in"))
+    inside = Window.partitionBy(*keys, "tile").orderBy("pos")
+    swept = events.select(*keys, "tile", "pos", F.sum("change").over(inside).alias("depth"), F.lead("pos").over(inside).alias("next"))
+    swept = swept.join(tiles, [*keys, "tile"]).select(*keys, (F.col("entry") + F.col("depth")).alias("depth"), (F.coalesce("next", "stop") - F.col("pos")).alias("bases"))
+    starts = tiles.where("lead_in is not null").select(*keys, F.lit(0).cast("long").alias("depth"), F.col("lead_in").alias("bases"))
+    bare = sizes.join(events.select(*keys).distinct(), keys, "left_anti").select(*keys, F.lit(0).cast("long").alias("depth"), F.col("length").alias("bases"))
+    return swept.unionByName(starts).unionByName(bare).where("bases > 0").groupBy(*keys, "depth").agg(F.sum("bases").alias("bases"))
+
+
+def trimmed_mean_of_intervals(intervals: DataFrame, lengths: DataFrame, keys: list[str], trim: float = 0.1, ends: int = 0) -> DataFrame:
+    """(keys, depth): trimmed mean of how many half-open intervals (keys, start, end) lie over each base of every key of lengths (keys, length).
+
+    `ends` bases at either end are left out; a key that has no more than these has depth 0, as has one without intervals.
+    """
+    n = F.col("length").cast("long")
+    sizes = lengths.select(*keys, n.alias("whole"))
+    over = intervals.join(sizes, keys, "left")
+    fits = F.col("whole").isNotNull() & (F.col("start") >= 0) & (F.col("end") <= F.col("whole"))
+    whole = F.when(fits, F.col("whole")).otherwise(F.raise_error(F.concat_ws(" ", F.lit("an interval beyond its reference:"), *[F.col(k).cast("string") for k in keys])).cast("long"))
+    over = over.select(*keys, F.greatest(F.col("start") - ends, F.lit(0)).cast("long").alias("start"), (F.least(F.col("end"), whole - ends) - ends).cast("long").alias("end")) if ends else intervals
+    inner = lengths.select(*keys, F.greatest(n - 2 * ends, F.lit(0)).alias("length"))
+    means = trimmed_mean_of_runs(depth_runs(over, inner, keys), keys, trim)
+    return lengths.select(*keys).join(means, keys, "left").select(*keys, F.coalesce("depth", F.lit(0.0)).alias("depth"))
 
 
 def scaled(depths: DataFrame, n_samples: int) -> DataFrame:

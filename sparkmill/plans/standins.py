@@ -42,6 +42,14 @@ def depth_contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("contig_idx"), (F.col("p_size") * 100 + 250).cast("int").alias("length"))
 
 
+def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lineitem as reads on the contigs that part stands for: (sample, contig_idx, start, n, edits, flag, read)."""
+    li = table(spark, sf_dir, "lineitem").join(depth_contigs(spark, sf_dir), F.col("l_partkey") == F.col("contig_idx"))
+    n = (F.col("l_quantity") * 5).cast("long")
+    rows = li.select((F.col("l_suppkey") % N_SAMPLES).cast("int").alias("sample"), "contig_idx", (F.col("l_orderkey") * 37 % (F.col("length") - n + 1)).alias("start"), n.alias("n"), F.col("l_linenumber").alias("edits"), F.col("l_returnflag").alias("flag"), F.concat_ws("/", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("read"))
+    return rows
+
+
 def latent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The embeddings, whole, with a made-up length."""
     e = table(spark, sf_dir, "embeddings")
