@@ -1,8 +1,9 @@
-"""Command line: default | labelled | adversarial, predict_taxonomy, taxonomy_benchmark, recluster, dereplicate, concatenate, merge_depths, bin_fasta."""
+"""Command line: default | labelled | adversarial, predict_taxonomy, taxonomy_benchmark, recluster, dereplicate, concatenate, merge_depths, alignment_depths, bin_fasta."""
 
 from __future__ import annotations
 
 import argparse
+import json
 import os
 import secrets
 import sys
@@ -10,6 +11,7 @@ import sys
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from sparkmill.functions.names import check_refhash
 from sparkmill.operators import bins, composition
 from sparkmill.operators.taxonomy import annotate
 from sparkmill.plans import workflows as w
@@ -35,7 +37,12 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("--fasta", required=True)
 
     def depths(p):
-        p.add_argument("--abundance_tsv", required=True)
+        p.add_argument("--abundance_tsv")
+        alignments(p)
+
+    def alignments(p):
+        p.add_argument("--bamfiles", nargs="+", help="a BAM file, or a folder of them, for each sample")
+        p.add_argument("-z", type=float, default=0.0, dest="min_identity", help="least identity of an alignment")
 
     def taxa(p):
         p.add_argument("--taxonomy", required=True)
@@ -94,6 +101,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--keepnames", action="store_true")
     p = add("merge_depths")
     p.add_argument("inputs", nargs="+")
+    add("alignment_depths", alignments)
     p = add("bin_fasta", contigs)
     p.add_argument("--clusters", required=True)
     p.add_argument("--minsize", type=int, default=200_000)
@@ -117,7 +125,7 @@ def run(spark: SparkSession, args: list[str]) -> None:
         raise FileExistsError(a.outdir)
     o = options(a)
     if a.command in ("default", "adversarial", "labelled", "predict_taxonomy", "taxonomy_benchmark"):
-        data = w.load(spark, a.fasta, a.abundance_tsv, o)
+        data = w.load(spark, a.fasta, a.abundance_tsv, o, a.bamfiles, a.min_identity)
         if a.command == "default":
             w.bin_default(data, o)
         elif a.command == "adversarial":
@@ -135,11 +143,13 @@ def run(spark: SparkSession, args: list[str]) -> None:
     elif a.command == "recluster":
         contigs = w.load_contigs(spark, a.fasta, o.min_length)
         with open(a.markers) as f:
-            found, names = tables.read_markers(spark, f.read())
+            text = f.read()
+        found, names = tables.read_markers(spark, text)
+        check_refhash(contigs, json.loads(text)["refhash"], "the markers")
         latent = spark.read.parquet(a.latent_path)
         members = annotated = None
         if a.algorithm == "kmeans":
-            members = tables.read_clusters(spark, a.clusters_path).join(contigs.select("name", "contig_idx"), "name").select("cluster", "contig_idx")
+            members = bins.known(tables.read_clusters(spark, a.clusters_path), contigs).select("cluster", "contig_idx")
         else:
             annotated = annotate(contigs.select("contig_idx", "name"), tables.read_taxonomy(spark, a.taxonomy, canonical=True))
         w.recluster(contigs, latent, found, len(names), o, members, annotated)
@@ -149,7 +159,7 @@ def run(spark: SparkSession, args: list[str]) -> None:
         for k, path in enumerate(a.clusters):
             c = tables.read_clusters(spark, path)
             rows = c if rows is None else rows.unionByName(c)
-        members = rows.join(contigs.select("name", "contig_idx"), "name").select(F.col("cluster").alias("bin"), "contig_idx").distinct()
+        members = bins.known(rows, contigs).select(F.col("cluster").alias("bin"), "contig_idx").distinct()
         out = w.dereplicate(members, contigs.select("contig_idx", "length"), tables.read_quality(spark, a.quality), a.overlap, a.completeness, a.contamination)
         tables.write_clusters(out.join(contigs.select("contig_idx", "name"), "contig_idx").select(F.col("bin").alias("cluster"), "name"), f"{a.outdir}/clusters.tsv")
     elif a.command == "concatenate":
@@ -161,11 +171,17 @@ def run(spark: SparkSession, args: list[str]) -> None:
         if twice:
             raise ValueError(f"{twice[0]['name']} occurs twice")
         fasta.write_fasta(composition.concatenated(files, a.min_length, not a.keepnames), f"{a.outdir}/contigs.fna", compress=True)
+    elif a.command == "alignment_depths":
+        if not a.bamfiles:
+            raise ValueError("give a BAM file for each sample")
+        long, samples = w.alignment_abundance(spark, a.bamfiles, a.min_identity)
+        wide = long.groupBy(F.col("name").alias("contigname")).pivot("sample", [*range(len(samples))]).agg(F.first("depth"))
+        tables.write_abundance(wide.select("contigname", *[F.col(str(k)).alias(s) for k, s in enumerate(samples)]), f"{a.outdir}/abundance.tsv")
     elif a.command == "merge_depths":
         tables.write_abundance(tables.merge_depth_files(tables.read_depth_files(spark, a.inputs))[0], f"{a.outdir}/abundance.tsv")
     else:
         contigs = w.load_contigs(spark, a.fasta, 250)
-        members = tables.read_clusters(spark, a.clusters).join(contigs.select("name", "contig_idx"), "name")
+        members = bins.known(tables.read_clusters(spark, a.clusters), contigs)
         large = bins.at_least_bases(members, contigs.select("contig_idx", "length"), a.minsize)
         fasta.write_bins(large.select(F.col("cluster").alias("bin"), "name"), contigs, f"{a.outdir}/bins", max_bins=None)
 

@@ -19,23 +19,46 @@ class Tree:
         n = self.n = len(self.parents)
         if n == 0 or self.parents[0] != -1 or (self.parents[1:] >= np.arange(1, n)).any() or (self.parents[1:] < 0).any():
             raise ValueError("the first node must be the root, and a parent must stand before its children")
-        self.depth = np.zeros(n, np.int64)
-        #: above[a, b]: a is b or an ancestor of b
-        self.above = np.eye(n, dtype=bool)
-        for v in range(1, n):
-            self.above[:, v] |= self.above[:, self.parents[v]]
-            self.depth[v] = self.depth[self.parents[v]] + 1
         self.n_children = np.bincount(self.parents[1:], minlength=n)
         self.leaves = np.flatnonzero(self.n_children == 0)
-        self.n_leaves = self.above[:, self.leaves].sum(axis=1)
+        self.depth, size = np.zeros(n, np.int64), np.ones(n, np.int64)
+        for v in range(1, n):
+            self.depth[v] = self.depth[self.parents[v]] + 1
+        for v in range(n - 1, 0, -1):
+            size[self.parents[v]] += size[v]
+        #: In a walk that enters a node before all below it, v is entered at enter[v] and what is below it before leave[v].
+        self.enter, free = np.zeros(n, np.int64), np.ones(n, np.int64)
+        for v in range(1, n):
+            self.enter[v] = free[self.parents[v]]
+            free[self.parents[v]] += size[v]
+            free[v] = self.enter[v] + 1
+        self.leave = self.enter + size
+        self.walk = np.argsort(self.enter)
+        self.n_leaves = self.sums(np.isin(np.arange(n), self.leaves)[None].astype(np.int64))[0]
+        self.levels = np.split(np.argsort(self.depth, kind="stable"), np.cumsum(np.bincount(self.depth))[:-1])
+
+    def above(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether a is b or an ancestor of b."""
+        return (self.enter[a] <= self.enter[b]) & (self.enter[b] < self.leave[a])
+
+    def sums(self, x: np.ndarray) -> np.ndarray:
+        """rows x nodes: what x has at each node and all below it, as differences of sums along the walk."""
+        upto = np.zeros((len(x), self.n + 1), np.float64 if x.dtype.kind == "f" else np.int64)
+        np.cumsum(x[:, self.walk], axis=1, out=upto[:, 1:])
+        return (upto[:, self.leave] - upto[:, self.enter]).astype(x.dtype)
 
     def siblings(self) -> list[np.ndarray]:
         """The children of every inner node."""
-        return [np.flatnonzero(self.parents == v) for v in np.flatnonzero(self.n_children)]
+        order = np.argsort(self.parents[1:], kind="stable") + 1
+        return np.split(order, np.cumsum(self.n_children[self.n_children > 0])[:-1]) if self.n > 1 else []
 
     def lca(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        common = self.above[:, a] & self.above[:, b]
-        return (common * (self.depth + 1)[:, None]).argmax(axis=0)
+        a = np.array(a)
+        while True:
+            up = ~self.above(a, b)
+            if not up.any():
+                return a
+            a[up] = self.parents[a[up]]
 
 
 class HierarchicalLoss:
@@ -52,9 +75,12 @@ class HierarchicalLoss:
             self.cuts = np.cumsum([0, *map(len, kids)])
 
     def _families(self, scores: np.ndarray) -> np.ndarray:
+        """Log probabilities given the parent, 0 for the root."""
         out = np.zeros((len(scores), self.tree.n), scores.dtype)
-        for a, b in zip(self.cuts, self.cuts[1:]):
-            out[:, self.order[a:b]] = log_softmax(scores[:, a:b])
+        if len(self.order):
+            sizes, first = np.diff(self.cuts), self.cuts[:-1]
+            x = scores - np.repeat(np.maximum.reduceat(scores, first, axis=1), sizes, axis=1)
+            out[:, self.order] = x - np.repeat(np.log(np.add.reduceat(np.exp(x), first, axis=1)), sizes, axis=1)
         return out
 
     def loss(self, scores: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -62,19 +88,17 @@ class HierarchicalLoss:
         t, rows = self.tree, np.arange(len(scores))
         if self.name == "flat_softmax":
             lp = log_softmax(scores)
-            mine = t.above[labels][:, t.leaves]
+            mine = t.above(labels[:, None], t.leaves)
             inside = np.where(mine, lp, -np.inf)
             top = inside.max(axis=1, keepdims=True)
             label_lp = top[:, 0] + np.log(np.exp(inside - top).sum(axis=1))
             return -label_lp, np.exp(lp) - np.exp(inside - label_lp[:, None])
         if self.name == "cond_softmax":
-            lc, on = self._families(scores), t.above[:, labels].T
-            grad = np.zeros_like(scores)
-            for a, b in zip(self.cuts, self.cuts[1:]):
-                own = on[:, self.order[a:b]]
-                grad[:, a:b] = np.exp(lc[:, self.order[a:b]]) * own.any(axis=1, keepdims=True) - own
-            return -(lc * on).sum(axis=1), grad
-        raised = scores + np.float32(TAU) * ~t.above[:, labels].T
+            lc, on = self._families(scores), t.above(np.arange(t.n), labels[:, None])
+            own = on[:, self.order]  # a family counts if the label is below its parent, of which one is then on
+            inside = t.above(t.parents[self.order], labels[:, None]) & (t.parents[self.order] != labels[:, None])
+            return -(lc * on).sum(axis=1), np.exp(lc[:, self.order]) * inside - own
+        raised = scores + np.float32(TAU) * ~t.above(np.arange(t.n), labels[:, None])
         grad = softmax(raised)
         top = raised.max(axis=1)
         value = top + np.log(np.exp(raised - top[:, None]).sum(axis=1)) - scores[rows, labels]
@@ -85,10 +109,15 @@ class HierarchicalLoss:
         """n x nodes."""
         t = self.tree
         if self.name == "flat_softmax":
-            return softmax(scores) @ t.above[:, t.leaves].T.astype(scores.dtype)
+            every = np.zeros((len(scores), t.n), scores.dtype)
+            every[:, t.leaves] = softmax(scores)
+            return t.sums(every)
         if self.name == "cond_softmax":
-            return np.exp(self._families(scores) @ t.above.astype(scores.dtype))
-        return softmax(scores) @ t.above.T.astype(scores.dtype)
+            lc = self._families(scores)
+            for level in t.levels[1:]:
+                lc[:, level] += lc[:, t.parents[level]]
+            return np.exp(lc)
+        return t.sums(softmax(scores))
 
     def best(self, probs: np.ndarray, threshold: float = 0.5) -> np.ndarray:
         """The most specific node above the threshold (fewest leaves below, then highest probability), single children left out; the root if none."""

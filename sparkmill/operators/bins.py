@@ -41,6 +41,14 @@ def unknown_contigs(members: DataFrame, contigs: DataFrame) -> DataFrame:
     return members.join(contigs, "name", "left_anti").select("name").distinct()
 
 
+def known(members: DataFrame, contigs: DataFrame) -> DataFrame:
+    """members (name, ...) with the contig_idx of their contigs; a name that no contig has is a ValueError."""
+    odd = unknown_contigs(members, contigs).limit(1).collect()
+    if odd:
+        raise ValueError(f"no contig has the name {odd[0]['name']}")
+    return members.join(contigs.select("name", "contig_idx"), "name")
+
+
 def overlaps(members: DataFrame, lengths: DataFrame) -> DataFrame:
     """(a, b, shared_bp, weight) of bins that share contigs, a < b; weight: shared bases over those of the smaller bin.
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,8 @@ from sparkmill.operators.clustering import medoid_clusters, metadata
 from sparkmill.operators.features import features
 from sparkmill.operators.graph import components, stored
 from sparkmill.operators.recluster import recluster_density, recluster_kmeans
-from sparkmill.sources import fasta, tables
+from sparkmill.sources import alignments, fasta, tables
+from sparkmill.sources.scratch import numbered
 
 
 @dataclass
@@ -87,17 +89,43 @@ def load_contigs(spark: SparkSession, path: str, least: int, sniff: bool = False
     return contigs
 
 
-def load(spark: SparkSession, fasta_path: str, abundance_path: str, options: Options) -> Dataset:
-    """Composition and abundance of the contigs long enough, as stored features."""
+def alignment_abundance(spark: SparkSession, paths: list[str], min_identity: float = 0.0, contigs: DataFrame | None = None) -> tuple[DataFrame, list[str]]:
+    """((name, sample, depth) in long form, the paths as names of samples): trimmed mean depths from BAM files, a path (file or folder) for each sample.
+
+    With contigs (name, length), every path must have each of them, of the same length, in its references; others are left out.
+    """
+    parts = []
+    for k, path in enumerate(paths):  # a path for each sample
+        records, references = alignments.read_alignments(spark, path)
+        if contigs is not None:
+            own = references.select("name", F.col("length").alias("found"))
+            odd = contigs.join(own, "name", "left").where("found is null or found <> length").limit(1).collect()
+            if odd:
+                raise ValueError(f"the references of {path} are not the contigs: {odd[0]['name']}")
+            references = references.join(contigs.select("name"), "name", "left_semi")
+            records = records.join(references.select("file", "ref_id"), ["file", "ref_id"], "left_semi")
+        one = references.groupBy("name").agg(F.min("length").alias("length"), F.max("length").alias("most"))
+        if one.where("length <> most").limit(1).count():
+            raise ValueError(f"the files of {path} give a reference different lengths")
+        one = stored(numbered(one.select("name", "length"), [F.col("name")]).select(F.lit(path).alias("file"), F.col("i").alias("ref_id"), "name", "length"))
+        records = records.join(references.select("file", "ref_id", "name"), ["file", "ref_id"]).drop("file", "ref_id").join(one.drop("length"), "name")
+        parts.append(alignments.alignment_depths(records, one, min_identity).select("name", F.lit(k).alias("sample"), "depth"))
+    return reduce(DataFrame.unionByName, parts), [*paths]
+
+
+def load(spark: SparkSession, fasta_path: str, abundance_path: str | None, options: Options, bam_paths: list[str] | None = None, min_identity: float = 0.0) -> Dataset:
+    """Composition and abundance (from a table or from BAM files) of the contigs long enough, as stored features.
+
+    The names of the table must be those of the contigs: one that is missing or unknown is a ValueError.
+    """
+    if bool(abundance_path) == bool(bam_paths):
+        raise ValueError("give either an abundance table or BAM files")
     contigs = load_contigs(spark, fasta_path, options.min_length)
-    long, samples = tables.read_abundance(spark, abundance_path)
-    numbered = [*range(len(samples))]
+    long, samples = tables.read_abundance(spark, abundance_path, contigs) if abundance_path else alignment_abundance(spark, bam_paths, min_identity, contigs)
+    ids = [*range(len(samples))]
     kept = long.join(contigs.select("name", "contig_idx"), "name").select("contig_idx", "sample", "depth")
-    have = kept.select("contig_idx").distinct().count()
-    if have != contigs.count():
-        raise ValueError("the abundance table lacks contigs")
     tnf = composition.composition(composition.kmer_vectors(contigs))
-    rows = stored(features(contigs, filled(kept, contigs.select("contig_idx"), numbered), tnf, len(samples)))
+    rows = stored(features(contigs, filled(kept, contigs.select("contig_idx"), ids), tnf, len(samples)))
     return Dataset(contigs, rows, samples)
 
 

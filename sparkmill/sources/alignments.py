@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkmill.operators.abundance import trimmed_mean_of_intervals
@@ -295,10 +295,10 @@ def _bin(start: int, end: int) -> int:
     return 0
 
 
-def write_alignments(records: DataFrame, references: DataFrame, path: str, files: int = 1) -> None:
+def write_alignments(records: DataFrame, references: DataFrame, path: str, files: int = 1, file: Column | None = None) -> None:
     """records (ref_id, pos, flag, mapq, read, cigar, edits) as a folder of BAM files, each with all references (ref_id, name, length).
 
-    ref_id counts from 0 without gaps; records are sorted by it and pos within each file; one task writes a file. Columns beside these are not read.
+    file: the number, below `files`, of the file of a record, by default from a hash of read; files are named part-NUMBER. ref_id counts from 0 without gaps; records are sorted by it and pos within each file; one task writes a file. Columns beside these are not read.
     """
     n, last = references.agg(F.count_distinct("ref_id"), F.max("ref_id")).first()
     if n != references.count() or (n and last != n - 1):
@@ -307,7 +307,7 @@ def write_alignments(records: DataFrame, references: DataFrame, path: str, files
     every = F.explode(F.sequence(F.lit(0), F.lit(files - 1))).alias("file")
     refs = references.select(every, F.lit(1).alias("kind"), F.col("ref_id").cast("int"), F.col("length").cast("long").alias("pos"), F.lit(0).alias("flag"), F.lit(0).alias("mapq"), F.col("name").alias("read"), F.lit("").alias("cigar"), F.lit(0).alias("edits"))
     head = records.sparkSession.range(1).select(every, F.lit(0).alias("kind"), F.lit(0).alias("ref_id"), F.lit(0).cast("long").alias("pos"), F.lit(0).alias("flag"), F.lit(0).alias("mapq"), F.lit("").alias("read"), F.lit("").alias("cigar"), F.lit(0).alias("edits"))
-    own = records.select(F.pmod(F.xxhash64("read"), F.lit(files)).cast("int").alias("file"), F.lit(2).alias("kind"), F.col("ref_id").cast("int"), F.col("pos").cast("long"), F.col("flag").cast("int"), F.col("mapq").cast("int"), "read", "cigar", F.col("edits").cast("int"))
+    own = records.select((F.pmod(F.xxhash64("read"), F.lit(files)) if file is None else file).cast("int").alias("file"), F.lit(2).alias("kind"), F.col("ref_id").cast("int"), F.col("pos").cast("long"), F.col("flag").cast("int"), F.col("mapq").cast("int"), "read", "cigar", F.col("edits").cast("int"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buf, size = bytearray(), 65_280

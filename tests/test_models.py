@@ -215,3 +215,50 @@ def test_many_shards_are_added_up_in_groups(spark, monkeypatch):
         monkeypatch.setattr(training, "TOGETHER", together)
         curves.append(training.train_frame(VAE(4, 12, [8], 2, seed=5), frame(spark, x, kind, 3), 2, 16, (), 1e-3, shard_rows=30))
     assert np.allclose(curves[0], curves[1], rtol=1e-6)
+
+
+def random_parents(rng, n):
+    return np.array([-1, *(int(rng.integers(max(0, v - 6), v)) for v in range(1, n))])
+
+
+def test_intervals_are_what_a_dense_table_of_ancestors_says():
+    rng = np.random.default_rng(8)
+    for n in (1, 2, 9, 40):
+        tree = Tree(random_parents(rng, n))
+        dense = np.eye(n, dtype=bool)
+        for v in range(1, n):
+            dense[:, v] |= dense[:, tree.parents[v]]
+        every = np.arange(n)
+        assert (tree.above(every[:, None], every) == dense).all()
+        assert tree.n_leaves.tolist() == dense[:, tree.leaves].sum(axis=1).tolist()
+        x = rng.random((5, n))
+        assert np.allclose(tree.sums(x), x @ dense.T)
+        assert [s.tolist() for s in tree.siblings()] == [np.flatnonzero(tree.parents == v).tolist() for v in np.flatnonzero(tree.n_children)]
+        if n == 1:
+            continue
+        labels = rng.integers(0, n, 6)
+        cond, flat, margin = (HierarchicalLoss(k, tree) for k in ("cond_softmax", "flat_softmax", "soft_margin"))
+        s = rng.normal(size=(6, cond.n_scores))
+        lc = np.zeros((6, n))
+        for a, b in zip(cond.cuts, cond.cuts[1:]):
+            lc[:, cond.order[a:b]] = s[:, a:b] - np.log(np.exp(s[:, a:b]).sum(axis=1, keepdims=True))
+        assert np.allclose(cond.loss(s, labels)[0], -(lc * dense[:, labels].T).sum(axis=1))
+        assert np.allclose(cond.probabilities(s), np.exp(lc @ dense))
+        s = rng.normal(size=(6, flat.n_scores))
+        p = np.exp(s) / np.exp(s).sum(axis=1, keepdims=True)
+        assert np.allclose(flat.probabilities(s), p @ dense[:, tree.leaves].T)
+        assert np.allclose(flat.loss(s, labels)[0], -np.log((p @ dense[:, tree.leaves].T)[np.arange(6), labels]))
+        s = rng.normal(size=(6, n))
+        p = np.exp(s) / np.exp(s).sum(axis=1, keepdims=True)
+        assert np.allclose(margin.probabilities(s), p @ dense.T)
+
+
+def test_a_tree_of_many_nodes():
+    rng = np.random.default_rng(9)
+    parents = np.concatenate([[-1], (rng.random(199_999) * np.minimum(np.arange(1, 200_000), 30_000)).astype(np.int64)])
+    loss = HierarchicalLoss("cond_softmax", Tree(parents))
+    scores = rng.normal(size=(2, loss.n_scores)).astype(np.float32)
+    value, grad = loss.loss(scores, np.array([5, 199_999]))
+    probs = loss.probabilities(scores)
+    assert np.isfinite(value).all() and grad.shape == scores.shape and np.allclose(np.exp(-value), probs[[0, 1], [5, 199_999]], rtol=1e-3)
+    assert np.allclose(probs[:, loss.tree.parents == 0].sum(axis=1), 1, rtol=1e-4)

@@ -4,8 +4,9 @@ import numpy as np
 import pytest
 
 from sparkmill import cli
+from sparkmill.functions.names import refhash, refhash_difference
 from sparkmill.plans import workflows as w
-from sparkmill.sources import tables
+from sparkmill.sources import alignments, tables
 
 GENERA = ["d;p;c;o;f;g1", "d;p;c;o;f;g2", "d;p;c;o2;f3;g3"]
 
@@ -114,3 +115,52 @@ def test_dereplicate(spark):
 def test_options(bad):
     with pytest.raises(ValueError):
         w.Options("x", **bad)
+
+
+def test_depths_from_alignments(spark, files, tmp_path):
+    """Depths of two samples, one of them in two files, written by the command; the same files as input of a workflow."""
+    contigs = w.load_contigs(spark, str(files / "c.fna"), 250).select("name", "length", "contig_idx")
+    refs = contigs.select(w.F.col("contig_idx").cast("int").alias("ref_id"), "name", "length")
+    reads = refs.select("ref_id", w.F.explode(w.F.sequence(w.F.lit(0), w.F.col("ref_id") % 4)).alias("i"), "length")
+    reads = reads.select("ref_id", w.F.lit(0).alias("pos"), w.F.lit(0).alias("flag"), w.F.lit(9).alias("mapq"), w.F.concat_ws(".", "ref_id", "i").alias("read"), w.F.concat(w.F.col("length").cast("string"), w.F.lit("M")).alias("cigar"), (w.F.col("i") * 100).alias("edits"))
+    for name, n in (("one", 1), ("two", 2)):
+        alignments.write_alignments(reads, refs, str(tmp_path / name), files=n)
+    paths = [str(tmp_path / name) for name in ("one", "two")]
+    cli.run(spark, ["alignment_depths", "--outdir", str(tmp_path / "o"), "--bamfiles", *paths])
+    long, samples = tables.read_abundance(spark, str(tmp_path / "o" / "abundance.tsv"), contigs)
+    ids = {r.name: r.contig_idx for r in contigs.collect()}
+    assert samples == paths and {(ids[r.name] % 4 + 1, r.depth) for r in long.collect()} == {(k, float(k)) for k in (1, 2, 3, 4)}
+    strict = {r.name: r.depth for r in w.alignment_abundance(spark, paths[:1], 0.9, contigs)[0].collect()}
+    assert all(strict[n] < ids[n] % 4 + 1 for n in ids if ids[n] % 4 == 3)
+    data = w.load(spark, str(files / "c.fna"), None, w.Options(str(tmp_path / "x"), min_length=500), paths)
+    assert data.features.count() == data.contigs.count() < 60
+    with pytest.raises(ValueError, match="either"):
+        w.load(spark, str(files / "c.fna"), str(files / "d.tsv"), w.Options("x"), paths)
+    with pytest.raises(ValueError, match="are not the contigs"):
+        w.alignment_abundance(spark, paths, 0.0, contigs.withColumn("length", w.F.col("length") + 1))
+
+
+def test_names_and_hashes_that_do_not_fit_are_errors(spark, files, tmp_path):
+    (tmp_path / "d.tsv").write_text((files / "d.tsv").read_text() + "unknown\t1\t1\t1\n")
+    with pytest.raises(ValueError, match="unknown"):
+        w.load(spark, str(files / "c.fna"), str(tmp_path / "d.tsv"), w.Options("x", min_length=250))
+    (tmp_path / "c.tsv").write_text("clustername\tcontigname\na\tS1C0\na\tmissing\n")
+    for command in (["bin_fasta", "--clusters"], ["dereplicate", "--quality", "q", "--clusters"]):
+        with pytest.raises(ValueError, match="missing"):
+            cli.run(spark, [command[0], "--outdir", str(tmp_path / "o"), "--fasta", str(files / "c.fna"), *command[1:], str(tmp_path / "c.tsv")])
+    spark.range(1).select(w.F.col("id").alias("contig_idx"), w.F.array(w.F.lit(1.0)).alias("v")).write.parquet(str(tmp_path / "l"))
+    args = ["recluster", "--outdir", str(tmp_path / "r"), "--fasta", str(files / "c.fna"), "-m", "250", "--latent_path", str(tmp_path / "l"), "--clusters_path", str(tmp_path / "c.tsv"), "--markers", str(tmp_path / "m.json")]
+    right = refhash(w.load_contigs(spark, str(files / "c.fna"), 250)).first()["refhash"]
+    for given, fault in (("00", "other contigs"), (right, "missing")):
+        (tmp_path / "m.json").write_text(json.dumps({"markers": [[0]] + [None] * 59, "marker_names": [["a"]], "refhash": given}))
+        with pytest.raises(ValueError, match=fault):
+            cli.run(spark, args)
+
+
+def test_names_are_compared_where_blocks_differ(spark):
+    left = spark.range(20_000).select(w.F.col("id").alias("contig_idx"), w.F.concat(w.F.lit("n"), w.F.col("id").cast("string")).alias("name"))
+    right = left.where("contig_idx <> 7").withColumn("name", w.F.when(w.F.col("contig_idx") == 9000, "other").when(w.F.col("contig_idx") == 50, "n50  ").otherwise(w.F.col("name")))
+    right = right.unionByName(spark.createDataFrame([(30_000, "more")], "contig_idx long, name string"))
+    got = sorted(tuple(r) for r in refhash_difference(left, right).collect())
+    assert got == [(7, "n7", None), (9000, "n9000", "other"), (30_000, None, "more")]
+    assert refhash_difference(left, left).count() == 0
