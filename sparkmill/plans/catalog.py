@@ -206,9 +206,9 @@ def trimmed_mean(spark, d):
 _READS = "refs AS (SELECT p_partkey AS contig_idx, p_size * 100 + 250 AS length FROM part), reads AS (SELECT (l_suppkey % 6)::INT AS sample, l_partkey AS contig_idx, length, (l_quantity * 5)::BIGINT AS n, l_orderkey * 37 % (length - (l_quantity * 5)::BIGINT + 1) AS start, l_linenumber AS edits, l_returnflag AS flag FROM lineitem JOIN refs ON contig_idx = l_partkey)"
 
 
-def _trimmed(groups: str, n: str) -> str:
+def _trimmed(groups: str, n: str, digits: int = 6) -> str:
     """Mean of the middle of all per-base depths, bases without any included, of what per_base (groups, depth, length) has."""
-    return f"SELECT {groups}, coalesce(round(list_avg(d[1 + floor(({n}) * 0.1)::INT : ({n}) - floor(({n}) * 0.1)::INT]), 6), 0) AS depth FROM (SELECT {groups}, length, list_sort(list_concat(list(depth), list_transform(range(({n}) - count(*)), lambda x: 0))) AS d FROM per_base GROUP BY {groups}, length)"
+    return f"SELECT {groups}, coalesce(round(list_avg(d[1 + floor(({n}) * 0.1)::INT : ({n}) - floor(({n}) * 0.1)::INT]), {digits}), 0) AS depth FROM (SELECT {groups}, length, list_sort(list_concat(list(depth), list_transform(range(({n}) - count(*)), lambda x: 0))) AS d FROM per_base GROUP BY {groups}, length)"
 
 
 @query(f"WITH {_READS}, per_base AS (SELECT contig_idx, length, count(*) AS depth FROM (SELECT contig_idx, length, unnest(range(start, start + n)) AS p FROM reads) GROUP BY contig_idx, length, p), means AS ({_trimmed('contig_idx', 'length')}) SELECT contig_idx, coalesce(depth, 0) AS depth FROM refs LEFT JOIN means USING (contig_idx)")
@@ -218,7 +218,7 @@ def interval_depths(spark, d):
     return abundance.trimmed_mean_of_intervals(reads, s.depth_contigs(spark, d), ["contig_idx"]).select("contig_idx", r6("depth"))
 
 
-@query(f"WITH {_READS}, per_base AS (SELECT sample, contig_idx, length, count(*) AS depth FROM (SELECT sample, contig_idx, length, unnest(range(start, start + n)) AS p FROM reads WHERE flag <> 'R' AND 1 - edits / n >= 0.97) WHERE p >= 75 AND p < length - 75 GROUP BY sample, contig_idx, length, p), means AS ({_trimmed('sample, contig_idx', 'length - 150')}) SELECT sample, contig_idx, coalesce(depth, 0) AS depth FROM refs CROSS JOIN (SELECT unnest(range(6))::INT AS sample) LEFT JOIN means USING (sample, contig_idx)")
+@query(f"WITH {_READS}, per_base AS (SELECT sample, contig_idx, length, count(*) AS depth FROM (SELECT sample, contig_idx, length, unnest(range(start, start + n)) AS p FROM reads WHERE flag <> 'R' AND 1 - edits / n >= 0.97) WHERE p >= 75 AND p < length - 75 GROUP BY sample, contig_idx, length, p), means AS ({_trimmed('sample, contig_idx', 'length - 150', 9)}) SELECT sample, contig_idx, coalesce(depth, 0) AS depth FROM refs CROSS JOIN (SELECT unnest(range(6))::INT AS sample) LEFT JOIN means USING (sample, contig_idx)")
 def alignment_depths(spark, d):
     """Reads of each sample written as BAM files and read back: trimmed mean depths by records of an identity of 0.97 or more that aren't secondary."""
     refs = numbered(s.depth_contigs(spark, d).select(F.col("contig_idx").cast("string").alias("name"), "length"), [F.col("name")]).select(F.col("i").cast("int").alias("ref_id"), "name", "length")
@@ -229,7 +229,7 @@ def alignment_depths(spark, d):
     alignments.write_alignments(reads, refs, folder, files=N_SAMPLES, file=F.col("sample"))
     records, found = alignments.read_alignments(spark, folder)
     out = alignments.alignment_depths(records, found, 0.97)
-    return out.select(F.regexp_extract("file", "part-([0-9]+)", 1).cast("int").alias("sample"), F.col("name").cast("long").alias("contig_idx"), r6("depth"))
+    return out.select(F.regexp_extract("file", "part-([0-9]+)", 1).cast("int").alias("sample"), F.col("name").cast("long").alias("contig_idx"), F.round("depth", 9).alias("depth"))
 
 
 @query()
