@@ -107,13 +107,16 @@ def probe_rows(fps: np.ndarray, m: int, radius: int) -> tuple[np.ndarray, np.nda
 
 
 class Nodes:
-    """Nodes with their fingerprints, and how many bits those of linked ones may differ in."""
+    """Nodes with the words of their fingerprints, and how many bits those of linked ones may differ in."""
 
-    def __init__(self, node: np.ndarray, fp: np.ndarray, distance: int) -> None:
-        self.node, self.fp, self.distance = node, fp.view(np.uint64), distance
+    def __init__(self, node: np.ndarray, fp: np.ndarray, distance: int, *more: np.ndarray) -> None:
+        self.node, self.fps, self.distance = node, [x.view(np.uint64) for x in (fp, *more)], distance
 
     def near(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        return np.bitwise_count(self.fp[i] ^ self.fp[j]) <= self.distance
+        differ = np.bitwise_count(self.fps[0][i] ^ self.fps[0][j])
+        for fp in self.fps[1:]:
+            differ = differ + np.bitwise_count(fp[i] ^ fp[j])
+        return differ <= self.distance
 
     def forest(self, us: list[np.ndarray], vs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         u, v = np.concatenate([self.node[:0], *us]), np.concatenate([self.node[:0], *vs])
@@ -160,8 +163,8 @@ def hot_keys(nodes: DataFrame, words: int, m: int, hot: int) -> DataFrame:
     return nodes.select(F.explode(F.array(*keys)).alias("hot_key")).groupBy("hot_key").count().where(F.col("count") > hot).select("hot_key", F.ceil(F.col("count") / hot).cast("int").alias("blocks"))
 
 
-def near_links(nodes: DataFrame, distance: int, m: int, words: int = 1, radius: int | None = None, hot: int = HOT) -> DataFrame:
-    """Edges (u, v) that connect nodes (node long, fps array<long>: words of 64 bits) whose first words differ in at most `distance` bits and that a segment brings together.
+def near_links(nodes: DataFrame, distance: int, m: int, words: int = 1, radius: int | None = None, hot: int = HOT, judged: int = 1) -> DataFrame:
+    """Edges (u, v) that connect nodes (node long, fps array<long>: words of 64 bits) whose first `judged` words differ in at most `distance` bits in all and that a segment brings together.
 
     With one word and the radius distance // m that is every such pair. More words and any radius bring nodes together as
     soon as one segment of any word differs in at most radius bits. No group emits all its pairs; a segment value that more
@@ -169,8 +172,11 @@ def near_links(nodes: DataFrame, distance: int, m: int, words: int = 1, radius:
     """
     if words * m > 32:
         raise ValueError("more than 32 segments")
+    if not 1 <= judged <= words:
+        raise ValueError("as many words are judged as there are, one at least")
     radius = distance // m if radius is None else radius
-    names = ["key", "side", "node", "fp"]
+    own_words = [f"fp{k}" for k in range(judged)]
+    names = ["key", "side", "node", *own_words]
 
     def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = max(1, 4096 // words)
@@ -179,28 +185,28 @@ def near_links(nodes: DataFrame, distance: int, m: int, words: int = 1, radius:
                 part = b.slice(k, step)
                 node, fps = part.column(0).to_numpy(), part.column(1).flatten().to_numpy().reshape(-1, words)
                 key, side, at = probe_rows(fps, m, radius)
-                yield pa.record_batch([pa.array(x) for x in (key, side, node[at], fps[at, 0])], names=names)
+                yield pa.record_batch([pa.array(x) for x in (key, side, node[at], *(fps[at, w] for w in range(judged)))], names=names)
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
 
         def out(rows: list[np.ndarray]) -> pa.RecordBatch:
-            groups, (side, node, fp) = rows[:-3], rows[-3:]
+            groups, (side, node, fp, *more) = rows[: len(keys)], rows[len(keys) :]
             new = np.concatenate([[True], np.any([g[1:] != g[:-1] for g in groups], axis=0)])
-            u, v = Nodes(node, fp, distance).link_groups(np.append(np.flatnonzero(new), len(node)), side)
+            u, v = Nodes(node, fp, distance, *more).link_groups(np.append(np.flatnonzero(new), len(node)), side)
             return pa.record_batch({"u": u, "v": v})
 
         for b in regrouped(batches, 200_000):
             rows = [c.to_numpy() for c in b.columns]
             held = rows if held is None else [np.concatenate([h, r]) for h, r in zip(held, rows)]
-            cut = int(np.flatnonzero(np.any([g != g[-1] for g in held[:-3]], axis=0))[-1:].sum()) + 1  # the last group may go on
+            cut = int(np.flatnonzero(np.any([g != g[-1] for g in held[: len(keys)]], axis=0))[-1:].sum()) + 1  # the last group may go on
             if cut > 1:
                 yield out([h[:cut] for h in held])
                 held = [h[cut:] for h in held]
         if held is not None and len(held[0]):
             yield out(held)
 
-    rows = nodes.select("node", "fps").mapInArrow(probes, "key long, side byte, node long, fp long")
+    rows = nodes.select("node", "fps").mapInArrow(probes, "key long, side byte, node long, " + ", ".join(f"{w} long" for w in own_words))
     keys, found = ["key"], None
     if nodes.count() > hot:
         found = materialize(hot_keys(nodes, words, m, hot), "hot")
@@ -211,7 +217,7 @@ def near_links(nodes: DataFrame, distance: int, m: int, words: int = 1, radius:
             blocks = F.coalesce("blocks", F.lit(1))
             own = F.pmod(F.xxhash64("node"), blocks).cast("int")
             pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda b: F.struct(F.when(F.col("side") == 0, F.least(own, b)).otherwise(b).alias("i"), F.when(F.col("side") == 0, F.greatest(own, b)).otherwise(b).alias("j")))
-            rows = rows.select(*names, F.explode(pairs).alias("pair")).select("key", "pair.i", "pair.j", "side", "node", "fp")
+            rows = rows.select(*names, F.explode(pairs).alias("pair")).select("key", "pair.i", "pair.j", "side", "node", *own_words)
     return rows.repartition(*keys).sortWithinPartitions(*keys, "side", "node").mapInArrow(link, "u long, v long")
 
 

@@ -19,8 +19,10 @@ CANDIDATE_SHINGLE = 2
 #: Words of 64 bits and segments of each; a segment's ball has radius 1. The same at every size, so that what is found doesn't
 #: depend on how many rows there are: unlike texts that share a segment value are told apart by the first words.
 WORDS, SEGMENTS, RADIUS = 4, 3, 1
-#: Bits of the first word that candidates may differ in; pairs of similarity 0.8 differ in 6 to 10 on average, unlike texts in 32.
-CANDIDATE_DISTANCE = 16
+#: Bits of the first JUDGED words that candidates may differ in: a quarter. Pairs of similarity 0.8 differ in 6 to 10 of a word on
+#: average, unlike texts in 32. One word isn't enough: of unlike texts that share one of its segments one in 16 pairs passes, and from
+#: half a million texts on these connect nearly all of them. Of two words one in 40,000 does.
+JUDGED, CANDIDATE_DISTANCE = 2, 32
 #: Sets that one task compares; what candidates connect beyond that is compared with its middle first, then in blocks.
 TOGETHER = 1_000
 #: Up to so many larger groups, their names and sizes are broadcast, beyond it they are joined by a shuffle.
@@ -175,7 +177,7 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     every = materialize(rows.mapInArrow(name, f"id {kind}, x long, node long, fps array<long>"), "sets")
     one = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "x", "fps")).alias("one")
     nodes = materialize(every.groupBy("node").agg(one).select("node", F.col("one.id").alias("first"), F.col("one.x").alias("first_x"), F.col("one.fps").alias("fps")), "nodes")
-    near = components(near_links(nodes.where("fps is not null"), CANDIDATE_DISTANCE, SEGMENTS, WORDS, RADIUS))
+    near = components(near_links(nodes.where("fps is not null"), CANDIDATE_DISTANCE, SEGMENTS, WORDS, RADIUS, judged=JUDGED))
     wanted = materialize(nodes.join(near, "node").select("root", "node", F.get("fps", F.lit(0)).alias("fp"), "first", "first_x"), "wanted")
     large = wanted.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > together).select("root")
     n_large = large.count()

@@ -108,3 +108,12 @@ def test_links_connect_what_brute_force_connects():
         return top
 
     assert classes(links) == classes([(i, j) for i in range(len(sets)) for j in range(i) if jaccard(sets[i], sets[j]) >= 0.8])
+
+
+def test_unlike_texts_are_no_candidates(spark):
+    """Of texts that have nothing in common nearly none become candidates, however many there are; one word of 64 bits alone would connect hundreds of these."""
+    n = 30_000
+    fps = np.random.default_rng(5).integers(0, 1 << 64, (n, similar.WORDS), dtype=np.uint64).view(np.int64)
+    nodes = spark.createDataFrame([(i, f) for i, f in enumerate(fps.tolist())], "node long, fps array<long>")
+    links = similar.near_links(nodes, similar.CANDIDATE_DISTANCE, similar.SEGMENTS, similar.WORDS, similar.RADIUS, judged=similar.JUDGED)
+    assert links.count() <= 10
