@@ -147,6 +147,21 @@ def test_medoid_clusters_in_rounds(spark, seed, dims, seeds, options):
     assert own == [(sorted(ids[c.members].tolist()), int(ids[c.medoid]), c.kind, c.radius) for c in found]
 
 
+def test_medoid_clusters_of_many_groups_take_few_rounds(spark):
+    """Clusters whose histograms overlap but whose walks don't are found in the same round, as the sequential clusterer finds them."""
+    rng = np.random.default_rng(8)
+    x = np.concatenate([np.repeat(rng.normal(size=(16, 24)), 4, axis=0) + rng.normal(size=(64, 24)) * 0.1, rng.normal(size=(16, 24))])
+    lengths = rng.integers(5, 12, len(x)) * 100
+    df = spark.createDataFrame([(i, v.tolist(), int(n)) for i, (v, n) in enumerate(zip(x, lengths))], "contig_idx long, v array<double>, length int")
+    found = list(clustering.MedoidClusterer(x, lengths))
+    rows = clustering.clusters_in_rounds(neighbours.normalised(df)).collect()
+    got = {}
+    for r in rows:
+        got.setdefault((r.batch, r.turn), []).append(r)
+    assert [(sorted(r.contig_idx for r in g), g[0].medoid, g[0].kind) for _, g in sorted(got.items())] == [(sorted(c.members.tolist()), c.medoid, c.kind) for c in found]
+    assert sum(c.kind == "normal" for c in found) >= 10 and max(r.batch for r in rows) <= 3
+
+
 def test_medoid_clusters_of_large_and_small_parts(spark):
     x, lengths = loose_points(3, 24, 32)
     df = spark.createDataFrame([(i, v.tolist(), int(n)) for i, (v, n) in enumerate(zip(x, lengths))], "contig_idx long, v array<double>, length int")
