@@ -17,16 +17,19 @@ from pyspark.sql import functions as F
 
 from sparkmill.sources.scratch import stored
 
-#: Rows of a block at most, on average; a part of so few rows is one block.
-BLOCK_ROWS, TOGETHER = 4_096, 256
-#: Points for each pivot, and how many pivots there are at least and at most.
-PIVOT_ROWS, LEAST_PIVOTS, MOST_PIVOTS = 2_048, 16, 256
+#: Rows of a block at most, on average, for few points and at any number of them; a part of so few rows is one block.
+BLOCK_ROWS, MOST_BLOCK_ROWS, TOGETHER = 4_096, 65_536, 256
+#: Points for each pivot, and how many pivots there are at least and at most. Blocks grow with the points so that there are hardly
+#: more of them than pivots: a row is sent once for every block that it may meet.
+PIVOT_ROWS, LEAST_PIVOTS, MOST_PIVOTS = 2_048, 16, 32
 #: Directions, spanned by the first pivots, along which pairs are told apart before their distance is worked out.
 DIRECTIONS = 16
 #: Bounds are widened by so much, as sums of products round.
 SLACK = 1e-9
 #: Cells of a matrix, and pairs, that a task works through at a time.
-CELLS, PAIRS = 1 << 22, 1 << 17
+CELLS, PAIRS = 1 << 20, 1 << 14
+#: Where the bound leaves more than this part of the pairs, whole products are cheaper than one product for each pair.
+DENSE = 0.02
 
 
 def _matrix(lists: pa.ListArray | pa.ChunkedArray) -> np.ndarray:
@@ -51,7 +54,8 @@ def near_pairs(x: np.ndarray, y: np.ndarray | None, radius: float, basis: np.nda
     """(rows of x, rows of y, distances) of the pairs within the radius; without y pairs of rows of x, each once.
 
     The distance along the basis and that of what is left of the lengths bound the whole distance from below; it is
-    worked out only for pairs that this doesn't exclude. tried gets their number.
+    worked out only for pairs that this doesn't exclude. Where it excludes few, all are told apart by a product of the whole
+    matrices. tried gets the number of those that are worked out one by one.
     """
     same = y is None
     y = x if same else y
@@ -61,7 +65,10 @@ def near_pairs(x: np.ndarray, y: np.ndarray | None, radius: float, basis: np.nda
     step = max(1, CELLS // max(1, len(y)))
     for s in range(0, len(x), step):
         bound = half[0][s : s + step, None] + half[1] - fx[s : s + step] @ fy.T
-        i, j = np.nonzero(bound <= radius + SLACK)
+        left = bound <= radius + SLACK
+        if np.count_nonzero(left) > DENSE * left.size:
+            left = 0.5 - x[s : s + step] @ y.T <= radius + SLACK
+        i, j = np.nonzero(left)
         i += s
         if same:
             i, j = i[i < j], j[i < j]
@@ -113,7 +120,12 @@ def _count_and_dims(points: DataFrame) -> tuple[int, int]:
     return r["n"], r["most"] or 0
 
 
-def block_pairs(points: DataFrame, radius: float, by: tuple[str, ...] = (), idx: str = "contig_idx", extra: tuple[str, ...] = (), pivots: int | None = None, block_rows: int = BLOCK_ROWS, together: int = TOGETHER) -> tuple[DataFrame, np.ndarray]:
+def division(n: int) -> tuple[int, int]:
+    """How many pivots n points have, and how many rows a block."""
+    return min(MOST_PIVOTS, max(LEAST_PIVOTS, n // PIVOT_ROWS)), min(MOST_BLOCK_ROWS, max(BLOCK_ROWS, 2 * n // MOST_PIVOTS))
+
+
+def block_pairs(points: DataFrame, radius: float, by: tuple[str, ...] = (), idx: str = "contig_idx", extra: tuple[str, ...] = (), pivots: int | None = None, block_rows: int | None = None, together: int = TOGETHER) -> tuple[DataFrame, np.ndarray]:
     """(part, lo, hi, block, by, id, v, *extra) and a basis of directions: for every pair of blocks lo <= hi that may have near points, the rows of both that may have any.
 
     Points are compared with those of equal `by` only (nulls are equal). Rows whose vector is null or not finite are left
@@ -124,7 +136,8 @@ def block_pairs(points: DataFrame, radius: float, by: tuple[str, ...] = (), idx:
     part = F.to_json(F.struct(*by)) if by else F.lit("")
     rows = points.where(fine).select(part.alias("part"), F.struct(*by, F.lit(0).alias("one")).alias("by"), F.col(idx).alias("id"), "v", *extra)
     n, dims = _count_and_dims(rows)
-    wanted = pivots or min(MOST_PIVOTS, max(LEAST_PIVOTS, n // PIVOT_ROWS))
+    wanted, rows_of_block = division(n)
+    wanted, block_rows = pivots or wanted, block_rows or rows_of_block
     found = [r["v"] for r in rows.orderBy(F.xxhash64("id"), "id").select("v").limit(wanted).collect()]
     centres = np.unique(np.round(np.array(found, float).reshape(len(found), dims), 9), axis=0) if found else np.zeros((1, max(1, dims)))
     basis, reach = directions(centres), float(np.sqrt(2 * radius)) + SLACK
@@ -133,9 +146,12 @@ def block_pairs(points: DataFrame, radius: float, by: tuple[str, ...] = (), idx:
     columns = ", ".join(f"`{c}` {kinds[c]}" for c in names)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(1, 65_536 // max(1, len(centres)))
         for b in batches:
-            if b.num_rows:
-                yield pa.record_batch([*b.columns, pa.array(beyond(_matrix(b["v"]), centres)[0].astype(np.int32))], names=[*b.schema.names, "cell"])
+            x = _matrix(b["v"]) if b.num_rows else np.zeros((0, dims))
+            cells = [beyond(x[s : s + step], centres)[0].astype(np.int32) for s in range(0, len(x), step)]
+            if cells:
+                yield pa.record_batch([*b.columns, pa.array(np.concatenate(cells))], names=[*b.schema.names, "cell"])
 
     celled = stored(rows.mapInArrow(assign, columns + ", cell int"))
     counts = celled.groupBy("part", "cell").agg(F.count(F.lit(1)).alias("n"))

@@ -103,6 +103,18 @@ def test_few_pairs_are_formed(spark):
     assert formed(spark, loose, 0.05)[1] < 0.1
 
 
+def test_large_radii_and_many_points_cost_no_more_than_they_must():
+    """Where the bound excludes nothing no distance of a far pair is worked out by itself, and a row goes to few blocks however many there are."""
+    x = np.random.default_rng(9).normal(size=(600, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True) * np.sqrt(2)
+    tried = []
+    found = sum(len(i) for i, _, _ in pivots.near_pairs(x, None, 0.3, pivots.directions(x[:16]), tried))
+    assert found == np.triu(0.5 - x @ x.T <= 0.3, 1).sum() and sum(tried) <= found + 1
+    for n in (100_000, 600_000, 1_000_000):
+        cells, rows = pivots.division(n)
+        assert cells + n / rows <= 64 and rows <= pivots.MOST_BLOCK_ROWS
+
+
 def plain_choice(scores):
     """The rule by itself: place of the chosen score and how many were looked at."""
     best, at, worse = 0, None, 0
