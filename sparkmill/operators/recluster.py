@@ -6,7 +6,8 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +19,8 @@ from sparkmill.operators.neighbours import linked, normalised
 RADII = tuple(round(0.01 + 0.02 * i, 2) for i in range(17))
 #: So many radii in a row that are worse than the best end the search.
 PATIENCE = 2
+#: Rows of clusters that go to Python together, on average.
+BUCKET_ROWS = 20_000
 
 
 def lloyd(x: np.ndarray, weight: np.ndarray, centres: np.ndarray, rounds: int = 300) -> np.ndarray:
@@ -35,27 +38,38 @@ def lloyd(x: np.ndarray, weight: np.ndarray, centres: np.ndarray, rounds: int =
     return label
 
 
+def _split(rows: pa.Table) -> pa.Table:
+    """Whole clusters, each cut by k-means from its seeds."""
+    rows = rows.sort_by([("cluster", "ascending"), ("contig_idx", "ascending")])
+    new = np.append(pc.not_equal(rows["cluster"][1:], rows["cluster"][:-1]).to_numpy(), True) if rows.num_rows else np.zeros(0, bool)
+    ends = np.flatnonzero(new) + 1
+    x = rows["v"].combine_chunks()
+    lengths, seed, part = rows["length"].to_numpy().astype(float), rows["is_seed"].to_numpy(), np.zeros(rows.num_rows, np.int64)
+    for s, e in zip(np.append(0, ends[:-1]).tolist(), ends.tolist()):
+        v = x.slice(s, e - s).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(e - s, -1)
+        part[s:e] = lloyd(v, lengths[s:e], v[seed[s:e]].copy())
+    return pa.table({"cluster": rows["cluster"], "part": part, "contig_idx": rows["contig_idx"]})
+
+
 def recluster_kmeans(members: DataFrame, latent: DataFrame, contig_markers: DataFrame, n_markers: int) -> DataFrame:
     """(cluster, part, contig_idx): clusters of two and more contigs whose upper median marker count is at least two are split.
 
-    k-means starts from the carriers of the seed marker and weighs contigs by length; all other clusters stay as part 0.
-    A cluster is a task.
+    k-means starts from the carriers of the seed marker and weighs contigs by length; all other clusters stay as part 0 and
+    never reach Python. Clusters go to Python by the bucket of about BUCKET_ROWS rows, as there may be a great many small ones.
     """
-    counts = mk.marker_counts(members, contig_markers)
-    medians = mk.upper_median(members, counts, n_markers)
+    contig_markers = stored(contig_markers)
+    counts = stored(mk.marker_counts(members, contig_markers))
+    medians = stored(mk.upper_median(members, counts, n_markers))
     lengths = latent.select("contig_idx", "length")
     seeds = mk.kmeans_seeds(members, contig_markers, lengths, counts, medians).select("cluster", "contig_idx", F.lit(True).alias("is_seed"))
     rows = members.join(latent, "contig_idx").join(seeds, ["cluster", "contig_idx"], "left").select("cluster", "contig_idx", "v", "length", F.coalesce("is_seed", F.lit(False)).alias("is_seed"))
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("contig_idx")
-        part = np.zeros(len(g), np.int64)
-        if len(g) > 1 and g["is_seed"].sum() > 1:
-            x = np.stack(g["v"].to_list()).astype(float)
-            part = lloyd(x, g["length"].to_numpy(float), x[g["is_seed"].to_numpy()].copy())
-        return pd.DataFrame({"cluster": g["cluster"], "part": part, "contig_idx": g["contig_idx"]})
-
-    return rows.groupBy("cluster").applyInPandas(run, f"cluster {dict(members.dtypes)['cluster']}, part long, contig_idx long")
+    rows = stored(rows)
+    several = rows.where("is_seed").groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("cluster")
+    schema = f"cluster {dict(members.dtypes)['cluster']}, part long, contig_idx long"
+    bucket = F.pmod(F.xxhash64("cluster"), F.lit(rows.count() // BUCKET_ROWS + 1)).alias("bucket")
+    split = rows.join(several, "cluster", "left_semi").select(bucket, *rows.columns).groupBy("bucket").applyInArrow(_split, schema)
+    whole = rows.join(several, "cluster", "left_anti").select("cluster", F.lit(0).cast("long").alias("part"), F.col("contig_idx").cast("long"))
+    return split.unionByName(whole)
 
 
 def density_clusters(points: DataFrame, radius: float, by: tuple[str, ...] = ("genus",)) -> DataFrame:

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -357,3 +358,19 @@ def test_tree_from_pairs(spark):
         taxonomy.tree_from_pairs(good.union(spark.createDataFrame([("c", "b")], "parent string, child string")))
     t = taxonomy.tree(taxonomy.edges(spark.createDataFrame([(["b", "x"],)], "ranks array<string>")))
     assert taxonomy.format_tree(t) == "root\n  b\n    x"
+
+
+def test_kmeans_takes_many_clusters_in_a_task():
+    """Clusters that come together, their rows in any order, are split like each by itself."""
+    rng = np.random.default_rng(11)
+    rows, want = [], {}
+    for c in range(12):
+        n = int(rng.integers(3, 30))
+        x, length, seed = rng.normal(size=(n, 2)), rng.integers(1, 9, n), np.arange(n) < 2
+        part = recluster.lloyd(x, length.astype(float), x[seed].copy())
+        for i in range(n):
+            rows.append({"cluster": c, "contig_idx": c * 100 + i, "v": x[i].tolist(), "length": int(length[i]), "is_seed": bool(seed[i])})
+            want[c * 100 + i] = (c, int(part[i]))
+    table = pa.Table.from_pylist(rows)
+    got = recluster._split(table.take(rng.permutation(table.num_rows))).to_pylist()
+    assert {r["contig_idx"]: (r["cluster"], r["part"]) for r in got} == want
