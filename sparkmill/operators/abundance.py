@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkmill.sources.scratch import stored
+from sparkmill.sources.scratch import dealt, stored
 
 
 def filled(depths: DataFrame, contigs: DataFrame, samples: list[int] | list[str]) -> DataFrame:
@@ -48,30 +48,38 @@ def trimmed_mean(per_base: DataFrame, key: str = "contig_idx", value: str = "dep
     return trimmed_mean_of_runs(per_base.groupBy(key, F.col(value).alias("depth")).agg(F.count(F.lit(1)).alias("bases")), [key], trim)
 
 
-def depth_runs(intervals: DataFrame, lengths: DataFrame, keys: list[str], tile: int = TILE) -> DataFrame:
+def depth_runs(intervals: DataFrame, lengths: DataFrame, keys: list[str], tile: int = TILE, ends: int = 0) -> DataFrame:
     """(keys, depth, bases): how many bases of each key lie under how many of its half-open intervals (keys, start, end); lengths: (keys, length).
 
-    A sweep over the places where the depth changes: no row for each base. Changes are summed up before the shuffle and
+    A sweep over the places where the depth changes: no row for each base. Changes are
     swept by tiles of `tile` positions, each of which gets the depth at its start from the sums of the tiles before it, so
-    no task holds a key. Empty intervals count nothing; an interval beyond its key's length, or of a key without one, is an error.
+    no task holds a key. Tasks get a number of changes that doesn't grow with the table. `ends` bases at either end of a key are left out.
+    Empty intervals count nothing; an interval beyond its key's length, or of a key without one, is an error.
     """
-    changes = F.explode(F.array(F.struct(F.col("start").alias("pos"), F.lit(1).alias("change")), F.struct(F.col("end").alias("pos"), F.lit(-1).alias("change"))))
-    events = intervals.where("end > start").select(*keys, changes.alias("e")).select(*keys, F.col("e.pos").alias("pos"), F.col("e.change").alias("change"))
-    events = stored(events.groupBy(*keys, "pos").agg(F.sum("change").alias("change")).where("change <> 0").withColumn("tile", F.floor(F.col("pos") / tile)))
-    w = Window.partitionBy(*keys).orderBy("tile")  # a row for each tile that has changes
-    tiles = events.groupBy(*keys, "tile").agg(F.sum("change").alias("net"), F.min("pos").alias("first"), F.max("pos").alias("last"))
+    n = 2 * intervals.count()
+    changes = F.explode(F.array(F.struct(F.col("start").cast("long").alias("pos"), F.lit(1).alias("change")), F.struct(F.col("end").cast("long").alias("pos"), F.lit(-1).alias("change"))))
+    events = intervals.where("end > start").select(*keys, changes.alias("e")).select(*keys, F.floor(F.col("e.pos") / tile).alias("tile"), F.col("e.pos").alias("pos"), F.col("e.change").alias("change"))
+    events = dealt(events, n, *keys, "tile").groupBy(*keys, "tile", "pos").agg(F.sum("change").alias("change")).where("change <> 0")
+    inside = Window.partitionBy(*keys, "tile").orderBy("pos")
+    swept = events.select(*keys, "tile", "pos", F.sum("change").over(inside).alias("depth"), F.lead("pos").over(inside).alias("next"), F.first("pos").over(inside).alias("first"))
+    swept = stored(swept)
+    tiles = swept.where("next is null").select(*keys, "tile", F.col("depth").alias("net"), "first", F.col("pos").alias("last"))  # a tile's last change
     sizes = lengths.select(*keys, F.col("length").cast("long").alias("length"))
-    tiles = tiles.join(sizes, keys, "left")
-    fits = F.col("length").isNotNull() & (F.col("first") >= 0) & (F.col("last") <= F.col("length"))
+    m = tiles.count() + sizes.count()
+    tiles = dealt(sizes, m, *keys).join(dealt(tiles, m, *keys), keys, "full")
+    fits = F.col("tile").isNull() | (F.col("length").isNotNull() & (F.col("first") >= 0) & (F.col("last") <= F.col("length")))
     tiles = tiles.withColumn("length", F.when(fits, F.col("length")).otherwise(F.raise_error(F.concat_ws(" ", F.lit("an interval beyond its reference:"), *[F.col(k).cast("string") for k in keys])).cast("long")))
+    w = Window.partitionBy(*keys).orderBy("tile")  # a row for each tile that has changes
     before = F.coalesce(F.sum("net").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    tiles = tiles.select(*keys, "tile", before.alias("entry"), F.coalesce(F.lead("first").over(w), F.col("length")).alias("stop"), F.when(F.row_number().over(w) == 1, F.col("first")).alias("lead_in"))
-    inside = Window.partitionBy(*keys, "tile").orderBy("pos")
-    swept = events.select(*keys, "tile", "pos", F.sum("change").over(inside).alias("depth"), F.lead("pos").over(inside).alias("next"))
-    swept = swept.join(tiles, [*keys, "tile"]).select(*keys, (F.col("entry") + F.col("depth")).alias("depth"), (F.coalesce("next", "stop") - F.col("pos")).alias("bases"))
-    starts = tiles.where("lead_in is not null").select(*keys, F.lit(0).cast("long").alias("depth"), F.col("lead_in").alias("bases"))
-    bare = sizes.join(events.select(*keys).distinct(), keys, "left_anti").select(*keys, F.lit(0).cast("long").alias("depth"), F.col("length").alias("bases"))
-    return swept.unionByName(starts).unionByName(bare).where("bases > 0").groupBy(*keys, "depth").agg(F.sum("bases").alias("bases"))
+    lead_in = F.when(F.row_number().over(w) == 1, F.coalesce("first", "length"))
+    tiles = stored(tiles.select(*keys, "tile", "length", before.alias("entry"), F.coalesce(F.lead("first").over(w), F.col("length")).alias("stop"), lead_in.alias("lead_in")))
+    bases = lambda start, end: (F.least(end, F.col("length") - ends) - F.greatest(start, F.lit(ends))).alias("bases")
+    entries = tiles.where("tile is not null").select(*keys, "tile", "length", "entry", "stop")
+    rows = dealt(swept.drop("first"), n, *keys, "tile").join(dealt(entries, n, *keys, "tile"), [*keys, "tile"])
+    rows = rows.select(*keys, "tile", (F.col("entry") + F.col("depth")).alias("depth"), bases(F.col("pos"), F.coalesce("next", "stop"))).where("bases > 0")
+    rows = rows.groupBy(*keys, "tile", "depth").agg(F.sum("bases").alias("bases")).drop("tile")
+    starts = tiles.where("lead_in is not null").select(*keys, F.lit(0).cast("long").alias("depth"), bases(F.lit(0).cast("long"), F.col("lead_in"))).where("bases > 0")
+    return dealt(rows.unionByName(starts), n + m, *keys).groupBy(*keys, "depth").agg(F.sum("bases").alias("bases"))
 
 
 def trimmed_mean_of_intervals(intervals: DataFrame, lengths: DataFrame, keys: list[str], trim: float = 0.1, ends: int = 0) -> DataFrame:
@@ -79,14 +87,7 @@ def trimmed_mean_of_intervals(intervals: DataFrame, lengths: DataFrame, keys: li
 
     `ends` bases at either end are left out; a key that has no more than these has depth 0, as has one without intervals.
     """
-    n = F.col("length").cast("long")
-    sizes = lengths.select(*keys, n.alias("whole"))
-    over = intervals.join(sizes, keys, "left")
-    fits = F.col("whole").isNotNull() & (F.col("start") >= 0) & (F.col("end") <= F.col("whole"))
-    whole = F.when(fits, F.col("whole")).otherwise(F.raise_error(F.concat_ws(" ", F.lit("an interval beyond its reference:"), *[F.col(k).cast("string") for k in keys])).cast("long"))
-    over = over.select(*keys, F.greatest(F.col("start") - ends, F.lit(0)).cast("long").alias("start"), (F.least(F.col("end"), whole - ends) - ends).cast("long").alias("end")) if ends else intervals
-    inner = lengths.select(*keys, F.greatest(n - 2 * ends, F.lit(0)).alias("length"))
-    means = trimmed_mean_of_runs(depth_runs(over, inner, keys), keys, trim)
+    means = trimmed_mean_of_runs(depth_runs(intervals, lengths, keys, ends=ends), keys, trim)
     return lengths.select(*keys).join(means, keys, "left").select(*keys, F.coalesce("depth", F.lit(0.0)).alias("depth"))
 
 

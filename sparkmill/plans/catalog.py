@@ -226,10 +226,10 @@ def alignment_depths(spark, d):
     reads = s.reads(spark, d).withColumn("name", F.col("contig_idx").cast("string")).join(refs.select("name", "ref_id"), "name")
     reads = stored(reads.select("sample", "ref_id", F.col("start").alias("pos"), F.when(F.col("flag") == "R", 256).otherwise(0).alias("flag"), F.lit(60).alias("mapq"), F.col("read"), F.concat(F.col("n").cast("string"), F.lit("M")).alias("cigar"), "edits"))
     folder = f"{shared_folder(spark)}/alignments-{uuid.uuid4().hex}"
-    alignments.write_alignments(reads, refs, folder, files=N_SAMPLES, file=F.col("sample"))
-    records, found = alignments.read_alignments(spark, folder)
-    out = alignments.alignment_depths(records, found, 0.97)
-    return out.select(F.regexp_extract("file", "part-([0-9]+)", 1).cast("int").alias("sample"), F.col("name").cast("long").alias("contig_idx"), F.round("depth", 9).alias("depth"))
+    files = alignments.write_samples(reads, refs, folder, N_SAMPLES)
+    records, found = (alignments.of_samples(x, files) for x in alignments.read_alignments(spark, folder))
+    out = alignments.alignment_depths(records, found.where("not again"), 0.97)
+    return out.select(F.col("file").alias("sample"), F.col("name").cast("long").alias("contig_idx"), F.round("depth", 9).alias("depth"))
 
 
 @query()

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkmill.operators.abundance import trimmed_mean_of_intervals
-from sparkmill.sources.scratch import stored
+from sparkmill.sources.scratch import dealt, stored
 
 #: Start of every compressed block, the empty block at the end of a file, operations of a CIGAR, bytes of a tag's value
 #: and the fixed fields of a record (fixed values of the format).
@@ -296,17 +296,20 @@ def _bin(start: int, end: int) -> int:
 
 
 def write_alignments(records: DataFrame, references: DataFrame, path: str, files: int = 1, file: Column | None = None) -> None:
-    """records (ref_id, pos, flag, mapq, read, cigar, edits) as a folder of BAM files, each with all references (ref_id, name, length).
+    """records (ref_id, pos, flag, mapq, read, cigar, edits) as a folder of BAM files, each with all references (ref_id, name, length), or with its own where these have a column file.
 
-    file: the number, below `files`, of the file of a record, by default from a hash of read; files are named part-NUMBER. ref_id counts from 0 without gaps; records are sorted by it and pos within each file; one task writes a file. Columns beside these are not read.
+    file: the number, below `files`, of the file of a record, by default from a hash of read; files are named part-NUMBER. ref_id counts from 0 without gaps, in each file; records are sorted by it and pos within each file; one task writes a file. Columns beside these are not read.
     """
-    n, last = references.agg(F.count_distinct("ref_id"), F.max("ref_id")).first()
-    if n != references.count() or (n and last != n - 1):
+    names, numbers = ["file", "kind", "ref_id", "pos", "flag", "mapq", "read", "cigar", "edits"], records.sparkSession.range(files).select(F.col("id").cast("int").alias("file"))
+    by = ["file"] * ("file" in references.columns)
+    once = dealt(references.select(*by, "ref_id"), references.count(), *by, "ref_id").groupBy(*by, "ref_id").agg(F.count(F.lit(1)).alias("n"))
+    counts = once.groupBy(*by).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("different"), F.max("ref_id").alias("last"))
+    if counts.where("n <> different or (n > 0 and last <> n - 1)").limit(1).count():
         raise ValueError("references are not numbered from 0 without gaps")
-    names = ["file", "kind", "ref_id", "pos", "flag", "mapq", "read", "cigar", "edits"]
-    every = F.explode(F.sequence(F.lit(0), F.lit(files - 1))).alias("file")
-    refs = references.select(every, F.lit(1).alias("kind"), F.col("ref_id").cast("int"), F.col("length").cast("long").alias("pos"), F.lit(0).alias("flag"), F.lit(0).alias("mapq"), F.col("name").alias("read"), F.lit("").alias("cigar"), F.lit(0).alias("edits"))
-    head = records.sparkSession.range(1).select(every, F.lit(0).alias("kind"), F.lit(0).alias("ref_id"), F.lit(0).cast("long").alias("pos"), F.lit(0).alias("flag"), F.lit(0).alias("mapq"), F.lit("").alias("read"), F.lit("").alias("cigar"), F.lit(0).alias("edits"))
+    counts = numbers.join(counts.withColumn("file", F.col("file").cast("int")), "file", "left") if by else numbers.crossJoin(F.broadcast(counts))
+    nothing = [F.lit(0).alias("flag"), F.lit(0).alias("mapq")]
+    refs = references.select(F.col("file").cast("int") if by else F.explode(F.sequence(F.lit(0), F.lit(files - 1))).alias("file"), F.lit(1).alias("kind"), F.col("ref_id").cast("int"), F.col("length").cast("long").alias("pos"), *nothing, F.col("name").alias("read"), F.lit("").alias("cigar"), F.lit(0).alias("edits"))
+    head = counts.select("file", F.lit(0).alias("kind"), F.lit(0).alias("ref_id"), F.coalesce("n", F.lit(0)).cast("long").alias("pos"), *nothing, F.lit("").alias("read"), F.lit("").alias("cigar"), F.lit(0).alias("edits"))
     own = records.select((F.pmod(F.xxhash64("read"), F.lit(files)) if file is None else file).cast("int").alias("file"), F.lit(2).alias("kind"), F.col("ref_id").cast("int"), F.col("pos").cast("long"), F.col("flag").cast("int"), F.col("mapq").cast("int"), "read", "cigar", F.col("edits").cast("int"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -316,7 +319,7 @@ def write_alignments(records: DataFrame, references: DataFrame, path: str, files
             for _, kind, *x in zip(*[b[c].to_pylist() for c in names]):
                 if kind == 0:
                     text = b"@HD\tVN:1.6\tSO:coordinate\n"
-                    buf += b"BAM\1" + struct.pack("<i", len(text)) + text + struct.pack("<i", n)
+                    buf += b"BAM\1" + struct.pack("<i", len(text)) + text + struct.pack("<i", x[1])
                 elif kind == 1:
                     name = x[4].encode() + b"\0"
                     buf += struct.pack("<i", len(name)) + name + struct.pack("<i", x[1])
@@ -333,6 +336,41 @@ def write_alignments(records: DataFrame, references: DataFrame, path: str, files
     rows.select(F.col("value").cast("string")).write.option("encoding", "ISO-8859-1").option("lineSep", LAST_BLOCK.decode("latin-1")).text(path)
 
 
+#: Records of a file, and references that one lists, at most, where samples are written in files of bounded size.
+FILE_RECORDS, FILE_REFERENCES = 400_000, 50_000
+
+
+def write_samples(records: DataFrame, references: DataFrame, path: str, samples: int, file_records: int = FILE_RECORDS, file_references: int = FILE_REFERENCES) -> DataFrame:
+    """records (sample, below `samples`, and what write_alignments reads) as BAM files of about file_records; (file, sample, first, again) of each file's number.
+
+    A file lists the file_references references from `first` on, numbered from 0, and has records of a sample on these; where there
+    are more than file_records, several files share them by a hash of read, all but the first of which are marked as `again`. So what a task sorts and writes doesn't
+    grow with the sample, and references are not listed once for every file. records and references are read several times: store them.
+    """
+    chunk = F.floor(F.col("ref_id") / file_references)
+    last = references.agg(F.coalesce(F.max("ref_id"), F.lit(0))).first()[0]
+    every = records.sparkSession.range(last // file_references + 1).select(F.col("id").alias("chunk"), F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("sample"))
+    sizes = records.groupBy("sample", chunk.alias("chunk")).agg(F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("sample", "chunk").rowsBetween(Window.unboundedPreceding, -1)  # a row for each chunk of a sample
+    shares = F.greatest(F.lit(1), F.ceil(F.coalesce("n", F.lit(0)) / file_records)).cast("int")
+    sizes = every.join(sizes, ["sample", "chunk"], "left").select("sample", "chunk", shares.alias("shares"))
+    sizes = stored(sizes.withColumn("start", F.coalesce(F.sum("shares").over(before), F.lit(0)).cast("int")))
+    files = sizes.select(F.explode(F.sequence("start", F.col("start") + F.col("shares") - 1)).alias("file"), "sample", "chunk", "start")
+    own_refs = references.withColumn("chunk", chunk).join(files.select("file", "chunk"), "chunk").withColumn("ref_id", (F.col("ref_id") % file_references).cast("int"))
+    rows = records.withColumn("chunk", chunk).join(F.broadcast(sizes), ["sample", "chunk"]).withColumn("ref_id", (F.col("ref_id") % file_references).cast("int"))
+    rows = rows.withColumn("file", F.col("start") + F.pmod(F.xxhash64("read"), F.col("shares")).cast("int"))
+    write_alignments(rows, own_refs.drop("chunk"), path, files.count(), F.col("file"))
+    return files.select("file", "sample", (F.col("chunk") * file_references).alias("first"), (F.col("file") > F.col("start")).alias("again"))
+
+
+def of_samples(found: DataFrame, files: DataFrame) -> DataFrame:
+    """What read_alignments found in files that write_samples wrote, with the sample as file and ref_id as it was given; `again` marks references that another file of the sample lists."""
+    number = F.regexp_extract("file", "part-([0-9]+)", 1).cast("int")
+    rows = found.withColumn("number", number).join(F.broadcast(files.select(F.col("file").alias("number"), "sample", "first", "again")), "number")
+    kept = [F.when(F.col("ref_id") >= 0, F.col("ref_id") + F.col("first")).otherwise(F.col("ref_id")).cast("int").alias(c) if c == "ref_id" else F.col("sample").alias(c) if c == "file" else F.col(c) for c in found.columns]
+    return rows.select(*kept, "again")
+
+
 def alignment_depths(records: DataFrame, references: DataFrame, min_identity: float = 0.0, trim: float = 0.1, ends: int = 75) -> DataFrame:
     """(file, ref_id, name, depth): trimmed mean depth of every reference of every file, 0 where nothing covers it.
 

@@ -3,9 +3,10 @@ import struct
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sparkmill.operators import abundance
-from sparkmill.sources import alignments
+from sparkmill.sources import alignments, scratch
 
 
 def file_of(records, refs, cut):
@@ -135,3 +136,30 @@ def test_a_long_contig_costs_its_events(spark):
     lengths = spark.createDataFrame([("a", 100_000_000)], "k string, length long")
     assert {r.depth: r.bases for r in abundance.depth_runs(intervals, lengths, ["k"]).collect()} == {1: 70_000_000, 2: 30_000_000}
     assert abundance.trimmed_mean_of_intervals(intervals, lengths, ["k"]).first().depth == pytest.approx((60 + 2 * 20) / 80)
+
+
+def test_files_and_tasks_are_bounded(spark, tmp_path, monkeypatch):
+    """A sample's records go to files of bounded size that list a range of references each, and sweeps to tasks by their number."""
+    rng = random.Random(8)
+    refs = spark.createDataFrame([(i, "c%d" % i, 400) for i in range(25)], "ref_id int, name string, length int")
+    rows = [(rng.randrange(2), 3 if rng.random() < 0.5 else rng.randrange(25), rng.randrange(300), 0, 60, "r%d" % i, "90M", 0) for i in range(600)] + [(0, 24, 5, 4, 0, "last", "90M", 0)]
+    reads = spark.createDataFrame(rows, "sample int, ref_id int, pos long, flag int, mapq int, read string, cigar string, edits int")
+    files = alignments.write_samples(reads, refs, str(tmp_path / "parts"), 3, file_records=40, file_references=10)
+    raw, _ = alignments.read_alignments(spark, str(tmp_path / "parts"))
+    sizes = [r["count"] for r in raw.groupBy("file").count().collect()]
+    assert sum(sizes) == len(rows) and max(sizes) <= 80 and len(sizes) > 12
+    found, names = (alignments.of_samples(x, files) for x in alignments.read_alignments(spark, str(tmp_path / "parts")))
+    assert sorted((r.file, r.ref_id, r.pos, r["read"]) for r in found.collect()) == sorted((r[0], r[1], r[2], r[5]) for r in rows)
+    names = names.where("not again")
+    assert sorted((r.file, r.ref_id, r.name) for r in names.collect()) == [(k, i, "c%d" % i) for k in range(3) for i in range(25)]
+    depths = {(r.file, r.ref_id): r.depth for r in alignments.alignment_depths(found, names).collect()}
+    for k in range(3):
+        for i in range(25):
+            per_base = np.zeros(400)
+            for r in rows:
+                if r[:2] == (k, i) and not r[3]:
+                    per_base[r[2] : r[2] + 90] += 1
+            assert depths[k, i] == pytest.approx(np.sort(per_base[75:325])[25:225].mean())
+    monkeypatch.setattr(scratch, "TASK_ROWS", 50)
+    runs = reads.select("ref_id", F.col("pos").alias("start"), (F.col("pos") + 90).alias("end"))
+    assert abundance.depth_runs(runs, refs, ["ref_id"]).rdd.getNumPartitions() >= 2 * len(rows) / 50
