@@ -121,17 +121,19 @@ def lca_metrics(pairs: DataFrame, truth: str = "path_a", predicted: str = "path_
 
 
 def rolled_up(leaf_probs: DataFrame, tree_table: DataFrame) -> DataFrame:
-    """(contig_idx, name, depth, prob): every node's probability is the sum of those of the leaves below (contig_idx, name, prob)."""
+    """(contig_idx, name, depth, prob): every node's probability is the sum of those of the leaves below (contig_idx, name, prob).
+
+    Where leaf_probs are dealt by contig_idx, so are these; what goes by contig after it, as predictions do, needs no shuffle.
+    """
     up = tree_table.select("name", F.explode("path").alias("at"))
     return leaf_probs.join(up, "name").groupBy("contig_idx", "at").agg(F.sum("prob").alias("prob")).join(tree_table.select(F.col("name").alias("at"), "depth"), "at").select("contig_idx", F.col("at").alias("name"), "depth", "prob")
 
 
 def predictions(node_probs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """(contig_idx, ranks, probs): nodes above the threshold from the top down, without the root."""
-    kept = node_probs.where((F.col("prob") > threshold) & (F.col("name") != ROOT))
-    rows = kept.groupBy("contig_idx").agg(F.array_sort(F.collect_list(F.struct("depth", "name", "prob"))).alias("x"))
-    rows = node_probs.select("contig_idx").distinct().join(rows, "contig_idx", "left")
-    return rows.select("contig_idx", F.coalesce(F.col("x.name"), F.array().cast("array<string>")).alias("ranks"), F.coalesce(F.col("x.prob"), F.array().cast("array<double>")).alias("probs"))
+    kept = F.when((F.col("prob") > threshold) & (F.col("name") != ROOT), F.struct("depth", "name", "prob"))
+    rows = node_probs.groupBy("contig_idx").agg(F.array_sort(F.collect_list(kept)).alias("x"))
+    return rows.select("contig_idx", F.col("x.name").alias("ranks"), F.col("x.prob").alias("probs"))
 
 
 def most_specific(node_probs: DataFrame, info: str = "depth", threshold: float = 0.5) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkmill.functions import names, sequences, vectors
@@ -16,7 +16,7 @@ from sparkmill.operators import taxonomy as tax
 from sparkmill.plans import standins as s
 from sparkmill.plans.standins import LEAST, N_SAMPLES, SEP, sql
 from sparkmill.sources import alignments
-from sparkmill.sources.scratch import numbered, shared_folder, stored
+from sparkmill.sources.scratch import dealt, numbered, shared_folder, stored
 
 #: Dimensions of the embeddings, which stand in for compositions.
 DIMS = 64
@@ -356,13 +356,20 @@ def lca_metrics(spark, d):
 _LEAVES = "leaves AS (SELECT l_partkey AS contig_idx, name, sum(l_quantity) AS w FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN (SELECT n_nationkey, n_name AS name FROM nation) ON n_nationkey = s_nationkey GROUP BY ALL), p AS (SELECT contig_idx, name, w / sum(w) OVER (PARTITION BY contig_idx) AS prob FROM leaves), up AS (SELECT contig_idx, name, 2 AS depth, prob FROM p UNION ALL SELECT contig_idx, r_name, 1, sum(prob) FROM p JOIN nation ON n_name = p.name JOIN region ON r_regionkey = n_regionkey GROUP BY ALL UNION ALL SELECT contig_idx, 'root', 0, sum(prob) FROM p GROUP BY 1)"
 
 
-def _rolled(spark, d):
-    li, su, n, r = (s.table(spark, d, t) for t in ("lineitem", "supplier", "nation", "region"))
-    leaves = li.join(su, F.col("l_suppkey") == F.col("s_suppkey")).join(n, F.col("s_nationkey") == F.col("n_nationkey")).groupBy(F.col("l_partkey").alias("contig_idx"), F.col("n_name").alias("name")).agg(F.sum("l_quantity").alias("w"))
-    sums = leaves.groupBy("contig_idx").agg(F.sum("w").alias("t"))
-    probs = leaves.join(sums, "contig_idx").select("contig_idx", "name", (F.col("w") / F.col("t")).alias("prob"))
+def _nations(spark, d):
+    n, r = s.table(spark, d, "nation"), s.table(spark, d, "region")
     ranks = n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).select(F.array("r_name", "n_name").alias("ranks"))
-    return tax.rolled_up(probs, graph.stored(tax.tree(tax.edges(ranks))))
+    return graph.stored(tax.tree(tax.edges(ranks)))
+
+
+def _rolled(spark, d, tree=None):
+    """Lines are dealt by contig once; a task takes its share of them through all steps, here and in what goes by contig after it."""
+    li, su, n = (s.table(spark, d, t) for t in ("lineitem", "supplier", "nation"))
+    lines = li.join(su, F.col("l_suppkey") == F.col("s_suppkey")).join(n, F.col("s_nationkey") == F.col("n_nationkey"))
+    lines = dealt(lines.select(F.col("l_partkey").alias("contig_idx"), F.col("n_name").alias("name"), "l_quantity"), li.count(), "contig_idx")
+    leaves = lines.groupBy("contig_idx", "name").agg(F.sum("l_quantity").alias("w"))
+    probs = leaves.select("contig_idx", "name", (F.col("w") / F.sum("w").over(Window.partitionBy("contig_idx"))).alias("prob"))
+    return tax.rolled_up(probs, tree or _nations(spark, d))
 
 
 @query("WITH " + _LEAVES + " SELECT contig_idx, name, depth, round(prob + 1e-9, 6) AS prob FROM up")

@@ -4,6 +4,7 @@ import pytest
 
 from oracle import SMALL, compare, connection
 from sparkmill.plans import catalog
+from sparkmill.sources import scratch
 
 pytestmark = pytest.mark.skipif(not os.path.exists(SMALL), reason="the small tables are not here")
 
@@ -56,3 +57,11 @@ def test_reverse_complements_of_all_contigs_are_whole(spark):
 
 def test_changed_alone_has_rows(spark):
     assert catalog.QUERIES["changed_alone"](spark, SMALL).count() > 0
+
+
+@pytest.mark.parametrize("name", ["tax_predictions", "pareto"])
+def test_tasks_get_a_number_of_rows(spark, monkeypatch, name):
+    """Partitions that adaptive execution would join by their compressed bytes stay as many as the rows ask for."""
+    monkeypatch.setattr(scratch, "TASK_ROWS", 500)
+    n = spark.read.parquet(f"{SMALL}/lineitem.parquet").count()
+    assert catalog.QUERIES[name](spark, SMALL).rdd.getNumPartitions() >= n / 500
