@@ -150,10 +150,9 @@ def pareto(node_probs: DataFrame, info: str = "depth") -> DataFrame:
 
 def plurality_threshold(node_probs: DataFrame, tree_table: DataFrame) -> DataFrame:
     """(contig_idx, threshold): the highest probability that is only second among its siblings; 0 if none has a sibling."""
-    with_parent = node_probs.join(tree_table.where("parent is not null").select("name", "parent"), "name")
-    second = with_parent.withColumn("r", F.row_number().over(Window.partitionBy("contig_idx", "parent").orderBy(F.desc("prob"), "name"))).where("r = 2")
-    best = second.groupBy("contig_idx").agg(F.max("prob").alias("threshold"))
-    return node_probs.select("contig_idx").distinct().join(best, "contig_idx", "left").withColumn("threshold", F.coalesce("threshold", F.lit(0.0)))
+    with_parent = node_probs.join(tree_table.where("parent is not null").select("name", "parent"), "name", "left")
+    second = with_parent.withColumn("r", F.row_number().over(Window.partitionBy("contig_idx", "parent").orderBy(F.desc("prob"), "name")))
+    return second.groupBy("contig_idx").agg(F.coalesce(F.max(F.when((F.col("r") == 2) & F.col("parent").isNotNull(), F.col("prob"))), F.lit(0.0)).alias("threshold"))
 
 
 def accuracy(truth: DataFrame, predicted: DataFrame) -> DataFrame:

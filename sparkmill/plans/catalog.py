@@ -454,10 +454,9 @@ def tax_from_pairs(spark, d):
 
 @query("WITH " + _LEAVES + ", s2 AS (SELECT contig_idx, depth, name, prob, row_number() OVER (PARTITION BY contig_idx, depth, g ORDER BY prob DESC, name) AS r FROM (SELECT up.contig_idx, depth, up.name, round(prob, 9) AS prob, CASE WHEN depth = 2 THEN n_regionkey END AS g FROM up LEFT JOIN nation ON n_name = up.name AND depth = 2 WHERE depth > 0)) SELECT contig_idx, round(coalesce(max(prob) FILTER (r = 2), 0), 6) AS threshold FROM s2 GROUP BY 1")
 def plurality_threshold(spark, d):
-    n, r = s.table(spark, d, "nation"), s.table(spark, d, "region")
-    ranks = n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).select(F.array("r_name", "n_name").alias("ranks"))
-    probs = _rolled(spark, d).withColumn("prob", F.round("prob", 9))
-    return tax.plurality_threshold(probs, tax.tree(tax.edges(ranks))).select("contig_idx", (F.round("threshold", 6) + 0.0).alias("threshold"))
+    tree = _nations(spark, d)
+    probs = _rolled(spark, d, tree).withColumn("prob", F.round("prob", 9))
+    return tax.plurality_threshold(probs, tree).select("contig_idx", (F.round("threshold", 6) + 0.0).alias("threshold"))
 
 
 # --- markers

@@ -3,6 +3,7 @@ import os
 import pytest
 
 from oracle import SMALL, compare, connection
+from sparkmill.operators import taxonomy
 from sparkmill.plans import catalog
 from sparkmill.sources import scratch
 
@@ -59,9 +60,18 @@ def test_changed_alone_has_rows(spark):
     assert catalog.QUERIES["changed_alone"](spark, SMALL).count() > 0
 
 
-@pytest.mark.parametrize("name", ["tax_predictions", "pareto"])
+@pytest.mark.parametrize("name", ["tax_predictions", "pareto", "plurality_threshold"])
 def test_tasks_get_a_number_of_rows(spark, monkeypatch, name):
     """Partitions that adaptive execution would join by their compressed bytes stay as many as the rows ask for."""
     monkeypatch.setattr(scratch, "TASK_ROWS", 500)
     n = spark.read.parquet(f"{SMALL}/lineitem.parquet").count()
     assert catalog.QUERIES[name](spark, SMALL).rdd.getNumPartitions() >= n / 500
+
+
+def test_plurality_of_names_without_siblings(spark):
+    """A name outside the tree and the root have no siblings; a contig with only such has threshold 0."""
+    tree = taxonomy.tree(taxonomy.edges(spark.createDataFrame([(["a", "b"],), (["a", "c"],)], "ranks array<string>")))
+    probs = spark.createDataFrame([(1, "x", 0, 0.5), (1, "y", 0, 0.4), (1, "root", 0, 1.0), (2, "b", 2, 0.7), (2, "c", 2, 0.3), (2, "a", 1, 1.0)], "contig_idx long, name string, depth int, prob double")
+    assert sorted(map(tuple, taxonomy.plurality_threshold(probs, tree).collect())) == [(1, 0.0), (2, 0.3)]
+    got = {r.contig_idx: (r.ranks, r.probs) for r in taxonomy.predictions(probs, 0.6).collect()}
+    assert got == {1: ([], []), 2: (["a", "b"], [1.0, 0.7])}
