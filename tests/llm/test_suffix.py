@@ -129,3 +129,20 @@ def test_all_occurrences_are_one_group(spark):
     found, extents = suffix.repeat_extents(docs, min_len=50, gram=20)
     groups = found.join(extents, ["h", "c"]).groupBy("h", "g").count().collect()
     assert {r["count"] for r in groups} == {12}
+
+
+def test_contexts_that_share_only_a_gram_are_not_sorted(spark, monkeypatch):
+    """A phrase in many unlike texts: its contexts share the gram but no half of a string, and their bytes are not fetched."""
+    rng = random.Random(21)
+    word = lambda k: "".join(rng.choice("abcdefgh") for _ in range(k))
+    phrase, passage = word(21), word(41)
+    texts = [word(50) + phrase + word(50) for _ in range(40)] + [word(30) + passage + word(30) for _ in range(2)]
+    texts += [word(9) + passage[:40], passage[1:] + word(9)]  # at a text's start and end one side alone fits
+    seen, plainly = [], suffix.alike_contexts
+    monkeypatch.setattr(suffix, "alike_contexts", lambda x: seen.append((x.count(), plainly(x))) or seen[-1][1])
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    out = {r.doc_id: r for r in suffix.remove_repeats(docs, min_len=40, gram=10).collect()}
+    for i, (runs, kept) in enumerate(plain(texts, 40)):
+        assert [(s.start, s.end) for s in out[i].spans] == runs and bytes(out[i].kept) == kept
+    ((before, after),) = seen
+    assert before >= 20 and 4 <= after.count() <= before / 2
