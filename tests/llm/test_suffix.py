@@ -1,10 +1,11 @@
+import hashlib
 import random
 from collections import Counter
 
 import numpy as np
 import pytest
 
-from sparkmill.llm import suffix
+from sparkmill.llm import queries, suffix
 
 
 def plain(texts, n):
@@ -146,3 +147,18 @@ def test_contexts_that_share_only_a_gram_are_not_sorted(spark, monkeypatch):
         assert [(s.start, s.end) for s in out[i].spans] == runs and bytes(out[i].kept) == kept
     ((before, after),) = seen
     assert before >= 20 and 4 <= after.count() <= before / 2
+
+
+def test_the_query_removes_strings_of_400_bytes_and_counts_whole_texts(spark, tmp_path):
+    """A repeated passage of over fifty words goes if it has 400 bytes; n_bytes is the text's size either way, n_removed tells."""
+    rng = random.Random(31)
+    words = lambda n, k: " ".join("".join(rng.choices("abcdefghé", k=k)) for _ in range(n))
+    long, short = words(60, 7), words(52, 5)  # the latter has under 400 bytes
+    assert len(long.encode()) >= 400 > len(short.encode()) + 2
+    texts = [words(40, 6) + f" {long} " + words(30, 6), f"{long}. " + words(90, 6), words(50, 6) + f" {short} " + words(30, 6), f"{short}! " + words(200, 6)]
+    texts += [words(n, 6) for n in (20, 100, 300)] + [words(80, 6).replace(" ", "\n") + long[:200], None, ""]
+    spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    out = {r.doc_id: r[:5] for r in queries.op2_suffix_array(spark, str(tmp_path)).collect()}
+    for i, (runs, kept) in enumerate(plain(texts, 400)):
+        assert out[i] == (i, len((texts[i] or "").encode()), sum(e - s for s, e in runs), len(runs), hashlib.sha256(kept).hexdigest())
+    assert {i for i in out if out[i][2]} == {0, 1}
