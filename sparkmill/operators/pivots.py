@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkmill.sources.scratch import stored
@@ -113,7 +113,12 @@ def spanning_forest(n: int, i: np.ndarray, j: np.ndarray, d: np.ndarray, first:
     return taken
 
 
-def _count_and_dims(points: DataFrame) -> tuple[int, int]:
+def finite(v: Column) -> Column:
+    """Whether a vector is there and all its numbers are."""
+    return v.isNotNull() & F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))), F.lit(False))
+
+
+def count_and_dims(points: DataFrame) -> tuple[int, int]:
     r = points.agg(F.count(F.lit(1)).alias("n"), F.min(F.size("v")).alias("least"), F.max(F.size("v")).alias("most")).first()
     if r["n"] and r["least"] != r["most"]:
         raise ValueError("vectors of different lengths can't be compared")
@@ -132,10 +137,9 @@ def block_pairs(points: DataFrame, radius: float, by: tuple[str, ...] = (), idx:
     out, as they are near nothing. Pivots are the points of smallest hashes, so few that they go to every task.
     """
     spark = points.sparkSession
-    fine = F.col("v").isNotNull() & F.coalesce(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))), F.lit(False))
     part = F.to_json(F.struct(*by)) if by else F.lit("")
-    rows = points.where(fine).select(part.alias("part"), F.struct(*by, F.lit(0).alias("one")).alias("by"), F.col(idx).alias("id"), "v", *extra)
-    n, dims = _count_and_dims(rows)
+    rows = points.where(finite(F.col("v"))).select(part.alias("part"), F.struct(*by, F.lit(0).alias("one")).alias("by"), F.col(idx).alias("id"), "v", *extra)
+    n, dims = count_and_dims(rows)
     wanted, rows_of_block = division(n)
     wanted, block_rows = pivots or wanted, block_rows or rows_of_block
     found = [r["v"] for r in rows.orderBy(F.xxhash64("id"), "id").select("v").limit(wanted).collect()]

@@ -163,6 +163,43 @@ def test_medoid_clusters_of_many_groups_take_few_rounds(spark):
     assert sum(c.kind == "normal" for c in found) >= 10 and max(r.batch for r in rows) <= 3
 
 
+def test_medoid_clusters_of_far_groups_take_one_round(spark):
+    """Groups in each other's histograms, of several seeds each, whose clusters take nothing of one another are all found in the first round."""
+    rng = np.random.default_rng(3)
+    x = np.concatenate([np.repeat(rng.normal(size=(14, 12)), 3, axis=0) + rng.normal(size=(42, 12)) * 0.05, rng.normal(size=(20, 12))])
+    lengths = rng.integers(5, 12, len(x)) * 100
+    df = spark.createDataFrame([(i, v.tolist(), int(n)) for i, (v, n) in enumerate(zip(x, lengths))], "contig_idx long, v array<double>, length int")
+    found = list(clustering.MedoidClusterer(x, lengths))
+    got = {}
+    for r in clustering.clusters_in_rounds(neighbours.normalised(df)).collect():
+        got.setdefault((r.batch, r.turn), []).append(r)
+    assert [(sorted(r.contig_idx for r in g), g[0].medoid, g[0].kind, g[0].radius) for _, g in sorted(got.items())] == [(sorted(c.members.tolist()), c.medoid, c.kind, c.radius) for c in found]
+    assert {batch for (batch, _), g in got.items() if g[0].kind == "normal"} == {0} and sum(c.kind == "normal" for c in found) >= 10
+
+
+@pytest.mark.parametrize(("rows", "most", "noise"), [(40, 0.25, 0.9), (40, 0.9, 0.9), (500, 0.25, 0.05), (16, 0.6, 1.2)])
+def test_components_within(spark, monkeypatch, rows, most, noise):
+    """Around a sample, whole products and pivots give the components of brute force; copies, and rows without a finite vector, too."""
+    from sparkmill.operators import linkage
+
+    rng = np.random.default_rng(rows)
+    x = np.repeat(rng.normal(size=(3, 10)), [200, 30, 20], axis=0) + rng.normal(size=(250, 10)) * noise
+    x[::25] = x[1]
+    u = x / np.linalg.norm(x, axis=1, keepdims=True) / np.sqrt(2)
+    monkeypatch.setattr(linkage, "SAMPLE_ROWS", rows)
+    monkeypatch.setattr(linkage, "SPARSE", most)
+    df = spark.createDataFrame([(i * 7 + 3, v.tolist()) for i, v in enumerate(u)] + [(1, None), (2, [float("nan")] * 10)], "contig_idx long, v array<double>")
+    for radius in (0.1, 0.2):
+        near = 0.5 - u @ u.T <= radius
+        label = np.arange(250)
+        while (label != (low := np.where(near, label, 250).min(axis=1))).any():
+            label = low
+        want = {i * 7 + 3: int(c) * 7 + 3 for i, c in enumerate(label)} | {1: 1, 2: 2}
+        got = linkage.components_within(df, radius, few=0).collect()
+        assert len(got) == 252 and {r.node: r.component for r in got} == want
+    assert linkage.components_within(df.limit(0), 0.1, few=0).collect() == []
+
+
 def test_medoid_clusters_of_large_and_small_parts(spark):
     x, lengths = loose_points(3, 24, 32)
     df = spark.createDataFrame([(i, v.tolist(), int(n)) for i, (v, n) in enumerate(zip(x, lengths))], "contig_idx long, v array<double>, length int")
